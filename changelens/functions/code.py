@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from changelens import rules
-from changelens.functions.text import ColumnLike, as_column, let
+from changelens.functions.text import as_column, built_once, ColumnLike, let
 
 DEFINITION = (
     "struct<name:string,kind:string,start_line:int,end_line:int,signature_end_line:int,container:string>"
@@ -69,97 +69,70 @@ def _blank(content: Column, fam: str, keep_strings: bool) -> Column:
     return F.array_join(F.transform(pieces, piece), "")
 
 
+@built_once
 def blank_literals(content: ColumnLike, family: ColumnLike) -> Column:
     """Comments become spaces, strings become quotes (``~`` first on continued lines). Positions do not move."""
     content = as_column(content)
     return by_family(family, lambda fam: _blank(content, fam, False), content)
 
 
+@built_once
 def blank_comments(content: ColumnLike, family: ColumnLike) -> Column:
     content = as_column(content)
     return by_family(family, lambda fam: _blank(content, fam, True), content)
 
 
 # ----------------------------------------------------------------------------- definitions: Python ---
-_OPEN_PY = "array<struct<name:string,kind:string,indent:int,start:int,sig:int,container:string>>"
-_PY_HEADER = r"(?U)^\s*(?:async\s+)?(def|class)\s+([^\W\d]\w*)"
+# The folds are written as SQL text: one call builds them, however many branches they have.
+def quote(text: str) -> str:
+    """A Spark SQL string literal."""
+    escaped = text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
+    return f"'{escaped}'"
 
 
 def _count(text: Column, chars: str) -> Column:
     return F.length(text) - F.length(F.translate(text, chars, ""))
 
 
-def _python_definitions(blanked: Column) -> Column:
-    lines = F.transform(
-        F.split(blanked, "\n", -1),
-        lambda x, i: F.struct(
-            (i + 1).alias("line"),
-            (F.trim(F.translate(x, "\t\r", "  ")) == "").alias("blank"),
-            x.startswith("~").alias("inside"),
-            x.endswith("\\").alias("continues"),
-            (F.length(x) - F.length(F.ltrim(F.translate(x, "\t", " ")))).alias("indent"),
-            (_count(x, "([{") - _count(x, ")]}")).alias("delta"),
-            F.regexp_extract(x, _PY_HEADER, 1).alias("word"),
-            F.regexp_extract(x, _PY_HEADER, 2).alias("name"),
-        ),
-    )
-    start = F.struct(
-        F.lit(0).alias("depth"),
-        F.lit(False).alias("continues"),
-        F.lit(0).alias("last"),
-        F.array().cast(_OPEN_PY).alias("open"),
-        F.array().cast(f"array<{DEFINITION}>").alias("done"),
-    )
-
-    def close(o: Column, last: Column) -> Column:
-        return F.struct(
-            o["name"].alias("name"),
-            o["kind"].alias("kind"),
-            o["start"].alias("start_line"),
-            F.greatest(o["start"], last).alias("end_line"),
-            F.coalesce(o["sig"], o["start"]).alias("signature_end_line"),
-            o["container"].alias("container"),
-        )
-
-    def logical(acc: Column, x: Column) -> Column:
-        """A line that starts a statement: it ends every open block that is not outside of it."""
-        kept = F.filter(acc["open"], lambda o: o["indent"] < x["indent"])
-        ended = F.filter(acc["open"], lambda o: o["indent"] >= x["indent"])
-        signed = F.transform(
-            kept,
-            lambda o: F.struct(
-                o["name"].alias("name"), o["kind"].alias("kind"), o["indent"].alias("indent"), o["start"].alias("start"),
-                F.coalesce(o["sig"], F.greatest(o["start"], x["line"] - 1)).alias("sig"), o["container"].alias("container"),
-            ),
-        )
-        owner = F.coalesce(F.try_element_at(F.filter(kept, lambda o: o["kind"] == "class"), F.lit(-1))["name"], F.lit(""))
-        kind = F.when(x["word"] == "class", "class").when(owner != "", "method").otherwise("function")
-        header = F.struct(
-            x["name"].alias("name"), kind.alias("kind"), x["indent"].alias("indent"), x["line"].alias("start"),
-            F.lit(None).cast("int").alias("sig"), owner.alias("container"),
-        )
-        return F.struct(
-            x["delta"].alias("depth"),
-            x["continues"].alias("continues"),
-            x["line"].alias("last"),
-            F.when(x["word"] != "", F.concat(signed, F.array(header))).otherwise(signed).alias("open"),
-            F.when(F.size(ended) > 0, F.concat(acc["done"], F.transform(ended, lambda o: close(o, acc["last"]))))
-            .otherwise(acc["done"])
-            .alias("done"),
-        )
+def _sql_count(text: str, chars: str) -> str:
+    return f"(length({text}) - length(translate({text}, {quote(chars)}, '')))"
 
-    def step(acc: Column, x: Column) -> Column:
-        inside = (acc["depth"] > 0) | acc["continues"] | x["inside"]
-        carried = F.struct(
-            (acc["depth"] + x["delta"]).alias("depth"), x["continues"].alias("continues"), x["line"].alias("last"),
-            acc["open"].alias("open"), acc["done"].alias("done"),
-        )
-        return F.when(x["blank"], acc).when(inside, carried).otherwise(logical(acc, x))
 
-    def finish(acc: Column) -> Column:
-        return F.concat(acc["done"], F.transform(acc["open"], lambda o: close(o, acc["last"])))
-
-    return F.aggregate(lines, start, step, finish)
+_OPEN_PY = "array<struct<name:string,kind:string,indent:int,start:int,sig:int,container:string>>"
+_PY_HEADER = quote(r"(?U)^\s*(?:async\s+)?(def|class)\s+([^\W\d]\w*)")
+
+
+def _python_definitions(blanked: str) -> str:
+    """Fold over the lines: a line that starts a statement ends every open block that is not outside of it."""
+    lines = f"""transform(split({blanked}, '\\n', -1), (x, i) -> named_struct(
+        'line', i + 1,
+        'blank', trim(translate(x, '\\t\\r', '  ')) = '',
+        'inside', startswith(x, '~'),
+        'continues', endswith(x, '\\\\'),
+        'indent', length(x) - length(ltrim(translate(x, '\\t', ' '))),
+        'delta', {_sql_count('x', '([{')} - {_sql_count('x', ')]}')},
+        'word', regexp_extract(x, {_PY_HEADER}, 1),
+        'name', regexp_extract(x, {_PY_HEADER}, 2)))"""
+    start = f"""named_struct('depth', 0, 'continues', false, 'last', 0,
+        'open', cast(array() AS {_OPEN_PY}), 'done', cast(array() AS array<{DEFINITION}>))"""
+    close = """named_struct('name', o.name, 'kind', o.kind, 'start_line', o.start, 'end_line', greatest(o.start, acc.last),
+        'signature_end_line', coalesce(o.sig, o.start), 'container', o.container)"""
+    carried = """named_struct('depth', acc.depth + x.delta, 'continues', x.continues, 'last', x.line,
+        'open', acc.open, 'done', acc.done)"""
+    signed = """transform(kept, o -> named_struct('name', o.name, 'kind', o.kind, 'indent', o.indent, 'start', o.start,
+        'sig', coalesce(o.sig, greatest(o.start, x.line - 1)), 'container', o.container))"""
+    header = """named_struct('name', x.name,
+        'kind', CASE WHEN x.word = 'class' THEN 'class' WHEN owner <> '' THEN 'method' ELSE 'function' END,
+        'indent', x.indent, 'start', x.line, 'sig', cast(null AS int), 'container', owner)"""
+    owner = "coalesce(try_element_at(filter(kept, o -> o.kind = 'class'), -1).name, '')"
+    logical = f"""transform(array(filter(acc.open, o -> o.indent < x.indent)), kept -> named_struct(
+        'depth', x.delta, 'continues', x.continues, 'last', x.line,
+        'open', CASE WHEN x.word <> '' THEN concat({signed}, transform(array({owner}), owner -> {header})) ELSE {signed} END,
+        'done', CASE WHEN size(kept) < size(acc.open)
+            THEN concat(acc.done, transform(filter(acc.open, o -> o.indent >= x.indent), o -> {close})) ELSE acc.done END))[0]"""
+    return f"""aggregate({lines}, {start},
+        (acc, x) -> CASE WHEN x.blank THEN acc WHEN acc.depth > 0 OR acc.continues OR x.inside THEN {carried} ELSE {logical} END,
+        acc -> concat(acc.done, transform(acc.open, o -> {close})))"""
 
 
 # ----------------------------------------------------------------------------- definitions: braces ---
@@ -204,148 +177,75 @@ _STATEMENTS = {
         ("method", rf"({_ANNOTATED}{_MODIFIED}(?:<[^;{{}}()]*>\s*)?{_JAVA_TYPE}\s+{_KEYWORD}({_WORD})\s*{_ARGS}\s*(?:throws\s+[\w.,\s$]+)?)\z", True),
     ),
 }
-_TYPES = ("class", "interface", "enum")
-_MATCH = "struct<kind:string,name:string,text:string>"
+_TYPES = "('class', 'interface', 'enum')"
+_PIECE = r"([^{};\n]*+[{};\n]|[^{};\n]++)"
+_PIECE_END = r"(?:[{};]|\s*\n)\z"
+_LEADING_SPACE = r"^\s+"
 _OPEN_BRACE = "array<struct<name:string,kind:string,start:int,sig:int,container:string,saved:string>>"
 
 
-def _match(buffer: Column, patterns, in_type: Column) -> Column:
-    """First pattern that matches the end of the buffer."""
-    result = F.lit(None).cast(_MATCH)
-    for kind, pattern, only_in_type in reversed(patterns):
-        hit = buffer.rlike(pattern)
-        found = F.struct(
-            F.lit(kind).alias("kind"),
-            F.regexp_extract(buffer, pattern, 2).alias("name"),
-            F.regexp_extract(buffer, pattern, 1).alias("text"),
-        )
-        result = F.when(hit & in_type if only_in_type else hit, found).otherwise(result)
-    return result
-
-
-def _brace_definitions(blanked: Column, fam: str) -> Column:
-    statements = F.regexp_extract_all(blanked, F.lit(r"([^\n{};]*+[\n{};]|[^\n{};]++)"), 1)
-    start = F.struct(
-        F.lit(1).alias("line"),
-        F.lit("").alias("buffer"),
-        F.array().cast(_OPEN_BRACE).alias("open"),
-        F.array().cast(f"array<{DEFINITION}>").alias("done"),
+def _match(buffer: str, patterns, in_type: str) -> str:
+    """First pattern that matches the end of the buffer, as struct<kind, name, text>; null when none does."""
+    cases = " ".join(
+        f"""WHEN {buffer} RLIKE {quote(pattern)}{f" AND {in_type}" if only_in_type else ""} THEN named_struct('kind', '{kind}',
+            'name', regexp_extract({buffer}, {quote(pattern)}, 2), 'text', regexp_extract({buffer}, {quote(pattern)}, 1))"""
+        for kind, pattern, only_in_type in patterns
+    )
+    return f"CASE {cases} END"
+
+
+def _brace_definitions(blanked: str, fam: str) -> str:
+    """Fold over the statements: text up to the next brace, semicolon or line break is matched where it ends."""
+    pieces = f"regexp_extract_all({blanked}, {quote(_PIECE)}, 1)"
+    start = f"""named_struct('line', 1, 'buffer', '', 'open', cast(array() AS {_OPEN_BRACE}),
+        'done', cast(array() AS array<{DEFINITION}>))"""
+    top = "try_element_at(acc.open, -1)"
+    in_type = f"coalesce({top}.kind IN {_TYPES}, false)"
+    owner = f"coalesce(try_element_at(filter(acc.open, o -> o.kind IN {_TYPES}), -1).name, '')"
+    shown = f"regexp_replace(m.text, {quote(_LEADING_SPACE)}, '')"
+    first_line = f"(acc.line - {_sql_count(shown, chr(10))})"
+    balanced = f"({_sql_count('b', '(')} <= {_sql_count('b', ')')})"
+    without_block = f"""CASE WHEN m IS NOT NULL THEN concat(acc.done, array(named_struct('name', m.name, 'kind', m.kind,
+        'start_line', {first_line}, 'end_line', acc.line,
+        'signature_end_line', CASE WHEN m.kind = 'function' THEN {first_line} ELSE acc.line END, 'container', {owner})))
+        ELSE acc.done END"""
+    opening = f"""named_struct('line', acc.line, 'buffer', '', 'open', concat(acc.open, array(named_struct(
+        'name', m.name, 'kind', m.kind, 'start', {first_line}, 'sig', acc.line, 'container', {owner},
+        'saved', CASE WHEN {balanced} THEN '' ELSE concat(b, '{{') END))), 'done', acc.done)"""
+    closing = f"""named_struct('line', acc.line,
+        'buffer', CASE WHEN coalesce({top}.saved, '') = '' THEN '' ELSE concat({top}.saved, '}}') END,
+        'open', slice(acc.open, 1, greatest(size(acc.open) - 1, 0)),
+        'done', CASE WHEN {top}.name IS NULL THEN {without_block} ELSE concat({without_block}, array(named_struct(
+            'name', {top}.name, 'kind', {top}.kind, 'start_line', {top}.start, 'end_line', acc.line,
+            'signature_end_line', CASE WHEN {top}.kind = 'type' THEN acc.line ELSE {top}.sig END, 'container', {top}.container))) END)"""
+    ended = f"named_struct('line', acc.line, 'buffer', '', 'open', acc.open, 'done', {without_block})"
+    next_line = "named_struct('line', acc.line + 1, 'buffer', concat(acc.buffer, p), 'open', acc.open, 'done', acc.done)"
+    broken = f"named_struct('line', acc.line + 1, 'buffer', '', 'open', acc.open, 'done', {without_block})"
+    maybe = "contains(b, '=>') OR contains(b, 'type ')" if fam == "js" else "contains(b, '(')"
+    match = f"""CASE WHEN right(p, 1) = '{{' THEN CASE WHEN {balanced} THEN {_match('b', _HEADERS[fam], in_type)} END
+        WHEN {maybe} THEN {_match('b', _STATEMENTS[fam], in_type)} END"""
+    # a line break ends a JS statement that is complete on its own (no semicolon)
+    complete = quote(
+        rf"{_ARROW}{_PARAMS}\s*[^\s{{}};][^{{}};]*[\w\)\]\"'`]\s*\z|\btype\s+{_WORD}[^;{{}}=]*=\s*[^;{{}}=]*[\w\)\]\"'`]\s*\z"
+    )
+    stays = f"right(p, 1) = '\\n' AND NOT (({maybe.replace('(b,', '(concat(acc.buffer, p),')}) AND concat(acc.buffer, p) RLIKE {complete})"
+    stays = stays if fam == "js" else "right(p, 1) = '\\n'"
+    buffer = f"regexp_replace(concat(acc.buffer, p), {quote(_PIECE_END)}, '')"
+    return f"""aggregate({pieces}, {start}, (acc, p) -> CASE WHEN {stays} THEN {next_line} ELSE
+        transform(array({buffer}), b -> transform(array({match}), m -> CASE right(p, 1)
+            WHEN '{{' THEN {opening} WHEN '}}' THEN {closing} WHEN ';' THEN {ended}
+            WHEN '\\n' THEN {broken} ELSE {ended} END)[0])[0] END,
+        acc -> acc.done)"""
+
+
+@built_once
+def definitions(blanked: str, family: str) -> Column:
+    """array<definition> of a column with blanked source text, ordered by start and end line."""
+    found = f"""CASE {family} WHEN 'python' THEN {_python_definitions(blanked)} WHEN 'js' THEN {_brace_definitions(blanked, 'js')}
+        WHEN 'java' THEN {_brace_definitions(blanked, 'java')} ELSE cast(array() AS array<{DEFINITION}>) END"""
+    return F.expr(
+        f"transform(array_sort(transform({found}, d -> named_struct('a', d.start_line, 'b', d.end_line, 'd', d))), k -> k.d)"
     )
-
-    def top(acc: Column) -> Column:
-        return F.try_element_at(acc["open"], F.lit(-1))
-
-    def in_type(acc: Column) -> Column:
-        return F.coalesce(top(acc)["kind"].isin(*_TYPES), F.lit(False))
-
-    def owner(acc: Column) -> Column:
-        types = F.filter(acc["open"], lambda o: o["kind"].isin(*_TYPES))
-        return F.coalesce(F.try_element_at(types, F.lit(-1))["name"], F.lit(""))
-
-    def first_line(line: Column, text: Column) -> Column:
-        return line - _count(F.regexp_replace(text, r"^\s+", ""), "\n")
-
-    def make(name, kind, start_line, end_line, sig, container) -> Column:
-        return F.struct(
-            name.alias("name"), kind.alias("kind"), start_line.alias("start_line"), end_line.alias("end_line"),
-            sig.alias("signature_end_line"), container.alias("container"),
-        )
-
-    def opening(acc: Column, buffer: Column) -> Column:
-        balanced = _count(buffer, "(") <= _count(buffer, ")")
-
-        def push(match: Column) -> Column:
-            block = F.struct(
-                match["name"].alias("name"),
-                match["kind"].alias("kind"),
-                first_line(acc["line"], match["text"]).alias("start"),
-                acc["line"].alias("sig"),
-                owner(acc).alias("container"),
-                F.when(balanced, F.lit("")).otherwise(F.concat(buffer, F.lit("{"))).alias("saved"),
-            )
-            return F.struct(
-                acc["line"].alias("line"), F.lit("").alias("buffer"), F.concat(acc["open"], F.array(block)).alias("open"),
-                acc["done"].alias("done"),
-            )
-
-        return let(F.when(balanced, _match(buffer, _HEADERS[fam], in_type(acc))), push)
-
-    def finished(acc: Column, buffer: Column) -> Column:
-        """Definitions after a statement without a block."""
-
-        def add(match: Column) -> Column:
-            one = make(
-                match["name"], match["kind"], first_line(acc["line"], match["text"]), acc["line"],
-                F.when(match["kind"] == "function", first_line(acc["line"], match["text"])).otherwise(acc["line"]), owner(acc),
-            )
-            return F.when(match.isNotNull(), F.concat(acc["done"], F.array(one))).otherwise(acc["done"])
-
-        worth = F.lit("=>") if fam == "js" else F.lit("(")
-        maybe = F.contains(buffer, worth) | F.contains(buffer, F.lit("type ")) if fam == "js" else F.contains(buffer, worth)
-        return F.when(maybe, let(_match(buffer, _STATEMENTS[fam], in_type(acc)), add)).otherwise(acc["done"])
-
-    def closing(acc: Column, buffer: Column) -> Column:
-        block = top(acc)
-        rest = F.slice(acc["open"], F.lit(1), F.greatest(F.size(acc["open"]) - 1, F.lit(0)))
-        sig = F.when(block["kind"] == "type", acc["line"]).otherwise(block["sig"])
-        one = make(block["name"], block["kind"], block["start"], acc["line"], sig, block["container"])
-        done = finished(acc, buffer)
-        saved = F.coalesce(block["saved"], F.lit(""))
-        return F.struct(
-            acc["line"].alias("line"),
-            F.when(saved == "", F.lit("")).otherwise(F.concat(saved, F.lit("}"))).alias("buffer"),
-            rest.alias("open"),
-            F.when(block["name"].isNotNull(), F.concat(done, F.array(one))).otherwise(done).alias("done"),
-        )
-
-    def step(acc: Column, piece: Column) -> Column:
-        end = F.right(piece, F.lit(1))
-        return F.when(
-            end == "\n",
-            F.struct(
-                (acc["line"] + 1).alias("line"), F.concat(acc["buffer"], piece).alias("buffer"), acc["open"].alias("open"),
-                acc["done"].alias("done"),
-            ),
-        ).otherwise(
-            let(
-                F.concat(acc["buffer"], F.regexp_replace(piece, r"[{};]\z", "")),
-                lambda buffer: F.when(end == "{", opening(acc, buffer))
-                .when(end == "}", closing(acc, buffer))
-                .otherwise(
-                    F.struct(
-                        acc["line"].alias("line"), F.lit("").alias("buffer"), acc["open"].alias("open"),
-                        finished(acc, buffer).alias("done"),
-                    )
-                ),
-            )
-        )
-
-    def trimmed_break(acc: Column, piece: Column) -> Column:
-        """A line break ends a JS statement that is complete on its own (no semicolon)."""
-        if fam != "js":
-            return step(acc, piece)
-        complete = (piece.endswith("\n")) & F.concat(acc["buffer"], piece).rlike(
-            rf"{_ARROW}{_PARAMS}\s*[^\s{{}};][^{{}};]*[\w\)\]\"'`]\s*\z|\btype\s+{_WORD}[^;{{}}=]*=\s*[^;{{}}=]*[\w\)\]\"'`]\s*\z"
-        )
-        ended = F.struct(
-            (acc["line"] + 1).alias("line"), F.lit("").alias("buffer"), acc["open"].alias("open"),
-            finished(acc, F.regexp_replace(F.concat(acc["buffer"], piece), r"\s+\z", "")).alias("done"),
-        )
-        return F.when(complete, ended).otherwise(step(acc, piece))
-
-    return F.aggregate(statements, start, trimmed_break, lambda acc: acc["done"])
-
-
-def definitions(blanked: ColumnLike, family: ColumnLike) -> Column:
-    """array<definition> of a blanked source text, ordered by start and end line."""
-    blanked = as_column(blanked)
-
-    def build(fam: str) -> Column:
-        return _python_definitions(blanked) if fam == "python" else _brace_definitions(blanked, fam)
-
-    found = by_family(family, build, F.array().cast(f"array<{DEFINITION}>"))
-    keyed = F.transform(found, lambda d: F.struct(d["start_line"], d["end_line"], d.alias("d")))
-    return F.transform(F.array_sort(keyed), lambda k: k["d"])
 
 
 # ----------------------------------------------------------------------------- imports ---
@@ -436,6 +336,7 @@ def _java_imports(text: Column) -> Column:
     return F.transform(_located(text, _ANY_JAVA), one)
 
 
+@built_once
 def imports(commentless: ColumnLike, blanked: ColumnLike, family: ColumnLike) -> Column:
     """array<import>. Python and Java read the blanked text; JS specs are strings, so comments alone are blanked."""
     commentless, blanked = as_column(commentless), as_column(blanked)
@@ -458,6 +359,7 @@ def word_pattern(names: ColumnLike) -> Column:
     return F.concat(F.lit(r"(?<![\w$])(?:"), F.array_join(escaped, "|"), F.lit(r")(?![\w$])"))
 
 
+@built_once
 def mentioned_names(content: ColumnLike, names: ColumnLike) -> Column:
     """The wanted names that occur as whole words: a substring test first, one pattern run on the survivors."""
     content, names = as_column(content), as_column(names)
@@ -469,6 +371,7 @@ def mentioned_names(content: ColumnLike, names: ColumnLike) -> Column:
     return let(near, exact)
 
 
+@built_once
 def references(blanked: ColumnLike, names: ColumnLike, defs: ColumnLike, imps: ColumnLike, family: ColumnLike) -> Column:
     """array<reference>: uses of wanted names. Definition, parameter and keyword names are not uses."""
     blanked, names, defs, imps, family = (as_column(c) for c in (blanked, names, defs, imps, family))

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from changelens import rules
-from changelens.functions.text import ColumnLike, as_column, let, normalize_breaks, split_lines
+from changelens.functions.text import as_column, built_once, ColumnLike, let, normalize_breaks, split_lines
 
 _HEADER_AHEAD = r"\n(?=" + rules.HUNK_HEADER[1:] + ")"
 
@@ -53,6 +53,7 @@ def _hunk_rows(hunk: Column, hunk_id: Column) -> Column:
     return let(placed, numbered)
 
 
+@built_once
 def patch_rows(patch: ColumnLike) -> Column:
     """array<struct<hunk_id, at, op, new_line, gap_hi, text>> in patch order.
 
@@ -102,6 +103,7 @@ def render_row(row: Column) -> Column:
     )
 
 
+@built_once
 def annotate_patch(patch: ColumnLike) -> Column:
     """Patch text with every added and context row prefixed by its new-file number."""
     hunks = F.filter(split_hunks(patch), lambda h: h.rlike(rules.HUNK_HEADER))
@@ -114,6 +116,7 @@ def annotate_patch(patch: ColumnLike) -> Column:
     return F.array_join(F.flatten(per_hunk), "\n")
 
 
+@built_once
 def trim_patch(patch: ColumnLike, max_chars: int = 24_000) -> Column:
     """struct<text, omitted>: whole hunks taken alternately from both ends until the first that does not fit."""
     patch = as_column(patch)
@@ -162,6 +165,7 @@ def added_texts(patch: ColumnLike) -> Column:
     return F.transform(rows, lambda r: F.substring(r, 2, 2147483647))
 
 
+@built_once
 def defined_names(texts: ColumnLike, family: ColumnLike) -> Column:
     """Distinct definition names found by pattern in single rows, for the language family of the row's file."""
 

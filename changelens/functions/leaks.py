@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from changelens import rules
-from changelens.functions.text import ColumnLike, as_column
+from changelens.functions.text import as_column, built_once, ColumnLike
 
 Rules = tuple[tuple[str, str], ...]
 
@@ -15,6 +15,7 @@ def placeholder(kind: str) -> str:
     return f"[REDACTED:{kind}]"
 
 
+@built_once
 def redact(text: ColumnLike, secret_rules: Rules = rules.SECRET_RULES) -> Column:
     """Text with every hit replaced by a placeholder that names the kind."""
     text = as_column(text)
@@ -29,6 +30,7 @@ def redaction_count(redacted: ColumnLike, original: ColumnLike) -> Column:
     return F.regexp_count(as_column(redacted), mark) - F.regexp_count(as_column(original), mark)
 
 
+@built_once
 def secret_kinds(text: ColumnLike, secret_rules: Rules = rules.SECRET_RULES) -> Column:
     """Kinds that occur in one line, in rule order; a place counts for the first rule that matches it."""
     redacted = redact(text, secret_rules)

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from changelens import rules
-from changelens.functions.text import ColumnLike, as_column, let
+from changelens.functions.text import as_column, built_once, ColumnLike, let
 
 
 def posix(path: ColumnLike) -> Column:
@@ -34,17 +34,20 @@ def _any_of(values: tuple[str, ...]) -> Column:
     return F.array(*[F.lit(value) for value in values])
 
 
+@built_once
 def language_of(path: ColumnLike) -> Column:
     """Language by suffix; null for anything that is not source code."""
     table = F.create_map(*[F.lit(item) for pair in rules.LANGUAGE_BY_SUFFIX.items() for item in pair])
     return F.try_element_at(table, suffix(path))
 
 
+@built_once
 def family(language: ColumnLike) -> Column:
     language = as_column(language)
     return F.when(language.isin(*rules.JS_LANGUAGES), "js").otherwise(language)
 
 
+@built_once
 def should_review(path: ColumnLike) -> Column:
     """False for generated, vendored, binary and lock files."""
     name = F.lower(basename(path))
@@ -56,6 +59,7 @@ def should_review(path: ColumnLike) -> Column:
     )
 
 
+@built_once
 def is_sensitive_path(path: ColumnLike) -> Column:
     """Files that hold credentials, except samples and templates of them."""
     name = F.lower(basename(path))
@@ -64,6 +68,7 @@ def is_sensitive_path(path: ColumnLike) -> Column:
     return (name.isin(*rules.SENSITIVE_NAMES) | name.startswith(".env.") | ending) & ~sample
 
 
+@built_once
 def is_test_path(path: ColumnLike) -> Column:
     return posix(path).rlike(rules.TEST_PATH)
 
@@ -94,6 +99,7 @@ def path_tokens(path: ColumnLike) -> Column:
     return F.array_distinct(F.transform(words, F.lower))
 
 
+@built_once
 def risk_hits(path: ColumnLike) -> Column:
     """Number of risk terms that a path word equals, or starts with when the term has four letters or more."""
 
@@ -107,6 +113,7 @@ def risk_hits(path: ColumnLike) -> Column:
     return let(path_tokens(posix(path)), count)
 
 
+@built_once
 def risk_score(path: ColumnLike, additions: ColumnLike, deletions: ColumnLike) -> Column:
     """Higher means review first. Rounded so that sorting does not hang on the last bits of a double."""
     whole = F.lower(posix(path))
@@ -143,6 +150,7 @@ def without_suffix(path: ColumnLike) -> Column:
     return F.regexp_replace(as_column(path), r"(?<=[^/.])\.[^./]+$", "")
 
 
+@built_once
 def python_modules(path: ColumnLike) -> Column:
     """Dotted names a Python file can be imported by, for every possible source root."""
     parts = F.split(without_suffix(normalize_module_path(path)), "/")
@@ -152,6 +160,7 @@ def python_modules(path: ColumnLike) -> Column:
     )
 
 
+@built_once
 def js_stem(path: ColumnLike) -> Column:
     endings = "|".join(rules.JS_SUFFIXES).replace(".", r"\.")
     return F.regexp_replace(F.regexp_replace(normalize_module_path(path), f"({endings})$", ""), "/index$", "")

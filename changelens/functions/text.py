@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,23 @@ def as_column(value: ColumnLike) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def built_once(function: Callable[..., Column]) -> Callable[..., Column]:
+    """Keep the column a function builds from column names: a column is immutable, a long one takes a second to build."""
+    built: dict[tuple, Column] = {}
+
+    @functools.wraps(function)
+    def wrapper(*args, **kwargs) -> Column:
+        names = (*args, *kwargs.items())
+        if any(isinstance(value, Column) for value in (*args, *kwargs.values())):
+            return function(*args, **kwargs)
+        key = (id(SparkContext._gateway), *names)
+        if key not in built:
+            built[key] = function(*args, **kwargs)
+        return built[key]
+
+    return wrapper
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once per row and use it in ``body`` as often as needed."""
     return F.transform(F.array(value), body)[0]
