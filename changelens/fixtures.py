@@ -66,7 +66,7 @@ VIEWS["v_changed_files"] = f"""v_changed_files AS (
 
 # rows of every patch, numbered by the formula that made them: the independent side of the diff oracles
 VIEWS["f_patch_rows"] = """f_patch_rows AS (
-  SELECT repo, sha, doc_id, filename, status, CAST(i // 8 + 1 AS INTEGER) AS hunk_id, CAST(i % 8 AS INTEGER) AS at,
+  SELECT repo, sha, doc_id, filename, status, CAST(i // 8 + 1 AS INTEGER) AS hunk_id, CAST(i % 8 AS INTEGER) AS pos,
     CASE i % 4 WHEN 0 THEN ' ' WHEN 2 THEN '-' ELSE '+' END AS op,
     CAST(CASE WHEN i % 4 <> 2 THEN i + 1 + 100 * (i // 8) - CASE WHEN i % 8 > 6 THEN 2 WHEN i % 8 > 2 THEN 1 ELSE 0 END END AS INTEGER) AS new_line,
     CAST(CASE WHEN i % 4 = 2 THEN i + 1 + 100 * (i // 8) - CASE WHEN i % 8 > 2 THEN 1 ELSE 0 END END AS INTEGER) AS gap_hi,
@@ -359,12 +359,36 @@ VIEWS["f_symbols"] = """f_symbols AS (
   UNION ALL SELECT repo, path, 'old_' || j, 'function', 0, 0, 'removed', '' FROM f_modules WHERE j % 9 = 2)"""
 
 
+# ----------------------------------------------------------------------------- TypeScript and Java files ---
+def _ts_path(j: str) -> str:
+    return f"concat('web/ts', {j}, '/mod', {j}, '.ts')"
+
+
+def _java_path(j: str) -> str:
+    return f"concat('src/com/p', {j} % 7, '/C', {j}, '.java')"
+
+
+def polyglot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One TypeScript and one Java file per module: (repo, sha, path, content)."""
+    ts = """concat('import { fmt_', t, ' } from \\'../ts', t, '/mod', t, '\\';\nimport def from "@/ts', u, '/mod', u, '";\n',
+      'const old = require(\\'./local', j, '\\');\n', 'export function fmt_', j, '(amount: number, locale: string): string {\n  return fmt_', t, '(amount);\n}\n',
+      'class Shop_', j, ' {\n  total_', j, '(a: number) {\n    return fmt_', t, '(a);\n  }\n}\n', 'export const pick_', j, ' = (a: number) => fmt_', t, '(a);\n')"""
+    java = """concat('package com.p', j % 7, ';\nimport com.p', t % 7, '.C', t, ';\nimport static com.p', u % 7, '.C', u, '.calc_', u, ';\nimport java.util.*;\n',
+      'public class C', j, ' {\n    public C', j, '(int a) {}\n    public int calc_', j, '(int a,\n                    int b) {\n        return C', t, '.calc_', t, '(a, b);\n    }\n}\n')"""
+    m = modules(spark, sf_dir)
+    part = lambda path, content: m.selectExpr("concat('r', n) AS repo", "'c0' AS sha", f"{path} AS path", f"{content} AS content")
+    return part(_ts_path("j"), ts).unionByName(part(_java_path("j"), java))
+
+
+VIEWS["f_polyglot"] = f"""f_polyglot AS (SELECT repo, j, t, u, {_ts_path('j')} AS ts, {_java_path('j')} AS java FROM f_modules)"""
+
+
 def with_views(sql: str, *names: str, recursive: bool = False) -> str:
     """Oracle text: the named views (with what they need) in front of ``sql``, which may bring its own ``WITH`` list."""
     needs = {
         "f_patch_rows": ("v_changed_files",), "v_findings": ("v_raw_findings",), "v_decisions": ("v_raw_findings",),
         "f_targets": ("v_events", "f_commits"), "f_definitions": ("f_modules",), "f_references": ("f_modules",),
-        "f_links": ("f_modules",), "f_symbols": ("f_modules",),
+        "f_links": ("f_modules",), "f_symbols": ("f_modules",), "f_polyglot": ("f_modules",),
     }
     ordered: list[str] = []
     for name in names:

@@ -25,14 +25,14 @@ def _hunk_rows(hunk: Column, hunk_id: Column) -> Column:
     """
     start = F.regexp_extract(hunk, rules.HUNK_HEADER, 1).cast("int")
     rows = F.filter(F.slice(F.split(hunk, "\n", -1), F.lit(2), F.size(F.split(hunk, "\n", -1))), lambda r: ~r.startswith("\\"))
-    placed = F.transform(rows, lambda row, i: F.struct(i.alias("at"), row.alias("row")))
+    placed = F.transform(rows, lambda row, i: F.struct(i.alias("pos"), row.alias("row")))
 
     def record(row: Column, number: Column, gap: Column) -> Column:
         text = row["row"]
         op = F.when(F.left(text, F.lit(1)).isin("+", "-"), F.left(text, F.lit(1))).otherwise(" ")
         return F.struct(
             hunk_id.alias("hunk_id"),
-            row["at"].alias("at"),
+            row["pos"].alias("pos"),
             op.alias("op"),
             number.alias("new_line"),
             gap.alias("gap_hi"),
@@ -46,7 +46,7 @@ def _hunk_rows(hunk: Column, hunk_id: Column) -> Column:
         return F.array_sort(
             F.concat(
                 F.transform(kept, lambda r, i: record(r, start + i, null)),
-                F.transform(removed, lambda r, k: record(r, null, start + r["at"] - k)),
+                F.transform(removed, lambda r, k: record(r, null, start + r["pos"] - k)),
             )
         )
 
@@ -55,7 +55,7 @@ def _hunk_rows(hunk: Column, hunk_id: Column) -> Column:
 
 @built_once
 def patch_rows(patch: ColumnLike) -> Column:
-    """array<struct<hunk_id, at, op, new_line, gap_hi, text>> in patch order.
+    """array<struct<hunk_id, pos, op, new_line, gap_hi, text>> in patch order.
 
     ``new_line`` is set on added and context rows; ``gap_hi`` is the new-file line that follows a removed row.
     """
@@ -186,12 +186,23 @@ def defined_names(texts: ColumnLike, family: ColumnLike) -> Column:
     return result
 
 
-def excerpt(rows: ColumnLike, line: ColumnLike, context: int = 15, fallback: int = 60) -> Column:
-    """Annotated rows around a line, as one contiguous slice; the first rows when nothing is near."""
-    rows, line = as_column(rows), as_column(line)
-    numbered = F.transform(
-        rows, lambda r, i: F.struct(i.alias("i"), (F.abs(r["new_line"] - line) <= context).alias("near"))
-    )
-    near = F.filter(numbered, lambda r: r["near"])
-    first, last = F.array_min(near)["i"], F.array_max(near)["i"]
-    return F.when(F.size(near) > 0, F.slice(rows, first + 1, last - first + 1)).otherwise(F.slice(rows, 1, fallback))
+def excerpt(annotated: ColumnLike, line: ColumnLike, context: int = 15, fallback: int = 60) -> Column:
+    """Rows of an annotated patch around a line, as one contiguous slice; the first rows when nothing is near."""
+    line = as_column(line)
+
+    def cut(rows: Column) -> Column:
+        number = lambda row: F.regexp_extract(row, r"^\s*(\d+)[ +]", 1)
+        placed = F.transform(
+            rows,
+            lambda row, i: F.struct(
+                i.alias("i"), F.when(number(row) != "", F.abs(number(row).try_cast("int") - line) <= context).alias("near")
+            ),
+        )
+
+        def window(near: Column) -> Column:
+            first, last = F.array_min(near)["i"], F.array_max(near)["i"]
+            return F.when(F.size(near) > 0, F.slice(rows, first + 1, last - first + 1)).otherwise(F.slice(rows, 1, fallback))
+
+        return let(F.filter(placed, lambda p: p["near"]), window)
+
+    return F.array_join(let(split_lines(annotated), cut), "\n")

@@ -11,7 +11,7 @@ FILE = ("repo", "sha", "filename")
 
 
 def explode_patch(files: DataFrame) -> DataFrame:
-    """One row per patch row: hunk_id, at, op, new_line, gap_hi, text."""
+    """One row per patch row: hunk_id, pos, op, new_line, gap_hi, text."""
     return files.select(*FILE, F.inline(diffs.patch_rows("patch")))
 
 

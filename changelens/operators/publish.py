@@ -25,7 +25,7 @@ def upsert_comments(new: DataFrame, existing: DataFrame, me: str, keys: list[str
     """Update the first own marked comment in listing order, else create one; the body is cut to the limit."""
     own = existing.filter(own_marked(me)).groupBy(*keys).agg(F.min_by("id", F.struct("seq", "id")).alias("comment_id"))
     return new.join(own, keys, "left").select(
-        *keys, "comment_id", F.when(F.col("comment_id").isNull(), "created").otherwise("updated").alias("action"),
+        *[c for c in new.columns if c != "body"], "comment_id", F.when(F.col("comment_id").isNull(), "created").otherwise("updated").alias("action"),
         F.substring("body", 1, max_chars).alias("body"),
     )
 
