@@ -154,12 +154,14 @@ def trim_patch(patch: ColumnLike, max_chars: int = 24_000) -> Column:
     return F.when(F.length(patch) <= max_chars, whole).otherwise(let(split_hunks(patch), choose))
 
 
+@built_once
 def removed_texts(patch: ColumnLike) -> Column:
     """Texts of ``-`` rows; rows that look like file headers are ignored."""
     rows = F.filter(split_lines(patch), lambda r: r.startswith("-") & ~r.startswith("---"))
     return F.transform(rows, lambda r: F.substring(r, 2, 2147483647))
 
 
+@built_once
 def added_texts(patch: ColumnLike) -> Column:
     rows = F.filter(split_lines(patch), lambda r: r.startswith("+") & ~r.startswith("+++"))
     return F.transform(rows, lambda r: F.substring(r, 2, 2147483647))

@@ -43,11 +43,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+@built_once
 def normalize_breaks(text: ColumnLike) -> Column:
     """Every line break becomes a newline; one final break is dropped."""
     return F.regexp_replace(F.regexp_replace(as_column(text), _LINE_BREAKS, "\n"), "\n\\z", "")
 
 
+@built_once
 def split_lines(text: ColumnLike) -> Column:
     text = as_column(text)
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(normalize_breaks(text), "\n", -1))
@@ -66,6 +68,7 @@ def headline(message: ColumnLike, limit: int = 120) -> Column:
     return F.substring(F.regexp_extract(normalize_breaks(strip(message)), "^([^\n]*)", 1), 1, limit)
 
 
+@built_once
 def chunk_text(text: ColumnLike, max_chars: int = 12_000) -> Column:
     """Pack lines into chunks that stay below ``max_chars``; a longer line is cut.
 
@@ -104,6 +107,7 @@ def chunk_text(text: ColumnLike, max_chars: int = 12_000) -> Column:
     )
 
 
+@built_once
 def sanitize(text: ColumnLike) -> Column:
     """Neutralise mentions, images and risky tags."""
     text = F.regexp_replace(as_column(text), "@(?=[A-Za-z0-9_-])", "@\u200b")
@@ -111,12 +115,14 @@ def sanitize(text: ColumnLike) -> Column:
     return F.regexp_replace(text, rf"(?i)<(?=/?(?:{rules.RISKY_TAGS})\b|!--)", "&lt;")
 
 
+@built_once
 def clean_memory_text(text: ColumnLike, limit: int = 400) -> Column:
     text = F.regexp_replace(as_column(text), "[\\x00-\\x08\\x0b-\\x1f\\x7f]", " ")
     text = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
     return F.substring(F.translate(text, "<>", "‹›"), 1, limit)
 
 
+@built_once
 def fingerprint(path: ColumnLike, category: ColumnLike, title: ColumnLike) -> Column:
     """Line-independent id of a finding."""
     words = F.regexp_replace(F.lower(as_column(title)), r"(?U)[\W_]+", "")
@@ -134,6 +140,7 @@ def cache_key(*parts: ColumnLike) -> Column:
     return F.sha2(F.concat(*ended), 256)
 
 
+@built_once
 def parse_report_findings(body: ColumnLike, limit: int = 5) -> Column:
     """Finding lines of an earlier report, at most ``limit``, as an array of structs."""
     found = F.filter(split_lines(body), lambda line: line.rlike(rules.FINDING_LINE))
@@ -154,6 +161,7 @@ def message_text(parts: ColumnLike) -> Column:
     return F.array_join(as_column(parts), "")
 
 
+@built_once
 def json_object_text(text: ColumnLike) -> Column:
     """From the first ``{`` to the last ``}``; null when that is not a JSON object."""
     found = F.regexp_extract(as_column(text), r"(?s)\{.*\}", 0)

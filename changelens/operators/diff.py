@@ -6,26 +6,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from changelens.functions import diffs, text
+from changelens.operators.grouping import unnest
 
 FILE = ("repo", "sha", "filename")
 
 
 def explode_patch(files: DataFrame) -> DataFrame:
     """One row per patch row: hunk_id, pos, op, new_line, gap_hi, text."""
-    return files.select(*FILE, F.inline(diffs.patch_rows("patch")))
+    return unnest(files, FILE, diffs.patch_rows("patch"))
 
 
 def changed_lines(files: DataFrame) -> DataFrame:
-    return files.select(*FILE, F.explode(F.array_distinct(diffs.added_lines(diffs.patch_rows("patch")))).alias("new_line"))
+    return unnest(files, FILE, F.array_distinct(diffs.added_lines(diffs.patch_rows("patch")))).withColumnRenamed("item", "new_line")
 
 
 def deletion_gaps(files: DataFrame) -> DataFrame:
-    return files.select(*FILE, F.inline(diffs.deletion_gaps(diffs.patch_rows("patch"))))
+    return unnest(files, FILE, diffs.deletion_gaps(diffs.patch_rows("patch")))
 
 
 def touched_lines(files: DataFrame) -> DataFrame:
     lines = text.let(diffs.patch_rows("patch"), lambda r: diffs.touched_lines(diffs.added_lines(r), diffs.deletion_gaps(r)))
-    return files.select(*FILE, F.explode(lines).alias("line"))
+    return unnest(files, FILE, lines).withColumnRenamed("item", "line")
 
 
 def trim_patches(files: DataFrame, max_chars: int) -> DataFrame:
@@ -35,7 +36,7 @@ def trim_patches(files: DataFrame, max_chars: int) -> DataFrame:
 
 
 def chunks(df: DataFrame, column: str, max_chars: int, *keys: str) -> DataFrame:
-    return df.select(*keys, F.posexplode(text.chunk_text(column, max_chars)).alias("chunk", "text"))
+    return unnest(df, keys, text.chunk_text(column, max_chars), "chunk").withColumnRenamed("item", "text")
 
 
 def line_diff(base: DataFrame, head: DataFrame) -> tuple[DataFrame, DataFrame]:

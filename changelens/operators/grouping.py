@@ -13,6 +13,18 @@ _PRUNED_BEFORE_SHUFFLE = 1000
 REVIEW = ("repo", "sha")
 
 
+def unnest(df: DataFrame, keys: Sequence[str | Column], array: str | Column, position: str | None = None) -> DataFrame:
+    """One row per element of a computed array; a struct element becomes columns, another one the column ``item``.
+
+    A plain explode makes Spark test the array for emptiness below it, which would compute an expensive array twice.
+    """
+    rows = df.select(*keys, F.posexplode_outer(array).alias("_pos", "item")).filter(F.col("_pos").isNotNull())
+    names = [k for k in rows.columns if k not in ("_pos", "item")]
+    pos = [F.col("_pos").alias(position)] if position else []
+    item = "item.*" if rows.schema["item"].dataType.typeName() == "struct" else "item"
+    return rows.select(*names, *pos, item)
+
+
 def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from changelens import rules
 from changelens.functions import code, diffs, paths
-from changelens.functions.text import as_column, let, split_lines
+from changelens.functions.text import as_column, built_once, let, split_lines
 from changelens.operators.grouping import REVIEW, first_per_group
 
 FILE = (*REVIEW, "filename")
@@ -53,8 +53,10 @@ def header_touched(definition: Column, added: Column, gaps: Column) -> Column:
     return F.exists(added, _between(low, high)) | F.exists(gaps, lambda g: (low <= g["gap_lo"]) & (g["gap_hi"] <= high))
 
 
-def changed_definitions(definitions: str, added: Column, gaps: Column, removed_names: Column, status: str, language: str) -> Column:
+@built_once
+def changed_definitions(definitions: str, added: str, gaps: str, removed_names: str, status: str, language: str) -> Column:
     """array<symbol> of the definitions a patch touches, decided inside the row of the file."""
+    added, gaps, removed_names = F.col(added), F.col(gaps), F.col(removed_names)
     touched = diffs.touched_lines(added, gaps)
 
     def brand_new(d: Column) -> Column:
@@ -102,7 +104,7 @@ def file_symbols(changed_files: DataFrame, source_files: DataFrame) -> DataFrame
         .withColumn("added_names", diffs.defined_names("added_texts", "family"))
     )
     symbols = changed_definitions(
-        "definitions", F.col("added_lines"), F.col("gaps"), F.col("removed_names"), "status", "language"
+        "definitions", "added_lines", "gaps", "removed_names", "status", "language"
     )
     present = F.transform("definitions", lambda d: d["name"])
     return facts.select(
@@ -144,6 +146,25 @@ def searched_names(symbols: DataFrame, k: int = 40) -> DataFrame:
     return first_per_group(names, REVIEW, [F.col("name")], k)
 
 
+@built_once
+def located_hits(references: str, definitions: str, lines: str) -> Column:
+    """Uses with the definition around them and the code rows shown as evidence."""
+
+    def located(r: Column, i: Column) -> Column:
+        return let(
+            code.enclosing(definitions, r["line"]),
+            lambda d: F.struct(
+                r["name"].alias("name"), r["line"].alias("line"), r["kind"].alias("kind"), i.alias("order"),
+                d["name"].alias("enclosing"), d["start_line"].alias("enclosing_start"), d["end_line"].alias("enclosing_end"),
+                code.snippet(
+                    lines, r["line"], F.coalesce(d["start_line"], r["line"]), F.coalesce(d["end_line"], r["line"])
+                ).alias("snippet"),
+            ),
+        )
+
+    return F.transform(references, located)
+
+
 def scan(source_files: DataFrame, names: DataFrame, max_scan: int = 20_000, max_parse: int = 400) -> DataFrame:
     """Files that mention a searched name, with what the scan learned about them; ``incomplete`` marks a cut scan.
 
@@ -162,8 +183,9 @@ def scan(source_files: DataFrame, names: DataFrame, max_scan: int = 20_000, max_
         .join(extent, list(REVIEW)).join(cut, list(REVIEW), "left")
         .select(*REVIEW, "names", F.coalesce("cut_path", "last_path").alias("last_path"))
     )
+    # a left join, so that only the small side can be broadcast (when its size allows) and texts keep their partitions
     mentioning = (
-        sources.join(wanted, list(REVIEW))
+        sources.join(wanted, list(REVIEW), "left")
         .filter(F.col("path") <= F.col("last_path"))
         .withColumn("names", code.mentioned_names("content", "names"))
         .filter(F.size("names") > 0)
@@ -171,21 +193,8 @@ def scan(source_files: DataFrame, names: DataFrame, max_scan: int = 20_000, max_
     facts = with_source_facts(mentioning).withColumn(
         "references", code.references("blanked", "names", "definitions", "imports", "family")
     ).withColumn("lines", split_lines("content"))
-
-    def located(r: Column, i: Column) -> Column:
-        return let(
-            code.enclosing("definitions", r["line"]),
-            lambda d: F.struct(
-                r["name"].alias("name"), r["line"].alias("line"), r["kind"].alias("kind"), i.alias("order"),
-                d["name"].alias("enclosing"), d["start_line"].alias("enclosing_start"), d["end_line"].alias("enclosing_end"),
-                code.snippet(
-                    "lines", r["line"], F.coalesce(d["start_line"], r["line"]), F.coalesce(d["end_line"], r["line"])
-                ).alias("snippet"),
-            ),
-        )
-
     # "hits" needs all definitions of the file, so it is built before they are cut to the wanted names
-    slim = facts.withColumn("hits", F.transform("references", located)).select(
+    slim = facts.withColumn("hits", located_hits("references", "definitions", "lines")).select(
         *REVIEW, "path", "language", "last_path", "hits",
         F.filter("definitions", lambda d: F.array_contains("names", d["name"])).alias("definitions"),
         F.when(F.size("references") > 0, F.col("imports")).otherwise(F.array().cast(f"array<{code.IMPORT}>")).alias("imports"),

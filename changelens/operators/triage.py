@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changelens.functions import diffs, leaks, paths
-from changelens.operators.grouping import REVIEW, first_per_group
+from changelens.operators.grouping import REVIEW, first_per_group, unnest
 
 FILE = (*REVIEW, "filename")
 
@@ -81,7 +81,7 @@ def secret_hits(files: DataFrame, per_file: int | None = 5) -> DataFrame:
     )
     distinct = F.array_distinct(found)
     kept = distinct if per_file is None else F.slice(distinct, 1, per_file)
-    return files.select(*FILE, F.posexplode(kept).alias("seq", "hit")).select(*FILE, "seq", "hit.line", "hit.kind")
+    return unnest(files, FILE, kept, "seq")
 
 
 def secret_findings(hits: DataFrame) -> DataFrame:

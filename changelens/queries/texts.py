@@ -9,6 +9,7 @@ from changelens.functions import code, diffs, leaks, paths
 from changelens.functions import text as tx
 from changelens.operators import diff, findings, impact, memory, publish, symbols
 from changelens.operators import triage as tr
+from changelens.operators.grouping import unnest
 from changelens.queries.filters import _BASE, _paths
 from changelens.queries.registry import query
 from changelens.queries.sources import ANNOTATED
@@ -37,7 +38,7 @@ def deletion_gaps(spark, d):
 
 
 @query("C3_trim_patch", with_views("""WITH h AS (SELECT doc_id, repo, sha, filename, hunk_id,
-    '@@ -' || (hunk_id * 8 - 7) || ',8 +' || (hunk_id * 8 - 7 + 100 * (hunk_id - 1)) || ',8 @@' || chr(10) || string_agg(op || text, chr(10) ORDER BY pos) AS t FROM f_patch_rows GROUP BY ALL),
+    '@@ -' || (hunk_id * 8 - 7) || ',8 +' || (hunk_id * 8 - 7 + 100 * (hunk_id - 1)) || ',8 @@' || chr(10) || string_agg(op || text, chr(10) ORDER BY pos) AS t FROM f_patch_rows GROUP BY doc_id, repo, sha, filename, hunk_id),
 n AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n, sum(length(t) + 1) OVER (PARTITION BY doc_id) - 1 AS total FROM h),
 s AS (SELECT *, CASE WHEN hunk_id <= (n + 1) // 2 THEN 2 * (hunk_id - 1) ELSE 2 * (n - hunk_id) + 1 END AS step FROM n),
 r AS (SELECT *, sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY step ROWS UNBOUNDED PRECEDING) <= 1500 AS fits FROM s)
@@ -104,7 +105,7 @@ def changed_trees(spark, d):
 @query("C7_scan_secrets", with_views("SELECT repo, sha, filename, doc_id, line, kind FROM f_secrets WHERE kind IS NOT NULL", "f_secrets"))
 def scan_secrets(spark, d):
     lines = fx.secret_lines(spark, d)
-    return lines.select("repo", "sha", "filename", "doc_id", "line", F.explode(leaks.secret_kinds("text")).alias("kind"))
+    return unnest(lines, ["repo", "sha", "filename", "doc_id", "line"], leaks.secret_kinds("text")).withColumnRenamed("item", "kind")
 
 
 @query("C8_redact", with_views("""SELECT doc_id, line, CASE WHEN kind IS NULL THEN 0 ELSE 1 END AS n, CASE kind WHEN 'aws_access_key' THEN plain || ' [REDACTED:aws_access_key] '
@@ -167,7 +168,7 @@ def _facts(spark, d):
 
 @query("C12_definitions", with_views("SELECT repo, path, name, kind, start_line, end_line, signature_end_line, container FROM f_definitions", "f_definitions"))
 def definitions(spark, d):
-    return _facts(spark, d).select("repo", "path", F.inline("definitions"))
+    return unnest(_facts(spark, d), ["repo", "path"], "definitions")
 
 
 @query("C12_definitions_ts_java", with_views("""SELECT repo, ts AS path, 'fmt_' || j AS name, 'function' AS kind, 4 AS start_line, 6 AS end_line, 4 AS signature_end_line, '' AS container FROM f_polyglot
@@ -176,7 +177,7 @@ UNION ALL SELECT repo, ts, 'pick_' || j, 'function', 12, 12, 12, '' FROM f_polyg
 UNION ALL SELECT repo, java, 'C' || j, 'class', 5, 11, 5, '' FROM f_polyglot UNION ALL SELECT repo, java, 'C' || j, 'method', 6, 6, 6, 'C' || j FROM f_polyglot
 UNION ALL SELECT repo, java, 'calc_' || j, 'method', 7, 10, 8, 'C' || j FROM f_polyglot""", "f_polyglot"))
 def definitions_ts_java(spark, d):
-    return symbols.with_source_facts(fx.polyglot_files(spark, d)).select("repo", "path", F.inline("definitions"))
+    return unnest(symbols.with_source_facts(fx.polyglot_files(spark, d)), ["repo", "path"], "definitions")
 
 
 def _wanted(spark, d, files, prefixes):
@@ -206,8 +207,8 @@ def references_ts_java(spark, d):
 UNION ALL SELECT repo, path, CASE WHEN shadows OR u = j THEN 'os' WHEN j % 10 = 4 AND j >= 10 THEN 'pkg3.mod23' ELSE {fx._module_name('u')} END,
   CASE WHEN shadows OR u = j THEN '' ELSE 'sym_' || u END, 0, 2 FROM f_modules""", "f_modules"))
 def imports(spark, d):
-    found = _facts(spark, d).select("repo", "path", F.explode("imports").alias("i"))
-    return found.select("repo", "path", "i.spec", F.array_join("i.names", ",").alias("names"), "i.level", "i.line")
+    found = unnest(_facts(spark, d), ["repo", "path"], "imports")
+    return found.select("repo", "path", "spec", F.array_join("names", ",").alias("names"), "level", "line")
 
 
 @query("C14_imports_ts_java", with_views("""SELECT repo, ts AS path, '../ts' || t || '/mod' || t AS spec, false AS wildcard, false AS static, 1 AS line FROM f_polyglot
@@ -215,8 +216,8 @@ UNION ALL SELECT repo, ts, '@/ts' || u || '/mod' || u, false, false, 2 FROM f_po
 UNION ALL SELECT repo, java, 'com.p' || (t % 7) || '.C' || t, false, false, 2 FROM f_polyglot UNION ALL SELECT repo, java, 'com.p' || (u % 7) || '.C' || u || '.calc_' || u, false, true, 3 FROM f_polyglot
 UNION ALL SELECT repo, java, 'java.util', true, false, 4 FROM f_polyglot""", "f_polyglot"))
 def imports_ts_java(spark, d):
-    found = symbols.with_source_facts(fx.polyglot_files(spark, d)).select("repo", "path", F.explode("imports").alias("i"))
-    return found.select("repo", "path", "i.spec", "i.wildcard", "i.static", "i.line")
+    found = unnest(symbols.with_source_facts(fx.polyglot_files(spark, d)), ["repo", "path"], "imports")
+    return found.select("repo", "path", "spec", "wildcard", "static", "line")
 
 
 @query("C15_mentions", with_views("""SELECT DISTINCT repo, path, name FROM (SELECT repo, path, name FROM f_references UNION ALL SELECT repo, path, name FROM f_definitions)
@@ -352,7 +353,7 @@ def headline(spark, d):
 
 
 @query("C35_recall_query", with_views("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY repo, sha ORDER BY filename) AS n FROM v_changed_files)
-SELECT repo, sha, 'Conventions and feedback for changes in: ' || string_agg(filename, ', ' ORDER BY filename) || '. Change ' || sha AS query FROM r WHERE n <= 8 GROUP BY ALL""", "v_changed_files"))
+SELECT repo, sha, 'Conventions and feedback for changes in: ' || string_agg(filename, ', ' ORDER BY filename) || '. Change ' || sha AS query FROM r WHERE n <= 8 GROUP BY repo, sha""", "v_changed_files"))
 def recall_query(spark, d):
     files = fx.changed_files(spark, d)
     messages = files.select("repo", "sha").distinct().withColumn("message", F.concat(F.lit("Change "), "sha", F.lit("\nmore")))
