@@ -284,8 +284,8 @@ VIEWS["f_secrets"] = f"""f_secrets AS (
 
 
 # ----------------------------------------------------------------------------- source repositories ---
-_MODULES = """SELECT n, j, (j * 7 + 1) % 100 AS t, CASE WHEN j % 10 = 4 AND j >= 10 THEN 3 ELSE j % 10 END AS u,
-    j % 10 = 3 AND j >= 10 AS shadows, j % 9 = 5 AS late
+_MODULES = """SELECT n, j, (j * 7 + 1) % 100 AS t, CASE WHEN j % 10 = 4 AND j >= 10 THEN 0 ELSE j % 10 END AS u,
+    j % 10 = 0 AND j >= 10 AS shadows, j % 9 = 5 AS late
   FROM (SELECT p_partkey {div} 100 AS n, p_partkey % 100 AS j FROM {part})"""
 
 
@@ -307,7 +307,7 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Python modules that import and call each other: (repo, sha, path, content); 100 modules make one repository."""
     content = f"""concat(
       'from ', {_module_name('t')}, ' import sym_', t, '\\n',
-      CASE WHEN shadows OR u = j THEN 'import os' WHEN j % 10 = 4 AND j >= 10 THEN 'from pkg3.mod23 import sym_3'
+      CASE WHEN shadows OR u = j THEN 'import os' WHEN j % 10 = 4 AND j >= 10 THEN 'from pkg0.mod20 import sym_0'
         ELSE concat('from ', {_module_name('u')}, ' import sym_', u) END, '\\n\\n\\n',
       'class Box_', j, ':\\n    def fill_', j, '(self, rate,\\n                 currency):\\n        return rate\\n\\n\\n',
       'def sym_', j, '(a, b):\\n    \"\"\"Combine both parts.\"\"\"\\n    left = sym_', t, '(a)\\n    right = sym_', u, '(b)\\n    return left + right\\n',
@@ -351,7 +351,7 @@ VIEWS["f_references"] = """f_references AS (
 VIEWS["f_links"] = f"""f_links AS (
   SELECT DISTINCT repo, path, target FROM (
     SELECT repo, path, {_module_path('t')} AS target FROM f_modules
-    UNION ALL SELECT repo, path, CASE WHEN j % 10 = 4 AND j >= 10 THEN 'pkg3/mod23.py' ELSE {_module_path('u')} END FROM f_modules WHERE NOT shadows AND u <> j))"""
+    UNION ALL SELECT repo, path, CASE WHEN j % 10 = 4 AND j >= 10 THEN 'pkg0/mod20.py' ELSE {_module_path('u')} END FROM f_modules WHERE NOT shadows AND u <> j))"""
 # symbols of the change, before any cap
 VIEWS["f_symbols"] = """f_symbols AS (
   SELECT repo, path, 'sym_' || j AS name, 'function' AS kind, 11 AS start_line, 15 AS end_line,

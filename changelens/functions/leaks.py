@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from changelens import rules
-from changelens.functions.text import as_column, built_once, ColumnLike
+from changelens.functions.text import as_column, built_once, ColumnLike, let
 
 Rules = tuple[tuple[str, str], ...]
 
@@ -33,16 +33,12 @@ def redaction_count(redacted: ColumnLike, original: ColumnLike) -> Column:
 @built_once
 def secret_kinds(text: ColumnLike, secret_rules: Rules = rules.SECRET_RULES) -> Column:
     """Kinds that occur in one line, in rule order; a place counts for the first rule that matches it."""
-    redacted = redact(text, secret_rules)
     original = as_column(text)
-    return F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    F.contains(redacted, F.lit(placeholder(kind))) & ~F.contains(original, F.lit(placeholder(kind))),
-                    F.lit(kind),
-                )
-                for kind, _ in secret_rules
-            ]
+
+    def kinds(redacted: Column) -> Column:
+        marks = [(kind, F.lit(placeholder(kind))) for kind, _ in secret_rules]
+        return F.array_compact(
+            F.array(*[F.when(F.contains(redacted, mark) & ~F.contains(original, mark), F.lit(kind)) for kind, mark in marks])
         )
-    )
+
+    return let(redact(original, secret_rules), kinds)

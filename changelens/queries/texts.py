@@ -204,7 +204,7 @@ def references_ts_java(spark, d):
 
 
 @query("C14_imports", with_views(f"""SELECT repo, path, {fx._module_name('t')} AS spec, 'sym_' || t AS names, 0 AS level, 1 AS line FROM f_modules
-UNION ALL SELECT repo, path, CASE WHEN shadows OR u = j THEN 'os' WHEN j % 10 = 4 AND j >= 10 THEN 'pkg3.mod23' ELSE {fx._module_name('u')} END,
+UNION ALL SELECT repo, path, CASE WHEN shadows OR u = j THEN 'os' WHEN j % 10 = 4 AND j >= 10 THEN 'pkg0.mod20' ELSE {fx._module_name('u')} END,
   CASE WHEN shadows OR u = j THEN '' ELSE 'sym_' || u END, 0, 2 FROM f_modules""", "f_modules"))
 def imports(spark, d):
     found = unnest(_facts(spark, d), ["repo", "path"], "imports")

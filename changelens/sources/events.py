@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from changelens import rules
 from changelens.functions import paths
 from changelens.functions import text as tx
+from changelens.operators.grouping import unnest
 
 PAYLOAD = (
     "ref string, after string, deleted boolean, repository struct<full_name:string>, sender struct<type:string>, "
@@ -62,12 +63,12 @@ def event_filter(
         & ~F.coalesce(payload("pull_request.draft"), F.lit(False))
     )
     pull = F.array(F.struct(payload("pull_request.head.sha").alias("sha"), payload("pull_request.number").alias("pr_number")))
-    targets = F.when(is_push, push_targets(max_commits)).when(is_pull, pull)
-    kept = parsed.filter((F.col("status") == "ok") & event_allowed(events, allowed_repos))
+    # one expression decides and builds the targets; filters on the payload would parse the body once per filter
+    usable = (F.col("status") == "ok") & event_allowed(events, allowed_repos)
+    targets = F.when(usable & is_push, push_targets(max_commits)).when(usable & is_pull, pull)
     keep = [c for c in parsed.columns if c not in ("payload", "body", "status")]
-    return kept.select(
-        *keep, payload("repository.full_name").alias("repo"), F.posexplode(targets).alias("_pos", "target")
-    ).select(*keep, "repo", "target.sha", "target.pr_number", (F.col("_pos") + 1).alias("seq"))
+    rows = unnest(parsed, [*keep, payload("repository.full_name").alias("repo")], targets, "_pos")
+    return rows.select(*keep, "repo", "sha", "pr_number", (F.col("_pos") + 1).alias("seq"))
 
 
 def with_key(targets: DataFrame) -> DataFrame:
