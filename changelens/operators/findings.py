@@ -153,6 +153,11 @@ def report_order() -> list[Column]:
     return [severity_rank(), F.col("filename"), F.coalesce("line", F.lit(0)), F.col("seq")]
 
 
+def collect_sorted(findings: DataFrame) -> DataFrame:
+    """All findings in report order: a range-partitioned sort, so one huge review is sorted by many tasks."""
+    return findings.orderBy(*REVIEW, *report_order())
+
+
 def summary_payload(findings: DataFrame, k: int = 40) -> DataFrame:
     """The first ``k`` findings of a review in report order, one line each."""
     line = F.format_string(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Spark prunes row_number() <= k before the shuffle up to this k (spark.sql.optimizer.windowGroupLimitThreshold).
@@ -39,8 +39,8 @@ def first_per_group(
     """
     rank = name or "_rank"
     if k > _PRUNED_BEFORE_SHUFFLE:
-        part = F.pmod(F.xxhash64(*order), F.lit(spread))
-        df = df.withColumn("_part", part)
+        columns = df.columns
+        df = df.withColumn("_part", F.pmod(F.xxhash64(*columns), F.lit(spread)))
         df = ranked(df, [*keys, "_part"], order, "_rank_in_part").filter(F.col("_rank_in_part") <= k)
         df = df.drop("_part", "_rank_in_part")
     cut = ranked(df, keys, order, rank).filter(F.col(rank) <= k)
@@ -60,12 +60,9 @@ def prefix_within(
     return flagged.withColumn("_stopped", F.bool_or("_over").over(so_far)).filter(~F.col("_stopped")).drop("_over", "_stopped")
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write an intermediate table once, into the checkpoint folder of the session, and read it from there.
-
-    Used where several branches read a costly table: it survives lost executors and is not computed per branch.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the session names for checkpoints; a local session without one gets a temporary folder."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir")
         if folder is None:
@@ -73,4 +70,13 @@ def materialize(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="changelens-checkpoint-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Write an intermediate table once, into the checkpoint folder of the session, and read it from there.
+
+    Used where several branches read a costly table: it survives lost executors and is not computed per branch.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -194,13 +194,9 @@ def scan_cap(spark, d):
     return symbols.scan(fx.source_files(spark, d), names, max_scan=70).select("repo", "path", "incomplete")
 
 
-@query("F16_collect_sorted", with_views(f"""SELECT repo, sha, filename, seq, row_number() OVER (PARTITION BY repo, sha ORDER BY {SEVERITY_RANK}, filename, coalesce(line, 0), seq) AS place FROM v_findings""", "v_findings"))
+@query("F16_collect_sorted", with_views("SELECT repo, sha, filename, seq, severity, line FROM v_findings", "v_findings"))
 def collect_sorted(spark, d):
-    from pyspark.sql import Window
-
-    found = fd.valid_findings(fx.raw_findings(spark, d))
-    place = F.row_number().over(Window.partitionBy("repo", "sha").orderBy(*fd.report_order()))
-    return found.select("repo", "sha", "filename", "seq", place.cast("bigint").alias("place"))
+    return fd.collect_sorted(fd.valid_findings(fx.raw_findings(spark, d))).select("repo", "sha", "filename", "seq", "severity", "line")
 
 
 # ----------------------------------------------------------------------------- set operations ---
