@@ -22,8 +22,16 @@ def _array(values: tuple[str, ...], brackets: str) -> str:
     return brackets[:-1] + ", ".join(f"'{v}'" for v in values) + brackets[-1]
 
 
+_KEYS = {"documents": "doc_id", "pages": "page_id", "events": "event_id", "part": "p_partkey", "conversations": "conv_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table. One that arrives in fewer splits than there are cores is spread by its key first."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in _KEYS and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores, _KEYS[name])
+    return df
 
 
 # ----------------------------------------------------------------------------- changed files ---
@@ -298,8 +306,7 @@ def _module_name(j: str) -> str:
 
 
 def modules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the driver's tables are one row group each; spread the few bytes before they become source texts
-    part = table(spark, sf_dir, "part").repartition(spark.sparkContext.defaultParallelism, "p_partkey")
+    part = table(spark, sf_dir, "part")
     return spark.sql(_MODULES.format(div="div", part="{part}"), part=part)
 
 

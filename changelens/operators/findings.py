@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from changelens import rules
 from changelens.functions import text as tx
-from changelens.operators.grouping import REVIEW, first_per_group
+from changelens.operators.grouping import REVIEW, first_per_group, unnest
 
 FILE = (*REVIEW, "filename")
 FINDING_FIELDS = ("severity", "category", "line", "title", "detail", "suggestion", "origin")
@@ -34,7 +34,23 @@ def valid_findings(raw: DataFrame) -> DataFrame:
 
 
 _ITEM = "severity string, category string, line string, title string, detail string, suggestion string"
-# model output may carry any type: an item whose text fields are not text, or whose line is not a whole number, is dropped
+# Model output may carry any type. An item is read when its four text fields are text and its suggestion is text or
+# null; ``shape`` is the type of the whole item as one string, like "OBJECT<category: STRING, line: BIGINT, ...>".
+_TEXT_FIELDS = ("severity", "category", "title", "detail")
+
+
+def _raw_items(content: str, max_items: int) -> Column:
+    """array<struct> of the first raw items of a response: parsed once per response and once per item."""
+
+    def item(text: Column) -> Column:
+        fields = F.from_json(text, _ITEM)
+        shape = F.schema_of_variant(F.try_parse_json(text))
+        return tx.let(
+            fields, lambda f: F.struct(*[f[name].alias(name) for name in ("severity", "category", "line", "title", "detail", "suggestion")], shape.alias("shape"))
+        )
+
+    items = tx.let(tx.json_object_text(content), lambda body: F.from_json(body, "findings array<string>")["findings"])
+    return F.transform(F.slice(items, 1, max_items), item)
 
 
 def parse_responses(responses: DataFrame, max_items: int = 8) -> DataFrame:
@@ -42,25 +58,14 @@ def parse_responses(responses: DataFrame, max_items: int = 8) -> DataFrame:
 
     ``seq`` is the position in the response; ``origin`` is always ``model``.
     """
-    body = responses.withColumn("object", tx.json_object_text("content")).filter(F.col("object").isNotNull())
-    items = F.from_json("object", "findings array<string>")["findings"]
-    raw = body.select(
-        *[c for c in responses.columns if c != "content"],
-        F.posexplode(F.slice(items, 1, max_items)).alias("seq", "item"),
-    )
-    parsed = raw.withColumn("f", F.from_json("item", _ITEM))
-    kinds = lambda field: F.schema_of_variant(F.try_variant_get(F.try_parse_json("item"), f"$.{field}", "variant"))
-    texts = [kinds(f) == "STRING" for f in ("severity", "category", "title", "detail")]
-    optional_text = F.coalesce(kinds("suggestion"), F.lit("VOID")).isin("STRING", "VOID")
-    number = F.expr("try_cast(f.line AS int)")
-    right = (F.col("f.line").isNull() | number.isNotNull()) & optional_text
-    for check in texts:
-        right = right & check
+    keys = [c for c in responses.columns if c != "content"]
+    raw = unnest(responses, keys, _raw_items("content", max_items), "seq")
+    number = F.col("line").try_cast("int")
+    right = (F.col("line").isNull() | number.isNotNull()) & ~F.col("shape").rlike(r"\bsuggestion: (?!STRING|VOID)")
+    for name in _TEXT_FIELDS:
+        right = right & F.col("shape").rlike(rf"\b{name}: STRING")
     return valid_findings(
-        parsed.filter(right).select(
-            *[c for c in raw.columns if c != "item"], "f.severity", "f.category", number.alias("line"), "f.title", "f.detail",
-            "f.suggestion", F.lit("model").alias("origin"),
-        )
+        raw.filter(right).withColumn("line", number).drop("shape").withColumn("origin", F.lit("model"))
     )
 
 

@@ -80,3 +80,8 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """Broadcast a table of narrow rows only after counting that it has at most ``max_rows``; else leave it to the planner."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from changelens import rules
 from changelens.functions import code, diffs, paths
 from changelens.functions.text import as_column, built_once, let, split_lines
-from changelens.operators.grouping import REVIEW, first_per_group
+from changelens.operators.grouping import REVIEW, broadcast_if_small, first_per_group, materialize
 
 FILE = (*REVIEW, "filename")
 SYMBOL = (*FILE, "name", "start_line", "change")
@@ -87,14 +87,19 @@ def file_symbols(changed_files: DataFrame, source_files: DataFrame) -> DataFrame
     usable = changed_files.filter(
         (F.coalesce("patch", F.lit("")) != "") & ~paths.is_sensitive_path("filename") & paths.language_of("filename").isNotNull()
     ).select(*FILE, "status", "patch")
-    head = source_files.select(*REVIEW, F.col("path").alias("filename"), "content")
+    # texts of changed files only; their definitions are found where the text is read, so no text is shuffled for this
+    keys = broadcast_if_small(usable.select(*FILE), 200_000)
+    head = (
+        source_files.select(*REVIEW, F.col("path").alias("filename"), "content").join(keys, list(FILE), "left_semi")
+        .withColumn("family", paths.family(paths.language_of("filename")))
+        .withColumn("blanked", code.blank_literals("content", "family"))
+        .select(*FILE, code.definitions("blanked", "family").alias("definitions"))
+    )
     facts = (
         usable.join(head, list(FILE), "left")
-        .withColumn("content", F.coalesce("content", F.lit("")))
+        .withColumn("definitions", F.coalesce("definitions", F.array().cast(f"array<{code.DEFINITION}>")))
         .withColumn("language", paths.language_of("filename"))
         .withColumn("family", paths.family("language"))
-        .withColumn("blanked", code.blank_literals("content", "family"))
-        .withColumn("definitions", code.definitions("blanked", "family"))
         .withColumn("rows", diffs.patch_rows("patch"))
         .withColumn("added_lines", F.array_distinct(diffs.added_lines("rows")))
         .withColumn("gaps", diffs.deletion_gaps("rows"))
@@ -183,6 +188,8 @@ def scan(source_files: DataFrame, names: DataFrame, max_scan: int = 20_000, max_
         .join(extent, list(REVIEW)).join(cut, list(REVIEW), "left")
         .select(*REVIEW, "names", F.coalesce("cut_path", "last_path").alias("last_path"))
     )
+    # one row per review with at most max_names names: broadcast while that is small, so that no text is shuffled
+    wanted = broadcast_if_small(materialize(wanted), 10_000)
     # a left join, so that only the small side can be broadcast (when its size allows) and texts keep their partitions
     mentioning = (
         sources.join(wanted, list(REVIEW), "left")

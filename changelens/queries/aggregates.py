@@ -14,13 +14,15 @@ def _targets(spark, d):
     return fx.changed_files(spark, d).select("repo", "sha").distinct()
 
 
-@query("E1_verdict", with_views(f"""WITH {DECIDED}, t AS (SELECT DISTINCT lang AS repo, 'c' || (doc_id // 200) AS sha FROM documents),
-k AS (SELECT * FROM final WHERE NOT (repo = 'es' OR (repo = 'de' AND severity IN ('critical', 'major'))))
+@query("E1_verdict", with_views(f"""WITH {DECIDED}, t AS (SELECT DISTINCT lang AS repo, 'c' || (doc_id // 200) AS sha FROM documents UNION ALL SELECT DISTINCT source, 'c0' FROM documents),
+k AS (SELECT repo, sha, CASE WHEN repo = 'de' THEN 'nit' ELSE severity END AS severity FROM final)
 SELECT t.repo, t.sha, CASE WHEN min({SEVERITY_RANK}) FILTER (k.severity IS NOT NULL) <= 1 THEN 'request_changes' WHEN count(k.severity) > 0 THEN 'comment' ELSE 'approve' END AS verdict,
   count(k.severity) AS n_findings FROM t LEFT JOIN k ON k.repo = t.repo AND k.sha = t.sha GROUP BY t.repo, t.sha""", "v_findings", "v_decisions"))
 def verdict(spark, d):
-    kept = decided(spark, d).filter("NOT (repo = 'es' OR (repo = 'de' AND severity IN ('critical', 'major')))")
-    return fd.verdict(_targets(spark, d), kept)
+    """German reviews only have nits, and sources stand for reviews without any finding."""
+    found = decided(spark, d).withColumn("severity", F.expr("CASE WHEN repo = 'de' THEN 'nit' ELSE severity END"))
+    quiet = fx.table(spark, d, "documents").select(F.col("source").alias("repo"), F.lit("c0").alias("sha")).distinct()
+    return fd.verdict(_targets(spark, d).union(quiet), found)
 
 
 @query("E2_severity_counts", with_views("""SELECT repo, sha, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'major') AS major,

@@ -136,16 +136,16 @@ def review_tasks(spark, d):
 
 
 COLLECTED = f"""{PARSED}, a AS (SELECT p.*, CASE WHEN x.new_line IS NOT NULL THEN p.line END AS anchored FROM (SELECT * FROM parsed WHERE doc_id % 21 <> 5) p
-  LEFT JOIN (SELECT DISTINCT repo, sha, filename, new_line FROM f_patch_rows WHERE op = '+' AND doc_id IN (SELECT doc_id FROM v_changed_files WHERE length(patch) <= 24000)) x
+  LEFT JOIN (SELECT DISTINCT repo, sha, filename, new_line FROM f_patch_rows WHERE op = '+') x
     ON x.repo = p.repo AND x.sha = p.sha AND x.filename = p.filename AND x.new_line = p.line),
 u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo, sha, filename, anchored, lower(trim(title)) ORDER BY seq) AS k FROM a) WHERE k = 1),
 collected AS (SELECT repo, sha, filename, severity, category, anchored AS line, title, detail, CAST(NULL AS VARCHAR) AS suggestion, 'model' AS origin, CAST(row_number() OVER (PARTITION BY repo, sha, filename ORDER BY seq) AS INTEGER) AS seq FROM u)"""
 
 
 def collected(spark, d):
-    files = fx.changed_files(spark, d).filter("length(patch) <= 24000")
-    empty = review.triage(files.limit(0)).rule_findings
-    return review.collect_reviews(fx.responses(spark, d), empty, files)
+    files = fx.changed_files(spark, d)
+    none = spark.createDataFrame([], "repo string, sha string, filename string, seq int, severity string, category string, line int, title string, detail string, suggestion string, origin string")
+    return review.collect_reviews(fx.responses(spark, d), none, files, Options(max_file_chars=10**9))
 
 
 @query("J4_collect_reviews", with_views(f"WITH {COLLECTED} SELECT repo, sha, filename, seq, severity, line, title FROM collected", "v_changed_files", "f_patch_rows", "v_response_items"))

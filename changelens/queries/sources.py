@@ -8,6 +8,7 @@ from changelens.functions import paths
 from changelens.functions import text as tx
 from changelens.operators import publish, state
 from changelens.operators import triage as tr
+from changelens.options import Options
 from changelens.queries.registry import query
 from changelens.sources import events, pages, requests, snapshot
 
@@ -139,7 +140,7 @@ ANNOTATED = """a_rows AS (SELECT doc_id, repo, sha, filename, hunk_id, -1 AS pos
 
 def request_contexts(spark, d):
     files = fx.changed_files(spark, d).filter("patch IS NOT NULL")
-    texts = requests.review_texts(files)
+    texts = requests.review_texts(files, Options(max_file_chars=10**9))
     messages = files.select("repo", "sha").distinct().withColumn("message", F.concat(F.lit("Change "), "sha"))
     evidence = files.select("repo", "sha", "filename", F.lit("seen").alias("evidence")).filter("filename LIKE '%.py'")
     memory = files.select("repo", "sha").distinct().filter("repo = 'en'").withColumn("memory", F.lit("- [memory] known"))
@@ -150,14 +151,13 @@ _KEYS = f"""WITH {ANNOTATED},
 t AS (SELECT repo, sha, filename, string_agg(row, chr(10) ORDER BY hunk_id, pos) AS safe_text FROM a_rows GROUP BY ALL),
 k AS (SELECT *, sha256('reviewer' || chr(31) || '1' || chr(31) || 'English' || chr(31) || filename || chr(31) || safe_text || chr(31) || 'Change ' || sha || chr(31)
     || CASE WHEN repo = 'en' THEN '- [memory] known' ELSE '' END || chr(31) || CASE WHEN filename LIKE '%.py' THEN 'seen' ELSE '' END || chr(31)) AS cache_key FROM t
-  JOIN (SELECT repo AS r, sha AS s, filename AS f, length(patch) AS n FROM v_changed_files WHERE patch IS NOT NULL) ON r = repo AND s = sha AND f = filename WHERE n <= 24000)
+)
 """
 
 
 @query("A13_review_requests", with_views(_KEYS + "SELECT repo, sha, filename, cache_key, safe_text FROM k", "f_patch_rows"))
 def review_requests(spark, d):
-    fits = fx.changed_files(spark, d).filter("length(patch) <= 24000").select("repo", "sha", "filename")
-    return request_contexts(spark, d).join(fits, ["repo", "sha", "filename"]).select("repo", "sha", "filename", "cache_key", "safe_text")
+    return request_contexts(spark, d).select("repo", "sha", "filename", "cache_key", "safe_text")
 
 
 @query("A13_request_prompts")
@@ -166,9 +166,9 @@ def request_prompts(spark, d):
 
 
 @query("A13_read_responses", with_views("""SELECT repo, sha, filename, count(*) AS chunks, count(*) FILTER (CASE WHEN failed THEN true ELSE missing END) AS failed FROM (
-  SELECT repo, sha, filename, doc_id % 21 = 5 AS failed, doc_id % 6 = 0 AS missing FROM v_changed_files WHERE patch IS NOT NULL AND length(patch) <= 9000) GROUP BY ALL""", "v_changed_files"))
+  SELECT repo, sha, filename, doc_id % 21 = 5 AS failed, doc_id % 6 = 0 AS missing FROM v_changed_files WHERE patch IS NOT NULL) GROUP BY ALL""", "v_changed_files"))
 def read_responses(spark, d):
-    files = fx.changed_files(spark, d).filter("patch IS NOT NULL AND length(patch) <= 9000")
+    files = fx.changed_files(spark, d).filter("patch IS NOT NULL")
     asked = files.selectExpr("repo", "sha", "filename", "doc_id AS request_id", "'' AS prompt")
     answers = fx.responses(spark, d).selectExpr("doc_id AS request_id", "content", "error_type").filter("request_id % 6 <> 0 OR error_type IS NOT NULL")
     return requests.read_review_responses(asked, answers).groupBy("repo", "sha", "filename").agg(
