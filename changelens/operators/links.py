@@ -11,14 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from changelens.functions import paths
-from changelens.functions.text import let
-from changelens.operators.grouping import REVIEW
+from changelens.functions.text import built_once, let
+from changelens.operators.grouping import REVIEW, unnest
 
 
 def _keys(kind: str, values: Column) -> Column:
     return F.transform(values, lambda v: F.concat(F.lit(kind + ":"), v))
 
 
+@built_once
 def target_keys(path: str) -> Column:
     """Every key a file can be imported by."""
     where = paths.normalize_module_path(path)
@@ -71,14 +72,16 @@ def import_keys(importer: str, item: Column, family: Column) -> Column:
     return F.when(family == "python", python).when(family == "js", js).when(family == "java", java)
 
 
+@built_once
+def all_import_keys(importer: str, imports: str, language: str) -> Column:
+    family = paths.family(language)
+    return F.array_distinct(F.flatten(F.transform(imports, lambda i: import_keys(importer, i, family))))
+
+
 def link_files(files: DataFrame, targets: DataFrame) -> DataFrame:
     """(repo, sha, path, target): file ``path`` with its ``imports`` array and ``language`` points at ``target``."""
-    family = paths.family("language")
-    points = files.select(
-        *REVIEW, "path",
-        F.explode(F.array_distinct(F.flatten(F.transform("imports", lambda i: import_keys("path", i, family))))).alias("key"),
-    )
-    ends = targets.select(*REVIEW, "target", F.explode(target_keys("target")).alias("key"))
+    points = unnest(files, [*REVIEW, "path"], all_import_keys("path", "imports", "language")).withColumnRenamed("item", "key")
+    ends = unnest(targets, [*REVIEW, "target"], target_keys("target")).withColumnRenamed("item", "key")
     return points.join(ends, [*REVIEW, "key"]).select(*REVIEW, "path", "target").distinct()
 
 

@@ -57,6 +57,7 @@ def hide_inline(findings: DataFrame, posted: DataFrame) -> DataFrame:
     return findings.join(posted.select(*FILE, "line").distinct(), [*FILE, "line"], "left_anti")
 
 
+@tx.built_once
 def finding_text() -> Column:
     where = F.concat(F.lit("`"), F.col("filename"), F.coalesce(F.concat(F.lit(":"), F.col("line").cast("string")), F.lit("")), F.lit("`"))
     return F.concat_ws(
@@ -67,6 +68,7 @@ def finding_text() -> Column:
     )
 
 
+@tx.built_once
 def inline_body() -> Column:
     return F.concat_ws(
         "\n\n",
