@@ -179,17 +179,17 @@ def scan(source_files: DataFrame, names: DataFrame, max_scan: int = 20_000, max_
     """
     sources = source_files.filter(paths.language_of("path").isNotNull())
     extent = sources.groupBy(*REVIEW).agg(F.count(F.lit(1)).alias("n_files"), F.max("path").alias("last_path"))
-    large = extent.filter(F.col("n_files") > max_scan).select(*REVIEW)
-    cut = first_per_group(
-        sources.select(*REVIEW, "path").join(large, list(REVIEW), "left_semi"), REVIEW, [F.col("path")], max_scan
-    ).groupBy(*REVIEW).agg(F.max("path").alias("cut_path"))
-    wanted = (
-        names.groupBy(*REVIEW).agg(F.sort_array(F.collect_list("name")).alias("names"))
-        .join(extent, list(REVIEW)).join(cut, list(REVIEW), "left")
-        .select(*REVIEW, "names", F.coalesce("cut_path", "last_path").alias("last_path"))
-    )
+    grouped = names.groupBy(*REVIEW).agg(F.sort_array(F.collect_list("name")).alias("names"))
+    wanted = materialize(grouped.join(extent, list(REVIEW)))
+    largest = wanted.agg(F.max("n_files")).first()[0] or 0
+    if largest > max_scan:
+        # reviews above the scan cap are rare: only their paths are ranked
+        large = wanted.filter(F.col("n_files") > max_scan).select(*REVIEW)
+        ranked_paths = sources.select(*REVIEW, "path").join(large, list(REVIEW), "left_semi")
+        cut = first_per_group(ranked_paths, REVIEW, [F.col("path")], max_scan).groupBy(*REVIEW).agg(F.max("path").alias("cut_path"))
+        wanted = wanted.join(cut, list(REVIEW), "left").withColumn("last_path", F.coalesce("cut_path", "last_path"))
     # one row per review with at most max_names names: broadcast while that is small, so that no text is shuffled
-    wanted = broadcast_if_small(materialize(wanted), 10_000)
+    wanted = broadcast_if_small(wanted.select(*REVIEW, "names", "last_path"), 10_000)
     # a left join, so that only the small side can be broadcast (when its size allows) and texts keep their partitions
     mentioning = (
         sources.join(wanted, list(REVIEW), "left")

@@ -114,11 +114,17 @@ def own_marked(spark, d):
     return fx.comments(spark, d).select("id", publish.own_marked("BOT-ME").alias("own"))
 
 
-@query("B10_skippable", with_views("""SELECT repo, path, name, start_line, kind = 'method' AND lower(name) IN ('render') OR kind <> 'method' AND length(name) < 3 AS skip FROM (
-  SELECT repo, path, CASE j % 3 WHEN 0 THEN 'Render' WHEN 1 THEN '__eq__' ELSE '__init__' END AS mname, name, kind, start_line FROM f_definitions)""", "f_definitions"))
+_NAMES = ("Render", "__eq__", "__init__", "ab", "constructor", "to_string")
+
+
+@query("B10_skippable", with_views("""SELECT repo, j, CASE WHEN j % 2 = 0 THEN CASE j % 7 WHEN 0 THEN true WHEN 1 THEN true WHEN 5 THEN true ELSE false END
+  ELSE j % 7 = 3 END AS skip FROM f_modules""", "f_modules"))
 def skippable(spark, d):
-    defs = symbols.with_source_facts(fx.source_files(spark, d)).select("repo", "path", F.explode("definitions").alias("d"))
-    return defs.select("repo", "path", "d.name", "d.start_line", symbols.is_skippable(F.col("d")).alias("skip"))
+    """Even modules hold methods, odd ones functions; seven names take turns."""
+    name = F.coalesce(F.get(F.array(*[F.lit(n) for n in _NAMES]), F.expr("cast(j % 7 AS int)")), F.concat(F.lit("sym_"), "j"))
+    kind = F.expr("CASE WHEN j % 2 = 0 THEN 'method' ELSE 'function' END")
+    defs = fx.modules(spark, d).select(F.concat(F.lit("r"), "n").alias("repo"), "j", F.struct(name.alias("name"), kind.alias("kind")).alias("d"))
+    return defs.select("repo", "j", symbols.is_skippable(F.col("d")).alias("skip"))
 
 
 @query("B11_valid_anchor", with_views("""SELECT f.repo, f.sha, f.filename, f.seq, CASE WHEN a.new_line IS NOT NULL THEN f.line END AS line FROM v_findings f
