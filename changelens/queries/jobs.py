@@ -11,9 +11,10 @@ from changelens.operators import state as st
 from changelens.operators.grouping import shared_folder
 from changelens.options import Options
 from changelens.plans import learning, review
+from changelens.plans.impact import impact
 from changelens.queries.aggregates import _RATIOS, _SUMS
 from changelens.queries.filters import SECRET, TRIAGE
-from changelens.queries.joins import CLAIMS, EVAL, RATED, _owners, eval_tables, feedback_state, ratings, repo_reactions, run_impact
+from changelens.queries.joins import CLAIMS, EVAL, RATED, _owners, eval_tables, feedback_state, ratings, repo_reactions
 from changelens.queries.registry import query
 from changelens.queries.texts import PARSED
 from changelens.queries.windows import SELECTION
@@ -116,7 +117,15 @@ def triage_job(spark, d):
 
 @query("J2_impact")
 def impact_job(spark, d):
-    return run_impact(spark, d).evidence
+    return impact(fx.symbol_changes(spark, d), fx.source_files(spark, d)).evidence
+
+
+@query("A12_eval_report", with_views(f'WITH {EVAL} SELECT "case", run, category, expected, matched, false_positives FROM scores', "v_raw_findings"))
+def eval_report(spark, d):
+    """The report as it is read back from the JSON sink."""
+    folder = scratch(spark)
+    rq.write_eval_report(learning.evaluate(*eval_tables(spark, d)).scores, f"{folder}/report")
+    return spark.read.schema("case bigint, run string, category string, expected bigint, matched bigint, false_positives bigint").json(f"{folder}/report")
 
 
 def _contexts(spark, d):

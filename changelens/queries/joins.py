@@ -1,5 +1,7 @@
 """Joins: import links, ranges, decisions, publishing, scoring, memory, claims."""
 
+from functools import lru_cache
+
 from pyspark.sql import functions as F
 
 from changelens import fixtures as fx
@@ -7,7 +9,7 @@ from changelens.fixtures import with_views
 from changelens.functions import paths
 from changelens.operators import diff, evaluate, impact, links, memory, publish, state, symbols
 from changelens.operators import findings as fd
-from changelens.operators.grouping import unnest
+from changelens.operators.grouping import materialize, unnest
 from changelens.plans import impact as plan
 from changelens.queries.registry import query
 from changelens.queries.sources import request_contexts
@@ -57,10 +59,11 @@ def same_package(spark, d):
     return files.select("repo", "path", links.same_package("path", "other").alias("same"))
 
 
+@lru_cache(maxsize=4)
 def scan_all(spark, d):
-    """Every symbol of the change searched in the sources, as the impact job does."""
-    found = plan.changed_symbols(fx.symbol_changes(spark, d), fx.source_files(spark, d))
-    return found, symbols.scan(fx.source_files(spark, d), symbols.searched_names(found))
+    """Every symbol of the change searched in the sources, as the impact job does. Written once, read by several queries."""
+    found = materialize(plan.changed_symbols(fx.symbol_changes(spark, d), fx.source_files(spark, d)))
+    return found, materialize(symbols.scan(fx.source_files(spark, d), symbols.searched_names(found)))
 
 
 # the names kept per repository: the first forty in alphabetical order
@@ -133,7 +136,9 @@ tiers AS (SELECT c.*, CASE WHEN c.path = c.filename THEN 'unknown' WHEN l.target
 TIER_VIEWS = ("f_symbols", "f_references", "f_definitions", "f_links")
 
 
+@lru_cache(maxsize=4)
 def run_impact(spark, d):
+    """The impact job; its checkpointed tables serve all queries that look at one part of it."""
     return plan.impact(fx.symbol_changes(spark, d), fx.source_files(spark, d))
 
 

@@ -160,8 +160,8 @@ def review_requests(spark, d):
     return request_contexts(spark, d).select("repo", "sha", "filename", "cache_key", "safe_text")
 
 
-@query("A13_request_prompts")
-def request_prompts(spark, d):
+@query("C32_render_prompt")
+def render_prompt(spark, d):
     return requests.emit_review_requests(request_contexts(spark, d))
 
 
