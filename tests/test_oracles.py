@@ -32,7 +32,8 @@ def cell(value):
 
 
 def test_every_query_has_sql_or_is_known_to_have_none():
-    assert set(entry.queries()) - set(ORACLES) == {"C22_render_evidence", "C32_render_prompt", "C33_render_report", "J2_impact"}
+    own = {key for key in entry.queries() if not key.startswith("op") and key != "pipeline"}
+    assert own - set(ORACLES) == {"C22_render_evidence", "C32_render_prompt", "C33_render_report", "J2_impact"}
 
 
 @pytest.mark.parametrize("key", KEYS)
