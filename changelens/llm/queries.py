@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from changelens.llm import languages, quality, url_filters
+from changelens.llm import languages, packing, quality, url_filters
 from changelens.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +63,9 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return languages.identify(docs, languages.fit(docs))
+
+
+@query("op2_best_fit_packing")
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
