@@ -43,7 +43,7 @@ def fold_words(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """The words of :func:`fold_words`; no word: an empty array."""
-    return F.filter(F.split(fold_words(text), " "), lambda w: w != "")
+    return let(fold_words(text), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " ")))
 
 
 def shingle_hashes(words: Column, size: int = 5) -> Column:

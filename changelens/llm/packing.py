@@ -44,7 +44,7 @@ class Encoder:
     ranks of the same file, which costs a fraction of the library's call; texts with an added token, and files of another kind, go to the library.
     """
 
-    def __init__(self, path: str, keep: int = 1_000_000) -> None:
+    def __init__(self, path: str, keep: int = 500_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep, self.known = Tokenizer.from_file(path), keep, {}
