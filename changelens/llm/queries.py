@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelens.llm import fingerprints, html_text, languages, packing, quality, url_filters
+from changelens.llm import chat, fingerprints, html_text, languages, packing, quality, url_filters
 from changelens.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +21,12 @@ URL_RULES = (
     url_filters.Rule("block", "net", "/es/"), url_filters.Rule("block", "net", "/fr/"),
 )
 
+#: Arguments of the tools that the conversations may call.
+TOOL_SCHEMAS = {
+    "search": {"type": "object", "properties": {"query": {"type": "string"}, "limit": {"type": "integer", "minimum": 1}}, "required": ["query"], "additionalProperties": False},
+    "get_document": {"type": "object", "properties": {"doc_id": {"type": "integer", "minimum": 0}}, "required": ["doc_id"], "additionalProperties": False},
+}
+
 
 def query(key: str, sql: str | None = None):
     def add(function):
@@ -90,3 +96,12 @@ def op5_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_html_extraction")
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+@query("op10_chat_formatting", """
+SELECT conv_id, turn, turn AS order_turn, 0 AS order_rank, 'text' AS kind, 'plain' AS status, 0::BIGINT AS n_calls, 0::BIGINT AS n_invalid,
+  json_object('content', text, 'role', role)::VARCHAR AS message
+FROM conversations
+""")
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chat(read(spark, sf_dir, "conversations"), TOOL_SCHEMAS)
