@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelens.llm import chat, fingerprints, html_text, languages, packing, quality, url_filters
+from changelens.llm import chat, decontamination, fingerprints, html_text, languages, packing, quality, url_filters
 from changelens.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,28 @@ FROM conversations
 """)
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chat(read(spark, sf_dir, "conversations"), TOOL_SCHEMAS)
+
+
+@query("op4_benchmark_decontamination", """
+WITH d AS (
+  SELECT doc_id, list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda w: w <> '') AS w FROM documents
+), i AS (
+  SELECT item_id, list_filter(string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}]+', ' ', 'g')), ' '), lambda w: w <> '') AS w FROM benchmark
+), ish AS (
+  SELECT item_id, len(w) AS n, array_to_string(w[k:k+4], ' ') AS h FROM (SELECT *, unnest(range(1, len(w) - 3)) AS k FROM i)
+), icount AS (SELECT item_id, n, h, count(*) AS c FROM ish GROUP BY ALL),
+dsh AS (SELECT doc_id, len(w) AS l, k - 1 AS pos, array_to_string(w[k:k+4], ' ') AS h FROM (SELECT *, unnest(range(1, len(w) - 3)) AS k FROM d)),
+hit AS (SELECT DISTINCT doc_id, l, item_id, n, pos FROM dsh JOIN icount USING (h)),
+win AS (
+  SELECT DISTINCT doc_id, item_id, n, least(n, l) AS width, unnest(range(greatest(0, least(pos - n + 5, l - n)), least(pos, greatest(l - n, 0)) + 1)) AS start FROM hit
+), wcount AS (
+  SELECT doc_id, item_id, n, width, start, h, count(*) AS c FROM win JOIN dsh USING (doc_id) WHERE pos BETWEEN start AND start + width - 5 GROUP BY ALL
+), scored AS (
+  SELECT doc_id, item_id, n, start, width, sum(least(w.c, coalesce(x.c, 0))) AS common
+  FROM wcount w LEFT JOIN icount x USING (item_id, n, h) GROUP BY ALL
+), kept AS (SELECT *, common / (n - 4 + width - 4 - common) AS similarity FROM scored WHERE common / (n - 4 + width - 4 - common) >= 0.8)
+SELECT doc_id, item_id, start::INTEGER AS start, n::INTEGER AS n_words, similarity
+FROM kept QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, start) = 1
+""")
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
