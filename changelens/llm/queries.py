@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelens.llm import chat, decontamination, fingerprints, html_text, languages, packing, quality, similar, url_filters
+from changelens.llm import chat, decontamination, fingerprints, html_text, katz, languages, packing, quality, similar, url_filters
 from changelens.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -147,3 +147,8 @@ FROM d JOIN (SELECT a, min(b) AS class_id FROM reach GROUP BY a) r ON r.a = d.do
 """)
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.classes(read(spark, sf_dir, "documents"))
+
+
+@query("op9_lm_scoring")
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(read(spark, sf_dir, "documents"))
