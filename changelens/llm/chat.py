@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PARSED = "conv_id long, turn long, role string, kind string, content string, result_of string, calls array<struct<id:string,name:string,arguments:string,valid:boolean,problem:string>>, cyclic boolean"
+PARSED = "kind string, content string, result_of string, calls array<struct<id:string,name:string,arguments:string,valid:boolean,problem:string>>, cyclic boolean"
 TYPES = {"string": str, "object": dict, "array": list, "boolean": bool, "null": type(None)}
 REFERENCE = re.compile(r"\$([\w-]+)")
 
@@ -121,23 +121,23 @@ def parse(messages: DataFrame, schemas: Mapping[str, Mapping] | None = None, con
     """One row per message with its kind (``text``, ``calls`` or ``result``), content and calls."""
     schemas = dict(schemas or {})
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    @F.pandas_udf(PARSED)
+    def rows(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for roles, said_texts in batches:
             out = []
-            for conv, turn, role, text in zip(batch.conv_id.tolist(), batch.turn.tolist(), batch.role.tolist(), batch.text.tolist(), strict=True):
+            for role, text in zip(roles, said_texts, strict=True):
                 said = _object(text) if role in ("assistant", "tool") else None
                 if role == "assistant" and said and isinstance(said.get("tool_calls"), list) and said["tool_calls"]:
                     calls, cyclic = _ordered([_call(item, schemas) for item in said["tool_calls"]])
-                    out.append((conv, turn, role, "calls", canonical(said.get("content")), None, calls, cyclic))
+                    out.append(("calls", canonical(said.get("content")), None, calls, cyclic))
                 elif role == "tool" and said and said.get("tool_call_id") is not None:
-                    out.append((conv, turn, role, "result", canonical(said.get("content")), str(said["tool_call_id"]), [], False))
+                    out.append(("result", canonical(said.get("content")), str(said["tool_call_id"]), [], False))
                 else:
-                    out.append((conv, turn, role, "text", canonical(text if isinstance(text, str) else None), None, [], False))
-            frame = pd.DataFrame(out, columns=["conv_id", "turn", "role", "kind", "content", "result_of", "calls", "cyclic"])
-            yield frame.astype({"conv_id": "Int64", "turn": "Int64"})
+                    out.append(("text", canonical(text if isinstance(text, str) else None), None, [], False))
+            yield pd.DataFrame(out, columns=["kind", "content", "result_of", "calls", "cyclic"])
 
     picked = messages.select(F.col(conv_col).cast("long").alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
-    return picked.mapInPandas(rows, PARSED)
+    return picked.select("conv_id", "turn", "role", rows("role", "text").alias("m")).select("conv_id", "turn", "role", "m.*")
 
 
 def format_chat(messages: DataFrame, schemas: Mapping[str, Mapping] | None = None, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:

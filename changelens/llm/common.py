@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from changelens.operators.grouping import materialize, shared_folder
 
-__all__ = ["bucket_of", "filled", "fold_words", "let", "materialize", "read", "shared_folder", "shingle_hashes", "texts", "tokens"]
+__all__ = ["NO_ID", "bucket_of", "filled", "fold_words", "let", "materialize", "read", "shared_folder", "shingle_hashes", "texts", "tokens"]
+
+
+#: Stands for a null id where rows pass through pandas, which has no null in a column of exact integers.
+NO_ID = -(2**63)
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changelens.llm.common import filled
+from changelens.llm.common import filled, materialize
 
 # Elements by their meaning in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -41,6 +41,8 @@ FURNITURE = frozenset(
 )
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)(?:>|\Z)", re.S)
 NAMED = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I | re.S)
+#: The unimportant styles of all hosts are broadcast up to so many characters; beyond, a host's pages are dealt to so many tasks.
+BROADCAST_CHARS, SALTS = 8_000_000, 64
 WORDS = re.compile(r"[a-z]+")
 NUMBERS = re.compile(r"\d+")
 
@@ -175,16 +177,19 @@ def extract(
     tree = style_tree(pages, id_col, url_col, html_col)
     most = tree.groupBy("host").agg(F.max("importance").alias("most"))  # a row per host
     low = tree.join(most, "host").filter((F.col("pages") >= least_pages) & (F.col("importance") < least_importance * F.col("most")))
-    told = low.groupBy("host").agg(F.collect_set("style").alias("low"))  # of a site's templates
-
-    def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = []
-            for page, low in zip(batch.html, batch.low, strict=True):
-                gone = set(low) if low is not None else ()
-                found = content_blocks(page)
-                out.append(" ".join(text for style, text in found if style not in gone))
-            yield pd.DataFrame({"page_id": batch.page_id, "url": batch.url, "text": out, "n_chars": [len(t) for t in out]})
-
-    joined = _hosted(pages, id_col, url_col, html_col).join(told, "host", "left").select("page_id", "url", "html", "low")
-    return joined.mapInPandas(texts, "page_id long, url string, text string, n_chars long")
+    told = materialize(low.groupBy("host").agg(F.collect_set("style").alias("low")))  # of a site's templates
+
+    @F.pandas_udf("string")
+    def main_text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for page, low in batches:
+            yield pd.Series([" ".join(text for style, text in content_blocks(p) if g is None or style not in g) for p, g in zip(page, low, strict=True)], dtype=str)
+
+    size = told.agg(F.sum(F.length(F.array_join("low", " ")) + F.length("host"))).first()[0] or 0
+    hosted = _hosted(pages, id_col, url_col, html_col)
+    if size <= BROADCAST_CHARS:
+        joined = hosted.join(F.broadcast(told), "host", "left")
+    else:  # every host's pages go to SALTS tasks
+        salted = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = hosted.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    found = joined.select("page_id", "url", main_text("html", "low").alias("text"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))

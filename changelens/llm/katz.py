@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changelens.llm.common import bucket_of, materialize, texts
+from changelens.llm.common import NO_ID, bucket_of, materialize, texts
 
 LARGE = 5
 BLOCK_TOKENS = 4_000_000
@@ -142,12 +142,12 @@ def model_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             return pd.DataFrame([made], columns=[c.split()[0] for c in TEXTS.split(", ")])
 
         for batch in batches:
-            for doc_id, text, train, out in zip(batch.doc_id.astype("Int64").tolist(), batch.text, batch.train, batch.held_out, strict=True):
+            for doc_id, text, train, out in zip(batch.doc_id.tolist(), batch.text, batch.train, batch.held_out, strict=True):
                 words = text.encode("utf-8", "replace").lower().split()
                 part = np.zeros(len(words) + 1, "<u4")  # the end is word 0
                 part[:-1] = np.fromiter(map(known.__getitem__, words), np.uint32, len(words))
                 parts.append(part)
-                rows.append((None if doc_id is pd.NA else doc_id, bool(train), bool(out), len(part)))
+                rows.append((doc_id, bool(train), bool(out), len(part)))
                 size += len(part)
                 if size >= BLOCK_TOKENS:
                     yield block()
@@ -156,7 +156,7 @@ def model_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield block()
 
     fold = bucket_of("doc_id", folds)
-    marked = texts(docs, id_col, text_col).select("doc_id", "text", F.coalesce(fold != held_out, F.lit(False)).alias("train"), F.coalesce(fold == held_out, F.lit(False)).alias("held_out"))
+    marked = texts(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text", F.coalesce(fold != held_out, F.lit(False)).alias("train"), F.coalesce(fold == held_out, F.lit(False)).alias("held_out"))
     return marked.mapInPandas(make, TEXTS)
 
 
@@ -317,12 +317,13 @@ def score(docs: DataFrame, order: int = 2, id_col: str = "doc_id", text_col: str
         base = np.log10((seen + 0.5) / (levels.tokens + 0.5 * (levels.distinct + 1)))
         model = np.log10(_probabilities(block, levels, told, order))
         add = lambda values: np.add.reduceat(values, block.starts)
-        out = {"doc_id": pd.array(row.doc_ids, "Int64"), "held_out": row.held_out, "n_tokens": block.lengths, "n_known": add((seen > 0).astype(np.int64))}
+        out = {"doc_id": row.doc_ids, "held_out": row.held_out, "n_tokens": block.lengths, "n_known": add((seen > 0).astype(np.int64))}
         return pd.DataFrame(out | {"train_tokens": levels.tokens, "base_score": add(base), "score": add(model)})
 
-    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
+    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(
         final, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
+    return scored.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def _summaries(answers: DataFrame) -> DataFrame:

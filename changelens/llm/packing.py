@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changelens.llm.common import materialize, texts
+from changelens.llm.common import NO_ID, materialize, texts
 
 #: Texts that are not simply words after single spaces.
 UNEVEN = re.compile(r" (\s|\Z)|\0")
@@ -119,17 +119,20 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int =
     A null or empty text is one piece of the end id. ``tokenizer`` is the path of a vocabulary file that every executor has.
     """
 
-    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kept = ", ids: array<int>" if keep_ids else ""
+
+    @F.pandas_udf(f"array<struct<start: bigint, length: bigint, ids_crc32: bigint{kept}>>")
+    def make(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encode, end = encoder(tokenizer).encode, np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            rows = []
-            for doc_id, ids in zip(batch.doc_id.tolist(), encode(batch.text.tolist()), strict=True):
-                for number, (start, part) in enumerate(cut(ids + end, capacity)):
-                    rows.append((doc_id, number, start, len(part) // 4, zlib.crc32(part), *([np.frombuffer(part, "<u4").astype(np.int32)] if keep_ids else [])))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if keep_ids else [])])
-            yield out.astype({"doc_id": "Int64"})
+            out = []
+            for ids in encode(batch.tolist()):
+                parts = [{"start": start, "length": len(part) // 4, "ids_crc32": zlib.crc32(part)} | ({"ids": np.frombuffer(part, "<i4")} if keep_ids else {}) for start, part in cut(ids + end, capacity)]
+                out.append(parts)
+            yield pd.Series(out)
 
-    return texts(docs, id_col, text_col).mapInPandas(make, PIECES + (", ids array<int>" if keep_ids else ""))
+    made = texts(docs, id_col, text_col).select("doc_id", F.posexplode(make("text")).alias("piece", "p"))
+    return made.select("doc_id", "piece", "p.*")
 
 
 def best_two_fit(counts: np.ndarray) -> Iterator[tuple[tuple[int, ...], int]]:
@@ -202,16 +205,16 @@ def pack(pieces: DataFrame, capacity: int = 1024, block_pieces: int = 25_000) ->
     part = pieces.select("doc_id", "piece", "start", "length", "ids_crc32")
     count = part.filter(F.col("length") < capacity).count()
     blocks = max(1, math.ceil(count / block_pieces))
-    dealt = part.filter(F.col("length") < capacity).withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(blocks)))
+    dealt = part.filter(F.col("length") < capacity).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(blocks)))
     schema = f"{PIECES}, sequence_id long, offset long"
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
         number = int(block.block.iloc[0])
         packed = _pack_block(block, capacity)
         packed["sequence_id"] = packed.sequence_id * blocks + number
-        return packed.drop(columns="block").astype({"doc_id": "Int64"})
+        return packed.drop(columns="block")
 
-    packed = dealt.groupBy("block").applyInPandas(run, schema)
+    packed = dealt.groupBy("block").applyInPandas(run, schema).withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
     full = part.filter(F.col("length") == capacity).select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.unionByName(full)
 

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changelens.llm.common import materialize, shingle_hashes, texts, tokens
+from changelens.llm.common import NO_ID, materialize, shingle_hashes, texts, tokens
 from changelens.llm.components import components
 from changelens.operators.grouping import broadcast_if_small
 
@@ -100,14 +100,12 @@ def classes(
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for values in batch.s:
-                distinct = np.unique(np.asarray(values, np.int64).view(np.uint64))
-                rows.append((xxhash.xxh64_intdigest(distinct.tobytes()) - 2**63, _labels(distinct, trees, depth, salt)) if len(distinct) else (None, None))
-            out = pd.DataFrame(rows, columns=["node", "labels"])
-            yield pd.DataFrame({"doc_id": batch.doc_id.astype("Int64"), "node": out.node.astype("Int64"), "labels": out.labels})
-
-    signed = materialize(own.mapInPandas(sign, "doc_id long, node long, labels array<long>"))
+            sets = [np.unique(np.asarray(values, np.int64).view(np.uint64)) for values in batch.s]
+            node = [xxhash.xxh64_intdigest(s.tobytes()) - 2**63 if len(s) else None for s in sets]
+            yield pd.DataFrame({"doc_id": batch.doc_id, "node": pd.array(node, "Int64"), "labels": [_labels(s, trees, depth, salt) if len(s) else None for s in sets]})
+
+    signed = own.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).mapInPandas(sign, "doc_id long, node long, labels array<long>")
+    signed = materialize(signed.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID))))
     nodes = materialize(signed.filter("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.first("labels").alias("labels")))
     placed = nodes.select("node", F.explode("labels").alias("bucket"))
     buckets = placed.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1")
