@@ -221,7 +221,10 @@ def pack(pieces: DataFrame, capacity: int = 1024, block_pieces: int = 25_000) ->
 
 def sequences(pieces: DataFrame, packed: DataFrame) -> DataFrame:
     """The packed token ids: ``sequence_id``, ``ids`` and the ``doc_ids`` and ``starts`` of its parts; a sequence has at most capacity tokens."""
-    joined = packed.join(pieces.select("doc_id", "piece", "start", "ids_crc32", "ids").dropDuplicates(["doc_id", "piece", "start", "ids_crc32"]), ["doc_id", "piece", "start", "ids_crc32"])
+    keys = ["doc_id", "piece", "start", "ids_crc32"]
+    one = pieces.select(*keys, "ids").dropDuplicates(keys).alias("o")
+    same = [F.col(f"k.{c}").eqNullSafe(F.col(f"o.{c}")) for c in keys]
+    joined = packed.alias("k").join(one, same[0] & same[1] & same[2] & same[3]).select("k.sequence_id", "k.offset", "k.doc_id", "o.ids")
     parts = F.sort_array(F.collect_list(F.struct("offset", "doc_id", "ids")))
     return joined.groupBy("sequence_id").agg(parts.alias("p")).select(
         "sequence_id", F.flatten("p.ids").alias("ids"), F.col("p.doc_id").alias("doc_ids"), F.col("p.offset").alias("starts")
