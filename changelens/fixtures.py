@@ -283,12 +283,17 @@ def secret_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-VIEWS["f_secrets"] = f"""f_secrets AS (
-  SELECT repo, sha, filename, doc_id, CAST(i + 1 AS INTEGER) AS line, x AS plain,
+#: An assigned value of 32 hex digits or more, as the documents hold some, for DuckDB.
+HEX_SQL = """'(?i:(?:password|passwd|secret|api_?key|token)\\w*["'']?\\s*[:=]\\s*)["'']?[0-9a-fA-F]{32,}\\b["'']?'"""
+VIEWS["f_secret_lines"] = f"""f_secret_lines AS (
+  SELECT repo, sha, filename, doc_id, CAST(i + 1 AS INTEGER) AS line, regexp_replace(x, {HEX_SQL}, '[REDACTED:assigned_hex]', 'g') AS plain, len(regexp_extract_all(x, {HEX_SQL})) AS hexes,
     list_extract(['github_token', 'github_token', 'aws_access_key', 'slack_token', 'google_api_key', 'api_key', 'bearer_token', 'private_key', 'assigned_secret'], no + 1) AS kind
   FROM (SELECT *, {_SECRET_NO.replace(' div ', ' // ').replace(' AS int)', ' AS INTEGER)')} AS no FROM (
     SELECT lang AS repo, 'c' || (doc_id // 200) AS sha, doc_id, {_filename("[]", "//")} AS filename,
       unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i FROM documents)))"""
+VIEWS["f_secrets"] = """f_secrets AS (
+  SELECT repo, sha, filename, doc_id, line, kind, 0 AS seq FROM f_secret_lines WHERE kind IS NOT NULL
+  UNION ALL SELECT repo, sha, filename, doc_id, line, 'assigned_hex', CASE WHEN kind IS NULL THEN 0 ELSE 1 END FROM f_secret_lines WHERE hexes > 0)"""
 
 
 # ----------------------------------------------------------------------------- source repositories ---

@@ -99,7 +99,8 @@ def _sql_count(text: str, chars: str) -> str:
 
 
 _OPEN_PY = "array<struct<name:string,kind:string,indent:int,start:int,sig:int,container:string>>"
-_PY_HEADER = quote(r"(?U)^\s*(?:async\s+)?(def|class)\s+([^\W\d]\w*)")
+_PY_HEADER_PATTERN = r"(?U)^\s*(?:async\s+)?(def|class)\s+([^\W\d]\w*)"
+_PY_HEADER = quote(_PY_HEADER_PATTERN)
 
 
 def _python_definitions(blanked: str) -> str:
@@ -166,6 +167,37 @@ _HEADERS = {
         ("method", rf"({_ANNOTATED}{_MODIFIED}(?:<[^;{{}}()]*>\s*)?(?:{_JAVA_TYPE}\s+)?{_KEYWORD}({_WORD})\s*{_ARGS}\s*(?:throws\s+[\w.,\s$]+)?)\z", True),
     ),
 }
+
+
+@built_once
+def header_names(rows: ColumnLike, family: ColumnLike) -> Column:
+    """Names of the definitions whose header stands in a row by itself; an argument list that goes on in the next row is closed."""
+
+    def of(fam: str) -> Column:
+        if fam == "python":
+            found = F.transform(as_column(rows), lambda row: F.regexp_extract(row, _PY_HEADER_PATTERN, 2))
+            return F.filter(found, lambda name: name != "")
+
+        def header(row: Column) -> Column:
+            head = F.regexp_replace(F.substring_index(row, "{", 1), r"=>(?!.*=>).*$", "=> ")
+            missing = F.greatest(_count(head, "(") - _count(head, ")"), F.lit(0))
+            return F.concat(F.regexp_replace(head, r"^\s*(?:(?:export|default)\s+)*", ""), F.repeat(F.lit(")"), missing))
+
+        def names(row: Column) -> Column:
+            # without its block a method is told from a call by what stands before its name
+            stated = F.contains(row, F.lit("{")) | (F.lit(fam == "java") & ~row.rlike(r"^\s*(?:return|new|throw|else|await|case)\b") & row.rlike(r"^\s*[\w<>\[\],.]+\s+[^=]*\("))
+
+            def name(head: Column, kind: str, pattern: str) -> Column:
+                found = F.regexp_extract(head, "(?U)^" + pattern, 2)
+                return F.when(stated, found).otherwise("") if kind == "method" else found
+
+            return let(header(row), lambda head: F.array(*[name(head, kind, pattern) for kind, pattern, _ in _HEADERS[fam]]))
+
+        return F.filter(F.flatten(F.transform(as_column(rows), names)), lambda name: (name != "") & ~name.isin(*rules.NOT_DEFINITIONS))
+
+    return by_family(family, of, F.array().cast("array<string>"))
+
+
 # statements that define something without a block of their own
 _STATEMENTS = {
     "js": (

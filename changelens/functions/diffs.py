@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from changelens import rules
+from changelens.functions import code
 from changelens.functions.text import as_column, built_once, ColumnLike, let, normalize_breaks, split_lines
 
 _HEADER_AHEAD = r"\n(?=" + rules.HUNK_HEADER[1:] + ")"
@@ -167,25 +168,9 @@ def added_texts(patch: ColumnLike) -> Column:
     return F.transform(rows, lambda r: F.substring(r, 2, 2147483647))
 
 
-@built_once
 def defined_names(texts: ColumnLike, family: ColumnLike) -> Column:
-    """Distinct definition names found by pattern in single rows, for the language family of the row's file."""
-
-    def by_family(patterns: tuple[str, ...]) -> Column:
-        found = F.flatten(
-            F.transform(
-                as_column(texts),
-                lambda t: F.array(*[F.regexp_extract(t, "(?U)" + pattern, 1) for pattern in patterns]),
-            )
-        )
-        return F.array_distinct(
-            F.filter(found, lambda name: (name != "") & ~name.isin(*rules.NOT_DEFINITIONS))
-        )
-
-    result = F.array().cast("array<string>")
-    for name, patterns in rules.DEFINITION_PATTERNS.items():
-        result = F.when(as_column(family) == name, by_family(patterns)).otherwise(result)
-    return result
+    """Distinct names of the definitions whose header starts in one of the rows, by the header grammar of the rows' family."""
+    return F.array_distinct(code.header_names(texts, family))
 
 
 def excerpt(annotated: ColumnLike, line: ColumnLike, context: int = 15, fallback: int = 60) -> Column:

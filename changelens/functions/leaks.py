@@ -36,9 +36,8 @@ def secret_kinds(text: ColumnLike, secret_rules: Rules = rules.SECRET_RULES) ->
     original = as_column(text)
 
     def kinds(redacted: Column) -> Column:
-        marks = [(kind, F.lit(placeholder(kind))) for kind, _ in secret_rules]
-        return F.array_compact(
-            F.array(*[F.when(F.contains(redacted, mark) & ~F.contains(original, mark), F.lit(kind)) for kind, mark in marks])
-        )
+        marks = [(kind, F.lit(r"\Q" + placeholder(kind) + r"\E")) for kind, _ in secret_rules]
+        more = [F.when(F.regexp_count(redacted, mark) > F.regexp_count(original, mark), F.lit(kind)) for kind, mark in marks]
+        return F.array_compact(F.array(*more))
 
     return let(redact(original, secret_rules), kinds)

@@ -70,7 +70,13 @@ def is_sensitive_path(path: ColumnLike) -> Column:
 
 @built_once
 def is_test_path(path: ColumnLike) -> Column:
-    return posix(path).rlike(rules.TEST_PATH)
+    """A folder or file of a test name, or a file whose name says so before its suffix."""
+    parts = F.split(F.lower(posix(path)), "/")
+    name = F.element_at(parts, -1)
+    stem = F.when(F.element_at(F.split(name, r"\."), -1).rlike("^[a-z0-9]+$"), F.regexp_replace(name, r"\.[^.]*$", ""))
+    named = F.exists(_any_of(rules.TEST_ENDINGS), lambda ending: F.endswith(stem, ending)) & F.contains(name, F.lit("."))
+    starts = F.startswith(name, F.lit(rules.TEST_START)) & (F.length(name) > len(rules.TEST_START))
+    return F.arrays_overlap(parts, _any_of(rules.TEST_PARTS)) | starts | F.coalesce(named, F.lit(False))
 
 
 def valid_repo(repo: ColumnLike) -> Column:
@@ -93,10 +99,14 @@ def repo_allowed(repo: ColumnLike, allowed: tuple[str, ...] = ()) -> Column:
     return F.lower(as_column(repo)).isin(*[name.lower() for name in allowed])
 
 
+#: Between a small letter or digit and a capital, before the last capital of a run, and between a capital and a digit.
+CAMEL_BORDER = "(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])|(?<=[A-Z])(?=[0-9])"
+
+
 def path_tokens(path: ColumnLike) -> Column:
     """Distinct lower-case words of a path, split at separators and at camel-case borders."""
-    words = F.regexp_extract_all(as_column(path), F.lit(f"({rules.PATH_WORD})"), 1)
-    return F.array_distinct(F.transform(words, F.lower))
+    words = F.split(as_column(path), CAMEL_BORDER + "|[^A-Za-z0-9]+")
+    return F.array_distinct(F.transform(F.filter(words, lambda word: word != ""), F.lower))
 
 
 @built_once

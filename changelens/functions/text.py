@@ -140,20 +140,27 @@ def cache_key(*parts: ColumnLike) -> Column:
     return F.sha2(F.concat(*ended), 256)
 
 
+def _finding(line: Column) -> Column:
+    """The parts of a line that a report starts a finding with; null for other lines."""
+    said = F.trim(F.translate(line, "\t\r", "  "))
+    said = F.when(F.startswith(said, F.lit("- ")), F.ltrim(F.substring(said, 3, 2147483647))).otherwise(said)
+    tag = F.when(F.startswith(said, F.lit("**[")) & F.contains(said, F.lit("]** ")), F.substring(F.substring_index(said, "]** ", 1), 4, 2147483647))
+    severity, category = F.substring_index(tag, "/", 1), F.substring(tag, F.instr(tag, "/") + 1, F.length(tag))
+    rest = F.substring(said, F.length(tag) + 8, F.length(said))
+    place = F.when(F.endswith(rest, F.lit("`")) & F.contains(rest, F.lit(" — `")), F.substring_index(F.rtrim(F.regexp_replace(rest, "`$", "")), " — `", -1))
+    place = F.when((place != "") & ~F.contains(place, F.lit("`")), place).otherwise("")
+    title = F.when(place != "", F.substring(rest, F.lit(1), F.length(rest) - F.length(place) - 5)).otherwise(rest)
+    valid = severity.isin(*rules.SEVERITIES) & category.rlike("^[a-z]+$")
+    return F.when(valid, F.struct(
+        severity.alias("severity"), category.alias("category"), clean_memory_text(title, 160).alias("title"), clean_memory_text(place, 120).alias("location"),
+    ))
+
+
 @built_once
-def parse_report_findings(body: ColumnLike, limit: int = 5) -> Column:
-    """Finding lines of an earlier report, at most ``limit``, as an array of structs."""
-    found = F.filter(split_lines(body), lambda line: line.rlike(rules.FINDING_LINE))
-    part = lambda line, group: F.regexp_extract(line, rules.FINDING_LINE, group)
-    return F.transform(
-        F.slice(found, 1, limit),
-        lambda line: F.struct(
-            part(line, 1).alias("severity"),
-            part(line, 2).alias("category"),
-            clean_memory_text(part(line, 3), 160).alias("title"),
-            clean_memory_text(part(line, 4), 120).alias("location"),
-        ),
-    )
+def parse_report_findings(body: ColumnLike, limit: int | None = None) -> Column:
+    """Finding lines of an earlier report as an array of structs: all, or the first ``limit``."""
+    found = F.filter(F.transform(split_lines(body), _finding), lambda finding: finding.isNotNull())
+    return found if limit is None else F.slice(found, 1, limit)
 
 
 def message_text(parts: ColumnLike) -> Column:

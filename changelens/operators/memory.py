@@ -94,9 +94,9 @@ def learn_feedback(comments: DataFrame, reactions: DataFrame, logins: DataFrame,
     )
 
 
-def digest(content: str, limit: int = 20_000) -> Column:
-    """Hash of the redacted head of a convention document; the limit is part of what is remembered."""
-    return F.sha2(leaks.redact(F.substring(content, 1, limit)), 256)
+def digest(content: str) -> Column:
+    """Hash of a whole convention document without its credentials."""
+    return F.sha2(leaks.redact(content), 256)
 
 
 def changed_conventions(documents: DataFrame, state: DataFrame) -> DataFrame:

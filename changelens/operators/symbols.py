@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changelens import rules
@@ -121,12 +121,13 @@ def touched_symbols(per_file: DataFrame) -> DataFrame:
     return per_file.select(*FILE, F.inline("symbols"))
 
 
-def removed_symbols(per_file: DataFrame, per_file_cap: int = 4) -> DataFrame:
-    """Names that no file of the change defines any more; capped per file by name, then short names are dropped."""
+def removed_symbols(per_file: DataFrame, per_file_cap: int | None = None) -> DataFrame:
+    """Names of three letters or more that no file of the change defines any more: all, or the first of a file by name."""
     added = per_file.select(*REVIEW, F.explode("added_names").alias("name")).distinct()
-    gone = per_file.select(*FILE, F.explode("removed").alias("name")).join(added, [*REVIEW, "name"], "left_anti")
-    capped = first_per_group(gone.distinct(), FILE, [F.col("name")], per_file_cap).filter(F.length("name") >= 3)
-    return capped.select(
+    gone = per_file.select(*FILE, F.explode("removed").alias("name")).filter(F.length("name") >= 3).distinct()
+    gone = gone.join(added, [*REVIEW, "name"], "left_anti")
+    kept = gone if per_file_cap is None else first_per_group(gone, FILE, [F.col("name")], per_file_cap)
+    return kept.select(
         *FILE, "name", F.lit("function").alias("kind"), F.lit(0).alias("start_line"), F.lit(0).alias("end_line"),
         F.lit("removed").alias("change"), F.col("name").alias("search_name"), F.lit("").alias("container"),
     )
@@ -139,16 +140,18 @@ def change_rank(column: str = "change") -> Column:
     return rank
 
 
-def top_symbols(symbols: DataFrame, k: int = 6) -> DataFrame:
-    """The first ``k`` symbols of every file by (signature, removed, body), start line; ``rank`` is kept."""
+def top_symbols(symbols: DataFrame, k: int | None = None) -> DataFrame:
+    """Symbols of every file ranked by (signature, removed, body), start line: all, or the first ``k``; ``rank`` is kept."""
     order = [change_rank(), F.col("start_line"), F.col("end_line"), F.col("name")]
-    return first_per_group(symbols, FILE, order, k, "rank")
+    if k is not None:
+        return first_per_group(symbols, FILE, order, k, "rank")
+    return symbols.withColumn("rank", F.row_number().over(Window.partitionBy(*FILE).orderBy(*order)))
 
 
-def searched_names(symbols: DataFrame, k: int = 40) -> DataFrame:
-    """The first ``k`` names of every review in alphabetical order."""
+def searched_names(symbols: DataFrame, k: int | None = None) -> DataFrame:
+    """The names of every review: all, or the first ``k`` in alphabetical order."""
     names = symbols.select(*REVIEW, F.col("search_name").alias("name")).filter(F.col("name").rlike(rules.IDENTIFIER)).distinct()
-    return first_per_group(names, REVIEW, [F.col("name")], k)
+    return names if k is None else first_per_group(names, REVIEW, [F.col("name")], k)
 
 
 @built_once
@@ -170,26 +173,20 @@ def located_hits(references: str, definitions: str, lines: str) -> Column:
     return F.transform(references, located)
 
 
-def scan(source_files: DataFrame, names: DataFrame, max_scan: int = 20_000, max_parse: int = 400) -> DataFrame:
-    """Files that mention a searched name, with what the scan learned about them; ``incomplete`` marks a cut scan.
+def scan(source_files: DataFrame, names: DataFrame, max_scan: int | None = None, max_parse: int | None = None) -> DataFrame:
+    """Files that mention a searched name, with what the scan learned about them.
 
-    The text is read once and dropped in the same stage: only names, uses, definitions and imports go on. Which files
-    count is decided by path order: the first ``max_scan`` files of a review are looked at, the first ``max_parse`` with
-    a mention are kept. Both cuts work on paths or on small rows, never on text.
+    All files of a review count. With ``max_scan`` only its first files by path are looked at, with ``max_parse`` only the first with a mention are
+    kept; ``incomplete`` then marks a cut scan. The text is read once and dropped in the same stage: only names, uses, definitions and imports go on.
     """
     sources = source_files.filter(paths.language_of("path").isNotNull())
-    extent = sources.groupBy(*REVIEW).agg(F.count(F.lit(1)).alias("n_files"), F.max("path").alias("last_path"))
+    extent = sources.groupBy(*REVIEW).agg(F.max("path").alias("last_path"))
+    if max_scan is not None:
+        ranked = first_per_group(sources.select(*REVIEW, "path"), REVIEW, [F.col("path")], max_scan)
+        extent = ranked.groupBy(*REVIEW).agg(F.max("path").alias("last_path"))
     grouped = names.groupBy(*REVIEW).agg(F.sort_array(F.collect_list("name")).alias("names"))
-    wanted = materialize(grouped.join(extent, list(REVIEW)))
-    largest = wanted.agg(F.max("n_files")).first()[0] or 0
-    if largest > max_scan:
-        # reviews above the scan cap are rare: only their paths are ranked
-        large = wanted.filter(F.col("n_files") > max_scan).select(*REVIEW)
-        ranked_paths = sources.select(*REVIEW, "path").join(large, list(REVIEW), "left_semi")
-        cut = first_per_group(ranked_paths, REVIEW, [F.col("path")], max_scan).groupBy(*REVIEW).agg(F.max("path").alias("cut_path"))
-        wanted = wanted.join(cut, list(REVIEW), "left").withColumn("last_path", F.coalesce("cut_path", "last_path"))
-    # one row per review with at most max_names names: broadcast while that is small, so that no text is shuffled
-    wanted = broadcast_if_small(wanted.select(*REVIEW, "names", "last_path"), 10_000)
+    # one row per review: broadcast while these are few, so that no text is shuffled
+    wanted = broadcast_if_small(materialize(grouped.join(extent, list(REVIEW))), 10_000)
     # a left join, so that only the small side can be broadcast (when its size allows) and texts keep their partitions
     mentioning = (
         sources.join(wanted, list(REVIEW), "left")
@@ -206,8 +203,10 @@ def scan(source_files: DataFrame, names: DataFrame, max_scan: int = 20_000, max_
         F.filter("definitions", lambda d: F.array_contains("names", d["name"])).alias("definitions"),
         F.when(F.size("references") > 0, F.col("imports")).otherwise(F.array().cast(f"array<{code.IMPORT}>")).alias("imports"),
     )
+    if max_parse is None:
+        return slim.withColumn("incomplete", F.lit(False)).drop("last_path")
     kept = first_per_group(slim, REVIEW, [F.col("path")], max_parse, "parsed_rank")
-    return kept.withColumn("incomplete", (F.col("parsed_rank") == max_parse) & (F.col("path") < F.col("last_path"))).drop("last_path")
+    return kept.withColumn("incomplete", (F.col("parsed_rank") == max_parse) & (F.col("path") < F.col("last_path"))).drop("last_path", "parsed_rank")
 
 
 def definers(scanned: DataFrame) -> DataFrame:

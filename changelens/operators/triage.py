@@ -68,8 +68,8 @@ def select_files(candidates: DataFrame, max_files: int, max_total_chars: int, ma
     )
 
 
-def secret_hits(files: DataFrame, per_file: int | None = 5) -> DataFrame:
-    """(repo, sha, filename, line, kind) for credentials on added rows; distinct, the first ``per_file`` of a file."""
+def secret_hits(files: DataFrame, per_file: int | None = None) -> DataFrame:
+    """(repo, sha, filename, line, kind) for credentials on added rows; distinct, of a file all or the first ``per_file``."""
     rows = F.filter(diffs.patch_rows("patch"), lambda r: r["op"] == "+")
     found = F.flatten(
         F.transform(

@@ -17,18 +17,18 @@ class Options:
     max_file_chars: int = 24_000
     max_chunk_chars: int = 12_000
     max_commits_per_push: int = 5
-    max_symbols_per_file: int = 6
-    max_removed_per_file: int = 4
-    max_names: int = 40
+    max_symbols_per_file: int | None = None
+    max_removed_per_file: int | None = None
+    max_names: int | None = None
     max_callers: int = 4
     max_callers_body: int = 2
-    max_scan_files: int = 20_000
-    max_parse_files: int = 400
+    max_scan_files: int | None = None
+    max_parse_files: int | None = None
     evidence_chars: int = 7_000
     max_headlines: int = 8
     max_findings_per_chunk: int = 8
     max_findings_per_file: int = 12
-    max_secrets_per_file: int = 5
+    max_secrets_per_file: int | None = None
     max_inline: int = 50
     verify_max_findings: int = 10
     max_comment_chars: int = 60_000

@@ -29,7 +29,7 @@ def learn(
     """
     changed = mem.changed_conventions(documents, state)
     conventions = changed.select(
-        "repo", F.concat(F.lit("convention:"), "path").alias("document_id"), leaks.redact(F.substring("content", 1, 20_000)).alias("text"),
+        "repo", F.concat(F.lit("convention:"), "path").alias("document_id"), leaks.redact("content").alias("text"),
         "key", F.col("digest").alias("value"), F.lit("conventions").alias("namespace"),
     )
     feedback = mem.learn_feedback(comments, reactions, logins, state, me).withColumn("namespace", F.lit("feedback"))

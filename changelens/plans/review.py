@@ -37,8 +37,8 @@ def triage(changed_files: DataFrame, options: Options = DEFAULTS) -> Triage:
     skipped = sorted_out.filter(F.col("reason").isNotNull()).select(*FILE, "reason").unionByName(
         ranked.filter("NOT selected").select(*FILE, "reason")
     )
-    kept = selected.withColumn("patch", diffs.trim_patch("patch", options.max_file_chars)["text"])
-    rules = tr.secret_findings(tr.secret_hits(kept, options.max_secrets_per_file)).unionByName(tr.sensitive_file_findings(sorted_out))
+    candidates = sorted_out.filter(F.col("reason").isNull())  # whole patches of all of them, whatever the budget selects
+    rules = tr.secret_findings(tr.secret_hits(candidates, options.max_secrets_per_file)).unionByName(tr.sensitive_file_findings(sorted_out))
     return Triage(selected, skipped, rules)
 
 

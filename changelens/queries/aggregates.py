@@ -140,7 +140,7 @@ def publishable(spark, d):
     return fd.publishable(fd.review_complete(fx.responses(spark, d), ruled))
 
 
-@query("E16_impact_stats", with_views(f"""WITH names AS (SELECT repo, name FROM (SELECT repo, name, row_number() OVER (PARTITION BY repo ORDER BY name) AS n FROM (SELECT DISTINCT repo, name FROM f_symbols)) WHERE n <= 40),
+@query("E16_impact_stats", with_views(f"""WITH names AS (SELECT DISTINCT repo, name FROM f_symbols),
 f AS (SELECT repo, count(DISTINCT path) AS files_parsed FROM (SELECT repo, path, name FROM f_references UNION ALL SELECT repo, path, name FROM f_definitions) JOIN names USING (repo, name) GROUP BY repo)
 SELECT s.repo, 'c0' AS sha, count(*) AS symbols, (SELECT count(*) FROM names n WHERE n.repo = s.repo) AS names, any_value(f.files_parsed) AS files_parsed, false AS incomplete
 FROM f_symbols s JOIN f USING (repo) GROUP BY s.repo""", *TIER_VIEWS))

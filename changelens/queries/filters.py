@@ -46,8 +46,7 @@ def sensitive_path(spark, d):
     return files.select("path", paths.is_sensitive_path("path").alias("sensitive"))
 
 
-@query("B3_test_path", with_views(f"""WITH {_BASE} SELECT path, regexp_matches(path, '(?i)(^|/)(tests?|__tests__|spec|e2e)(/|$)')
-  OR regexp_matches(path, '(?i)(_test|\\.test|\\.spec)\\.[a-z0-9]+$') OR regexp_matches(path, '(?i)(^|/)test_[^/]+$') AS is_test FROM b""", "v_changed_files"))
+@query("B3_test_path", with_views(f"""WITH {_BASE} SELECT path, list_has_any(string_split(lower(path), '/'), ['test', 'tests', '__tests__', 'spec', 'e2e']) OR regexp_matches(lower(regexp_extract(path, '[^/]*$')), '^test_.') OR regexp_matches(lower(path), '(_|[.])test[.][a-z0-9]+$|[.]spec[.][a-z0-9]+$') AS is_test FROM b""", "v_changed_files"))
 def test_path(spark, d):
     return _paths(spark, d).select("path", paths.is_test_path("path").alias("is_test"))
 

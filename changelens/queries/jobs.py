@@ -219,12 +219,12 @@ SELECT r.repo, 'feedback:' || r.kind || ':' || comment_id AS document_id FROM ra
 WHERE rating IS NOT NULL AND comment_id % 4 <> 0 AND marked AND own AND reaction_total > 0
 UNION ALL SELECT lang, 'convention:d' || doc_id FROM documents WHERE doc_id % 3 <> 0""", "v_reactions", "v_comments"))
 def learn(spark, d):
-    docs = fx.table(spark, d, "documents").selectExpr("lang AS repo", "'d' || doc_id AS path", "text AS content", "doc_id")
-    stored = docs.filter("doc_id % 3 = 0").selectExpr(
-        "'conventions' AS namespace", "concat_ws(':', repo, path) AS key", "sha2(substring(content, 1, 20000), 256) AS value", "timestamp_seconds(0) AS ts", "cast(0 AS bigint) AS seq"
-    ).unionByName(feedback_state(ratings(spark, d)).selectExpr("namespace", "key", "value", "timestamp_seconds(0) AS ts", "cast(0 AS bigint) AS seq"))
     from changelens.operators import memory
 
+    docs = fx.table(spark, d, "documents").selectExpr("lang AS repo", "'d' || doc_id AS path", "text AS content", "doc_id")
+    stored = docs.filter("doc_id % 3 = 0").withColumn("digest", memory.digest("content")).selectExpr(
+        "'conventions' AS namespace", "concat_ws(':', repo, path) AS key", "digest AS value", "timestamp_seconds(0) AS ts", "cast(0 AS bigint) AS seq"
+    ).unionByName(feedback_state(ratings(spark, d)).selectExpr("namespace", "key", "value", "timestamp_seconds(0) AS ts", "cast(0 AS bigint) AS seq"))
     logins = memory.trusted_logins(_owners(spark, d), "Bot-Me", ("U5",))
     learned = learning.learn(docs.drop("doc_id"), fx.comments(spark, d), repo_reactions(spark, d), logins, stored, "bot-me")
     return learned.items.select("repo", "document_id")

@@ -66,8 +66,7 @@ def scan_all(spark, d):
     return found, materialize(symbols.scan(fx.source_files(spark, d), symbols.searched_names(found)))
 
 
-# the names kept per repository: the first forty in alphabetical order
-NAMES = "names AS (SELECT repo, name FROM (SELECT repo, name, row_number() OVER (PARTITION BY repo ORDER BY name) AS n FROM (SELECT DISTINCT repo, name FROM f_symbols)) WHERE n <= 40)"
+NAMES = "names AS (SELECT DISTINCT repo, name FROM f_symbols)"
 
 
 @query("D5_filter_references", with_views(f"WITH {NAMES} SELECT repo, path, name, line, kind FROM f_references JOIN names USING (repo, name)", "f_symbols", "f_references"))

@@ -102,14 +102,21 @@ def changed_trees(spark, d):
     return diff.line_diff(*_trees(spark, d))[0]
 
 
-@query("C7_scan_secrets", with_views("SELECT repo, sha, filename, doc_id, line, kind FROM f_secrets WHERE kind IS NOT NULL", "f_secrets"))
+@query("C7_scan_secrets", with_views("SELECT repo, sha, filename, doc_id, line, kind FROM f_secrets", "f_secret_lines", "f_secrets"))
 def scan_secrets(spark, d):
     lines = fx.secret_lines(spark, d)
     return unnest(lines, ["repo", "sha", "filename", "doc_id", "line"], leaks.secret_kinds("text")).withColumnRenamed("item", "kind")
 
 
-@query("C8_redact", with_views("""SELECT doc_id, line, CASE WHEN kind IS NULL THEN 0 ELSE 1 END AS n, CASE kind WHEN 'aws_access_key' THEN plain || ' [REDACTED:aws_access_key] '
-  WHEN 'assigned_secret' THEN plain || ' [REDACTED:assigned_secret]' ELSE plain || ' [REDACTED:' || kind || ']' END AS redacted FROM f_secrets WHERE kind IS NOT NULL""", "f_secrets"))
+@query("C7_scan_documents", f"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, {fx.HEX_SQL})) AS hit FROM documents) GROUP BY doc_id")
+def scan_documents(spark, d):
+    """The credentials that the documents hold themselves."""
+    found = fx.table(spark, d, "documents").select("doc_id", leaks.redaction_count(leaks.redact("text"), "text").cast("long").alias("n"))
+    return found.filter("n > 0")
+
+
+@query("C8_redact", with_views("""SELECT doc_id, line, hexes + CASE WHEN kind IS NULL THEN 0 ELSE 1 END AS n, CASE WHEN kind IS NULL THEN plain ELSE CASE kind WHEN 'aws_access_key' THEN plain || ' [REDACTED:aws_access_key] '
+  WHEN 'assigned_secret' THEN plain || ' [REDACTED:assigned_secret]' ELSE plain || ' [REDACTED:' || kind || ']' END END AS redacted FROM f_secret_lines WHERE kind IS NOT NULL OR hexes > 0""", "f_secret_lines"))
 def redact(spark, d):
     lines = fx.secret_lines(spark, d).withColumn("redacted", leaks.redact("text"))
     counted = lines.withColumn("n", leaks.redaction_count("redacted", "text"))
@@ -131,8 +138,8 @@ def secret_patches(spark, d):
 
 
 @query("C9_rule_findings", with_views(f"""WITH b AS (SELECT *, lower(regexp_extract(filename, '[^/]*$')) AS name FROM v_changed_files)
-SELECT repo, sha, filename || '#' || line AS filename, 0 AS seq, 1 AS line, 'Possible credential committed: ' || kind AS title FROM f_secrets WHERE kind IS NOT NULL
-UNION ALL SELECT repo, sha, filename, 0, NULL, 'Sensitive file committed: ' || regexp_extract(filename, '[^/]*$') FROM b WHERE status <> 'removed' AND regexp_matches(name, '(^\\.env$|\\.pem$)')""", "f_secrets", "v_changed_files"))
+SELECT repo, sha, filename || '#' || line AS filename, seq, 1 AS line, 'Possible credential committed: ' || kind AS title FROM f_secrets
+UNION ALL SELECT repo, sha, filename, 0, NULL, 'Sensitive file committed: ' || regexp_extract(filename, '[^/]*$') FROM b WHERE status <> 'removed' AND regexp_matches(name, '(^\\.env$|\\.pem$)')""", "f_secret_lines", "f_secrets", "v_changed_files"))
 def rule_findings(spark, d):
     secrets = tr.secret_findings(tr.secret_hits(secret_patches(spark, d)))
     files = tr.sensitive_file_findings(tr.triage(fx.changed_files(spark, d)))
@@ -152,7 +159,7 @@ def path_tokens(spark, d):
 RISK = f"""round(CASE WHEN regexp_extract(name, '[^.].*?(\\.[^.]+)$', 1) IN ({", ".join(f"'{s}'" for s in rules.CODE_SUFFIXES)}) THEN 3.0 ELSE 0 END
   + CASE WHEN name IN ({", ".join(f"'{s}'" for s in rules.CONFIG_NAMES)}) OR starts_with(lower(path), '.github/workflows/') THEN 3.5 ELSE 0 END
   - CASE WHEN regexp_extract(name, '[^.].*?(\\.[^.]+)$', 1) IN ({", ".join(f"'{s}'" for s in rules.DOC_SUFFIXES)}) THEN 2.5 ELSE 0 END
-  - CASE WHEN regexp_matches(path, '(?i)(^|/)(tests?|__tests__|spec|e2e)(/|$)|(_test|\\.test|\\.spec)\\.[a-z0-9]+$|(^|/)test_[^/]+$') THEN 1.5 ELSE 0 END
+  - CASE WHEN list_has_any(string_split(lower(path), '/'), ['test', 'tests', '__tests__', 'spec', 'e2e']) OR regexp_matches(lower(regexp_extract(path, '[^/]*$')), '^test_.') OR regexp_matches(lower(path), '(_|[.])test[.][a-z0-9]+$|[.]spec[.][a-z0-9]+$') THEN 1.5 ELSE 0 END
   + least(4, len(list_filter({list(rules.RISK_TERMS)}, lambda t: list_contains({WORDS}, t) OR (length(t) >= 4 AND len(list_filter({WORDS}, lambda w: starts_with(w, t))) > 0))))
   + least(3.0, (additions + 0.5 * deletions) / 60.0), 6)"""
 
@@ -294,7 +301,7 @@ m AS (SELECT id, kind, repo, i, row_number() OVER (PARTITION BY id ORDER BY i) A
   substring(translate(trim(regexp_replace(x, '[\\s\\p{Z}]+', ' ', 'g')), '<>', '‹›'), 1, 160) AS title, CASE WHEN i % 2 = 0 THEN 'src/f' || conv_id || '.py:' || (i + 1) ELSE '' END AS location FROM l WHERE i % 3 <> 2)"""
 
 
-@query("C26_report_findings", with_views(f"""WITH {_LISTED} SELECT id, CAST(rank - 1 AS INTEGER) AS pos, severity, category, title, location FROM m WHERE rank <= 5""", "v_comments"))
+@query("C26_report_findings", with_views(f"""WITH {_LISTED} SELECT id, CAST(rank - 1 AS INTEGER) AS pos, severity, category, title, location FROM m""", "v_comments"))
 def report_findings(spark, d):
     found = fx.comments(spark, d).select("id", F.posexplode(tx.parse_report_findings("body")).alias("pos", "f"))
     return found.select("id", "pos", "f.*")
@@ -361,12 +368,12 @@ def recall_query(spark, d):
 
 
 @query("C36_feedback_text", with_views(f"""WITH {_LISTED} SELECT id, 'A maintainer rated a review comment as ' || CASE WHEN id % 2 = 0 THEN 'helpful and correct' ELSE 'NOT helpful' END || '. Findings: '
-  || string_agg('[' || severity || '/' || category || '] ' || title || CASE WHEN location <> '' THEN ' (' || location || ')' ELSE '' END, '; ' ORDER BY i) AS text FROM m WHERE rank <= 5 GROUP BY id""", "v_comments"))
+  || string_agg('[' || severity || '/' || category || '] ' || title || CASE WHEN location <> '' THEN ' (' || location || ')' ELSE '' END, '; ' ORDER BY i) AS text FROM m GROUP BY id""", "v_comments"))
 def feedback_text(spark, d):
     rated = fx.comments(spark, d).withColumn("rating", F.expr("CASE WHEN id % 2 = 0 THEN 'helpful' ELSE 'not-helpful' END"))
     return rated.select("id", memory.feedback_text("rating", "body").alias("text")).filter("text IS NOT NULL")
 
 
-@query("C37_digest", "SELECT doc_id, sha256(substring(text, 1, 20000)) AS digest FROM documents")
+@query("C37_digest", f"SELECT doc_id, sha256(regexp_replace(text, {fx.HEX_SQL}, '[REDACTED:assigned_hex]', 'g')) AS digest FROM documents")
 def digest(spark, d):
     return fx.table(spark, d, "documents").select("doc_id", memory.digest("text").alias("digest"))

@@ -54,11 +54,11 @@ def cap_items(spark, d):
     return fd.parse_responses(fx.responses(spark, d), max_items=3).groupBy("repo", "sha", "filename").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("F5_cap_secrets", with_views("""SELECT repo, sha, filename, line, kind FROM (SELECT *, row_number() OVER (PARTITION BY repo, sha, doc_id ORDER BY line) AS n FROM f_secrets WHERE kind IS NOT NULL) WHERE n <= 5""", "f_secrets"))
+@query("F5_cap_secrets", with_views("""SELECT repo, sha, filename, line, kind FROM (SELECT *, row_number() OVER (PARTITION BY repo, sha, doc_id ORDER BY line, seq) AS n FROM f_secrets) WHERE n <= 5""", "f_secret_lines", "f_secrets"))
 def cap_secrets(spark, d):
     lines = fx.secret_lines(spark, d).groupBy("repo", "sha", "filename", "doc_id").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("rows"))
     patch = F.concat(F.lit("@@ -0,0 +1,1 @@\n+"), F.array_join(F.transform("rows", lambda r: r["text"]), "\n+"))
-    return tr.secret_hits(lines.select("repo", "sha", "filename", patch.alias("patch"))).select("repo", "sha", "filename", "line", "kind")
+    return tr.secret_hits(lines.select("repo", "sha", "filename", patch.alias("patch")), per_file=5).select("repo", "sha", "filename", "line", "kind")
 
 
 @query("F6_top_symbols", with_views("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY repo, path ORDER BY CASE change WHEN 'signature' THEN 0 WHEN 'removed' THEN 1 ELSE 2 END, start_line) AS rank FROM f_symbols)
@@ -78,11 +78,11 @@ def _renames(spark, d):
 
 @query("F7_cap_removed", with_views("""SELECT repo, 'c' || (j // 2) AS sha, 'm' || j || '.py' AS filename, name FROM (SELECT *, row_number() OVER (PARTITION BY repo, j ORDER BY name) AS n FROM (
   SELECT repo, j, unnest(['alpha', 'alpha_x', 'be', 'be_x', 'gone', 'gone_x', 'zeta', 'zeta_x']) AS name FROM f_modules) m
-  WHERE NOT (name = 'alpha' AND EXISTS (SELECT 1 FROM f_modules o WHERE o.repo = m.repo AND o.j // 2 = m.j // 2 AND o.j % 5 = 0))) WHERE n <= 4 AND length(name) >= 3""", "f_modules"))
+  WHERE NOT (name = 'alpha' AND EXISTS (SELECT 1 FROM f_modules o WHERE o.repo = m.repo AND o.j // 2 = m.j // 2 AND o.j % 5 = 0)) AND length(name) >= 3) WHERE n <= 4""", "f_modules"))
 def cap_removed(spark, d):
     files = _renames(spark, d)
     sources = files.select("repo", "sha", F.col("filename").alias("path"), F.lit("x = 1\n").alias("content"))
-    return symbols.removed_symbols(symbols.file_symbols(files, sources)).select("repo", "sha", "filename", "name")
+    return symbols.removed_symbols(symbols.file_symbols(files, sources), per_file_cap=4).select("repo", "sha", "filename", "name")
 
 
 @query("F8_cap_names", with_views(f"WITH {NAMES} SELECT repo, 'c0' AS sha, name FROM names", "f_symbols"))
@@ -138,15 +138,14 @@ def recall_budget(spark, d):
 
 
 @query("F13_cap_headlines", with_views(f"""WITH {KEPT}, h AS (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY filename, CASE change WHEN 'signature' THEN 0 ELSE 1 END) AS n FROM kept WHERE change <> 'body' AND unmodified_callers > 0)
-SELECT repo, filename, CAST(n AS INTEGER) AS rank, '`' || name || CASE change WHEN 'removed' THEN '` removed from ' || filename || ', still ' || total_callers || ' use(s), ' ELSE '` (' || filename || ') changed its signature, ' || total_callers || ' caller(s), ' END
-  || unmodified_callers || ' in unmodified files' AS headline FROM h WHERE n <= 8""", *TIER_VIEWS))
+SELECT repo, filename, CAST(n AS INTEGER) AS rank, filename || ': `' || name || CASE change WHEN 'removed' THEN '` is gone; ' ELSE '` is declared differently; ' END || unmodified_callers || ' of ' || total_callers || ' uses are in untouched files' AS headline FROM h WHERE n <= 8""", *TIER_VIEWS))
 def cap_headlines(spark, d):
     return run_impact(spark, d).headlines.select("repo", "filename", "rank", "headline")
 
 
-@query("C23_impact_headline", with_views(f"""WITH {KEPT} SELECT repo, filename, name, change, change <> 'body' AND unmodified_callers > 0 AS told FROM kept""", *TIER_VIEWS))
+@query("C23_impact_headline", with_views(f"""WITH {KEPT} SELECT repo, filename, name, change, CASE WHEN change <> 'body' AND unmodified_callers > 0 THEN filename || ': `' || name || CASE change WHEN 'removed' THEN '` is gone; ' ELSE '` is declared differently; ' END || unmodified_callers || ' of ' || total_callers || ' uses are in untouched files' END AS headline FROM kept""", *TIER_VIEWS))
 def impact_headline(spark, d):
-    return run_impact(spark, d).sections.select("repo", "filename", "name", "change", F.col("headline").isNotNull().alias("told"))
+    return run_impact(spark, d).sections.select("repo", "filename", "name", "change", "headline")
 
 
 @query("C22_render_evidence")
