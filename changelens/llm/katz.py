@@ -9,7 +9,7 @@ Texts, n-grams and histories are too many for one row each, so rows hold packed
 hashed n-grams, its distinct ones with their counts in its training texts; a bucket's task adds up all blocks' and answers each in the order it asked.
 Sums over a history (its count, the weight it keeps, the lower-order weight of what followed it) are gathered likewise: an n-gram is entered by one
 block only, its owner, and histories are answered with their backoff weight. So the model is a table partitioned by hash, of which a task sees one
-bucket, and hot words cost a bucket no more than a row per block. N-grams and histories are known by 56 bits of a hash.
+bucket, and hot words cost a bucket no more than a row per block. Words, n-grams and histories are known by 56 bits of a hash.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from changelens.llm.common import NO_ID, bucket_of, materialize, texts
 
 LARGE = 5
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 3_000_000
 BUCKET_GRAMS = 2_000_000
 START, END = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 TEXTS = "block long, doc_ids array<long>, lengths array<int>, train array<boolean>, held_out array<boolean>, words binary, vocabulary binary, tokens long"
@@ -46,6 +46,15 @@ def _unpack(data: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
+def _pack_planes(values: np.ndarray) -> bytes:
+    """32-bit numbers, most of them small, as the plane of their lowest bytes, then the higher ones."""
+    return _pack(np.ascontiguousarray(values.astype("<u4").view(np.uint8).reshape(-1, 4).T))
+
+
+def _unpack_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(_unpack(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     mixed = (a * np.uint64(0x9E3779B97F4A7C15)) ^ (b + np.uint64(0xD1B54A32D192ED03))
     mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -87,8 +96,9 @@ class _Block:
 
     def __init__(self, row, order: int, bits: int) -> None:
         self.order, self.bits, self.row = order, bits, row
-        vocabulary = np.frombuffer(row.vocabulary, np.uint64)
-        self.words = vocabulary[_unpack(row.words, "<u4")]
+        vocabulary = np.zeros((len(row.vocabulary) // 7, 8), np.uint8)
+        vocabulary[:, 1:] = np.frombuffer(row.vocabulary, np.uint8).reshape(-1, 7)
+        self.words = vocabulary.view("<u8").ravel()[_unpack_planes(row.words)]
         self.lengths = np.asarray(row.lengths, np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.trained = np.repeat(np.asarray(row.train, bool), self.lengths)
@@ -136,7 +146,11 @@ def model_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             ids, train, out, lengths = zip(*rows, strict=True)
             vocabulary = np.array([int(END), *[xxhash.xxh64_intdigest(word) for word in known]], np.uint64)
             words = np.concatenate(parts)
-            made = (first + next(number), list(ids), list(lengths), list(train), list(out), _pack(words), vocabulary.tobytes(), len(words))
+            often = np.argsort(-np.bincount(words, minlength=len(vocabulary)), kind="stable")  # frequent words get small numbers
+            rank = np.empty(len(often), np.uint32)
+            rank[often] = np.arange(len(often))
+            known_by = np.ascontiguousarray(vocabulary[often].astype("<u8").view(np.uint8).reshape(-1, 8)[:, 1:]).tobytes()
+            made = (first + next(number), list(ids), list(lengths), list(train), list(out), _pack_planes(rank[words]), known_by, len(words))
             rows.clear(), parts.clear(), known.clear()
             known.default_factory = count(1).__next__
             return pd.DataFrame([made], columns=[c.split()[0] for c in TEXTS.split(", ")])
