@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from changelens.operators.grouping import first_per_group
@@ -42,12 +42,15 @@ def open_claims(log: DataFrame) -> DataFrame:
 def rate_limited(checks: DataFrame, minutes: int = 30) -> DataFrame:
     """Completed checks (repo, second, event_id) that are at least ``minutes`` after the last allowed one of their repo.
 
-    A greedy chain, so it is a fold over time. Time counts in whole seconds and only the first check of a second can be
-    allowed; the others go before the shuffle, so what one repository brings to the fold is bounded by the length of the
-    history in seconds, not by its number of checks.
+    A greedy chain, so it is a fold over time. Time counts in whole seconds and only the first check of a second can be allowed; the others go before
+    the shuffle. A check that comes ``minutes`` or more after the one before it is always allowed, so the chain starts anew there: every stretch
+    without such a pause is folded on its own.
     """
     seconds = checks.groupBy("repo", F.unix_seconds("ts").alias("second")).agg(F.min("event_id").alias("event_id"))
-    history = seconds.groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("second", "event_id"))).alias("history"))
+    by_time = Window.partitionBy("repo").orderBy("second")
+    pause = F.coalesce(F.col("second") - F.lag("second").over(by_time) >= minutes * 60, F.lit(True))
+    stretches = seconds.withColumn("_pause", pause).withColumn("stretch", F.count_if("_pause").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
+    history = stretches.groupBy("repo", "stretch").agg(F.array_sort(F.collect_list(F.struct("second", "event_id"))).alias("history"))
     start = F.struct(
         F.lit(None).cast("bigint").alias("last"), F.array().cast("array<struct<second:bigint,event_id:bigint>>").alias("allowed")
     )

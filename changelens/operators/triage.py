@@ -58,14 +58,11 @@ def select_files(candidates: DataFrame, max_files: int, max_total_chars: int, ma
     plan = queue.select(*REVIEW, F.aggregate("queue", start, step, lambda acc: acc["taken"]).alias("taken"))
     last = F.element_at("taken", -1)
     full = (F.size("taken") >= max_files) & (order > last)
-    return (
-        scored.join(plan, list(REVIEW), "left")
-        .withColumn("selected", F.array_contains(F.col("taken"), order))
-        .withColumn(
-            "reason", F.when(~F.col("selected"), F.when(full, "over_file_cap").otherwise("over_char_budget"))
-        )
-        .drop("taken")
-    )
+    # decided on narrow rows; the patches join last, by the whole key of a file
+    decided = scored.select(*FILE, "score", "cost").join(plan, list(REVIEW), "left").withColumn("selected", F.array_contains(F.col("taken"), order))
+    reason = F.when(~F.col("selected"), F.when(full, "over_file_cap").otherwise("over_char_budget"))
+    decided = decided.select(*FILE, "score", "cost", "selected", reason.alias("reason")).distinct()
+    return candidates.join(decided, list(FILE), "left")
 
 
 def secret_hits(files: DataFrame, per_file: int | None = None) -> DataFrame:

@@ -39,7 +39,6 @@ class Options:
     snapshot_max_file_bytes: int = 300_000
     snapshot_max_total_bytes: int = 200_000_000
     snapshot_keep: int = 6
-    keep_claims: int = 5_000
     keep_cache: int = 1_500
     recall_items: int = 12
     recall_max_tokens: int = 1_500

@@ -12,7 +12,7 @@ from changelens.operators import diff
 from changelens.operators import findings as fd
 from changelens.operators import publish as pub
 from changelens.operators import triage as tr
-from changelens.operators.grouping import REVIEW
+from changelens.operators.grouping import REVIEW, materialize
 from changelens.options import DEFAULTS, Options
 from changelens.sources import requests as rq
 
@@ -73,7 +73,8 @@ def collect_reviews(responses: DataFrame, rule_findings: DataFrame, selected: Da
     found = rule_findings.select(*FINDING).unionByName(ordered.select(*FINDING))
     kept = selected.select(*FILE, diffs.trim_patch("patch", options.max_file_chars)["text"].alias("patch"))
     anchored = fd.anchor(found, diff.changed_lines(kept))
-    unique = fd.dedupe(anchored, options.max_findings_per_file).drop("seq").withColumnRenamed("rank", "seq")
+    # every later step reads the findings, so answers are parsed once
+    unique = materialize(fd.dedupe(anchored, options.max_findings_per_file).drop("seq").withColumnRenamed("rank", "seq"))
     files = fd.review_complete(responses, rule_findings)
     return Reviews(unique, fd.parse_errors(responses), files)
 

@@ -1,6 +1,6 @@
 """Streams and whole jobs."""
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -26,12 +26,7 @@ BOTH = Options(review_events=("push", "pull_request"))
 
 def scratch(spark):
     """A new folder for one stream run, below the shared checkpoint folder."""
-    folder = shared_folder(spark)
-    if folder.startswith("file:"):
-        return tempfile.mkdtemp(prefix="stream-", dir=folder.removeprefix("file:"))
-    import uuid
-
-    return f"{folder}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def deliveries(spark, d):
@@ -61,10 +56,10 @@ def claim_stream(spark, d):
     """Two runs over the same deliveries: the second must add nothing, or a key would come out twice."""
     folder = scratch(spark)
     deliveries(spark, d).repartition(4, "event_id").write.parquet(f"{folder}/in")
-    table = ingest.StateTable(spark, f"{folder}/state", keep=10_000_000)
+    log = ingest.StateLog(spark, f"{folder}/state")
     sink = lambda fresh, n: fresh.select("key").write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
     stream = ingest.event_targets(ingest.read_deliveries(spark, f"{folder}/in", 2), SECRET, BOTH)
-    ingest.run_available(stream, f"{folder}/checkpoint", ingest.claim_batch(table, sink))
+    ingest.run_available(stream, f"{folder}/checkpoint", ingest.claim_batch(log, sink))
     return spark.read.parquet(f"{folder}/out").drop("batch")
 
 
@@ -88,6 +83,29 @@ def release_on_failure(spark, d):
     return st.open_claims(_claim_log(spark, d)).select("key", "seq")
 
 
+@query("H3_release_stream", """WITH d AS (SELECT user_id || event_type AS key, event_id % 3 AS wave, ts, event_id FROM events),
+f AS (SELECT key, wave, arg_min(event_id, (ts, event_id)) AS event_id FROM d GROUP BY key, wave)
+SELECT key, wave, event_id FROM f WHERE NOT EXISTS (
+  SELECT 1 FROM f o WHERE o.key = f.key AND o.wave < f.wave AND o.event_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM f p WHERE p.key = o.key AND p.wave < o.wave AND p.event_id % 2 = 1))""")
+def release_stream(spark, d):
+    """Deliveries in three waves on one checkpoint; reviews of even events fail, are released and come again with the next wave."""
+    folder = scratch(spark)
+    events = fx.table(spark, d, "events").selectExpr(
+        "user_id || event_type AS key", "event_id % 3 AS wave", "event_id", "cast(ts AS timestamp) + make_interval(0, 0, 0, cast(1000 * (event_id % 3) AS int)) AS received_ts", "1 AS seq"
+    )
+    log = ingest.StateLog(spark, f"{folder}/state")
+
+    def review(fresh, n):
+        fresh.select("key", "wave", "event_id").write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
+        ingest.release(log, str(n), fresh.filter("event_id % 2 = 0").select("key", F.expr("received_ts + interval 1 second").alias("failed_ts")))
+
+    for wave in range(3):
+        events.filter(F.col("wave") == wave).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema("key string, wave bigint, event_id bigint, received_ts timestamp, seq int").parquet(f"{folder}/in")
+        ingest.run_available(stream, f"{folder}/checkpoint", ingest.claim_batch(log, review))
+    return spark.read.parquet(f"{folder}/out").drop("batch")
+
+
 @query("H4_rate_limit", """WITH RECURSIVE s AS (SELECT 'o/r' || user_id AS repo, CAST(floor(epoch(ts)) AS BIGINT) AS second, min(event_id) AS event_id FROM events GROUP BY 1, 2),
 walk AS (SELECT repo, min(second) AS second FROM s GROUP BY repo
   UNION ALL SELECT w.repo, (SELECT min(s.second) FROM s WHERE s.repo = w.repo AND s.second >= w.second + 21600) FROM walk w WHERE w.second IS NOT NULL)
@@ -102,7 +120,7 @@ def publish_stream(spark, d):
     folder = scratch(spark)
     fx.table(spark, d, "events").selectExpr(
         "'o/r' || user_id AS repo", "'state of ' || event_id AS body", "cast(ts AS timestamp) AS received_ts", "event_id"
-    ).coalesce(1).write.parquet(f"{folder}/in")
+    ).write.parquet(f"{folder}/in")
     stream = spark.readStream.schema("repo string, body string, received_ts timestamp, event_id bigint").parquet(f"{folder}/in")
     ingest.run_available(stream, f"{folder}/checkpoint", ingest.publish_batch(f"{folder}/out", ["repo"]))
     return ingest.published(spark, f"{folder}/out", ["repo"])

@@ -1,7 +1,7 @@
 """Structured Streaming over webhook deliveries.
 
 Checks and target extraction are stateless. Memory is kept in two ways: bounded by a watermark inside the stream, or
-exact over any time through ``foreachBatch`` and a small state table.
+exact over any time through ``foreachBatch`` and a log of entries.
 """
 
 from __future__ import annotations
@@ -13,11 +13,11 @@ from pyspark.sql import functions as F
 
 from changelens.functions import text as tx
 from changelens.operators import state as st
+from changelens.operators.grouping import materialize
 from changelens.options import DEFAULTS, Options
 from changelens.sources import events as ev
 
 DELIVERY = "event_id bigint, event string, body binary, signature string, received_ts timestamp"
-_SLOTS = 16
 
 
 def read_deliveries(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
@@ -36,84 +36,69 @@ def claim_within(targets: DataFrame, delay: str = "1 hour") -> DataFrame:
     return targets.withWatermark("received_ts", delay).dropDuplicatesWithinWatermark(["key"])
 
 
-class StateTable:
-    """Keyed state of a stream: (namespace, key, value, ts, seq), one full copy per micro-batch.
+class StateLog:
+    """Keyed state of streams as a table that is only appended to: (namespace, key, value, ts, seq) by stream and micro-batch.
 
-    Every batch writes its state under its own batch id, in one of a few slots that take turns, and reads the newest
-    copy older than itself. A batch that runs again after a failure therefore reads what it read before and replaces
-    what it wrote. The copy is bounded by ``keep`` keys per namespace.
+    A micro-batch writes its entries under its own number and reads all others but the later ones of its stream, so one that runs again reads what
+    it read before and replaces what it wrote. What comes from elsewhere (releases) is written beside, under a name of its own, and merged by key and
+    time. Nothing is dropped. A stream that starts on a new checkpoint counts from 0 again, so it takes a new ``stream`` name.
     """
 
-    SCHEMA = "namespace string, key string, value string, ts timestamp, seq bigint, batch bigint"
+    SCHEMA = "namespace string, key string, value string, ts timestamp, seq bigint, stream string, batch bigint"
+    COLUMNS = ("namespace", "key", "value", "ts", "seq")
 
-    def __init__(self, spark: SparkSession, path: str, keep: int = 5_000) -> None:
-        self.spark, self.path, self.keep = spark, path, keep
+    def __init__(self, spark: SparkSession, path: str, stream: str = "main") -> None:
+        self.spark, self.path, self.stream = spark, path, stream
+        spark.createDataFrame([], self.SCHEMA).select(*self.COLUMNS).write.mode("overwrite").parquet(f"{path}/stream=none/batch=0")
 
     def before(self, batch: int) -> DataFrame:
-        """State as of the newest batch below ``batch`` (empty at first)."""
-        copies = self.spark.createDataFrame([], self.SCHEMA)
-        for slot in range(_SLOTS):
-            try:
-                copies = copies.unionByName(self.spark.read.schema(self.SCHEMA).parquet(f"{self.path}/slot{slot}"))
-            except Exception as error:
-                if "PATH_NOT_FOUND" not in str(error):
-                    raise
-        older = copies.filter(F.col("batch") < batch)
-        newest = older.agg(F.max("batch").alias("batch"))
-        return older.join(newest, "batch", "left_semi").drop("batch")
-
-    def write(self, batch: int, rows: DataFrame) -> None:
-        kept = st.keep_newest(st.latest(rows), self.keep)
-        columns = ["namespace", "key", "value", "ts", "seq"]
-        kept.select(*columns, F.lit(batch).cast("bigint").alias("batch")).write.mode("overwrite").parquet(
-            f"{self.path}/slot{batch % _SLOTS}"
-        )
-
-
-def claim_batch(table: StateTable, sink: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
+        """The newest entry of every key as ``batch`` finds it."""
+        log = self.spark.read.schema(self.SCHEMA).parquet(self.path)
+        return st.latest(log.filter((F.col("stream") != self.stream) | (F.col("batch") < batch)))
+
+    def append(self, batch: int, entries: DataFrame, stream: str | None = None) -> None:
+        entries.select(*self.COLUMNS).write.mode("overwrite").parquet(f"{self.path}/stream={stream or self.stream}/batch={batch}")
+
+
+def claim_batch(log: StateLog, sink: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
     """foreachBatch function: targets whose key is not claimed go to ``sink`` once, over any distance in time."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        known = table.before(batch_id)
-        fresh = st.claim(batch, known.filter(F.col("value") == "claimed"))
+        fresh = materialize(st.claim(batch, log.before(batch_id).filter(F.col("value") == "claimed")))
         sink(fresh, batch_id)
-        claimed = fresh.select(
+        log.append(batch_id, fresh.select(
             F.lit("claims").alias("namespace"), "key", F.lit("claimed").alias("value"), F.col("received_ts").alias("ts"), F.col("event_id").alias("seq")
-        )
-        table.write(batch_id, known.unionByName(claimed))
+        ))
 
     return run
 
 
-def release(table: StateTable, batch_id: int, failed: DataFrame) -> None:
-    """Free the keys of failed reviews, so that a redelivery runs again."""
-    known = table.before(batch_id)
-    freed = failed.select(
+def release(log: StateLog, name: str, failed: DataFrame) -> None:
+    """Free the keys (key, failed_ts) of failed reviews, so that a later delivery runs again; one ``name`` replaces what it freed before."""
+    log.append(0, failed.select(
         F.lit("claims").alias("namespace"), "key", F.lit("released").alias("value"), F.col("failed_ts").alias("ts"), F.lit(2**62).alias("seq")
-    )
-    table.write(batch_id, known.unionByName(freed))
+    ), f"release-{name}")
 
 
-def rate_limit_batch(table: StateTable, sink: Callable[[DataFrame, int], None], minutes: int = 30) -> Callable[[DataFrame, int], None]:
+def rate_limit_batch(log: StateLog, sink: Callable[[DataFrame, int], None], minutes: int = 30) -> Callable[[DataFrame, int], None]:
     """foreachBatch function: completed checks (repo, ts, event_id), at most one per repository and ``minutes``.
 
     The last allowed check of every repository is the state; it joins the batch as one more check in front.
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        known = table.before(batch_id)
+        known = log.before(batch_id)
         last = known.select(F.col("key").alias("repo"), F.col("ts"), F.lit(-1).cast("bigint").alias("event_id"))
         bounds = known.select(F.col("key").alias("repo"), F.col("ts").alias("_last"))
         due = batch.join(bounds, "repo", "left").filter(
             F.col("_last").isNull() | (F.unix_seconds("ts") - F.unix_seconds("_last") >= minutes * 60)
         ).drop("_last")
-        allowed = st.rate_limited(last.unionByName(due.select("repo", "ts", "event_id")), minutes).filter("event_id >= 0")
+        allowed = materialize(st.rate_limited(last.unionByName(due.select("repo", "ts", "event_id")), minutes).filter("event_id >= 0"))
         sink(allowed, batch_id)
-        newest = allowed.select(
+        log.append(batch_id, allowed.select(
             F.lit("checks").alias("namespace"), F.col("repo").alias("key"), F.lit("done").alias("value"),
             F.timestamp_seconds("second").alias("ts"), F.col("event_id").alias("seq"),
-        )
-        table.write(batch_id, known.unionByName(newest))
+        ))
 
     return run
 

@@ -71,20 +71,27 @@ def _batch(spark, rows):
 
 
 def test_claims_survive_replay_and_release(spark, tmp_path):
-    table, out = ingest.StateTable(spark, str(tmp_path / "state")), {}
-    run = ingest.claim_batch(table, lambda fresh, n: out.__setitem__(n, sorted(r["key"] for r in fresh.collect())))
+    log, out = ingest.StateLog(spark, str(tmp_path / "state")), {}
+    run = ingest.claim_batch(log, lambda fresh, n: out.__setitem__(n, sorted(r["key"] for r in fresh.collect())))
     run(_batch(spark, [("a", 1, 10, 1), ("b", 2, 20, 1), ("a", 3, 30, 1)]), 0)
     run(_batch(spark, [("a", 4, 40, 1), ("c", 5, 50, 1)]), 1)
     run(_batch(spark, [("a", 4, 40, 1), ("c", 5, 50, 1)]), 1)  # the same batch once more
     assert out == {0: ["a", "b"], 1: ["c"]}
-    ingest.release(table, 2, spark.createDataFrame([("a", 60)], "key string, s bigint").select("key", F.timestamp_seconds("s").alias("failed_ts")))
+    ingest.release(log, "one", spark.createDataFrame([("a", 60)], "key string, s bigint").select("key", F.timestamp_seconds("s").alias("failed_ts")))
+    run(_batch(spark, [("b", 7, 65, 1)]), 2)  # the release is not lost behind the stream's own batches
     run(_batch(spark, [("a", 6, 70, 1), ("b", 7, 80, 1)]), 3)
-    assert out[3] == ["a"]
+    assert out[2] == [] and out[3] == ["a"]
+    for number in (16, 40):  # numbers may jump
+        run(_batch(spark, [("a", 8, 90, 1), (f"k{number}", 9, 90, 1)]), number)
+        assert out[number] == [f"k{number}"]
+    again = ingest.claim_batch(ingest.StateLog(spark, str(tmp_path / "state"), "second"), lambda fresh, n: out.__setitem__(n, sorted(r["key"] for r in fresh.collect())))
+    again(_batch(spark, [("a", 10, 100, 1), ("new", 11, 100, 1)]), 0)  # a new checkpoint counts from 0 and keeps the claims
+    assert out[0] == ["new"]
 
 
 def test_rate_limit_across_batches(spark, tmp_path):
-    table, out = ingest.StateTable(spark, str(tmp_path / "checks")), {}
-    run = ingest.rate_limit_batch(table, lambda rows, n: out.__setitem__(n, sorted(r["event_id"] for r in rows.collect())))
+    log, out = ingest.StateLog(spark, str(tmp_path / "checks")), {}
+    run = ingest.rate_limit_batch(log, lambda rows, n: out.__setitem__(n, sorted(r["event_id"] for r in rows.collect())))
     batch = lambda rows: spark.createDataFrame(rows, "repo string, s bigint, event_id bigint").select("repo", F.timestamp_seconds("s").alias("ts"), "event_id")
     run(batch([("r", 0, 1), ("r", 100, 2)]), 0)
     run(batch([("r", 1000, 3), ("r", 1800, 4), ("q", 5, 5)]), 1)
