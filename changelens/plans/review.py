@@ -64,9 +64,13 @@ class Reviews:
     files: DataFrame
 
 
-def collect_reviews(responses: DataFrame, rule_findings: DataFrame, selected: DataFrame, options: Options = DEFAULTS) -> Reviews:
-    """Responses (repo, sha, filename, content, error_type[, chunk]) -> anchored, deduplicated, capped findings."""
+def collect_reviews(
+    responses: DataFrame, rule_findings: DataFrame, selected: DataFrame, options: Options = DEFAULTS, cached: DataFrame | None = None
+) -> Reviews:
+    """Responses (repo, sha, filename, content, error_type[, chunk]) and cache hits -> anchored, deduplicated findings."""
     responses = responses if "chunk" in responses.columns else responses.withColumn("chunk", F.lit(0))
+    if cached is not None:
+        responses = responses.select(*FILE, "chunk", "content", "error_type").unionByName(rq.cached_responses(cached))
     usable = responses.filter(F.col("error_type").isNull())
     parsed = fd.parse_responses(usable, options.max_findings_per_chunk)
     ordered = parsed.withColumn("seq", F.col("chunk") * options.max_findings_per_chunk + F.col("seq"))

@@ -51,6 +51,24 @@ def cache_lookup(contexts: DataFrame, cache: DataFrame) -> tuple[DataFrame, Data
     return contexts.select(*FILE, "cache_key").join(known, "cache_key"), contexts.join(known, "cache_key", "left_anti")
 
 
+def cached_responses(cached: DataFrame) -> DataFrame:
+    """Cache hits in the form of answers, so that they are parsed, anchored and counted as reviewed like them."""
+    content = F.concat(F.lit('{"findings":'), F.col("cached"), F.lit("}"))
+    return cached.select(*FILE, F.lit(0).alias("chunk"), content.alias("content"), F.lit(None).cast("string").alias("error_type"))
+
+
+def cache_rows(answered: DataFrame) -> DataFrame:
+    """(cache_key, findings) of the files of which no chunk failed: the findings of all chunks as one JSON list."""
+    items = F.get_json_object(tx.json_object_text("content"), "$.findings")
+    usable = F.col("error_type").isNull() & F.startswith(F.ltrim(items), F.lit("["))
+    inner = F.regexp_replace(items, r"^\s*\[\s*|\s*\]\s*$", "")
+    chunks = answered.groupBy("cache_key").agg(
+        F.bool_and(F.coalesce(usable, F.lit(False))).alias("whole"), F.sort_array(F.collect_list(F.struct("chunk", inner.alias("items")))).alias("chunks")
+    )
+    texts = F.filter(F.transform("chunks", lambda c: c["items"]), lambda t: t != "")
+    return chunks.filter("whole").select("cache_key", F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]")).alias("findings"))
+
+
 def prompt_text() -> Column:
     note = F.when(F.col("omitted") > 0, F.format_string(" (truncated, %d hunk(s) left out)", "omitted")).when(
         F.col("truncated"), " (truncated)"
