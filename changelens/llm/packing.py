@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 
 from changelens.llm.common import NO_ID, materialize, texts
 
+#: So many texts are cut into words at once.
+SLICE = 500
 #: Texts that are not simply words after single spaces.
 UNEVEN = re.compile(r" (\s|\Z)|\0")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -44,7 +46,7 @@ class Encoder:
     ranks of the same file, which costs a fraction of the library's call; texts with an added token, and files of another kind, go to the library.
     """
 
-    def __init__(self, path: str, keep: int = 500_000) -> None:
+    def __init__(self, path: str, keep: int = 200_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep, self.known = Tokenizer.from_file(path), keep, {}
@@ -123,13 +125,15 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int =
 
     @F.pandas_udf(f"array<struct<start: bigint, length: bigint, ids_crc32: bigint{kept}>>")
     def make(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encode, end = encoder(tokenizer).encode, np.array([end_id], "<u4").tobytes()
+        made, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            out = []
-            for ids in encode(batch.tolist()):
-                parts = [{"start": start, "length": len(part) // 4, "ids_crc32": zlib.crc32(part)} | ({"ids": np.frombuffer(part, "<i4")} if keep_ids else {}) for start, part in cut(ids + end, capacity)]
-                out.append(parts)
+            values, out = batch.tolist(), []
+            for first in range(0, len(values), SLICE):
+                for ids in made.encode(values[first : first + SLICE]):
+                    parts = cut(ids + end, capacity)
+                    out.append([{"start": start, "length": len(part) // 4, "ids_crc32": zlib.crc32(part)} | ({"ids": np.frombuffer(part, "<i4")} if keep_ids else {}) for start, part in parts])
             yield pd.Series(out)
+        made.known.clear()  # workers live on after the task
 
     made = texts(docs, id_col, text_col).select("doc_id", F.posexplode(make("text")).alias("piece", "p"))
     return made.select("doc_id", "piece", "p.*")

@@ -37,6 +37,13 @@ def matched_depth(trees: int, depth: int, least: float, recall: float) -> int:
     return depth
 
 
+def _parts(batches: Iterator[pd.DataFrame], rows: int = 500) -> Iterator[pd.DataFrame]:
+    """Batches in parts of so many rows, so that only their sets are in memory at once."""
+    for batch in batches:
+        for first in range(0, len(batch), rows):
+            yield batch.iloc[first : first + rows]
+
+
 def _labels(shingles: np.ndarray, trees: int, depth: int, salt: np.ndarray) -> np.ndarray:
     """Hash of each tree's prefix of the signature of distinct shingles."""
     low = np.full(trees * depth, 0xFFFFFFFF, np.uint32)
@@ -99,10 +106,10 @@ def classes(
     own = texts(docs, id_col, text_col).select("doc_id", shingle_hashes(tokens(F.col("text")), size).alias("s"))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = [np.unique(np.asarray(values, np.int64).view(np.uint64)) for values in batch.s]
+        for part in _parts(batches):
+            sets = [np.unique(np.asarray(values, np.int64).view(np.uint64)) for values in part.s]
             node = [xxhash.xxh64_intdigest(s.tobytes()) - 2**63 if len(s) else None for s in sets]
-            yield pd.DataFrame({"doc_id": batch.doc_id, "node": pd.array(node, "Int64"), "labels": [_labels(s, trees, depth, salt) if len(s) else None for s in sets]})
+            yield pd.DataFrame({"doc_id": part.doc_id, "node": pd.array(node, "Int64"), "labels": [_labels(s, trees, depth, salt) if len(s) else None for s in sets]})
 
     signed = own.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).mapInPandas(sign, "doc_id long, node long, labels array<long>")
     signed = materialize(signed.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID))))
@@ -137,10 +144,9 @@ def _checked(own: DataFrame, members: DataFrame, least: float) -> DataFrame:
     rows = own.join(broadcast_if_small(asked, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("of_doc"))).select("node", "copies", "part", "of", "s")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            distinct = [np.unique(np.asarray(values, np.int64).view(np.uint64)).tobytes() for values in batch.s]
-            batch = batch.assign(s=distinct)
-            yield batch[[xxhash.xxh64_intdigest(d) - 2**63 == node for d, node in zip(distinct, batch.node, strict=True)]]
+        for part in _parts(batches):
+            distinct = [np.unique(np.asarray(values, np.int64).view(np.uint64)).tobytes() for values in part.s]
+            yield part.assign(s=distinct)[[xxhash.xxh64_intdigest(d) - 2**63 == node for d, node in zip(distinct, part.node, strict=True)]]
 
     sized = rows.mapInPandas(sets, "node long, copies long, part long, of long, s binary")
     blocks = F.ceil(F.col("of") / BLOCK).cast("int")
