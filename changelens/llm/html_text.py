@@ -56,8 +56,8 @@ class _Open:
         self.name, self.style, self.dead = name, style, dead
 
 
-def blocks(page: str) -> list[tuple[str, bool, str]]:
-    """(style, whether inside the article, text) of the page's text blocks in page order.
+def blocks(page: str) -> list[tuple[str, int, str]]:
+    """(style, 2 inside an article and 1 inside the main element, text) of the page's text blocks in page order.
 
     A block is the text between the borders of block elements and line breaks, references decoded and white space runs turned into one space.
     Unclosed elements end where their parents end; an end tag without a start is passed over. A page without a tag is one block.
@@ -65,20 +65,21 @@ def blocks(page: str) -> list[tuple[str, bool, str]]:
     out: list[tuple[str, bool, str]] = []
     run: list[str] = []
     stack: list[_Open] = [_Open("", "", False)]
-    article = 0
+    marked = {"article": 0, "main": 0}
 
     def border() -> None:
         text = " ".join(html.unescape("".join(run)).split()) if run else ""
         run.clear()
         if text:
             block = next(o for o in reversed(stack) if o.name not in INLINE)
-            out.append((block.style, article > 0, text))
+            out.append((block.style, 2 if marked["article"] else int(marked["main"] > 0), text))
 
     def close(depth: int) -> None:
-        nonlocal article
         if any(o.name not in INLINE for o in stack[depth:]):
             border()
-        article -= sum(o.name in ("article", "main") for o in stack[depth:])
+        for o in stack[depth:]:
+            if o.name in marked:
+                marked[o.name] -= 1
         del stack[depth:]
 
     at, lowered = 0, None
@@ -115,14 +116,15 @@ def blocks(page: str) -> list[tuple[str, bool, str]]:
         named = [n[2] or n[3] or n[4] or "" for n in NAMED.finditer(found[3])] if found[3] else []
         words = {w for value in named for w in WORDS.findall(value.lower())}
         aside = not FURNITURE.isdisjoint(words) and name not in ("html", "body", "article", "main")
-        dead = stack[-1].dead or name in NEVER or aside or (name == "header" and not article)
+        head = (name == "header" or "header" in words and not re.fullmatch("h[1-6]", name)) and not any(marked.values())
+        dead = stack[-1].dead or name in NEVER or aside or head
         style = stack[-1].style if name in INLINE else f"{stack[-1].style}>{name}{''.join('.' + NUMBERS.sub('0', v) for v in named)}"
         if name in RAW:
             lowered = lowered if lowered is not None else page.lower()
             end = lowered.find(f"</{name}", at) if len(lowered) == len(page) else (m.start() if (m := re.compile(f"</{name}", re.I).search(page, at)) else -1)
             at = len(page) if end < 0 else end
-        if name in ("article", "main"):
-            article += 1
+        if name in marked:
+            marked[name] += 1
         if not (name in RAW and at == len(page)):
             stack.append(_Open(name, style, dead))
     border()
@@ -130,10 +132,10 @@ def blocks(page: str) -> list[tuple[str, bool, str]]:
 
 
 def content_blocks(page: str) -> list[tuple[str, str]]:
-    """(style, text) of the blocks that can be main text: those of the article if the page marks one that has text."""
+    """(style, text) of the blocks that can be main text: those of its articles, else of its main element, else all."""
     found = blocks(page)
-    inside = [(style, text) for style, within, text in found if within]
-    return inside or [(style, text) for style, _, text in found]
+    best = max((within for _, within, _ in found), default=0)
+    return [(style, text) for style, within, text in found if within == best]
 
 
 def _hosted(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:

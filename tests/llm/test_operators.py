@@ -159,6 +159,16 @@ def test_extraction_of_one_page_and_of_a_site(spark):
     assert {r.text for r in html_text.extract(copies).collect()} == {"same"}
 
 
+def test_marked_parts_of_a_page():
+    text = lambda page: " ".join(t for _, t in html_text.content_blocks(page))
+    assert text("<div class=page-header>Site</div><h1 class=header>Title</h1><p>One</p><div role=search>Find</div>") == "Title One"
+    assert text("<main><p>Path > here</p><article><h1>T</h1>a</article><aside>x</aside></main><p>out</p>") == "T a"
+    assert text("<main><header><h1>T</h1></header><p>m</p><form>f</form></main><p>out</p>") == "T m"
+    assert text("<p title='a > b' class=x>q<br/>r &#233;&eacute;&nbsp;s<p>t</b></div>u") == "q r éé s tu"
+    assert text("<ul><li>1<ul><li>2</ul><li>3</ul><dl><dt>a<dd>b</dl>") == "1 2 3 a b"
+    assert text("<table><tr><td>1<td>2<tr><th>3</table><select><option>no</select>") == "1 2 3"
+
+
 def test_leaks_equal_brute_force(spark):
     rng = random.Random(9)
     items = [(i, prose(rng, rng.choice([3, 5, 16, 40]))) for i in range(12)] + [(12, None), (13, ""), (14, "w1 w1 w1 w1 w1 w1 w1 w1 w1"), (15, "one two")]
