@@ -10,7 +10,7 @@ from changelens import rules
 @dataclass(frozen=True)
 class Options:
     # --- fixed values: default budgets ---
-    max_pages: int = 5
+    max_pages: int | None = None
     page_size: int = 100
     max_files: int = 30
     max_total_chars: int = 160_000
@@ -34,11 +34,10 @@ class Options:
     max_comment_chars: int = 60_000
     max_message_chars: int = 2_000
     max_body_bytes: int = 5 * 1024 * 1024
-    max_contents_bytes: int = 200_000
-    snapshot_max_files: int = 20_000
-    snapshot_max_file_bytes: int = 300_000
-    snapshot_max_total_bytes: int = 200_000_000
-    snapshot_keep: int = 6
+    max_contents_bytes: int | None = None
+    snapshot_max_files: int | None = None
+    snapshot_max_file_bytes: int | None = None
+    snapshot_max_total_bytes: int | None = None
     keep_cache: int = 1_500
     recall_items: int = 12
     recall_max_tokens: int = 1_500

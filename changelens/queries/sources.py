@@ -32,7 +32,7 @@ WHERE page <= 5 AND (last_page IS NULL OR page <= last_page)"""
 
 @query("A1_commit_pages", with_views(_PAGED.format(number=""), "v_changed_files"))
 def commit_pages(spark, d):
-    return pages.read_commit_pages(_file_pages(spark, d), page_size=12)[1]
+    return pages.read_commit_pages(_file_pages(spark, d), max_pages=5, page_size=12)[1]
 
 
 @query("A1_commit_messages", with_views("""SELECT repo, sha, repo || ' ' || sha || ' 1' AS message FROM v_changed_files
@@ -43,7 +43,12 @@ def commit_messages(spark, d):
 
 @query("A2_pull_pages", with_views(_PAGED.format(number="CAST(substring(p.sha, 2) AS INTEGER) AS number, "), "v_changed_files"))
 def pull_pages(spark, d):
-    return pages.read_pull_pages(_file_pages(spark, d), page_size=12)
+    return pages.read_pull_pages(_file_pages(spark, d), max_pages=5, page_size=12)
+
+
+@query("A1_whole_commits", with_views(_PAGED.format(number="").replace("WHERE page <= 5 GROUP", "GROUP").replace("page <= 5 AND", ""), "v_changed_files"))
+def whole_commits(spark, d):
+    return pages.read_commit_pages(_file_pages(spark, d), page_size=12)[1]
 
 
 @query("A3_pull_message", """SELECT doc_id, trim('  ' || source || '
@@ -88,6 +93,17 @@ def language_of(spark, d):
     return files.withColumn("family", paths.family("language"))
 
 
+@query("A5_whole_snapshot", with_views("""SELECT repo, sha, filename AS path, CAST(strlen(d.text) AS INTEGER) AS size FROM v_changed_files v JOIN documents d USING (doc_id)
+WHERE doc_id % 9 <> 0 AND doc_id % 14 <> 0 AND regexp_matches(filename, '\\.(py|ts|java|js)$') AND NOT regexp_matches(filename, '(^|/)(node_modules|dist)/')""", "v_changed_files"))
+def whole_snapshot(spark, d):
+    docs = fx.table(spark, d, "documents").select("doc_id", F.octet_length("text").alias("size"))
+    members = fx.changed_files(spark, d).join(docs, "doc_id").selectExpr(
+        "repo", "sha", "doc_id AS ordinal", "size", "CASE WHEN doc_id % 9 = 0 THEN 'link' ELSE 'file' END AS type",
+        "concat('root/', CASE WHEN doc_id % 14 = 0 THEN '../' ELSE '' END, filename) AS name",
+    )
+    return snapshot.load_snapshot(members).select("repo", "sha", "path", "size")
+
+
 @query("A7_read_events", with_views("""SELECT event_id, CASE WHEN event = 'ping' THEN 'pong' WHEN broken THEN 'malformed' ELSE 'ok' END AS status,
   CASE WHEN NOT broken THEN repo END AS repo FROM v_events""", "v_events"))
 def read_events(spark, d):
@@ -119,6 +135,15 @@ def read_comments(spark, d):
     return pages.read_listing(_comment_pages(spark, d), ["repo", "kind"], max_pages=3, page_size=9).drop("seq")
 
 
+@query("A10_read_reactions", """WITH p AS (SELECT 'o/r' || user_id % 40 AS repo, CAST(event_id % 7 + 1 AS INTEGER) AS page, event_type AS content, 'u' || event_id AS login FROM events),
+s AS (SELECT repo, page, count(*) AS n FROM p GROUP BY ALL), l AS (SELECT repo, min(page) FILTER (n < 4) AS last_page FROM s GROUP BY repo)
+SELECT repo, content, login FROM p JOIN l USING (repo) WHERE last_page IS NULL OR page <= last_page""")
+def read_reactions(spark, d):
+    events = fx.table(spark, d, "events").selectExpr("concat('o/r', user_id % 40) AS repo", "cast(event_id % 7 + 1 AS int) AS page", "event_type AS content", "concat('u', event_id) AS login")
+    listed = events.groupBy("repo", "page").agg(F.collect_list(F.struct("content", "login")).alias("items"))
+    return pages.read_listing(listed, ["repo"], page_size=4).drop("seq")
+
+
 def _state(spark, d):
     return fx.table(spark, d, "events").selectExpr(
         "event_type AS namespace", "concat('u', user_id) AS key", "props AS value", "cast(ts AS timestamp) AS ts", "event_id AS seq"

@@ -19,9 +19,9 @@ def read_pages(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
-def within_pages(pages: DataFrame, keys: list[str], items: str, max_pages: int, page_size: int) -> DataFrame:
-    """Pages up to the first short one, at most ``max_pages``: a list ends at the first page that is not full."""
-    seen = pages.filter(F.col("page").between(1, max(1, max_pages)))
+def within_pages(pages: DataFrame, keys: list[str], items: str, max_pages: int | None, page_size: int) -> DataFrame:
+    """Pages up to the first short one, all or at most ``max_pages``: a list ends at the first page that is not full."""
+    seen = pages.filter(F.col("page") >= 1 if max_pages is None else F.col("page").between(1, max(1, max_pages)))
     short = F.coalesce(F.size(items), F.lit(0)) < page_size
     last = F.min(F.when(short, F.col("page"))).over(Window.partitionBy(*keys))
     return seen.withColumn("_last", last).filter(F.col("_last").isNull() | (F.col("page") <= F.col("_last"))).drop("_last")
@@ -35,7 +35,7 @@ def _file(item: Column) -> list[Column]:
     ]
 
 
-def read_commit_pages(pages: DataFrame, max_pages: int = 5, page_size: int = 100) -> tuple[DataFrame, DataFrame]:
+def read_commit_pages(pages: DataFrame, max_pages: int | None = None, page_size: int = 100) -> tuple[DataFrame, DataFrame]:
     """(messages, changed_files) of commits; the message comes from the first page only."""
     kept = within_pages(pages, ["repo", "sha"], "files", max_pages, page_size)
     messages = pages.filter(F.col("page") == 1).select("repo", "sha", F.coalesce("message", F.lit("")).alias("message"))
@@ -43,23 +43,22 @@ def read_commit_pages(pages: DataFrame, max_pages: int = 5, page_size: int = 100
     return messages, files
 
 
-def read_pull_pages(pages: DataFrame, max_pages: int = 5, page_size: int = 100) -> DataFrame:
+def read_pull_pages(pages: DataFrame, max_pages: int | None = None, page_size: int = 100) -> DataFrame:
     kept = within_pages(pages, ["repo", "number"], "files", max_pages, page_size)
     return kept.select("repo", "sha", "number", F.explode("files").alias("f")).select("repo", "sha", "number", *_file(F.col("f")))
 
 
-def read_listing(pages: DataFrame, keys: list[str], max_pages: int = 3, page_size: int = 100) -> DataFrame:
+def read_listing(pages: DataFrame, keys: list[str], max_pages: int | None = None, page_size: int = 100) -> DataFrame:
     """Comments or reactions: ``items`` of the pages that count, with their listing order."""
     kept = within_pages(pages, keys, "items", max_pages, page_size)
     at = (F.col("page") - 1) * page_size + F.col("pos")
     return kept.select(*keys, "page", F.posexplode("items").alias("pos", "item")).select(*keys, at.alias("seq"), "item.*")
 
 
-def decode_contents(contents: DataFrame, max_bytes: int = 200_000) -> DataFrame:
-    """Text of base64 contents: plain files up to the size limit; broken UTF-8 is replaced, not fatal."""
-    kept = contents.filter(
-        (F.col("type") == "file") & (F.col("encoding") == "base64") & (F.coalesce("size", F.lit(0)) <= max_bytes)
-    )
+def decode_contents(contents: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Text of base64 contents: plain files, all or up to a size limit; broken UTF-8 is replaced, not fatal."""
+    kept = contents.filter((F.col("type") == "file") & (F.col("encoding") == "base64"))
+    kept = kept if max_bytes is None else kept.filter(F.coalesce("size", F.lit(0)) <= max_bytes)
     return kept.select("repo", "path", F.decode(F.unbase64("content"), "UTF-8").alias("content"))
 
 

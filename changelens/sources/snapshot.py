@@ -25,14 +25,14 @@ def read_members(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def source_members(members: DataFrame, max_file_bytes: int = 300_000) -> DataFrame:
+def source_members(members: DataFrame, max_file_bytes: int | None = None) -> DataFrame:
     """Regular source files with a safe path; the first path part is the archive prefix and dropped."""
     inner = let(F.split("name", "/"), lambda p: F.slice(p, F.lit(2), F.size(p)))
     unsafe = F.exists("parts", lambda p: p.isin("", ".", "..") | F.contains(p, F.lit(":")) | F.contains(p, F.lit("\\")))
     folders = F.slice("parts", F.lit(1), F.greatest(F.size("parts") - 1, F.lit(0)))
     skipped = F.arrays_overlap(folders, F.array(*[F.lit(d) for d in rules.SNAPSHOT_SKIP_DIRS]))
     return (
-        members.filter((F.col("type") == "file") & (F.col("size") <= max_file_bytes))
+        members.filter((F.col("type") == "file") & (F.lit(True) if max_file_bytes is None else F.col("size") <= max_file_bytes))
         .withColumn("parts", inner)
         .filter((F.size("parts") > 0) & ~unsafe & ~skipped)
         .withColumn("path", F.array_join("parts", "/"))
@@ -42,14 +42,17 @@ def source_members(members: DataFrame, max_file_bytes: int = 300_000) -> DataFra
 
 
 def load_snapshot(
-    members: DataFrame, max_files: int = 20_000, max_file_bytes: int = 300_000, max_total_bytes: int = 200_000_000
+    members: DataFrame, max_files: int | None = None, max_file_bytes: int | None = None, max_total_bytes: int | None = None
 ) -> DataFrame:
-    """Source files of every snapshot in archive order, up to the first that breaks the count or the size cap.
+    """Source files of every snapshot in archive order: all, or up to the first that breaks a count or size cap.
 
     The running totals are built over (key, size) rows only and joined back to the texts as one cut position per
     snapshot. Snapshots far from both caps, which is nearly all of them, never enter the window.
     """
     kept = source_members(members, max_file_bytes)
+    if max_files is None and max_total_bytes is None:
+        return kept
+    max_files, max_total_bytes = max_files or 2**31, max_total_bytes or 2**62
     totals = kept.groupBy(*REVIEW).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
     large = totals.filter((F.col("n") > max_files) | (F.col("bytes") > max_total_bytes)).select(*REVIEW)
     # a block of 4096 members is one row of the running sum, so a huge archive is not sorted in one task
