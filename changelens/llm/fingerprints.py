@@ -77,15 +77,19 @@ def likeness(a: Column, b: Column, bins: int = BINS) -> Column:
 def with_next(docs: DataFrame, columns: list[str], parts: int | None = None) -> DataFrame:
     """Every row with ``next``, a struct of ``columns`` of the row that follows it by descending ``doc_id``; after the last comes the first.
 
-    Rows of one id follow each other by their texts; a null id comes last. Ids are cut at their quantiles into ranges of about equal numbers of
+    Rows of one id follow each other by a hash of their texts; a null id comes last. Ids are cut at their quantiles into ranges of about equal numbers of
     rows, which are sorted apart; the first row of a range is also sent to the range before it. So each row moves once and no task sees all.
     """
     spark = docs.sparkSession
     parts = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)).cast("long"))
-    cuts = docs.select(F.percentile_approx(key, [i / parts for i in range(1, parts)], F.lit(10 * parts)).alias("c")).first()["c"] or []
-    cuts = sorted(set(cuts))  # at most parts numbers, where the ranges end
-    ranged = docs.withColumn("range", F.aggregate(F.lit(cuts).cast("array<bigint>"), F.lit(0), lambda n, c: n + (key > c).cast("int")))
+    found = docs.select(F.percentile_approx(key, [i / parts for i in range(1, parts)], F.lit(10 * parts)).alias("c")).first()["c"] or []
+    cuts = sorted(set(found))  # at most parts numbers, where the ranges end; an id that ends two of them has ranges of its own, cut by its texts' keys
+    often = [c for c in cuts if found.count(c) > 1]
+    hot = key.isin(often) if often else F.lit(False)
+    place = F.aggregate(F.lit(cuts).cast("array<bigint>"), F.lit(0), lambda n, c: n + (key > c).cast("int"))
+    split = F.when(hot, 64 + 32 + F.shiftright("text_key", 58)).otherwise(F.lit(0).cast("long"))
+    ranged = docs.withColumn("range", place * 128 + split)
     tops = ranged.groupBy("range").agg(F.max(F.struct(key.alias("k"), "text_key")).alias("top")).collect()  # a row per range
     there = sorted(row["range"] for row in tops)
     if not there:

@@ -103,17 +103,17 @@ def classes(
     """
     depth = matched_depth(trees, depth, least, recall)
     salt = _salts(trees * depth)
-    own = texts(docs, id_col, text_col).select("doc_id", shingle_hashes(tokens(F.col("text")), size).alias("s"))
+    own = texts(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("text_key"), shingle_hashes(tokens(F.col("text")), size).alias("s"))
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in _parts(batches):
             sets = [np.unique(np.asarray(values, np.int64).view(np.uint64)) for values in part.s]
             node = [xxhash.xxh64_intdigest(s.tobytes()) - 2**63 if len(s) else None for s in sets]
-            yield pd.DataFrame({"doc_id": part.doc_id, "node": pd.array(node, "Int64"), "labels": [_labels(s, trees, depth, salt) if len(s) else None for s in sets]})
+            yield pd.DataFrame({"doc_id": part.doc_id, "text_key": part.text_key, "node": pd.array(node, "Int64"), "labels": [_labels(s, trees, depth, salt) if len(s) else None for s in sets]})
 
-    signed = own.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).mapInPandas(sign, "doc_id long, node long, labels array<long>")
+    signed = own.withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID))).mapInPandas(sign, "doc_id long, text_key long, node long, labels array<long>")
     signed = materialize(signed.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID))))
-    nodes = materialize(signed.filter("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.first("labels").alias("labels")))
+    nodes = materialize(signed.filter("node IS NOT NULL").groupBy("node").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"), F.min(F.struct("text_key", "doc_id")).alias("row"), F.first("labels").alias("labels")))
     placed = nodes.select("node", F.explode("labels").alias("bucket"))
     buckets = placed.groupBy("bucket").agg(F.min("node").alias("first"), F.count("*").alias("n")).filter("n > 1")
     together = materialize(components(placed.join(buckets, "bucket").select(F.col("node").alias("a"), F.col("first").alias("b"))))
@@ -124,7 +124,7 @@ def classes(
     large = checked.filter("cut")
     met = components(large.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("root", "met")
     counted = large.groupBy("node").agg(F.sum("links").alias("links")).join(met, "node", "left").select("node", "links", F.coalesce("met", "node").alias("root"))
-    found = nodes.drop("labels").join(small.unionByName(counted), "node", "left")
+    found = nodes.drop("labels", "row").join(small.unionByName(counted), "node", "left")
     found = materialize(found.select("node", "copies", "doc_id", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links")))
     named = found.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     told = materialize(found.join(named, "root").select("node", "class_id", (F.col("copies") - 1 + F.col("links")).alias("n_links")))
@@ -136,19 +136,20 @@ def classes(
 def _checked(own: DataFrame, members: DataFrame, least: float) -> DataFrame:
     """``node``, ``links`` (rows it is similar to), ``root`` and ``cut`` (whether it is a row of one of several block pairs) from exact comparisons.
 
-    ``members``: ``node``, its smallest ``doc_id``, ``copies``, ``part`` and the part's size ``of``.
+    ``members``: ``node``, one ``row`` of it (text_key, doc_id), ``copies``, ``part`` and the part's size ``of``.
     """
     count = members.count()
     bundles = max(1, math.ceil(count / BUNDLE))
-    asked = members.select(F.col("doc_id").alias("of_doc"), "node", "copies", "part", "of")
-    rows = own.join(broadcast_if_small(asked, BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("of_doc"))).select("node", "copies", "part", "of", "s")
+    asked = members.select(F.col("row.text_key").alias("of_text"), F.col("row.doc_id").alias("of_doc"), "node", "copies", "part", "of")
+    same = (F.col("text_key") == F.col("of_text")) & F.col("doc_id").eqNullSafe(F.col("of_doc"))
+    rows = own.join(broadcast_if_small(asked, BROADCAST_ROWS), same).select("node", "copies", "part", "of", "s")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in _parts(batches):
             distinct = [np.unique(np.asarray(values, np.int64).view(np.uint64)).tobytes() for values in part.s]
             yield part.assign(s=distinct)[[xxhash.xxh64_intdigest(d) - 2**63 == node for d, node in zip(distinct, part.node, strict=True)]]
 
-    sized = rows.mapInPandas(sets, "node long, copies long, part long, of long, s binary")
+    sized = rows.mapInPandas(sets, "node long, copies long, part long, of long, s binary").dropDuplicates(["node"])  # repeated rows
     blocks = F.ceil(F.col("of") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("node"), blocks).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct(F.least(block, other).alias("i"), F.greatest(block, other).alias("j")))
@@ -158,7 +159,7 @@ def _checked(own: DataFrame, members: DataFrame, least: float) -> DataFrame:
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for _, part in group.drop_duplicates(["part", "i", "j", "node"]).groupby(["part", "i", "j"], sort=False):
+        for _, part in group.groupby(["part", "i", "j"], sort=False):
             part = part.sort_values("node")
             near = _similar([np.frombuffer(s, np.uint64) for s in part.s], least)
             block, (i, j) = part.block.to_numpy(), part[["i", "j"]].iloc[0]

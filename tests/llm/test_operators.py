@@ -248,6 +248,25 @@ def test_fingerprints_estimate_the_likeness(spark, mixed):
     assert max(map(abs, wrong)) < 0.16 and abs(sum(wrong) / len(wrong)) < 0.02
 
 
+def test_next_rows_of_hot_and_null_ids(spark):
+    rng = random.Random(3)
+    pairs = [(rng.choice([7, 7, None, i]), f"text {i}") for i in range(300)]
+    rows = fingerprints.with_next(
+        docs_of(spark, pairs).selectExpr("doc_id", "text", "xxhash64(text) AS text_key"), ["doc_id", "text_key"], parts=8
+    ).collect()
+    order = sorted(((r.doc_id is not None, r.doc_id or 0, r.text_key) for r in rows), reverse=True)
+    following = dict(zip(order, [*order[1:], order[0]]))
+    assert len(rows) == 300 and all(following[r.doc_id is not None, r.doc_id or 0, r.text_key] == (r.next.doc_id is not None, r.next.doc_id or 0, r.next.text_key) for r in rows)
+
+
+def test_many_null_ids_do_not_multiply(spark):
+    rng = random.Random(11)
+    base = [prose(rng, 60) for _ in range(30)]
+    rows = [(None, t) for t in base for _ in range(3)] + [(None, t + " end") for t in base]
+    got = similar.classes(docs_of(spark, rows)).collect()
+    assert len(got) == 120 and {r.n_links for r in got} == {3} and {r.class_id for r in got} == {None}
+
+
 def test_edited_text(spark):
     from pyspark.sql import functions as F
 
