@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from changelens import rules
 from changelens.functions import code, diffs, paths
-from changelens.functions.text import as_column, built_once, let, split_lines
+from changelens.functions.text import as_column, built_once, let
 from changelens.operators.grouping import REVIEW, broadcast_if_small, first_per_group, materialize
 
 FILE = (*REVIEW, "filename")
@@ -155,8 +155,8 @@ def searched_names(symbols: DataFrame, k: int | None = None) -> DataFrame:
 
 
 @built_once
-def located_hits(references: str, definitions: str, lines: str) -> Column:
-    """Uses with the definition around them and the code rows shown as evidence."""
+def located_hits(references: str, definitions: str) -> Column:
+    """Uses with the definition around them."""
 
     def located(r: Column, i: Column) -> Column:
         return let(
@@ -164,9 +164,6 @@ def located_hits(references: str, definitions: str, lines: str) -> Column:
             lambda d: F.struct(
                 r["name"].alias("name"), r["line"].alias("line"), r["kind"].alias("kind"), i.alias("order"),
                 d["name"].alias("enclosing"), d["start_line"].alias("enclosing_start"), d["end_line"].alias("enclosing_end"),
-                code.snippet(
-                    lines, r["line"], F.coalesce(d["start_line"], r["line"]), F.coalesce(d["end_line"], r["line"])
-                ).alias("snippet"),
             ),
         )
 
@@ -196,9 +193,9 @@ def scan(source_files: DataFrame, names: DataFrame, max_scan: int | None = None,
     )
     facts = with_source_facts(mentioning).withColumn(
         "references", code.references("blanked", "names", "definitions", "imports", "family")
-    ).withColumn("lines", split_lines("content"))
+    )
     # "hits" needs all definitions of the file, so it is built before they are cut to the wanted names
-    slim = facts.withColumn("hits", located_hits("references", "definitions", "lines")).select(
+    slim = facts.withColumn("hits", located_hits("references", "definitions")).select(
         *REVIEW, "path", "language", "last_path", "hits",
         F.filter("definitions", lambda d: F.array_contains("names", d["name"])).alias("definitions"),
         F.when(F.size("references") > 0, F.col("imports")).otherwise(F.array().cast(f"array<{code.IMPORT}>")).alias("imports"),

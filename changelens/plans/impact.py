@@ -44,7 +44,7 @@ def impact(
     flagged = op.in_changed_file(grouped, changed_files if all_changed is None else all_changed)
     callers = materialize(op.with_flags(op.link_tier(flagged, scanned, definers)))
     counted = op.symbol_counts(symbols, callers, definers)
-    shown = op.top_callers(callers, options.max_callers, options.max_callers_body)
+    shown = op.with_snippets(materialize(op.top_callers(callers, options.max_callers, options.max_callers_body)), source_files)
     sections = op.evidence(op.keep_symbols(counted), shown, options.evidence_chars)
     return Impact(
         symbols, names, scanned, callers, counted, shown, sections, op.evidence_by_file(sections, scanned),
