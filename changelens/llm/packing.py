@@ -46,7 +46,7 @@ class Encoder:
     ranks of the same file, which costs a fraction of the library's call; texts with an added token, and files of another kind, go to the library.
     """
 
-    def __init__(self, path: str, keep: int = 200_000) -> None:
+    def __init__(self, path: str, keep: int = 400_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.keep, self.known = Tokenizer.from_file(path), keep, {}
@@ -133,7 +133,6 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int =
                     parts = cut(ids + end, capacity)
                     out.append([{"start": start, "length": len(part) // 4, "ids_crc32": zlib.crc32(part)} | ({"ids": np.frombuffer(part, "<i4")} if keep_ids else {}) for start, part in parts])
             yield pd.Series(out)
-        made.known.clear()  # workers live on after the task
 
     made = texts(docs, id_col, text_col).select("doc_id", F.posexplode(make("text")).alias("piece", "p"))
     return made.select("doc_id", "piece", "p.*")
