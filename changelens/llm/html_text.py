@@ -7,7 +7,7 @@ only present (one page of a host, or a style that no other page of the host shar
 from every page.
 
 A small site cannot show what repeats. So two things hold for every page before its tree is looked at: elements that are no text by their meaning
-(:data:`NEVER`, or a word of :data:`FURNITURE` in class, id or role) are not parsed into blocks, and if a page marks its article, only that counts.
+(:data:`NEVER`, or a class, id or role that :func:`furniture` names as a whole) are not parsed into blocks, and if a page marks its article, only that counts.
 
 Pages are parsed by one small tokenizer twice: for the node contents, which are counted as rows of (host, style, content), combined before the shuffle,
 so that one host may hold any part of all pages; and for the text, with the unimportant styles of the page's host beside it.
@@ -29,64 +29,95 @@ from changelens.llm.common import filled, materialize
 # Elements by their meaning in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
-NEVER = RAW | frozenset("nav footer aside form button select option dialog head svg canvas object audio video menu map math".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
+NEVER = RAW | frozenset("nav footer aside form button select option dialog head svg canvas object audio video menu map annotation annotation-xml".split())
+#: Formulas are text within a line; browsers do not show their annotations.
+MATH = "math semantics mrow mi mn mo ms mtext mspace mfrac msqrt mroot mstyle mpadded mphantom menclose msub msup msubsup munder mover munderover mtable mtr mtd merror"
+INLINE = frozenset(f"{MATH} a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SAME_CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Words in class, id or role that name what is around an article.
 FURNITURE = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay "
-    "newsletter subscribe subscription signup login sidebar sidenav rail menu menubar nav navbar navigation breadcrumb breadcrumbs pagination pager footer foot masthead topbar "
-    "toolbar comment comments commentlist respond reply replies discussion disqus share sharing social related recommended widget widgets skip search complementary contentinfo".split()
+    "ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr popup modal overlay "
+    "newsletter subscribe subscription signup login sidebar sidenav rail menu menubar nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead topbar "
+    "toolbar comment comments commentlist respond disqus share sharing social related recommended widget widgets skip search complementary contentinfo".split()
 )
+#: Words that leave the meaning of those as it is. Others change it: has-sidebar, menu-open, share-price, related-work.
+BESIDE = frozenset("bar line box list link links item items icon icons button buttons btn wrap wrapper container inner outer area block form top bottom left right site page global main primary secondary post posts article entry".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)(?:>|\Z)", re.S)
 NAMED = re.compile(r"""(?:^|[\s"'])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I | re.S)
 #: The unimportant styles of all hosts are broadcast up to so many characters; beyond, a host's pages are dealt to so many tasks.
 BROADCAST_CHARS, SALTS = 8_000_000, 64
+#: Names a page's head, outside of articles.
+HEADER = frozenset(["header"])
 WORDS = re.compile(r"[a-z]+")
 NUMBERS = re.compile(r"\d+")
 
 
-class _Open:
-    """An open element."""
+def furniture(value: str, words: frozenset[str] = FURNITURE) -> bool:
+    """Whether one class, id or role names furniture as a whole: one of ``words`` at least, and nothing that changes its meaning."""
+    found = WORDS.findall(value.lower())
+    return not words.isdisjoint(found) and all(w in words or w in BESIDE or w in FURNITURE for w in found)
 
-    __slots__ = ("dead", "name", "style")
 
-    def __init__(self, name: str, style: str, dead: bool) -> None:
-        self.name, self.style, self.dead = name, style, dead
+class _Element:
+    """An element of a page; ``first`` and ``last`` bound the blocks inside, ``parts`` is what it shows, ``own`` its blocks outside of child elements."""
 
+    __slots__ = ("first", "last", "name", "named", "own", "parent", "parts", "shown", "style")
 
-def blocks(page: str) -> list[tuple[str, int, str]]:
-    """(style, 2 inside an article and 1 inside the main element, text) of the page's text blocks in page order.
+    def __init__(self, name: str, style: str, parent: int, named: list[str], first: int) -> None:
+        self.name, self.style, self.parent, self.named, self.first, self.last = name, style, parent, named, first, first
+        self.parts: list[str] = []
+        self.own: list[int] = []
+        self.shown = ""
+
+
+#: (block element, pieces of text with the element that holds each)
+Block = tuple[int, list[tuple[int, str]]]
+
+
+def _clean(pieces: list[str]) -> str:
+    return " ".join(html.unescape("".join(pieces)).split())
+
+
+def parse(page: str) -> tuple[list[_Element], list[Block]]:
+    """All elements of a page (the first is the page itself, parents before children) and its text blocks in page order.
 
     A block is the text between the borders of block elements and line breaks, references decoded and white space runs turned into one space.
     Unclosed elements end where their parents end; an end tag without a start is passed over. A page without a tag is one block.
     """
-    out: list[tuple[str, bool, str]] = []
-    run: list[str] = []
-    stack: list[_Open] = [_Open("", "", False)]
-    marked = {"article": 0, "main": 0}
+    elements = [_Element("", "", -1, [], 0)]
+    blocks: list[Block] = []
+    run: list[tuple[int, str]] = []
+    stack = [0]
 
     def border() -> None:
-        text = " ".join(html.unescape("".join(run)).split()) if run else ""
+        if run and (text := _clean([t for _, t in run])):
+            at = next(i for i in reversed(stack) if elements[i].name not in INLINE)
+            elements[at].own.append(len(blocks))
+            elements[at].parts.append(f"#{text}")
+            blocks.append((at, run.copy()))
         run.clear()
-        if text:
-            block = next(o for o in reversed(stack) if o.name not in INLINE)
-            out.append((block.style, 2 if marked["article"] else int(marked["main"] > 0), text))
 
     def close(depth: int) -> None:
-        if any(o.name not in INLINE for o in stack[depth:]):
+        if any(elements[i].name not in INLINE for i in stack[depth:]):
             border()
-        for o in stack[depth:]:
-            if o.name in marked:
-                marked[o.name] -= 1
+        for i in reversed(stack[depth:]):
+            e = elements[i]
+            e.last = len(blocks)
+            if e.name not in INLINE:
+                e.shown = f"{xxhash.xxh64_intdigest(chr(0).join(e.parts)):x}"
+                up = e.parent
+                while elements[up].name in INLINE and up:
+                    up = elements[up].parent
+                elements[up].parts.append(f"<{e.style.rpartition('>')[2]} {e.shown}")
         del stack[depth:]
 
     at, lowered = 0, None
     while True:
         found = TOKEN.search(page, at)
-        if not stack[-1].dead:
-            run.append(page[at : found.start() if found else len(page)])
+        end = found.start() if found else len(page)
+        if end > at and elements[stack[-1]].name not in RAW:
+            run.append((stack[-1], page[at:end]))
         if found is None:
             break
         at = found.end()
@@ -94,48 +125,101 @@ def blocks(page: str) -> list[tuple[str, int, str]]:
         if not name:
             continue
         if found[1]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name), 0)
+            depth = next((i for i in range(len(stack) - 1, 0, -1) if elements[stack[i]].name == name), 0)
             if depth:
                 close(depth)
             continue
         if name in ("br", "hr"):
-            if not stack[-1].dead:
-                border()
+            border()
             continue
         if name in VOID:
             continue
         ends = SAME_CLOSES.get(name, ()) or (("p",) if name in CLOSES_P else ())
         for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in ends:
+            open_name = elements[stack[i]].name
+            if open_name in ends:
                 close(i)
                 break
-            if stack[i].name not in INLINE and not (name in SAME_CLOSES and stack[i].name == "p"):
+            if open_name not in INLINE and not (name in SAME_CLOSES and open_name == "p"):
                 break
-        if name not in INLINE and not stack[-1].dead:
+        if name not in INLINE:
             border()
-        named = [n[2] or n[3] or n[4] or "" for n in NAMED.finditer(found[3])] if found[3] else []
-        words = {w for value in named for w in WORDS.findall(value.lower())}
-        aside = not FURNITURE.isdisjoint(words) and name not in ("html", "body", "article", "main")
-        head = (name == "header" or "header" in words and not re.fullmatch("h[1-6]", name)) and not any(marked.values())
-        dead = stack[-1].dead or name in NEVER or aside or head
-        style = stack[-1].style if name in INLINE else f"{stack[-1].style}>{name}{''.join('.' + NUMBERS.sub('0', v) for v in named)}"
         if name in RAW:
             lowered = lowered if lowered is not None else page.lower()
             end = lowered.find(f"</{name}", at) if len(lowered) == len(page) else (m.start() if (m := re.compile(f"</{name}", re.I).search(page, at)) else -1)
             at = len(page) if end < 0 else end
-        if name in marked:
-            marked[name] += 1
-        if not (name in RAW and at == len(page)):
-            stack.append(_Open(name, style, dead))
+            if at == len(page):
+                continue
+        named = [n[2] or n[3] or n[4] or "" for n in NAMED.finditer(found[3])] if found[3] else []
+        above = elements[stack[-1]].style
+        style = above if name in INLINE else f"{above}>{name}{''.join('.' + NUMBERS.sub('0', v).replace('>', '') for v in named)}"
+        elements.append(_Element(name, style, stack[-1], named, len(blocks)))
+        stack.append(len(elements) - 1)
     border()
-    return out
+    close(1)
+    elements[0].last = len(blocks)
+    elements[0].shown = f"{xxhash.xxh64_intdigest(chr(0).join(elements[0].parts)):x}"
+    return elements, blocks
+
+
+def _told(elements: list[_Element], by_words: bool) -> tuple[list[bool], list[int]]:
+    """Per element whether it is no text by its meaning, and how it is marked: 2 inside an article, 1 inside the main element."""
+    holds_main = {0}
+    for i, e in enumerate(elements):
+        if e.name == "main":
+            while i > 0:
+                holds_main.add(i)
+                i = elements[i].parent
+    parents = {"html", "body", "article", "main"}
+
+    def judged(holds: set[int]) -> tuple[list[bool], list[int]]:
+        dead, marks = [False], [0]
+        for i, e in enumerate(elements[1:], 1):
+            values = [v for value in e.named for v in value.split()]
+            heading = by_words and not re.fullmatch("h[1-6]", e.name) and any(furniture(v, HEADER) for v in values)
+            aside = by_words and e.name not in parents and any(furniture(v) for v in values)
+            head = (e.name == "header" or heading) and not marks[e.parent] and e.name not in parents
+            no_text = e.name in RAW or i not in holds and (e.name in NEVER or aside or head)
+            dead.append(dead[e.parent] or no_text)
+            marks.append(max(marks[e.parent], 2 if e.name == "article" else int(e.name == "main")))
+        return dead, marks
+
+    dead, marks = judged(holds_main)
+    marked = [i for i, e in enumerate(elements) if e.name in ("article", "main") and e.last > e.first]
+    if marked and all(dead[i] for i in marked):  # what holds the article is no furniture
+        holds = set(holds_main)
+        for i in marked:
+            while i > 0:
+                holds.add(i)
+                i = elements[i].parent
+        dead, marks = judged(holds)
+    return dead, marks
+
+
+def _text_of(block: Block, dead: list[bool]) -> str:
+    return _clean([t for i, t in block[1] if not dead[i]])
+
+
+def _chosen(elements: list[_Element], blocks: list[Block]) -> tuple[list[bool], list[int]]:
+    """Dead elements by their meaning, and the blocks that can be main text: those of its articles, else of its main element, else all.
+
+    Names that would leave no text at all do not count.
+    """
+    for by_words in (True, False):
+        dead, marks = _told(elements, by_words)
+        alive = [b for b, block in enumerate(blocks) if _text_of(block, dead)]
+        if alive:
+            break
+    best = max((marks[blocks[b][0]] for b in alive), default=0)
+    return dead, [b for b in alive if marks[blocks[b][0]] == best]
 
 
 def content_blocks(page: str) -> list[tuple[str, str]]:
-    """(style, text) of the blocks that can be main text: those of its articles, else of its main element, else all."""
-    found = blocks(page)
-    best = max((within for _, within, _ in found), default=0)
-    return [(style, text) for style, within, text in found if within == best]
+    """(style, text) of the blocks that can be main text."""
+    elements, blocks = parse(page)
+    dead, chosen = _chosen(elements, blocks)
+    out = [(b, text) for b in chosen if (text := _text_of(blocks[b], dead))]
+    return [(elements[blocks[b][0]].style, text) for b, text in out]
 
 
 def _hosted(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:

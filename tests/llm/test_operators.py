@@ -169,6 +169,16 @@ def test_marked_parts_of_a_page():
     assert text("<table><tr><td>1<td>2<tr><th>3</table><select><option>no</select>") == "1 2 3"
 
 
+def test_names_of_wrappers_and_parts_of_an_article():
+    text = lambda page: " ".join(t for _, t in html_text.content_blocks(page))
+    for wrapper in ("class='layout has-sidebar'", "class=no-sidebar", "class='with-comments'", "class=menu-open", "id=comments", "class=sidebar"):
+        assert text(f"<nav>n</nav><div {wrapper}><article>a</article></div>") == "a"
+    assert text("<form class=cookie><main><p>m</p></main></form>") == "m" and text("<div class=has-sidebar>a<div class=left-sidebar>s</div></div>") == "a"
+    assert text("<article>a<section class=related-work>r</section><p class=notice>n</p><div id=share-price>s</div></article>") == "a r n s"
+    assert text("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math></p>") == "so x=1"
+    assert text("<article>a</article><div id=comments><article>c</article></div>") == "a" and text("<div class=sidebar>all</div>") == "all"
+
+
 def test_leaks_equal_brute_force(spark):
     rng = random.Random(9)
     items = [(i, prose(rng, rng.choice([3, 5, 16, 40]))) for i in range(12)] + [(12, None), (13, ""), (14, "w1 w1 w1 w1 w1 w1 w1 w1 w1"), (15, "one two")]
