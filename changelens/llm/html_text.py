@@ -1,16 +1,18 @@
 """Main text of web pages with a site style tree.
 
-The pages of one host are merged into one style tree: a node is the chain of tags (with their classes and ids) that leads to it. For every node the
-tree knows on how many pages it stands and how its contents spread over them. A node's importance is the entropy of its contents, divided by the
-logarithm of its pages: menus, adverts and footers draw on few contents and come near 0, articles differ from page to page and come near 1. Nodes that
-only present (one page of a host, or a style that no other page of the host shares) say nothing and stay at 1. Branches of low importance are removed
-from every page.
+The pages of one host are merged into one style tree over all their elements: a node is the chain of block elements (with their classes and ids) that
+leads to it, the page itself is the root. What a node shows on a page is its presentation (the labels of all elements below it, in order) with its texts.
+A node's importance is the joint entropy of presentation and contents over the pages, divided by the logarithm of its pages: menus, adverts and footers
+draw on few and come near 0, articles differ from page to page and come near 1. A node of one page stays at 1. Branches of low importance are removed whole.
 
-A small site cannot show what repeats. So two things hold for every page before its tree is looked at: elements that are no text by their meaning
-(:data:`NEVER`, or a class, id or role that :func:`furniture` names as a whole) are not parsed into blocks, and if a page marks its article, only that counts.
+A node such as an article's ``p`` has several branches on a page. Each of them, and each text that stands beside child elements, is a feature with an
+importance of its own, 1 - log(pages that show it) / log(pages of the node): so a notice that is repeated in a plain ``p`` goes and the other ``p`` stay.
 
-Pages are parsed by one small tokenizer twice: for the node contents, which are counted as rows of (host, style, content), combined before the shuffle,
-so that one host may hold any part of all pages; and for the text, with the unimportant styles of the page's host beside it.
+A small site cannot show what repeats, and adverts or comments may differ on every page. So for every page elements that are no text by their meaning
+(:data:`NEVER`, or a class, id or role that :func:`furniture` names as a whole) are left out too, and if a page marks its article, only that counts.
+
+Pages are parsed by one small tokenizer twice: for the nodes, which are counted as rows of (host, style, content), combined before the shuffle,
+so that one host may hold any part of all pages; and for the text, with what is unimportant on the page's host beside it.
 """
 
 from __future__ import annotations
@@ -214,40 +216,94 @@ def _chosen(elements: list[_Element], blocks: list[Block]) -> tuple[list[bool],
     return dead, [b for b in alive if marks[blocks[b][0]] == best]
 
 
-def content_blocks(page: str) -> list[tuple[str, str]]:
-    """(style, text) of the blocks that can be main text."""
+def content_blocks(page: str, low: frozenset[str] = frozenset(), repeated: frozenset[int] = frozenset()) -> list[tuple[str, str]]:
+    """(style, text) of the blocks that are main text, without the branches of the styles ``low`` and the ``repeated`` ones.
+
+    Repeated branches that are more than half of what is left are the text of a copy and stay.
+    """
     elements, blocks = parse(page)
     dead, chosen = _chosen(elements, blocks)
     out = [(b, text) for b in chosen if (text := _text_of(blocks[b], dead))]
+    if low:
+        gone = [False] * len(elements)
+        for i, e in enumerate(elements[1:], 1):
+            gone[i] = gone[e.parent] or e.name not in INLINE and e.style in low
+        out = [(b, t) for b, t in out if not gone[blocks[b][0]] and f"{elements[blocks[b][0]].style}#" not in low]
+    if repeated:
+        again = {b for b, _ in out if _feature(f"{elements[blocks[b][0]].style}#", _clean([t for _, t in blocks[b][1]])) in repeated}
+        for e in elements[1:]:
+            if e.name not in INLINE and e.last > e.first and _feature(e.style, e.shown) in repeated:
+                again.update(range(e.first, e.last))
+        if 2 * sum(len(t) for b, t in out if b in again) <= sum(len(t) for _, t in out):
+            out = [(b, t) for b, t in out if b not in again]
     return [(elements[blocks[b][0]].style, text) for b, text in out]
 
 
+def _feature(style: str, shown: str) -> int:
+    return xxhash.xxh64_intdigest(f"{style} {shown}") - 2**63
+
+
+def nodes_of(page: str) -> Iterator[tuple[str, int, int, int]]:
+    """(style, content, page, feature) of a page's tree: what each node shows on the whole page (page is 1) and its different branches (feature is 1).
+
+    Elements in which there is no text are no nodes of their own, and below an element of :data:`NEVER` there are none: it goes whole. The style of texts
+    beside child elements ends in ``#``.
+    """
+    elements, blocks = parse(page)
+    never, held = [False] * len(elements), {"": [elements[0].shown]}
+    for i, e in enumerate(elements):
+        never[i] = i > 0 and (never[e.parent] or e.name in NEVER and e.name not in ("form", "aside"))
+        if e.name in INLINE or never[i] or e.last == e.first:
+            continue
+        if i:
+            held.setdefault(e.style, []).append(e.shown)
+        if len(e.own) < len(e.parts):
+            held.setdefault(f"{e.style}#", []).extend(_clean([t for _, t in blocks[b][1]]) for b in e.own)
+    for style, shown in held.items():
+        if len(shown) == 1:
+            yield style, _feature(style, shown[0]), 1, 1
+        elif shown:
+            yield style, _feature(style, chr(0).join(shown)), 1, 0
+            for one in set(shown):
+                yield style, _feature(style, one), 0, 1
+
+
 def _hosted(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
     host = F.lower(F.regexp_extract(filled(url_col), r"://([^/?#]*)", 1))
     return pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), filled(html_col).alias("html"), host.alias("host"))
 
 
-def style_tree(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``host``, ``style``, ``pages``, ``contents`` and ``importance`` (0 to 1) of every node of every host's merged tree.
-
-    The content of a node on a page is the hash of all its text there. Importance is 1 for a node of a single page.
-    """
+def _counted(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """``host``, ``style``, ``content``, the number of ``pages`` whose node shows it and of those with such a branch (``features``)."""
 
     def nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
+            n: dict[tuple[str, str, int], list[int]] = {}
             for host, page in zip(batch.host, batch.html, strict=True):
-                held: dict[str, list[str]] = {}
-                for style, text in content_blocks(page):
-                    held.setdefault(style, []).append(text)
-                rows += [(host, style, xxhash.xxh64_intdigest("\n".join(texts)) - 2**63) for style, texts in held.items()]
-            yield pd.DataFrame(rows, columns=["host", "style", "content"])
+                for style, content, whole, feature in nodes_of(page):
+                    row = n.setdefault((host, style, content), [0, 0])
+                    row[0] += whole
+                    row[1] += feature
+            yield pd.DataFrame([(*key, *row) for key, row in n.items()], columns=["host", "style", "content", "pages", "features"])
 
-    seen = _hosted(pages, id_col, url_col, html_col).select("host", "html").mapInPandas(nodes, "host string, style string, content long")
-    counted = seen.groupBy("host", "style", "content").count()
-    n = F.sum("count")
-    entropy = F.log(n.cast("double")) - F.sum(F.col("count") * F.log(F.col("count").cast("double"))) / n
-    return counted.groupBy("host", "style").agg(n.alias("pages"), F.count("*").alias("contents"), F.when(n > 1, entropy / F.log(n.cast("double"))).otherwise(1.0).alias("importance"))
+    seen = _hosted(pages, id_col, url_col, html_col).select("host", "html").mapInPandas(nodes, "host string, style string, content long, pages long, features long")
+    return seen.groupBy("host", "style", "content").agg(F.sum("pages").alias("pages"), F.sum("features").alias("features"))
+
+
+def _importance(counted: DataFrame) -> DataFrame:
+    n, c = F.sum("pages"), F.col("pages").cast("double")
+    entropy = F.log(n.cast("double")) - F.sum(F.when(c > 0, c * F.log(c)).otherwise(0.0)) / n
+    return counted.groupBy("host", "style").agg(
+        n.alias("pages"), F.count_if(c > 0).alias("contents"), F.when(n > 1, entropy / F.log(n.cast("double"))).otherwise(1.0).alias("importance")
+    )
+
+
+def style_tree(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """``host``, ``style``, ``pages``, ``contents`` and ``importance`` (0 to 1) of every node of every host's merged tree.
+
+    The content of a node on a page is the hash of all labels and texts below it. Importance is 1 for a node of a single page.
+    """
+    return _importance(_counted(pages, id_col, url_col, html_col))
 
 
 def extract(
@@ -255,27 +311,40 @@ def extract(
 ) -> DataFrame:
     """Per row: ``page_id``, ``url``, ``text`` (main text, blocks in page order joined by one space; empty if none) and ``n_chars``.
 
-    A branch is removed if its style stands on at least ``least_pages`` pages of the host and its importance is below ``least_importance`` times that
-    of the host's most important style: copies of pages lower all styles alike. A null page is an empty one; a null url, or one without a host,
+    A branch is removed if its node stands on at least ``least_pages`` pages of the host and its importance is below ``least_importance`` times that
+    of the host's most important such node: copies of pages lower all nodes alike. A null page is an empty one; a null url, or one without a host,
     belongs to the host of the empty name. Repeated rows are extracted each and, in the tree, count as pages each; on a host of nothing but copies of
     one page everything stays. An empty table gives an empty result; other columns are not read.
     """
-    tree = style_tree(pages, id_col, url_col, html_col)
-    most = tree.groupBy("host").agg(F.max("importance").alias("most"))  # a row per host
-    low = tree.join(most, "host").filter((F.col("pages") >= least_pages) & (F.col("importance") < least_importance * F.col("most")))
-    told = materialize(low.groupBy("host").agg(F.collect_set("style").alias("low")))  # of a site's templates
+    counted = _counted(pages, id_col, url_col, html_col)
+    tree = _importance(counted).filter(F.col("pages") >= least_pages)
+    most = tree.groupBy("host").agg((F.max("importance") * least_importance).alias("least"))  # a row per host
+    tree = materialize(tree.join(most, "host"))
+    low = tree.filter((F.col("importance") < F.col("least")) & (F.col("style") != "")).select("host", "style", F.lit(None).cast("long").alias("feature"))
+    often = counted.filter(F.col("features") >= least_pages ** (1 - least_importance)).select("host", "style", "content", "features")
+    again = often.join(tree.select("host", "style", "pages", "least"), ["host", "style"]).filter(
+        (1 - F.log(F.col("features").cast("double")) / F.log(F.col("pages").cast("double")) < F.col("least")) & (F.col("style") != "")
+    )
+    low = low.unionByName(again.select("host", F.lit(None).cast("string").alias("style"), F.col("content").alias("feature")))
+    told = materialize(low.groupBy("host").agg(F.collect_set("style").alias("low"), F.collect_set("feature").alias("repeated")))  # of a site's templates
 
     @F.pandas_udf("string")
-    def main_text(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for page, low in batches:
-            yield pd.Series([" ".join(text for style, text in content_blocks(p) if g is None or style not in g) for p, g in zip(page, low, strict=True)], dtype=str)
-
-    size = told.agg(F.sum(F.length(F.array_join("low", " ")) + F.length("host"))).first()[0] or 0
+    def main_text(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for host, page, low, repeated in batches:
+            told: dict[str, tuple[frozenset[str], frozenset[int]]] = {}
+            out = []
+            for h, p, g, r in zip(host, page, low, repeated, strict=True):
+                if h not in told:
+                    told[h] = (frozenset(), frozenset()) if g is None else (frozenset(g), frozenset(map(int, r)))
+                out.append(" ".join(text for _, text in content_blocks(p, *told[h])))
+            yield pd.Series(out, dtype=str)
+
+    size = told.agg(F.sum(F.length(F.array_join("low", " ")) + F.length("host") + 8 * F.size("repeated"))).first()[0] or 0
     hosted = _hosted(pages, id_col, url_col, html_col)
     if size <= BROADCAST_CHARS:
         joined = hosted.join(F.broadcast(told), "host", "left")
     else:  # every host's pages go to SALTS tasks
         salted = told.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = hosted.withColumn("salt", F.pmod(F.xxhash64("page_id", "html"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
-    found = joined.select("page_id", "url", main_text("html", "low").alias("text"))
+    found = joined.select("page_id", "url", main_text("host", "html", "low", "repeated").alias("text"))
     return found.withColumn("n_chars", F.length("text").cast("long"))

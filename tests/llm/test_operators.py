@@ -169,6 +169,17 @@ def test_marked_parts_of_a_page():
     assert text("<table><tr><td>1<td>2<tr><th>3</table><select><option>no</select>") == "1 2 3"
 
 
+def test_branches_that_repeat_on_a_site(spark):
+    page = lambda i: f"<div class=zz>Our <div class=yy>shop</div> {i % 2}</div><article><p>text {i} of {i * i}</p><p>more words {i + 7} {i % 9}</p><p>Join us</p></article>"
+    plain = lambda i: f"<div class=zz>Our <div class=yy>shop</div> {i % 2}</div><div class=b><p>text {i} {i * i}</p><div>Join us</div></div>"
+    rows = [(i, f"http://a.example/{i}", page(i)) for i in range(40)] + [(100 + i, f"http://b.example/{i}", plain(i)) for i in range(40)]
+    rows += [(200 + i, "http://c.example/", f"<article><p>a text that is copied</p><p>and another one</p><p>{i}</p></article>") for i in range(40)] + [(300, "http://d.example/", page(3))]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {i: f"text {i} of {i * i} more words {i + 7} {i % 9}" for i in range(40)} | {100 + i: f"text {i} {i * i}" for i in range(40)}
+    want |= {200 + i: f"a text that is copied and another one {i}" for i in range(40)} | {300: "text 3 of 9 more words 10 3 Join us"}  # copies, and one page of a host
+    assert got == want
+
+
 def test_names_of_wrappers_and_parts_of_an_article():
     text = lambda page: " ".join(t for _, t in html_text.content_blocks(page))
     for wrapper in ("class='layout has-sidebar'", "class=no-sidebar", "class='with-comments'", "class=menu-open", "id=comments", "class=sidebar"):
