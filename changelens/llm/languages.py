@@ -1,13 +1,14 @@
 """Language identification with bit-sliced Bloom filters of character n-grams.
 
 Every language has a Bloom filter of the n-grams that are usual in its documents. The filters have one size and one set of hash functions and lie
-beside each other as slices: word ``i`` of the table holds bit ``i`` of every language's filter. The AND of the words at an n-gram's positions is
+beside each other as slices: word ``i`` of the table (several words above 64 languages) holds bit ``i`` of every language's filter. The AND of the words at an n-gram's positions is
 the mask of all languages that contain it. Popcounts of the masks' slices over a whole text give a share of known n-grams per language; the share
 that a filter's false positives alone would give is taken out; the largest share decides.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -60,13 +61,12 @@ class Filters:
     @staticmethod
     def build(known: dict[str, np.ndarray], sizes: tuple[int, ...], hashes: int = 2, bits_per_gram: int = 16) -> Filters:
         """``known``: the n-gram hashes of each language."""
-        if len(known) > 64:
-            raise ValueError("a table word has 64 slices")
         largest = max(map(len, known.values()), default=1)
-        table = np.zeros(1 << max(10, int(np.ceil(np.log2(largest * bits_per_gram + 1)))), np.uint8 if len(known) <= 8 else np.uint64)
+        size = 1 << max(10, int(np.ceil(np.log2(largest * bits_per_gram + 1))))
+        table = np.zeros((-(-len(known) // 64) or 1, size), np.uint8 if len(known) <= 8 else np.uint64)
         for slice_, language in enumerate(sorted(known)):
-            for at in Filters._places(known[language], len(table), hashes):
-                np.bitwise_or.at(table, at, table.dtype.type(1 << slice_))
+            for at in Filters._places(known[language], size, hashes):
+                np.bitwise_or.at(table[slice_ // 64], at, table.dtype.type(1 << slice_ % 64))
         return Filters(tuple(sorted(known)), sizes, hashes, table)
 
     @staticmethod
@@ -80,16 +80,18 @@ class Filters:
         starts = ends - np.array([len(v) for v in values], np.int64)
         found, asked = np.zeros((len(values), len(self.languages))), np.zeros(len(values))
         for size, hashed in grams(np.concatenate(values), self.sizes):
-            mask = None
-            for at in self._places(hashed, len(self.table), self.hashes):
-                word = self.table[at]
-                mask = word if mask is None else mask & word
+            places = self._places(hashed, self.table.shape[1], self.hashes)
             last = np.maximum(ends - size + 1, starts)  # n-grams that would run into the next text do not count
             asked += last - starts
-            for slice_ in range(len(self.languages)):
-                sums = np.concatenate(([0], np.cumsum((mask >> mask.dtype.type(slice_)) & mask.dtype.type(1), dtype=np.int64)))
-                found[:, slice_] += sums[np.minimum(last, len(mask))] - sums[np.minimum(starts, len(mask))]
-        wrong = np.array([np.mean((self.table >> self.table.dtype.type(s)) & self.table.dtype.type(1)) for s in range(len(self.languages))]) ** self.hashes
+            for word, slices in enumerate(self.table):
+                mask = slices[places[0]]
+                for at in places[1:]:
+                    mask = mask & slices[at]
+                for slice_ in range(64 * word, min(64 * word + 64, len(self.languages))):
+                    sums = np.concatenate(([0], np.cumsum((mask >> mask.dtype.type(slice_ % 64)) & mask.dtype.type(1), dtype=np.int64)))
+                    found[:, slice_] += sums[np.minimum(last, len(mask))] - sums[np.minimum(starts, len(mask))]
+        bit = lambda s: (self.table[s // 64] >> self.table.dtype.type(s % 64)) & self.table.dtype.type(1)
+        wrong = np.array([np.mean(bit(s)) for s in range(len(self.languages))]) ** self.hashes
         return np.clip((found / np.maximum(asked, 1)[:, None] - wrong) / np.maximum(1 - wrong, 1e-9), 0, 1)
 
     def predict(self, values: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -102,7 +104,7 @@ class Filters:
             for (row, _), share in zip(waiting, shares, strict=True):
                 best = int(share.argmax())  # of equal shares the first name
                 names[row] = self.languages[best]
-                scores[row] = share[best] ** 2 / max(float((share**2).sum()), 1e-12)
+                scores[row] = share[best]
             waiting.clear()
 
         size = 0
@@ -118,22 +120,28 @@ class Filters:
         return names, scores
 
 
+def per_language(values: dict[str, float], kind: str) -> Column:
+    """The value of each row's language."""
+    return F.element_at(F.from_json(F.lit(json.dumps(values)), f"map<string, {kind}>"), F.col("lang"))
+
+
 def fit(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 4, held_out: int = 2,
     sizes: tuple[int, ...] = (2, 3, 4), usual: float = 0.01, near_best: float = 0.1, max_train: int = 20_000,
 ) -> Filters:
     """Filters from the documents with a language outside the held-out fold (``crc32(id as text) mod folds``).
 
-    At most about ``max_train`` documents take part: all if there are fewer, else those whose hashed id falls below their share. A language has an
+    Of each language at most about ``max_train`` documents take part: all if it has fewer, else those whose hashed id falls below their share. So a rare
+    language is learned from the same documents however many others there are. A language has an
     n-gram if at least ``usual`` of its documents hold it and the share is at least ``near_best`` of the largest among the languages: so at most
     a document's number of n-grams divided by ``usual`` reach the driver per language, however many documents there are.
     """
     known = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (bucket_of(id_col, folds) != held_out))
     known = known.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    count = known.count()
-    if count > max_train:
-        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * max_train / count))
     number = {row["lang"]: row["count"] for row in known.groupBy("lang").count().collect()}  # a row per language
+    if any(n > max_train for n in number.values()):
+        known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(10**12)) < per_language({lang: min(10**12, 10**12 * max_train // n) for lang, n in number.items()}, "long"))
+        number = {row["lang"]: row["count"] for row in known.groupBy("lang").count().collect()}
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -143,7 +151,7 @@ def fit(
                 yield pd.DataFrame({"lang": lang, "gram": gram.view(np.int64), "found": found})
 
     counted = known.select("lang", "text").mapInPandas(tally, "lang string, gram long, found long").groupBy("lang", "gram").agg(F.sum("found").alias("found"))
-    least = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(max(2.0, usual * n))) for lang, n in number.items()], F.lit(0.0)) if number else F.lit(0.0)
+    least = per_language({lang: max(2.0, usual * n) for lang, n in number.items()}, "double")
     rows = counted.filter(F.col("found") >= least).toPandas()
     rows["share"] = rows.found / rows.lang.map(number)
     rows = rows[rows.share >= near_best * rows.groupby("gram").share.transform("max")] if len(rows) else rows
@@ -151,7 +159,7 @@ def fit(
 
 
 def predict_of(filters: Filters, text: Column) -> Column:
-    """Struct ``lang_pred``, ``score`` of every whole text; the score is the winner's part of the squared shares, 0 to 1."""
+    """Struct ``lang_pred``, ``score`` of every whole text; the score is the winner's own share, 0 to 1, whatever other languages there are."""
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -17,7 +17,7 @@ from changelens.llm import decontamination, languages, packing, quality, similar
 from changelens.llm.common import read, shared_folder
 
 ACCEPT_QUALITY = 0.3
-#: The winner's part of the squared shares; four languages that fit alike have 0.25.
+#: The share of a text's n-grams that the winning language knows, whatever other languages there are.
 ACCEPT_LANGUAGE = 0.3
 
 
@@ -28,7 +28,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a letter and a language that stands out among the learned ones; nothing learned: none goes for that reason."""
+    """Documents with a letter and a learned language that knows enough of their n-grams; nothing learned: none goes for that reason."""
     filters = languages.fit(docs)
     if not filters.languages:
         return docs.filter(F.col("text").rlike(r"\p{L}"))

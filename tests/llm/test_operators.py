@@ -315,6 +315,26 @@ def test_language_filters(spark):
     assert {r.lang_pred for r in languages.identify(docs, languages.fit(empty)).collect()} == {"und"}
 
 
+def test_rare_and_many_languages(spark):
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    syllables = [["".join(rng.choice(letters) for _ in range(4)) for _ in range(4)] for _ in range(70)]
+    make = lambda n: " ".join("".join(rng.choice(syllables[n]) for _ in range(2)) for _ in range(40))
+    rows = [(i, make(n), f"l{n:02}") for i, n in enumerate([0] * 2000 + [n for n in range(1, 70) for _ in range(8)])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(2)
+    few = docs.filter("lang IN ('l00', 'l01')")
+    filters = languages.fit(few, max_train=200)  # l01 has 8 rows: all of them count
+    assert filters.languages == ("l00", "l01") and set(filters.predict([t for _, t, lang in rows if lang == "l01"])[0]) == {"l01"}
+    every = languages.fit(docs, max_train=200)
+    assert len(every.languages) == 70
+    names, scores = every.predict([t for _, t, _ in rows[1990:]])
+    assert names == [lang for _, _, lang in rows[1990:]] and min(scores) > 0.5
+    table = np.zeros((1, 1024), np.uint64)  # a winner of 0.9 with eleven others of half of it is a clear one
+    alike = languages.Filters(tuple("abcdefghijkl"), (2,), 2, table)
+    object.__setattr__(alike, "shares", lambda values: np.array([[0.9] + [0.45] * 11] * len(values)))
+    assert alike.predict(["some text"])[1][0] == pytest.approx(0.9)
+
+
 def test_url_rules_equal_brute_force(spark):
     rules = [url_filters.Rule("allow", "com", "/"), url_filters.Rule("block", "example.com", "/en/"), url_filters.Rule("allow", "www.example.com", "/en/"), url_filters.Rule("block", "net", "/es"), url_filters.Rule("block", "", "")]
     rules = rules[:-1]
