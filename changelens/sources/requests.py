@@ -46,27 +46,27 @@ def with_context(texts: DataFrame, messages: DataFrame, evidence: DataFrame, mem
 
 
 def cache_lookup(contexts: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(hits, misses): cached findings by key (an empty list is a hit), and what still has to be asked."""
-    known = cache.select("cache_key", F.col("findings").alias("cached"))
+    """(hits, misses): cached findings by key, a row per chunk (an empty list is a hit; no chunk column: one chunk), and what still has to be asked."""
+    known = cache.select("cache_key", F.col("chunk") if "chunk" in cache.columns else F.lit(0).alias("chunk"), F.col("findings").alias("cached"))
     return contexts.select(*FILE, "cache_key").join(known, "cache_key"), contexts.join(known, "cache_key", "left_anti")
 
 
 def cached_responses(cached: DataFrame) -> DataFrame:
     """Cache hits in the form of answers, so that they are parsed, anchored and counted as reviewed like them."""
     content = F.concat(F.lit('{"findings":'), F.col("cached"), F.lit("}"))
-    return cached.select(*FILE, F.lit(0).alias("chunk"), content.alias("content"), F.lit(None).cast("string").alias("error_type"))
+    return cached.select(*FILE, "chunk", content.alias("content"), F.lit(None).cast("string").alias("error_type"))
 
 
 def cache_rows(answered: DataFrame) -> DataFrame:
-    """(cache_key, findings) of the files of which no chunk failed: the findings of all chunks as one JSON list."""
+    """(cache_key, chunk, findings) of the files of which no chunk failed: the findings of every chunk as a JSON list of its own.
+
+    So bounds per chunk hold for cached answers as for fresh ones. Files of one key have one text; of their answers to a chunk the smallest is kept.
+    """
     items = F.get_json_object(tx.json_object_text("content"), "$.findings")
     usable = F.col("error_type").isNull() & F.startswith(F.ltrim(items), F.lit("["))
-    inner = F.regexp_replace(items, r"^\s*\[\s*|\s*\]\s*$", "")
-    chunks = answered.groupBy("cache_key").agg(
-        F.bool_and(F.coalesce(usable, F.lit(False))).alias("whole"), F.sort_array(F.collect_list(F.struct("chunk", inner.alias("items")))).alias("chunks")
-    )
-    texts = F.filter(F.transform("chunks", lambda c: c["items"]), lambda t: t != "")
-    return chunks.filter("whole").select("cache_key", F.concat(F.lit("["), F.array_join(texts, ","), F.lit("]")).alias("findings"))
+    chunks = answered.groupBy("cache_key", "chunk").agg(F.bool_and(F.coalesce(usable, F.lit(False))).alias("whole"), F.min(items).alias("findings"))
+    files = chunks.groupBy("cache_key").agg(F.bool_and("whole").alias("whole"), F.collect_list(F.struct("chunk", "findings")).alias("chunks"))
+    return files.filter("whole").select("cache_key", F.inline("chunks"))
 
 
 def prompt_text() -> Column:

@@ -1,5 +1,6 @@
 """Budgeted selection against its direct definition, state and streams."""
 
+import json
 import random
 
 from pyspark.sql import functions as F
@@ -8,6 +9,8 @@ from changelens.functions import paths
 from changelens.operators import state as st
 from changelens.operators import triage as tr
 from changelens.operators.grouping import first_per_group
+from changelens.options import Options
+from changelens.plans import review
 from changelens.sources import requests as rq
 from changelens.streaming import ingest
 
@@ -110,3 +113,24 @@ def test_answers_and_report_sink(spark, tmp_path):
     assert answers == {"1": ('{"findings": []}', None), "2": (None, "TimeoutError")}
     rq.write_eval_report(asked, str(tmp_path / "report"))
     assert spark.read.json(str(tmp_path / "report")).count() == 2
+
+
+def test_cached_answers_keep_their_chunks(spark):
+    finding = lambda f, c, i: {"severity": "minor" if c < 2 or i < 5 else "critical", "category": "bug", "line": None, "title": f"{f} {c} {i}", "detail": "d", "suggestion": None}
+    answers = spark.createDataFrame(
+        [("r", "c", f, f"key {f}", c, json.dumps({"findings": [finding(f, c, i) for i in range(6)]}), None) for f in "abcd" for c in range(3)],
+        "repo string, sha string, filename string, cache_key string, chunk int, content string, error_type string",
+    )
+    none = spark.createDataFrame([], "repo string, sha string, filename string, seq int, severity string, category string, line int, title string, detail string, suggestion string, origin string")
+    files = spark.createDataFrame([("r", "c", f, "@@ -1 +1 @@\n+x") for f in "abcd"], "repo string, sha string, filename string, patch string")
+    options = Options(max_findings_per_file=100)
+    found = lambda *a: sorted((r.filename, r.seq, r.severity, r.title) for r in review.collect_reviews(*a, options=options, cached=None).findings.collect())
+    fresh = found(answers, none, files)
+    assert len(fresh) == 4 * 18
+    cache = rq.cache_rows(answers.filter("filename IN ('a', 'b')"))
+    hits, misses = rq.cache_lookup(answers.select("repo", "sha", "filename", "cache_key").distinct(), cache)
+    rest = answers.join(misses.select("filename"), "filename", "left_semi")
+    mixed = review.collect_reviews(rest, none, files, options, hits).findings
+    assert sorted((r.filename, r.seq, r.severity, r.title) for r in mixed.collect()) == fresh
+    failed = answers.withColumn("error_type", F.when(F.expr("filename = 'a' AND chunk = 1"), "Timeout"))
+    assert {r.cache_key for r in rq.cache_rows(failed).collect()} == {"key b", "key c", "key d"}
