@@ -153,13 +153,28 @@ def _contexts(spark, d):
     return reviews.withColumn("message", F.lit("Change")), evidence, reviews.filter("repo = 'en'").withColumn("memory", F.lit("- [memory] known"))
 
 
+def whole_requests(requests):
+    """Files all of whose chunks are asked, each with its key and a prompt that holds its part and context; ``chunk`` is the first one's number."""
+    holds = lambda tag, text: F.contains("prompt", F.lit(f"<{tag}>\n{text}\n</{tag}>"))
+    right = (
+        F.contains("prompt", F.format_string(" part %d of %d", F.col("chunk") + 1, "chunks")) & F.endswith("prompt", F.lit("\n</diff>")) & F.contains("prompt", F.lit("<diff>\n"))
+        & holds("message", "Change") & (holds("impact", "seen") | ~F.col("filename").like("%.py")) & (holds("memory", "- [memory] known") | (F.col("repo") != "en"))
+        & (F.length("cache_key") == 64) & (F.length("request_id") == 64)
+    )
+    n = F.max("chunks")
+    files = requests.groupBy("repo", "sha", "filename").agg(
+        F.min("chunk").alias("chunk"), ((F.count(F.lit(1)) == n) & (F.count_distinct("chunk") == n) & (F.count_distinct("cache_key") == 1) & F.bool_and(right)).alias("whole")
+    )
+    return files.filter("whole").select("repo", "sha", "filename", "chunk")
+
+
 @query("J3_review_tasks", with_views(f"""WITH {TRIAGE}, {SELECTION} SELECT repo, sha, filename, CAST(0 AS INTEGER) AS chunk FROM walk WHERE selected""".replace("AS full", 'AS "full"'), "v_changed_files", recursive=True))
 def review_tasks(spark, d):
+    """All requests are built and held against their context; the SQL has a row per file, so what is right and whole is returned so."""
     messages, evidence, memory = _contexts(spark, d)
     cache = spark.createDataFrame([], "cache_key string, findings string")
     selected = review.triage(fx.changed_files(spark, d)).selected
-    tasks = review.review_tasks(selected, messages, evidence, memory, cache)
-    return tasks.requests.filter("chunk = 0").select("repo", "sha", "filename", "chunk")
+    return whole_requests(review.review_tasks(selected, messages, evidence, memory, cache).requests)
 
 
 COLLECTED = f"""{PARSED}, a AS (SELECT p.*, CASE WHEN x.new_line IS NOT NULL THEN p.line END AS anchored FROM (SELECT * FROM parsed WHERE doc_id % 21 <> 5) p

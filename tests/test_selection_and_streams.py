@@ -11,6 +11,7 @@ from changelens.operators import triage as tr
 from changelens.operators.grouping import first_per_group
 from changelens.options import Options
 from changelens.plans import review
+from changelens.queries import jobs
 from changelens.sources import requests as rq
 from changelens.streaming import ingest
 
@@ -134,3 +135,32 @@ def test_cached_answers_keep_their_chunks(spark):
     assert sorted((r.filename, r.seq, r.severity, r.title) for r in mixed.collect()) == fresh
     failed = answers.withColumn("error_type", F.when(F.expr("filename = 'a' AND chunk = 1"), "Timeout"))
     assert {r.cache_key for r in rq.cache_rows(failed).collect()} == {"key b", "key c", "key d"}
+
+
+def test_all_chunks_of_a_patch_are_asked(spark):
+    patches = {"a.py": 5, "b.go": 60, "c.py": 200}
+    patch = lambda n: f"@@ -0,0 +1,{n} @@\n" + "\n".join(f"+line {i} of this file" for i in range(n))
+    files = spark.createDataFrame([("en", "c", f, patch(n)) for f, n in patches.items()], "repo string, sha string, filename string, patch string")
+    reviews = files.select("repo", "sha").distinct()
+    evidence = files.filter("filename LIKE '%.py'").select("repo", "sha", "filename", F.lit("seen").alias("evidence"))
+    options, cache = Options(max_chunk_chars=500), spark.createDataFrame([], "cache_key string, findings string")
+    asked = review.review_tasks(files, reviews.withColumn("message", F.lit("Change")), evidence, reviews.withColumn("memory", F.lit("- [memory] known")), cache, options).requests
+    got = {(r.filename, r.chunk): r for r in asked.collect()}
+    texts = {r.filename: r.safe_text for r in rq.review_texts(files, options).collect()}
+    for name, text in texts.items():
+        want = [""]
+        for line in text.split("\n"):  # lines are packed while they fit
+            if want[-1] and len(want[-1]) + len(line) + 1 > 500:
+                want.append("")
+            want[-1] += line + "\n"
+        seen = "<impact>\nseen\n</impact>\n" if name.endswith(".py") else ""
+        assert [got[name, i].prompt for i in range(len(want))] == [
+            f"Review this change and answer in JSON.\nFile: {name} part {i + 1} of {len(want)}\n<message>\nChange\n</message>\n<memory>\n- [memory] known\n</memory>\n{seen}<diff>\n{part[:-1]}\n</diff>"
+            for i, part in enumerate(want)
+        ]
+        assert sum(f == name for f, _ in got) == len(want) and len({r.cache_key for (f, _), r in got.items() if f == name}) == 1
+    assert len(got) > 10
+    whole = lambda requests: {(r.filename, r.chunk) for r in jobs.whole_requests(requests).collect()}
+    assert whole(asked) == {(f, 0) for f in patches}
+    assert whole(asked.filter("NOT (filename = 'c.py' AND chunk = 2)")) == {("a.py", 0), ("b.go", 0)}
+    assert whole(asked.withColumn("prompt", F.expr("if(filename = 'b.go' AND chunk = 1, replace(prompt, 'Change'), prompt)"))) == {("a.py", 0), ("c.py", 0)}
