@@ -1,8 +1,8 @@
-"""N-gram Jaccard join: a MinHash LSH forest for candidates, exact similarity for links.
+"""N-gram Jaccard join: MinHash banding of a fixed depth for candidates, exact similarity for links.
 
-Documents with one set of five-word shingles are one node, whatever their number. A node has a signature of min-hashes and stands in ``trees`` sorted
-tries: a tree's label is a sequence of the signature's values, and nodes that share a prefix of it are candidates. The matched prefix starts at the
-full depth and is shortened until two documents at the least similarity share it in some tree with the target recall.
+Documents with one set of five-word shingles are one node, whatever their number. A node has a signature of min-hashes in ``trees``
+bands: nodes that share the first values of a band are candidates. How many values must match is worked out before any data is read: from the full
+``depth`` it is shortened until two documents at the least similarity share a band with the target recall. No tries are built.
 
 Candidates are not emitted as pairs. In every bucket each node is linked with the smallest one; the components of these links hold every candidate pair.
 All pairs inside a component are then compared exactly: small components are bundled, large ones are cut into blocks and every pair of blocks is a task
