@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from changelens import fixtures as fx
-from changelens.fixtures import SEVERITY_RANK, with_views
+from changelens.fixtures import HEX_SQL, SEVERITY_RANK, with_views
 from changelens.functions import text as tx
 from changelens.operators import state as st
 from changelens.operators.grouping import shared_folder
@@ -274,8 +274,9 @@ def learn(spark, d):
     return learned.items.select("repo", "document_id")
 
 
-@query("J8_recall", """WITH l AS (SELECT doc_id, lang AS type, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
-c AS (SELECT doc_id, pos, '- [' || type || '] ' || substring(translate(trim(regexp_replace(x, '[\\s\\p{Z}]+', ' ', 'g')), '<>', '‹›'), 1, 400) AS line FROM l WHERE pos < 12 AND trim(regexp_replace(x, '[\\s\\p{Z}]+', ' ', 'g')) <> ''),
+@query("J8_recall", f"""WITH l AS (SELECT doc_id, lang AS type, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
+m AS (SELECT doc_id, type, pos, regexp_replace(raw, {HEX_SQL}, '[REDACTED:assigned_hex]', 'g') AS x FROM l),
+c AS (SELECT doc_id, pos, '- [' || type || '] ' || substring(translate(trim(regexp_replace(x, '[\\s\\p{{Z}}]+', ' ', 'g')), '<>', '‹›'), 1, 400) AS line FROM m WHERE pos < 12 AND trim(regexp_replace(x, '[\\s\\p{{Z}}]+', ' ', 'g')) <> ''),
 w AS (SELECT *, sum(length(line)) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS used FROM c),
 s AS (SELECT *, min(pos) FILTER (used > 4500) OVER (PARTITION BY doc_id) AS stop FROM w)
 SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS memory, CAST(count(*) AS INTEGER) AS n_items FROM s WHERE stop IS NULL OR pos < stop GROUP BY doc_id""")

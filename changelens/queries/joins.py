@@ -5,7 +5,7 @@ from functools import lru_cache
 from pyspark.sql import functions as F
 
 from changelens import fixtures as fx
-from changelens.fixtures import with_views
+from changelens.fixtures import HEX_SQL, with_views
 from changelens.functions import paths
 from changelens.operators import diff, evaluate, impact, links, memory, publish, state, symbols
 from changelens.operators import findings as fd
@@ -260,11 +260,11 @@ def trusted_reactions(spark, d):
     return memory.trusted_reactions(repo_reactions(spark, d), logins).select("event_id", "repo", "content", "login")
 
 
-@query("D19_changed_conventions", """SELECT lang AS repo, 'd' || doc_id AS path, sha256(substring(text, 1, 20000)) AS digest FROM documents WHERE doc_id % 3 <> 0""")
+@query("D19_changed_conventions", f"""SELECT lang AS repo, 'd' || doc_id AS path, sha256(regexp_replace(text, {HEX_SQL}, '[REDACTED:assigned_hex]', 'g')) AS digest FROM documents WHERE doc_id % 3 <> 0""")
 def changed_conventions(spark, d):
     docs = fx.table(spark, d, "documents").selectExpr("lang AS repo", "'d' || doc_id AS path", "text AS content", "doc_id")
-    stored = docs.selectExpr(
-        "'conventions' AS namespace", "concat_ws(':', repo, path) AS key", "CASE doc_id % 3 WHEN 0 THEN sha2(substring(content, 1, 20000), 256) WHEN 1 THEN 'old' END AS value", "doc_id"
+    stored = docs.withColumn("digest", memory.digest("content")).selectExpr(
+        "'conventions' AS namespace", "concat_ws(':', repo, path) AS key", "CASE doc_id % 3 WHEN 0 THEN digest WHEN 1 THEN 'old' END AS value", "doc_id"
     ).filter("doc_id % 3 < 2")
     return memory.changed_conventions(docs, stored).select("repo", "path", "digest")
 

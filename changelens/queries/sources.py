@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from changelens import fixtures as fx
-from changelens.fixtures import with_views
+from changelens.fixtures import HEX_SQL, with_views
 from changelens.functions import paths
 from changelens.functions import text as tx
 from changelens.operators import publish, state
@@ -157,7 +157,7 @@ def state_latest(spark, d):
     return state.put(rows.filter("seq % 2 = 0"), rows.filter("seq % 2 = 1")).select("namespace", "key", "value", "seq")
 
 
-# the text a request is made from, rebuilt by formula (no text of the tables holds a credential of a known kind)
+# the text a request is made from, rebuilt by formula; texts of the tables hold assigned hex credentials, which are redacted
 ANNOTATED = """a_rows AS (SELECT doc_id, repo, sha, filename, hunk_id, -1 AS pos, '@@ -' || (hunk_id * 8 - 7) || ',8 +' || (hunk_id * 8 - 7 + 100 * (hunk_id - 1)) || ',8 @@' AS row FROM f_patch_rows GROUP BY ALL
   UNION ALL SELECT doc_id, repo, sha, filename, hunk_id, pos, CASE op WHEN '-' THEN '      - ' WHEN '+' THEN lpad(CAST(new_line AS VARCHAR), 5, ' ') || ' + '
     ELSE lpad(CAST(new_line AS VARCHAR), 5, ' ') || '   ' END || text FROM f_patch_rows)"""
@@ -173,7 +173,7 @@ def request_contexts(spark, d):
 
 
 _KEYS = f"""WITH {ANNOTATED},
-t AS (SELECT repo, sha, filename, string_agg(row, chr(10) ORDER BY hunk_id, pos) AS safe_text FROM a_rows GROUP BY ALL),
+t AS (SELECT repo, sha, filename, regexp_replace(string_agg(row, chr(10) ORDER BY hunk_id, pos), {HEX_SQL}, '[REDACTED:assigned_hex]', 'g') AS safe_text FROM a_rows GROUP BY ALL),
 k AS (SELECT *, sha256('reviewer' || chr(31) || '1' || chr(31) || 'English' || chr(31) || filename || chr(31) || safe_text || chr(31) || 'Change ' || sha || chr(31)
     || CASE WHEN repo = 'en' THEN '- [memory] known' ELSE '' END || chr(31) || CASE WHEN filename LIKE '%.py' THEN 'seen' ELSE '' END || chr(31)) AS cache_key FROM t
 )
