@@ -27,13 +27,21 @@ _KEYS = {"documents": "doc_id", "pages": "page_id", "events": "event_id", "part"
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table. One that arrives in fewer splits than there are cores is spread by its key first."""
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in _KEYS and df.rdd.getNumPartitions() < cores:
+    path = f"{sf_dir}/{name}.parquet"
+    df, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    if name in _KEYS and _splits(spark, path) < cores:
         return df.repartition(cores, _KEYS[name])
     return df
 
 
+def _splits(spark: SparkSession, path: str) -> int:
+    """In how many splits a scan reads the files, by their number and size."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    told = folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder)
+    most = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return max(told.getFileCount(), told.getLength() // most)
+
+
 # ----------------------------------------------------------------------------- changed files ---
 def _filename(brackets: str, div: str) -> str:
     dirs, exts = _array(_DIRS, brackets), _array(_EXTS, brackets)
@@ -392,6 +400,24 @@ def polyglot_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return part(_ts_path("j"), ts).unionByName(part(_java_path("j"), java))
 
 
+def go_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One Go file per module, a language that is known by rows only: (repo, sha, path, content)."""
+    content = """concat('package p', j, '\\n\\nimport "repo/p', t, '"\\n\\n// Price_', t, '(x) is told "here\\ntype Cart_', j, ' struct {\\n\\ttext string\\n}\\n\\nfunc (c Cart_', j,
+      ') Fill_', j, '(a int) int {\\n\\tnote := `raw { Price_', t, '(a)`\\n\\treturn Price_', t, '(a, note)\\n}\\n\\nfunc Price_', j, '(a int,\\n\\tb string) int {\\n\\treturn a\\n}\\n')"""
+    return modules(spark, sf_dir).selectExpr("concat('r', n) AS repo", "'c0' AS sha", "concat('pkg/p', j, '/m', j, '.go') AS path", f"{content} AS content")
+
+
+#: What a caller adds to know Go: rows, no code.
+GO_LANGUAGES = ((".go", "go", "go", "braces"),)
+GO_PATTERNS = (
+    ("go", "comment", 0, None, r"//[^\n]*+", False), ("go", "comment", 1, None, r"/\*[\s\S]*?(?:\*/|\z)", False),
+    ("go", "quoted", 0, None, r'"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"', False), ("go", "quoted", 1, None, r"`[^`]*+`", False),
+    ("go", "header", 0, "class", r"(\btype\s+(\w+)\s+(?:struct|interface)\s*)\z", False),
+    ("go", "header", 1, "method", r"(\bfunc\s*\([^()]*\)\s*(\w+)\s*\([^{}]*)\z", False), ("go", "header", 2, "function", r"(\bfunc\s+(\w+)\s*\([^{}]*)\z", False),
+    ("go", "import", 0, None, r'(?m)^[ \t]*import[ \t]+"([^"\n]+)"', False),
+)
+
+
 VIEWS["f_polyglot"] = f"""f_polyglot AS (SELECT repo, j, t, u, {_ts_path('j')} AS ts, {_java_path('j')} AS java FROM f_modules)"""
 
 

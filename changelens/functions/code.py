@@ -7,10 +7,14 @@ operator, not a parser; see the README for what it does not see.
 
 from __future__ import annotations
 
+import re
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from changelens import rules
+from changelens.functions import paths
 from changelens.functions.text import as_column, built_once, ColumnLike, let
 
 DEFINITION = (
@@ -20,48 +24,61 @@ REFERENCE = "struct<name:string,line:int,kind:string>"
 IMPORT = "struct<spec:string,names:array<string>,level:int,wildcard:boolean,static:boolean,line:int,end_line:int>"
 MAX_INT = 2147483647
 
-_QUOTED = {
-    "python": (
-        r'"""[\s\S]*?(?:"""|\z)', r"'''[\s\S]*?(?:'''|\z)",
-        r'"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"', r"'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'",
-    ),
-    "js": (
-        r'"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"', r"'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'",
-        r"`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`",
-    ),
-    "java": (
-        r'"""[\s\S]*?(?:"""|\z)',
-        r'"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"', r"'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'",
-    ),
-}
-_COMMENTS = {
-    "python": (r"#[^\n]*+",),
-    "js": (r"//[^\n]*+", r"/\*[\s\S]*?(?:\*/|\z)"),
-    "java": (r"//[^\n]*+", r"/\*[\s\S]*?(?:\*/|\z)"),
-}
-_PLAIN = {"python": r"""[^"'#]++""", "js": r"""[^"'`/]++""", "java": r"""[^"'/]++"""}
+# part, family, place -> pattern. A string is a quoted piece; what is no comment, no quote and no plain run is a piece of one character.
+_DOUBLE, _SINGLE = r'"[^"\\\n]*+(?:\\[\s\S][^"\\\n]*+)*+"', r"'[^'\\\n]*+(?:\\[\s\S][^'\\\n]*+)*+'"
+_BLOCK = r'"""[\s\S]*?(?:"""|\z)'
+
+
+@dataclass(frozen=True)
+class Family:
+    """How the languages of a family are read. Headers and statements are (kind, pattern, only inside a type); the name is the pattern's second group.
+
+    ``layout``: ``indent`` as in Python, ``braces`` as in Java, ``lines`` as in JavaScript, where a line break may end a statement.
+    """
+
+    layout: str
+    comments: tuple[str, ...]
+    quoted: tuple[str, ...]
+    plain: str = r"[\w \t\n]++"
+    headers: tuple[tuple[str, str, bool], ...] = ()
+    statements: tuple[tuple[str, str, bool], ...] = ()
+    imports: tuple[str, ...] = ()
+
+
+@dataclass(frozen=True, eq=False)
+class Grammar:
+    """Languages by suffix and the families they belong to; see :mod:`changelens.operators.rulebook` for grammars from tables."""
+
+    languages: dict[str, tuple[str, str]]
+    families: dict[str, Family]
+
+    def language_of(self, path: ColumnLike) -> Column:
+        return self._by_suffix(path, 0)
 
+    def family_of(self, path: ColumnLike) -> Column:
+        return self._by_suffix(path, 1)
 
-def by_family(family: ColumnLike, build, otherwise: Column) -> Column:
+    def _by_suffix(self, path: ColumnLike, at: int) -> Column:
+        table = F.create_map(*[F.lit(item) for ending, told in self.languages.items() for item in (ending, told[at])])
+        return F.try_element_at(table, paths.suffix(path))
+
+
+def by_family(family: ColumnLike, build, otherwise: Column, grammar: Grammar | None = None) -> Column:
     """One branch per language family; only the branch of the row's family is evaluated."""
-    family = as_column(family)
-    return (
-        F.when(family == "python", build("python"))
-        .when(family == "js", build("js"))
-        .when(family == "java", build("java"))
-        .otherwise(otherwise)
-    )
+    family, chosen = as_column(family), otherwise
+    for name in reversed((grammar or GRAMMAR).families):
+        chosen = F.when(family == name, build(name)).otherwise(chosen)
+    return chosen
 
 
-def _blank(content: Column, fam: str, keep_strings: bool) -> Column:
-    comments, quoted = "|".join(_COMMENTS[fam]), "|".join(_QUOTED[fam])
-    pieces = F.regexp_extract_all(content, F.lit(f"({comments}|{quoted}|{_PLAIN[fam]}|[\\s\\S])"), 1)
-    opens = "^#" if fam == "python" else "^(//|/\\*)"
+def _blank(content: Column, how: Family, keep_strings: bool) -> Column:
+    comments, quoted = "|".join(how.comments), "|".join(how.quoted)
+    pieces = F.regexp_extract_all(content, F.lit(f"({comments}|{quoted}|{how.plain}|[\\s\\S])"), 1)
 
     def piece(p: Column) -> Column:
         string = p if keep_strings else F.regexp_replace(F.regexp_replace(p, r"[^\n]", '"'), '\n"', "\n~")
         return (
-            F.when(p.rlike(opens), F.regexp_replace(p, r"[^\n]", " "))
+            F.when(p.rlike(f"^(?:{comments})"), F.regexp_replace(p, r"[^\n]", " "))
             .when((F.length(p) > 1) & p.rlike("^[\"'`]"), string)
             .otherwise(p)
         )
@@ -70,16 +87,16 @@ def _blank(content: Column, fam: str, keep_strings: bool) -> Column:
 
 
 @built_once
-def blank_literals(content: ColumnLike, family: ColumnLike) -> Column:
+def blank_literals(content: ColumnLike, family: ColumnLike, grammar: Grammar | None = None) -> Column:
     """Comments become spaces, strings become quotes (``~`` first on continued lines). Positions do not move."""
-    content = as_column(content)
-    return by_family(family, lambda fam: _blank(content, fam, False), content)
+    content, known = as_column(content), grammar or GRAMMAR
+    return by_family(family, lambda fam: _blank(content, known.families[fam], False), content, known)
 
 
 @built_once
-def blank_comments(content: ColumnLike, family: ColumnLike) -> Column:
-    content = as_column(content)
-    return by_family(family, lambda fam: _blank(content, fam, True), content)
+def blank_comments(content: ColumnLike, family: ColumnLike, grammar: Grammar | None = None) -> Column:
+    content, known = as_column(content), grammar or GRAMMAR
+    return by_family(family, lambda fam: _blank(content, known.families[fam], True), content, known)
 
 
 # ----------------------------------------------------------------------------- definitions: Python ---
@@ -170,11 +187,13 @@ _HEADERS = {
 
 
 @built_once
-def header_names(rows: ColumnLike, family: ColumnLike) -> Column:
+def header_names(rows: ColumnLike, family: ColumnLike, grammar: Grammar | None = None) -> Column:
     """Names of the definitions whose header stands in a row by itself; an argument list that goes on in the next row is closed."""
+    known = grammar or GRAMMAR
 
     def of(fam: str) -> Column:
-        if fam == "python":
+        how = known.families[fam]
+        if how.layout == "indent":
             found = F.transform(as_column(rows), lambda row: F.regexp_extract(row, _PY_HEADER_PATTERN, 2))
             return F.filter(found, lambda name: name != "")
 
@@ -185,17 +204,17 @@ def header_names(rows: ColumnLike, family: ColumnLike) -> Column:
 
         def names(row: Column) -> Column:
             # without its block a method is told from a call by what stands before its name
-            stated = F.contains(row, F.lit("{")) | (F.lit(fam == "java") & ~row.rlike(r"^\s*(?:return|new|throw|else|await|case)\b") & row.rlike(r"^\s*[\w<>\[\],.]+\s+[^=]*\("))
+            stated = F.contains(row, F.lit("{")) | (F.lit(how.layout == "braces") & ~row.rlike(r"^\s*(?:return|new|throw|else|await|case)\b") & row.rlike(r"^\s*[\w<>\[\],.]+\s+[^=]*\("))
 
             def name(head: Column, kind: str, pattern: str) -> Column:
                 found = F.regexp_extract(head, "(?U)^" + pattern, 2)
                 return F.when(stated, found).otherwise("") if kind == "method" else found
 
-            return let(header(row), lambda head: F.array(*[name(head, kind, pattern) for kind, pattern, _ in _HEADERS[fam]]))
+            return let(header(row), lambda head: F.array(*[name(head, kind, pattern) for kind, pattern, _ in how.headers]))
 
         return F.filter(F.flatten(F.transform(as_column(rows), names)), lambda name: (name != "") & ~name.isin(*rules.NOT_DEFINITIONS))
 
-    return by_family(family, of, F.array().cast("array<string>"))
+    return by_family(family, of, F.array().cast("array<string>"), known)
 
 
 # statements that define something without a block of their own
@@ -223,10 +242,10 @@ def _match(buffer: str, patterns, in_type: str) -> str:
             'name', regexp_extract({buffer}, {quote(pattern)}, 2), 'text', regexp_extract({buffer}, {quote(pattern)}, 1))"""
         for kind, pattern, only_in_type in patterns
     )
-    return f"CASE {cases} END"
+    return f"CASE {cases} END" if patterns else "cast(null AS struct<kind:string,name:string,text:string>)"
 
 
-def _brace_definitions(blanked: str, fam: str) -> str:
+def _brace_definitions(blanked: str, how: Family) -> str:
     """Fold over the statements: text up to the next brace, semicolon or line break is matched where it ends."""
     pieces = f"regexp_extract_all({blanked}, {quote(_PIECE)}, 1)"
     start = f"""named_struct('line', 1, 'buffer', '', 'open', cast(array() AS {_OPEN_BRACE}),
@@ -253,15 +272,15 @@ def _brace_definitions(blanked: str, fam: str) -> str:
     ended = f"named_struct('line', acc.line, 'buffer', '', 'open', acc.open, 'done', {without_block})"
     next_line = "named_struct('line', acc.line + 1, 'buffer', concat(acc.buffer, p), 'open', acc.open, 'done', acc.done)"
     broken = f"named_struct('line', acc.line + 1, 'buffer', '', 'open', acc.open, 'done', {without_block})"
-    maybe = "contains(b, '=>') OR contains(b, 'type ')" if fam == "js" else "contains(b, '(')"
-    match = f"""CASE WHEN right(p, 1) = '{{' THEN CASE WHEN {balanced} THEN {_match('b', _HEADERS[fam], in_type)} END
-        WHEN {maybe} THEN {_match('b', _STATEMENTS[fam], in_type)} END"""
+    maybe = "contains(b, '=>') OR contains(b, 'type ')" if how.layout == "lines" else "contains(b, '(')"
+    match = f"""CASE WHEN right(p, 1) = '{{' THEN CASE WHEN {balanced} THEN {_match('b', how.headers, in_type)} END
+        WHEN {maybe} THEN {_match('b', how.statements, in_type)} END"""
     # a line break ends a JS statement that is complete on its own (no semicolon)
     complete = quote(
         rf"{_ARROW}{_PARAMS}\s*[^\s{{}};][^{{}};]*[\w\)\]\"'`]\s*\z|\btype\s+{_WORD}[^;{{}}=]*=\s*[^;{{}}=]*[\w\)\]\"'`]\s*\z"
     )
     stays = f"right(p, 1) = '\\n' AND NOT (({maybe.replace('(b,', '(concat(acc.buffer, p),')}) AND concat(acc.buffer, p) RLIKE {complete})"
-    stays = stays if fam == "js" else "right(p, 1) = '\\n'"
+    stays = stays if how.layout == "lines" else "right(p, 1) = '\\n'"
     buffer = f"regexp_replace(concat(acc.buffer, p), {quote(_PIECE_END)}, '')"
     return f"""aggregate({pieces}, {start}, (acc, p) -> CASE WHEN {stays} THEN {next_line} ELSE
         transform(array({buffer}), b -> transform(array({match}), m -> CASE right(p, 1)
@@ -271,15 +290,28 @@ def _brace_definitions(blanked: str, fam: str) -> str:
 
 
 @built_once
-def definitions(blanked: str, family: str) -> Column:
+def definitions(blanked: str, family: str, grammar: Grammar | None = None) -> Column:
     """array<definition> of a column with blanked source text, ordered by start and end line."""
-    found = f"""CASE {family} WHEN 'python' THEN {_python_definitions(blanked)} WHEN 'js' THEN {_brace_definitions(blanked, 'js')}
-        WHEN 'java' THEN {_brace_definitions(blanked, 'java')} ELSE cast(array() AS array<{DEFINITION}>) END"""
+    folds = " ".join(
+        f"WHEN {quote(name)} THEN {_python_definitions(blanked) if how.layout == 'indent' else _brace_definitions(blanked, how)}" for name, how in (grammar or GRAMMAR).families.items()
+    )
+    found = f"CASE {family} {folds} ELSE cast(array() AS array<{DEFINITION}>) END"
     return F.expr(
         f"transform(array_sort(transform({found}, d -> named_struct('a', d.start_line, 'b', d.end_line, 'd', d))), k -> k.d)"
     )
 
 
+_SLASHES = (r"//[^\n]*+", r"/\*[\s\S]*?(?:\*/|\z)")
+GRAMMAR = Grammar(
+    {ending: (name, "js" if name in rules.JS_LANGUAGES else name) for ending, name in rules.LANGUAGE_BY_SUFFIX.items()},
+    {
+        "python": Family("indent", (r"#[^\n]*+",), (_BLOCK, _BLOCK.replace('"', "'"), _DOUBLE, _SINGLE), r"""[^"'#]++"""),
+        "js": Family("lines", _SLASHES, (_DOUBLE, _SINGLE, r"`[^`\\]*+(?:\\[\s\S][^`\\]*+)*+`"), r"""[^"'`/]++""", _HEADERS["js"], _STATEMENTS["js"]),
+        "java": Family("braces", _SLASHES, (_BLOCK, _DOUBLE, _SINGLE), r"""[^"'/]++""", _HEADERS["java"], _STATEMENTS["java"]),
+    },
+)
+
+
 # ----------------------------------------------------------------------------- imports ---
 _FROM = r"(?Um)^[ \t]*from[ \t]+(\.*[\w.]*)[ \t]+import[ \t]+(?:\(([^()]*)\)|([^\n(]+))"
 _IMPORT = r"(?Um)^[ \t]*import[ \t]+([^\n(]+)"
@@ -369,15 +401,29 @@ def _java_imports(text: Column) -> Column:
 
 
 @built_once
-def imports(commentless: ColumnLike, blanked: ColumnLike, family: ColumnLike) -> Column:
-    """array<import>. Python and Java read the blanked text; JS specs are strings, so comments alone are blanked."""
-    commentless, blanked = as_column(commentless), as_column(blanked)
+def imports(commentless: ColumnLike, blanked: ColumnLike, family: ColumnLike, grammar: Grammar | None = None) -> Column:
+    """array<import>. Python and Java read the blanked text; other specs may be strings, so comments alone are blanked."""
+    commentless, blanked, known = as_column(commentless), as_column(blanked), grammar or GRAMMAR
     build = {
         "python": lambda: _python_imports(F.regexp_replace(blanked, r"\\\n", " \n")),
         "js": lambda: _js_imports(commentless),
         "java": lambda: _java_imports(blanked),
     }
-    return by_family(family, lambda fam: build[fam](), F.array().cast(f"array<{IMPORT}>"))
+
+    def of(fam: str) -> Column:
+        patterns = known.families[fam].imports
+        if fam in build:
+            return build[fam]()
+        one = lambda pattern: lambda found: _import(F.regexp_extract(found["text"], pattern, 1), found)
+        found = [F.transform(_located(commentless, _all_but_first(p)), one(p)) for p in patterns]
+        return F.concat(*found) if found else F.array().cast(f"array<{IMPORT}>")
+
+    return by_family(family, of, F.array().cast(f"array<{IMPORT}>"), known)
+
+
+def _all_but_first(pattern: str) -> str:
+    """The pattern with its first group turned into a plain one, to be put into a group itself."""
+    return re.sub(r"(?<!\\)\((?!\?)", "(?:", pattern, count=1)
 
 
 # ----------------------------------------------------------------------------- references ---
@@ -385,22 +431,18 @@ _TOKEN = r"([^\w$\s\"]?)\s*(?<![\w$])([A-Za-z_$\u0080-
 _DECLARING = ("def", "class", "function", "interface", "enum", "type", "const", "let", "var", "record")
 
 
-def word_pattern(names: ColumnLike) -> Column:
-    """Whole-word pattern for an array of identifiers."""
-    escaped = F.transform(as_column(names), lambda n: F.replace(n, F.lit("$"), F.lit("\\$")))
-    return F.concat(F.lit(r"(?<![\w$])(?:"), F.array_join(escaped, "|"), F.lit(r")(?![\w$])"))
+_BETWEEN = r"[^\w$]+"
+
+
+def identifiers(content: ColumnLike) -> Column:
+    """The distinct words of a text, in one pass; the index that searched names are joined with."""
+    return F.array_distinct(F.split(as_column(content), _BETWEEN, -1))
 
 
 @built_once
 def mentioned_names(content: ColumnLike, names: ColumnLike) -> Column:
-    """The wanted names that occur as whole words: a substring test first, one pattern run on the survivors."""
-    content, names = as_column(content), as_column(names)
-    near = F.filter(names, lambda n: F.contains(content, n))
-    exact = lambda near: F.when(
-        F.size(near) > 0,
-        F.array_sort(F.array_distinct(F.regexp_extract_all(content, word_pattern(near), F.lit(0)))),
-    ).otherwise(F.array().cast("array<string>"))
-    return let(near, exact)
+    """The wanted names that occur as whole words: two hash sets meet, however many names there are."""
+    return F.array_sort(F.array_intersect(as_column(names), identifiers(content)))
 
 
 @built_once
@@ -417,13 +459,21 @@ def references(blanked: ColumnLike, names: ColumnLike, defs: ColumnLike, imps: C
             lambda a, s: F.struct(a["before"].alias("before"), a["name"].alias("name"), F.ltrim(s).alias("after"), s.alias("raw")),
         )
 
-    def classify(line: Column, token: Column, previous: Column, imported: Column, header: Column, declared: Column) -> Column:
+    def lambda_parameter(found: Column, at: Column, token: Column) -> Column:
+        """Between a ``lambda`` of the line and the colon that ends its parameters, as a name of its own and not as a default."""
+        ahead = F.slice(found, F.lit(1), at)
+        starts = F.filter(F.transform(ahead, lambda t, i: F.when(t["name"] == "lambda", i)), lambda i: i.isNotNull())
+        open_ = let(F.array_max(starts), lambda first: F.coalesce(~F.exists(F.slice(ahead, first + 2, F.size(ahead)), lambda t: t["after"] == ":"), F.lit(False)))
+        return open_ & token["before"].isin("", ",", "*") & token["after"].isin(",", ":", "=")
+
+    def classify(line: Column, token: Column, previous: Column, imported: Column, header: Column, declared: Column, parameter: Column) -> Column:
         before, after = token["before"], token["after"]
         word = F.when(before == "", F.coalesce(previous["name"], F.lit(""))).otherwise("")
         called = after == "("
         listed = before.isin("(", ",", "*", "") & after.isin(",", ")", ":", "=", "", "?")
         drop = (
             word.isin(*_DECLARING)
+            | (python & parameter)
             | (declared & called & ~before.isin(".") & (word != "new") & ~python)
             | (header & listed & ~called & F.when(java, (word != "") & after.isin(",", ")")).otherwise(word == ""))
             | (python & ~header & (after == "=") & (before.isin("(", ",") | ((before == "") & (token["raw"] == "=") & (word == "") & line["text"].rlike(r"^\s+\w+=[^=]"))))
@@ -463,6 +513,7 @@ def references(blanked: ColumnLike, names: ColumnLike, defs: ColumnLike, imps: C
                             defs,
                             lambda d: (d["name"] == p["t"]["name"]) & (d["start_line"] <= at) & (at <= d["signature_end_line"]),
                         ),
+                        F.contains(line["text"], F.lit("lambda")) & lambda_parameter(found, p["i"], p["t"]),
                     ).alias("kind"),
                 ),
             )
@@ -471,7 +522,7 @@ def references(blanked: ColumnLike, names: ColumnLike, defs: ColumnLike, imps: C
         return let(tokens(line), all_tokens)
 
     lines = F.transform(F.split(blanked, "\n", -1), lambda x, i: F.struct((i + 1).alias("line"), x.alias("text")))
-    hit = F.filter(lines, lambda line: F.exists(names, lambda n: F.contains(line["text"], n)))
+    hit = F.filter(lines, lambda line: F.arrays_overlap(F.split(line["text"], _BETWEEN, -1), names))
     found = F.flatten(F.transform(hit, in_line))
     ordered = F.array_sort(F.transform(found, lambda r: F.struct(r["line"], r["name"], r["kind"])))
     return F.transform(

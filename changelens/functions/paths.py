@@ -41,6 +41,13 @@ def language_of(path: ColumnLike) -> Column:
     return F.try_element_at(table, suffix(path))
 
 
+@built_once
+def suffix_of(language: ColumnLike) -> Column:
+    """A suffix by which :func:`language_of` tells the language."""
+    by_language = {name: ending for ending, name in rules.LANGUAGE_BY_SUFFIX.items()}
+    return F.try_element_at(F.create_map(*[F.lit(item) for pair in by_language.items() for item in pair]), as_column(language))
+
+
 @built_once
 def family(language: ColumnLike) -> Column:
     language = as_column(language)

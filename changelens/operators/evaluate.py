@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from functools import lru_cache
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from changelens import rules
 from changelens.operators.findings import severity_rank
@@ -18,16 +24,33 @@ def _rank(column: str) -> Column:
     return rank
 
 
+@lru_cache(maxsize=10_000)
+def _compiled(pattern: str) -> re.Pattern | None:
+    try:
+        return re.compile(pattern, re.IGNORECASE)
+    except re.error:
+        return None
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def _found(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    for texts, patterns in batches:
+        # a missing pattern, like a broken one, is found nowhere
+        yield pd.Series([[p for p in asked if p is not None and (made := _compiled(p)) and made.search(text)] for text, asked in zip(texts, patterns)])
+
+
 def matches(expectations: DataFrame, findings: DataFrame) -> DataFrame:
     """Pairs of expectation and finding: same case and file, severe enough, pattern found in the text.
 
-    The pair is found by equality on (case, file); the pattern is only run inside it.
+    The distinct patterns of a (case, file) travel as one list to its findings, so a finding is read once for all of them and a task compiles each pattern once.
+    Patterns are those of the standard library, without case; a broken one matches nothing.
     """
     text = F.concat_ws("\n", "title", "detail", F.coalesce("suggestion", F.lit("")))
-    shown = findings.withColumn("_text", text)
-    pairs = shown.join(expectations.withColumnRenamed("file", "filename"), ["case", "filename"])
-    hit = (severity_rank() <= _rank("min_severity")) & F.expr("_text RLIKE concat('(?i)', pattern)")
-    return pairs.filter(hit).drop("_text")
+    keyed = expectations.withColumnRenamed("file", "filename")
+    asked = keyed.groupBy("case", "filename").agg(F.collect_set("pattern").alias("_patterns"))
+    read = findings.join(asked, ["case", "filename"]).withColumn("_hits", _found(text, "_patterns")).drop("_patterns")
+    pairs = read.filter(F.size("_hits") > 0).join(keyed, ["case", "filename"])
+    return pairs.filter(F.array_contains("_hits", F.col("pattern")) & (severity_rank() <= _rank("min_severity"))).drop("_hits")
 
 
 def score_cases(cases: DataFrame, expectations: DataFrame, findings: DataFrame) -> DataFrame:

@@ -82,6 +82,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast a table of narrow rows only after counting that it has at most ``max_rows``; else leave it to the planner."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def broadcast_if_small(df: DataFrame, max_rows: int, weight: Column | None = None) -> DataFrame:
+    """Broadcast a table of narrow rows only after counting that it has at most ``max_rows``; else leave it to the planner.
+
+    Rows that hold a list count by their ``weight``, the length of the list.
+    """
+    if weight is None:
+        return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    total = df.agg(F.coalesce(F.sum(weight), F.lit(0))).first()[0]
+    return F.broadcast(df) if total <= max_rows else df

@@ -94,14 +94,14 @@ def learn_feedback(comments: DataFrame, reactions: DataFrame, logins: DataFrame,
     )
 
 
-def digest(content: str) -> Column:
+def digest(content: str, secret_rules: leaks.Rules = rules.SECRET_RULES) -> Column:
     """Hash of a whole convention document without its credentials."""
-    return F.sha2(leaks.redact(content), 256)
+    return F.sha2(leaks.redact(content, secret_rules), 256)
 
 
-def changed_conventions(documents: DataFrame, state: DataFrame) -> DataFrame:
+def changed_conventions(documents: DataFrame, state: DataFrame, secret_rules: leaks.Rules = rules.SECRET_RULES) -> DataFrame:
     """Convention documents that are not blank and whose digest is not the stored one."""
-    hashed = documents.filter(tx.strip("content") != "").withColumn("digest", digest("content")).withColumn(
+    hashed = documents.filter(tx.strip("content") != "").withColumn("digest", digest("content", secret_rules)).withColumn(
         "key", F.concat_ws(":", "repo", "path")
     )
     old = state.filter(F.col("namespace") == "conventions").select("key", F.col("value").alias("_old"))
@@ -126,14 +126,16 @@ def recall_queries(files: DataFrame, messages: DataFrame) -> DataFrame:
     )
 
 
-def recall_budget(items: DataFrame, keys: list[str], max_items: int = 12, max_tokens: int = 1_500) -> DataFrame:
+def recall_budget(
+    items: DataFrame, keys: list[str], max_items: int = 12, max_tokens: int = 1_500, secret_rules: leaks.Rules = rules.SECRET_RULES
+) -> DataFrame:
     """The recalled lines that fit: the first items, blank ones skipped, up to the first that exceeds the budget.
 
     Items are redacted before they are cleaned.
     """
     first = first_per_group(items, keys, [F.col("pos")], max_items)
     kind = F.when(F.coalesce("type", F.lit("")) == "", "memory").otherwise(F.col("type"))
-    lines = first.withColumn("text", tx.clean_memory_text(leaks.redact("text"))).filter(F.col("text") != "").withColumn(
+    lines = first.withColumn("text", tx.clean_memory_text(leaks.redact("text", secret_rules))).filter(F.col("text") != "").withColumn(
         "line", F.concat(F.lit("- ["), tx.clean_memory_text(kind, 20), F.lit("] "), F.col("text"))
     )
     return prefix_within(lines, keys, [F.col("pos")], F.length("line"), max_tokens * 3).select(*keys, "pos", "line")

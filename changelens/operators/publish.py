@@ -101,9 +101,10 @@ _SHORTEST = 26
 
 
 def render_reports(
-    reviews: DataFrame, findings: DataFrame, counts: DataFrame, headlines: DataFrame, notes: DataFrame, max_chars: int = 60_000
+    reviews: DataFrame, findings: DataFrame, counts: DataFrame, headlines: DataFrame, notes: DataFrame, max_chars: int = 60_000,
+    summaries: DataFrame | None = None,
 ) -> DataFrame:
-    """(repo, sha, report): Markdown per review, cut to ``max_chars``."""
+    """(repo, sha, report): Markdown per review, cut to ``max_chars``; ``summaries`` are the model's (repo, sha, summary), if asked."""
     found = report_parts(findings, max_chars).groupBy(*REVIEW).agg(
         F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("parts")
     )
@@ -114,12 +115,16 @@ def render_reports(
     joined = reviews.join(found, list(REVIEW), "left").join(told, list(REVIEW), "left").join(counts, list(REVIEW), "left").join(
         notes, list(REVIEW), "left"
     )
+    if summaries is not None:
+        joined = joined.join(summaries.select(*REVIEW, "summary"), list(REVIEW), "left")
+    summary = F.when(F.col("summary") != "", tx.sanitize("summary")) if summaries is not None else F.lit(None).cast("string")
     heads = F.array_join(F.transform("heads", lambda h: F.concat(F.lit("- "), tx.sanitize(h["headline"]))), "\n")
     body = F.concat_ws(
         "\n\n",
         F.lit(MARKER),
         F.format_string("## Change review (`%s`)", F.substring("sha", 1, 7)),
         F.concat(F.lit("**Verdict:** "), label),
+        summary,
         F.concat(F.lit("### Impact\n"), heads),
         F.concat(F.lit("**Findings:** "), F.when(F.col("counts") != "", F.col("counts"))),
         F.when(F.size("parts") > 0, F.array_join(F.transform("parts", lambda p: p["text"]), "\n")).otherwise("No findings to report here."),

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changelens.operators.grouping import first_per_group
@@ -43,23 +46,19 @@ def rate_limited(checks: DataFrame, minutes: int = 30) -> DataFrame:
     """Completed checks (repo, second, event_id) that are at least ``minutes`` after the last allowed one of their repo.
 
     A greedy chain, so it is a fold over time. Time counts in whole seconds and only the first check of a second can be allowed; the others go before
-    the shuffle. A check that comes ``minutes`` or more after the one before it is always allowed, so the chain starts anew there: every stretch
-    without such a pause is folded on its own.
+    the shuffle. A repository's seconds pass through a task in order; what is held is the last allowed one.
     """
     seconds = checks.groupBy("repo", F.unix_seconds("ts").alias("second")).agg(F.min("event_id").alias("event_id"))
-    by_time = Window.partitionBy("repo").orderBy("second")
-    pause = F.coalesce(F.col("second") - F.lag("second").over(by_time) >= minutes * 60, F.lit(True))
-    stretches = seconds.withColumn("_pause", pause).withColumn("stretch", F.count_if("_pause").over(by_time.rowsBetween(Window.unboundedPreceding, 0)))
-    history = stretches.groupBy("repo", "stretch").agg(F.array_sort(F.collect_list(F.struct("second", "event_id"))).alias("history"))
-    start = F.struct(
-        F.lit(None).cast("bigint").alias("last"), F.array().cast("array<struct<second:bigint,event_id:bigint>>").alias("allowed")
-    )
-
-    def step(acc, check):
-        free = acc["last"].isNull() | (check["second"] - acc["last"] >= minutes * 60)
-        return F.struct(
-            F.when(free, check["second"]).otherwise(acc["last"]).alias("last"),
-            F.when(free, F.concat(acc["allowed"], F.array(check))).otherwise(acc["allowed"]).alias("allowed"),
-        )
-
-    return history.select("repo", F.inline(F.aggregate("history", start, step, lambda acc: acc["allowed"])))
+    ordered = seconds.repartition("repo").sortWithinPartitions("repo", "second")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, last = None, None
+        for batch in batches:
+            allowed = []
+            for row, (repo, second) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                if last is None or repo != known or second - last >= minutes * 60:
+                    known, last = repo, second
+                    allowed.append(row)
+            yield batch.take(pa.array(allowed, pa.int64()))
+
+    return ordered.mapInArrow(run, ordered.schema)

@@ -6,26 +6,45 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from changelens import rules
-from changelens.functions import code, diffs, paths
+from changelens.functions import code, diffs, lexer, paths
 from changelens.functions.text import as_column, built_once, let
-from changelens.operators.grouping import REVIEW, broadcast_if_small, first_per_group, materialize
+from changelens.operators.grouping import REVIEW, broadcast_if_small, first_per_group, materialize, unnest
+from changelens.sources import snapshot
 
 FILE = (*REVIEW, "filename")
 SYMBOL = (*FILE, "name", "start_line", "change")
 
 
-def with_source_facts(files: DataFrame, path: str = "path") -> DataFrame:
+def with_blanked(files: DataFrame, grammar: code.Grammar | None = None) -> DataFrame:
+    """Adds ``blanked`` and ``commentless`` texts of ``content``; files with code inside their strings go through the lexer, the others through patterns."""
+    return (
+        files.withColumn("_lexed", lexer.lexed("content", "family"))
+        .withColumn("blanked", F.coalesce("_lexed.blanked", code.blank_literals("content", "family", grammar)))
+        .withColumn("commentless", F.coalesce("_lexed.commentless", code.blank_comments("content", "family", grammar)))
+        .drop("_lexed")
+    )
+
+
+def with_source_facts(files: DataFrame, path: str = "path", grammar: code.Grammar | None = None) -> DataFrame:
     """Adds language, family, blanked text, definitions and imports of ``content``. One row stays one row."""
+    known = grammar or code.GRAMMAR
+    told = files.withColumn("language", known.language_of(path)).withColumn("family", known.family_of(path))
     return (
-        files.withColumn("language", paths.language_of(path))
-        .withColumn("family", paths.family("language"))
-        .withColumn("blanked", code.blank_literals("content", "family"))
-        .withColumn("definitions", code.definitions("blanked", "family"))
-        .withColumn("commentless", code.blank_comments("content", "family"))
-        .withColumn("imports", code.imports("commentless", "blanked", "family"))
+        with_blanked(told, grammar)
+        .withColumn("definitions", code.definitions("blanked", "family", grammar))
+        .withColumn("imports", code.imports("commentless", "blanked", "family", grammar))
     )
 
 
+def facts_by_content(source_files: DataFrame) -> DataFrame:
+    """(repo, sha, path, language, definitions, imports) of every file, each distinct text parsed once and its facts joined back by its hash."""
+    found = snapshot.by_content(source_files.select(*REVIEW, "path", "content"))
+    # a name with the suffix of the language stands for all places of a text
+    named = found.texts.withColumn("path", F.concat(F.lit("file"), paths.suffix_of("language")))
+    facts = with_source_facts(named).select("content_id", "language", "definitions", "imports")
+    return found.places.join(facts, "content_id").drop("content_id")
+
+
 def is_skippable(definition: Column) -> Column:
     """Names that are too generic or too short to search for."""
     name, method = definition["name"], definition["kind"] == "method"
@@ -89,12 +108,9 @@ def file_symbols(changed_files: DataFrame, source_files: DataFrame) -> DataFrame
     ).select(*FILE, "status", "patch")
     # texts of changed files only; their definitions are found where the text is read, so no text is shuffled for this
     keys = broadcast_if_small(usable.select(*FILE), 200_000)
-    head = (
-        source_files.select(*REVIEW, F.col("path").alias("filename"), "content").join(keys, list(FILE), "left_semi")
-        .withColumn("family", paths.family(paths.language_of("filename")))
-        .withColumn("blanked", code.blank_literals("content", "family"))
-        .select(*FILE, code.definitions("blanked", "family").alias("definitions"))
-    )
+    named = source_files.select(*REVIEW, F.col("path").alias("filename"), "content").join(keys, list(FILE), "left_semi")
+    told = with_blanked(named.withColumn("family", paths.family(paths.language_of("filename"))))
+    head = told.select(*FILE, code.definitions("blanked", "family").alias("definitions"))
     facts = (
         usable.join(head, list(FILE), "left")
         .withColumn("definitions", F.coalesce("definitions", F.array().cast(f"array<{code.DEFINITION}>")))
@@ -170,28 +186,39 @@ def located_hits(references: str, definitions: str) -> Column:
     return F.transform(references, located)
 
 
-def scan(source_files: DataFrame, names: DataFrame, max_scan: int | None = None, max_parse: int | None = None) -> DataFrame:
+def mentions(source_files: DataFrame, names: DataFrame) -> DataFrame:
+    """(repo, sha, path, names): the searched names that a file holds as words.
+
+    Every file gives its distinct words, which meet the names in a hash join on (repo, sha, word): the work is words plus names, not their product. Rows are
+    narrow; the names are broadcast while there are few, so that the words stay where the text was read.
+    """
+    wanted = broadcast_if_small(names.select(*REVIEW, "name"), 200_000)
+    words = source_files.select(*REVIEW, "path", F.explode(code.identifiers("content")).alias("name"))
+    return words.join(wanted, [*REVIEW, "name"]).groupBy(*REVIEW, "path").agg(F.sort_array(F.collect_list("name")).alias("names"))
+
+
+def scan(
+    source_files: DataFrame, names: DataFrame, max_scan: int | None = None, max_parse: int | None = None, grammar: code.Grammar | None = None
+) -> DataFrame:
     """Files that mention a searched name, with what the scan learned about them.
 
     All files of a review count. With ``max_scan`` only its first files by path are looked at, with ``max_parse`` only the first with a mention are
-    kept; ``incomplete`` then marks a cut scan. The text is read once and dropped in the same stage: only names, uses, definitions and imports go on.
+    kept; ``incomplete`` then marks a cut scan. Only files with a mention are parsed; their text is dropped in the same stage: names, uses,
+    definitions and imports go on.
     """
-    sources = source_files.filter(paths.language_of("path").isNotNull())
-    extent = sources.groupBy(*REVIEW).agg(F.max("path").alias("last_path"))
-    if max_scan is not None:
-        ranked = first_per_group(sources.select(*REVIEW, "path"), REVIEW, [F.col("path")], max_scan)
-        extent = ranked.groupBy(*REVIEW).agg(F.max("path").alias("last_path"))
-    grouped = names.groupBy(*REVIEW).agg(F.sort_array(F.collect_list("name")).alias("names"))
-    # one row per review: broadcast while these are few, so that no text is shuffled
-    wanted = broadcast_if_small(materialize(grouped.join(extent, list(REVIEW))), 10_000)
-    # a left join, so that only the small side can be broadcast (when its size allows) and texts keep their partitions
-    mentioning = (
-        sources.join(wanted, list(REVIEW), "left")
-        .filter(F.col("path") <= F.col("last_path"))
-        .withColumn("names", code.mentioned_names("content", "names"))
-        .filter(F.size("names") > 0)
-    )
-    facts = with_source_facts(mentioning).withColumn(
+    sources = source_files.filter((grammar or code.GRAMMAR).language_of("path").isNotNull())
+    found = mentions(sources, names)
+    if max_scan is not None or max_parse is not None:
+        looked = sources.select(*REVIEW, "path")
+        looked = looked if max_scan is None else first_per_group(looked, REVIEW, [F.col("path")], max_scan)
+        extent = looked.groupBy(*REVIEW).agg(F.max("path").alias("last_path"))
+        found = found.join(extent, list(REVIEW)).filter(F.col("path") <= F.col("last_path"))
+    else:
+        found = found.withColumn("last_path", F.lit(None).cast("string"))
+    # a row per file with a mention: broadcast while their names are few, so that no text is shuffled
+    wanted = broadcast_if_small(materialize(found), 500_000, F.size("names") + 1)
+    mentioning = sources.join(wanted, [*REVIEW, "path"])
+    facts = with_source_facts(mentioning, grammar=grammar).withColumn(
         "references", code.references("blanked", "names", "definitions", "imports", "family")
     )
     # "hits" needs all definitions of the file, so it is built before they are cut to the wanted names
@@ -214,4 +241,4 @@ def definers(scanned: DataFrame) -> DataFrame:
 
 
 def hits(scanned: DataFrame) -> DataFrame:
-    return scanned.select(*REVIEW, "path", "language", F.inline("hits"))
+    return unnest(scanned, [*REVIEW, "path", "language"], "hits")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from changelens import rules
 from changelens.functions import diffs, leaks, paths
 from changelens.operators.grouping import REVIEW, first_per_group, unnest
 
@@ -65,14 +66,14 @@ def select_files(candidates: DataFrame, max_files: int, max_total_chars: int, ma
     return candidates.join(decided, list(FILE), "left")
 
 
-def secret_hits(files: DataFrame, per_file: int | None = None) -> DataFrame:
+def secret_hits(files: DataFrame, per_file: int | None = None, secret_rules: leaks.Rules = rules.SECRET_RULES) -> DataFrame:
     """(repo, sha, filename, line, kind) for credentials on added rows; distinct, of a file all or the first ``per_file``."""
     rows = F.filter(diffs.patch_rows("patch"), lambda r: r["op"] == "+")
     found = F.flatten(
         F.transform(
             rows,
             lambda r: F.transform(
-                leaks.secret_kinds(r["text"]), lambda kind: F.struct(r["new_line"].alias("line"), kind.alias("kind"))
+                leaks.secret_kinds(r["text"], secret_rules), lambda kind: F.struct(r["new_line"].alias("line"), kind.alias("kind"))
             ),
         )
     )

@@ -31,6 +31,11 @@ class Options:
     max_secrets_per_file: int | None = None
     max_inline: int = 50
     verify_max_findings: int = 10
+    max_excerpt_chars: int = 4_000
+    max_impact_chars: int = 3_000
+    max_reason_chars: int = 300
+    summary_findings: int = 40
+    max_summary_chars: int = 1_500
     max_comment_chars: int = 60_000
     max_message_chars: int = 2_000
     max_body_bytes: int = 5 * 1024 * 1024
@@ -45,6 +50,7 @@ class Options:
     review_events: tuple[str, ...] = ("push",)
     allowed_repos: tuple[str, ...] = ()
     trusted_logins: tuple[str, ...] = ()
+    secret_rules: tuple[tuple[str, str], ...] = rules.SECRET_RULES
     conventions: tuple[str, ...] = rules.CONVENTION_PATHS
     model: str = "reviewer"
     prompt_version: str = "1"

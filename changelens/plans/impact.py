@@ -45,7 +45,7 @@ def impact(
     callers = materialize(op.with_flags(op.link_tier(flagged, scanned, definers)))
     counted = op.symbol_counts(symbols, callers, definers)
     shown = op.with_snippets(materialize(op.top_callers(callers, options.max_callers, options.max_callers_body)), source_files)
-    sections = op.evidence(op.keep_symbols(counted), shown, options.evidence_chars)
+    sections = op.evidence(op.keep_symbols(counted), shown, options.evidence_chars, options.secret_rules)
     return Impact(
         symbols, names, scanned, callers, counted, shown, sections, op.evidence_by_file(sections, scanned),
         op.headlines(sections, options.max_headlines), op.impact_stats(symbols, names, scanned),

@@ -38,7 +38,7 @@ def triage(changed_files: DataFrame, options: Options = DEFAULTS) -> Triage:
         ranked.filter("NOT selected").select(*FILE, "reason")
     )
     candidates = sorted_out.filter(F.col("reason").isNull())  # whole patches of all of them, whatever the budget selects
-    rules = tr.secret_findings(tr.secret_hits(candidates, options.max_secrets_per_file)).unionByName(tr.sensitive_file_findings(sorted_out))
+    rules = tr.secret_findings(tr.secret_hits(candidates, options.max_secrets_per_file, options.secret_rules)).unionByName(tr.sensitive_file_findings(sorted_out))
     return Triage(selected, skipped, rules)
 
 
@@ -113,7 +113,7 @@ class Publication:
 
 def publish(
     targets: DataFrame, findings: DataFrame, files: DataFrame, comments: DataFrame, headlines: DataFrame, skipped: DataFrame,
-    rejected: DataFrame, me: str, options: Options = DEFAULTS,
+    rejected: DataFrame, me: str, options: Options = DEFAULTS, summaries: DataFrame | None = None,
 ) -> Publication:
     """Inline comments, reports and what to do with each report. Reviews in which everything failed are not published."""
     fingerprints, anchors = pub.existing_inline(comments, me)
@@ -123,7 +123,7 @@ def publish(
     allowed = targets.join(fd.publishable(files).filter("publish"), list(REVIEW), "left_semi")
     reviews = synthesize(allowed, findings)
     reports = pub.render_reports(
-        reviews.drop("counts"), remaining, reviews.select(*REVIEW, "counts"), headlines, pub.skip_notes(skipped), options.max_comment_chars
+        reviews.drop("counts"), remaining, reviews.select(*REVIEW, "counts"), headlines, pub.skip_notes(skipped), options.max_comment_chars, summaries
     )
     actions = pub.upsert_comments(reports.withColumnRenamed("report", "body"), comments, me, list(REVIEW), options.max_comment_chars)
     return Publication(inline.withColumn("body", pub.inline_body()), reports, actions)

@@ -9,9 +9,9 @@ from changelens.fixtures import HEX_SQL, SEVERITY_RANK, with_views
 from changelens.functions import text as tx
 from changelens.operators import state as st
 from changelens.operators.grouping import shared_folder
+from changelens.operators.store import KeyedTable
 from changelens.options import Options
 from changelens.plans import learning, review
-from changelens.plans.impact import impact
 from changelens.queries.aggregates import _RATIOS, _SUMS
 from changelens.queries.filters import SECRET, TRIAGE
 from changelens.queries.joins import CLAIMS, EVAL, RATED, _owners, eval_tables, feedback_state, ratings, repo_reactions
@@ -53,13 +53,13 @@ SIGNED = """keyed AS (SELECT lower(repo) || '@' || lower(sha) || '#' || coalesce
 
 @query("H2_claim_stream", with_views(f"WITH {SIGNED} SELECT DISTINCT key FROM keyed", "f_targets"))
 def claim_stream(spark, d):
-    """Two runs over the same deliveries: the second must add nothing, or a key would come out twice."""
+    """All deliveries arrive twice, the second time after a restart: a key that came out twice would show."""
     folder = scratch(spark)
-    deliveries(spark, d).repartition(4, "event_id").write.parquet(f"{folder}/in")
-    log = ingest.StateLog(spark, f"{folder}/state")
     sink = lambda fresh, n: fresh.select("key").write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
-    stream = ingest.event_targets(ingest.read_deliveries(spark, f"{folder}/in", 2), SECRET, BOTH)
-    ingest.run_available(stream, f"{folder}/checkpoint", ingest.claim_batch(log, sink))
+    for _ in range(2):
+        deliveries(spark, d).write.mode("append").parquet(f"{folder}/in")
+        stream = ingest.claims(ingest.event_targets(ingest.read_deliveries(spark, f"{folder}/in"), SECRET, BOTH))
+        ingest.run_available(stream, f"{folder}/checkpoint", sink)
     return spark.read.parquet(f"{folder}/out").drop("batch")
 
 
@@ -93,16 +93,14 @@ def release_stream(spark, d):
     events = fx.table(spark, d, "events").selectExpr(
         "user_id || event_type AS key", "event_id % 3 AS wave", "event_id", "cast(ts AS timestamp) + make_interval(0, 0, 0, cast(1000 * (event_id % 3) AS int)) AS received_ts", "1 AS seq"
     )
-    log = ingest.StateLog(spark, f"{folder}/state")
-
-    def review(fresh, n):
-        fresh.select("key", "wave", "event_id").write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
-        ingest.release(log, str(n), fresh.filter("event_id % 2 = 0").select("key", F.expr("received_ts + interval 1 second").alias("failed_ts")))
-
+    given = "key string, wave bigint, event_id bigint, received_ts timestamp, seq int"
+    spark.createDataFrame([], "key string").write.parquet(f"{folder}/released")
     for wave in range(3):
         events.filter(F.col("wave") == wave).write.mode("append").parquet(f"{folder}/in")
-        stream = spark.readStream.schema("key string, wave bigint, event_id bigint, received_ts timestamp, seq int").parquet(f"{folder}/in")
-        ingest.run_available(stream, f"{folder}/checkpoint", ingest.claim_batch(log, review))
+        stream = ingest.claims(spark.readStream.schema(given).parquet(f"{folder}/in"), spark.readStream.schema("key string").parquet(f"{folder}/released"))
+        ingest.run_available(stream, f"{folder}/checkpoint", lambda fresh, n: fresh.select("key", "wave", "event_id").write.mode("overwrite").parquet(f"{folder}/out/batch={n}"))
+        failed = spark.read.parquet(f"{folder}/out").filter((F.col("wave") == wave) & (F.col("event_id") % 2 == 0))
+        failed.select("key").write.mode("append").parquet(f"{folder}/released")
     return spark.read.parquet(f"{folder}/out").drop("batch")
 
 
@@ -115,15 +113,35 @@ def rate_limit(spark, d):
     return st.rate_limited(checks, minutes=360)
 
 
+@query("H4_rate_limit_stream", """WITH RECURSIVE s AS (SELECT 'o/r' || user_id AS repo, CAST(floor(epoch(ts)) AS BIGINT) AS second, min(event_id) AS event_id FROM events GROUP BY 1, 2),
+walk AS (SELECT repo, min(second) AS second FROM s GROUP BY repo
+  UNION ALL SELECT w.repo, (SELECT min(s.second) FROM s WHERE s.repo = w.repo AND s.second >= w.second + 21600) FROM walk w WHERE w.second IS NOT NULL)
+SELECT s.repo, s.second, s.event_id FROM walk w JOIN s ON s.repo = w.repo AND s.second = w.second""")
+def rate_limit_stream(spark, d):
+    """The checks arrive in four runs of one stream, in the order of their time."""
+    folder = scratch(spark)
+    checks = fx.table(spark, d, "events").selectExpr("'o/r' || user_id AS repo", "cast(ts AS timestamp) AS ts", "event_id")
+    bounds = checks.agg(F.percentile_approx(F.unix_seconds("ts"), [0.25, 0.5, 0.75]).alias("b")).select(F.explode("b").alias("b"))
+    cuts = [row["b"] for row in bounds.collect()] or [0]
+    part = F.array_size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.unix_seconds("ts")))
+    dated = checks.withColumn("part", part)
+    for number in range(len(cuts) + 1):
+        dated.filter(F.col("part") == number).drop("part").write.mode("append").parquet(f"{folder}/in")
+        stream = ingest.rate_limit(spark.readStream.schema("repo string, ts timestamp, event_id bigint").parquet(f"{folder}/in"), 360)
+        ingest.run_available(stream, f"{folder}/checkpoint", lambda allowed, n: allowed.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"))
+    return spark.read.parquet(f"{folder}/out").drop("batch")
+
+
 @query("H5_publish_stream", """SELECT repo, arg_max('state of ' || event_id, (ts, event_id)) AS body FROM (SELECT 'o/r' || user_id AS repo, ts, event_id FROM events) GROUP BY repo""")
 def publish_stream(spark, d):
     folder = scratch(spark)
     fx.table(spark, d, "events").selectExpr(
         "'o/r' || user_id AS repo", "'state of ' || event_id AS body", "cast(ts AS timestamp) AS received_ts", "event_id"
     ).write.parquet(f"{folder}/in")
-    stream = spark.readStream.schema("repo string, body string, received_ts timestamp, event_id bigint").parquet(f"{folder}/in")
-    ingest.run_available(stream, f"{folder}/checkpoint", ingest.publish_batch(f"{folder}/out", ["repo"]))
-    return ingest.published(spark, f"{folder}/out", ["repo"])
+    stream = spark.readStream.schema("repo string, body string, received_ts timestamp, event_id bigint").option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")
+    table = KeyedTable(spark, f"{folder}/published", "repo string, body string")
+    ingest.run_available(stream, f"{folder}/checkpoint", ingest.publish_batch(table, "reports", ["repo"]))
+    return ingest.published(table, "reports", ["repo"])
 
 
 @query("J1_triage", with_views(f"""WITH {TRIAGE}, {SELECTION} SELECT repo, sha, filename, reason FROM triaged WHERE reason IS NOT NULL
@@ -133,11 +151,6 @@ def triage_job(spark, d):
     return out.skipped.unionByName(out.selected.select("repo", "sha", "filename", F.lit("selected").alias("reason")))
 
 
-@query("J2_impact")
-def impact_job(spark, d):
-    return impact(fx.symbol_changes(spark, d), fx.source_files(spark, d)).evidence
-
-
 @query("A12_eval_report", with_views(f'WITH {EVAL} SELECT "case", run, category, expected, matched, false_positives FROM scores', "v_raw_findings"))
 def eval_report(spark, d):
     """The report as it is read back from the JSON sink."""
@@ -153,30 +166,6 @@ def _contexts(spark, d):
     return reviews.withColumn("message", F.lit("Change")), evidence, reviews.filter("repo = 'en'").withColumn("memory", F.lit("- [memory] known"))
 
 
-def whole_requests(requests):
-    """Files all of whose chunks are asked, each with its key and a prompt that holds its part and context; ``chunk`` is the first one's number."""
-    holds = lambda tag, text: F.contains("prompt", F.lit(f"<{tag}>\n{text}\n</{tag}>"))
-    right = (
-        F.contains("prompt", F.format_string(" part %d of %d", F.col("chunk") + 1, "chunks")) & F.endswith("prompt", F.lit("\n</diff>")) & F.contains("prompt", F.lit("<diff>\n"))
-        & holds("message", "Change") & (holds("impact", "seen") | ~F.col("filename").like("%.py")) & (holds("memory", "- [memory] known") | (F.col("repo") != "en"))
-        & (F.length("cache_key") == 64) & (F.length("request_id") == 64)
-    )
-    n = F.max("chunks")
-    files = requests.groupBy("repo", "sha", "filename").agg(
-        F.min("chunk").alias("chunk"), ((F.count(F.lit(1)) == n) & (F.count_distinct("chunk") == n) & (F.count_distinct("cache_key") == 1) & F.bool_and(right)).alias("whole")
-    )
-    return files.filter("whole").select("repo", "sha", "filename", "chunk")
-
-
-@query("J3_review_tasks", with_views(f"""WITH {TRIAGE}, {SELECTION} SELECT repo, sha, filename, CAST(0 AS INTEGER) AS chunk FROM walk WHERE selected""".replace("AS full", 'AS "full"'), "v_changed_files", recursive=True))
-def review_tasks(spark, d):
-    """All requests are built and held against their context; the SQL has a row per file, so what is right and whole is returned so."""
-    messages, evidence, memory = _contexts(spark, d)
-    cache = spark.createDataFrame([], "cache_key string, findings string")
-    selected = review.triage(fx.changed_files(spark, d)).selected
-    return whole_requests(review.review_tasks(selected, messages, evidence, memory, cache).requests)
-
-
 COLLECTED = f"""{PARSED}, a AS (SELECT p.*, CASE WHEN x.new_line IS NOT NULL THEN p.line END AS anchored FROM (SELECT * FROM parsed WHERE doc_id % 21 <> 5) p
   LEFT JOIN (SELECT DISTINCT repo, sha, filename, new_line FROM f_patch_rows WHERE op = '+') x
     ON x.repo = p.repo AND x.sha = p.sha AND x.filename = p.filename AND x.new_line = p.line),
@@ -253,11 +242,6 @@ def inline(spark, d):
     return _publication(spark, d).inline.select("repo", "sha", "filename", "line", "seq")
 
 
-@query("C33_render_report")
-def render_report(spark, d):
-    return _publication(spark, d).reports
-
-
 @query("J8_learn", with_views(f"""WITH {RATED}, l AS (SELECT repo, id, kind, marked, lower(author) = 'bot-me' AS own, reaction_total FROM v_comments)
 SELECT r.repo, 'feedback:' || r.kind || ':' || comment_id AS document_id FROM ratings r JOIN l ON l.repo = r.repo AND l.kind = r.kind AND l.id = comment_id
 WHERE rating IS NOT NULL AND comment_id % 4 <> 0 AND marked AND own AND reaction_total > 0

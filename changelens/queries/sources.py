@@ -185,11 +185,6 @@ def review_requests(spark, d):
     return request_contexts(spark, d).select("repo", "sha", "filename", "cache_key", "safe_text")
 
 
-@query("C32_render_prompt")
-def render_prompt(spark, d):
-    return requests.emit_review_requests(request_contexts(spark, d))
-
-
 @query("A13_read_responses", with_views("""SELECT repo, sha, filename, count(*) AS chunks, count(*) FILTER (CASE WHEN failed THEN true ELSE missing END) AS failed FROM (
   SELECT repo, sha, filename, doc_id % 21 = 5 AS failed, doc_id % 6 = 0 AS missing FROM v_changed_files WHERE patch IS NOT NULL) GROUP BY ALL""", "v_changed_files"))
 def read_responses(spark, d):

@@ -149,11 +149,6 @@ def impact_headline(spark, d):
     return run_impact(spark, d).sections.select("repo", "filename", "name", "change", "headline")
 
 
-@query("C22_render_evidence")
-def render_evidence(spark, d):
-    return run_impact(spark, d).evidence
-
-
 @query("F13_summary_payload", with_views(f"""SELECT repo, sha, CAST(n AS INTEGER) AS rank, '- [' || severity || '/' || category || '] ' || filename || ':' || coalesce(CAST(line AS VARCHAR), '-') || ' ' || title AS text FROM (
   SELECT *, row_number() OVER (PARTITION BY repo, sha ORDER BY {SEVERITY_RANK}, filename, coalesce(line, 0), seq) AS n FROM v_findings) WHERE n <= 40""", "v_findings"))
 def summary_payload(spark, d):

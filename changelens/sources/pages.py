@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from changelens.functions import text as tx
 
+_BROKEN = "_broken"
+
 FILE_ITEM = "array<struct<filename:string,status:string,additions:int,deletions:int,patch:string>>"
 COMMIT_PAGE = f"repo string, sha string, page int, message string, files {FILE_ITEM}"
 PULL_PAGE = f"repo string, sha string, number int, page int, files {FILE_ITEM}"
@@ -14,9 +18,28 @@ COMMENT_ITEM = "array<struct<id:bigint,path:string,line:int,body:string,author:s
 REACTION_ITEM = "array<struct<content:string,login:string>>"
 
 
-def read_pages(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Pages as JSON lines with an explicit schema (no inference pass)."""
-    return spark.read.schema(schema).json(path)
+@dataclass(frozen=True)
+class Scan:
+    pages: DataFrame
+    broken: DataFrame
+
+
+def read_pages(spark: SparkSession, path: str, schema: str, repos: list[str] | None = None) -> Scan:
+    """Archived pages: JSON lines below ``path``, in folders ``repo=...`` if the archive has them, with an explicit schema (no inference pass).
+
+    With ``repos`` only their folders are listed and read. A line that is no JSON, or whose fields have other types, is no page: it comes back in ``broken`` as (file,
+    text), so nothing is lost without a trace.
+    """
+    of = lambda lines: lines if repos is None else lines.filter(F.col("repo").isin(repos))
+    pages = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    parsed = F.from_json("value", f"{schema}, {_BROKEN} string", {"columnNameOfCorruptRecord": _BROKEN})
+    lines = spark.read.text(path).filter((F.trim("value") != "") & parsed[_BROKEN].isNotNull())
+    return Scan(of(pages), of(lines).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"), *[c for c in lines.columns if c != "value"]))
+
+
+def write_pages(pages: DataFrame, path: str) -> None:
+    """Archive pages as JSON lines in a folder per repository."""
+    pages.write.mode("append").partitionBy("repo").json(path)
 
 
 def within_pages(pages: DataFrame, keys: list[str], items: str, max_pages: int | None, page_size: int) -> DataFrame:

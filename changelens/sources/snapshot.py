@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -11,12 +13,11 @@ from changelens.functions.text import let
 from changelens.operators.grouping import REVIEW
 
 
-def read_members(spark: SparkSession, folder: str) -> DataFrame:
-    """Files of unpacked snapshots below ``folder/<repo>/<sha>/``, one row per file with its bytes."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    parts = F.split("path", "/")
-    depth = len([part for part in folder.replace("file:", "").split("/") if part])
-    at = F.filter(parts, lambda part: ~part.isin("", "file:"))
+def read_members(spark: SparkSession, folder: str, repo: str = "*", sha: str = "*") -> DataFrame:
+    """Files of unpacked snapshots below ``folder/<repo>/<sha>/``, one row per file with its bytes; names of either narrow what is listed."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{folder}/{repo}/{sha}")
+    depth = len([part for part in folder.split("://")[-1].removeprefix("file:").split("/") if part])
+    at = F.filter(F.split(F.regexp_replace("path", r"^[a-z][a-z0-9+.-]*:/*", ""), "/"), lambda part: part != "")
     tail = F.slice(at, F.lit(depth + 1), F.size(at))
     return files.select(
         F.get(tail, F.lit(0)).alias("repo"), F.get(tail, F.lit(1)).alias("sha"),
@@ -25,6 +26,23 @@ def read_members(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Contents:
+    places: DataFrame
+    texts: DataFrame
+
+
+def by_content(source_files: DataFrame) -> Contents:
+    """``places`` (repo, sha, path, content_id) and ``texts`` (content_id, language, content): a file that is equal in many snapshots is one text.
+
+    The id is a hash of language and text. Copies meet in a map-side combined aggregate, so of a text that is in every commit each task sends one.
+    """
+    language = paths.language_of("path")
+    told = source_files.withColumn("language", language).withColumn("content_id", F.sha2(F.concat_ws("\n", "language", "content"), 256))
+    texts = told.groupBy("content_id").agg(F.any_value("language").alias("language"), F.any_value("content").alias("content"))
+    return Contents(told.select(*REVIEW, "path", "content_id"), texts)
+
+
 def source_members(members: DataFrame, max_file_bytes: int | None = None) -> DataFrame:
     """Regular source files with a safe path; the first path part is the archive prefix and dropped."""
     inner = let(F.split("name", "/"), lambda p: F.slice(p, F.lit(2), F.size(p)))

@@ -1,19 +1,20 @@
 """Structured Streaming over webhook deliveries.
 
-Checks and target extraction are stateless. Memory is kept in two ways: bounded by a watermark inside the stream, or
-exact over any time through ``foreachBatch`` and a log of entries.
+Checks and target extraction are stateless. Claims, releases and rate limits keep a value per key in Spark's state store, or, where a watermark
+bounds how late a delivery comes, in its deduplication.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from changelens.functions import text as tx
-from changelens.operators import state as st
-from changelens.operators.grouping import materialize
+from changelens.operators.store import KeyedTable
 from changelens.options import DEFAULTS, Options
 from changelens.sources import events as ev
 
@@ -36,86 +37,103 @@ def claim_within(targets: DataFrame, delay: str = "1 hour") -> DataFrame:
     return targets.withWatermark("received_ts", delay).dropDuplicatesWithinWatermark(["key"])
 
 
-class StateLog:
-    """Keyed state of streams as a table that is only appended to: (namespace, key, value, ts, seq) by stream and micro-batch.
+class _Claims(StatefulProcessor):
+    """A key is free or claimed. Releases that have arrived are applied first, then the first delivery claims a free key."""
 
-    A micro-batch writes its entries under its own number and reads all others but the later ones of its stream, so one that runs again reads what
-    it read before and replaces what it wrote. What comes from elsewhere (releases) is written beside, under a name of its own, and merged by key and
-    time. Nothing is dropped. A stream that starts on a new checkpoint counts from 0 again, so it takes a new ``stream`` name.
-    """
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.claimed = handle.getValueState("claimed", "event_id bigint")
 
-    SCHEMA = "namespace string, key string, value string, ts timestamp, seq bigint, stream string, batch bigint"
-    COLUMNS = ("namespace", "key", "value", "ts", "seq")
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        released, first = False, None
+        for frame in rows:
+            for release, at, event_id, seq, target in zip(frame["release"], frame["at"], frame["event_id"], frame["seq"], frame["target"]):
+                if release:
+                    released = True
+                elif first is None or (at, event_id, seq) < first[:3]:
+                    first = at, event_id, seq, target
+        if released:
+            self.claimed.clear()
+        if first is not None and not self.claimed.exists():
+            self.claimed.update((int(first[1]),))
+            yield pd.DataFrame({"target": [first[3]]})
 
-    def __init__(self, spark: SparkSession, path: str, stream: str = "main") -> None:
-        self.spark, self.path, self.stream = spark, path, stream
-        spark.createDataFrame([], self.SCHEMA).select(*self.COLUMNS).write.mode("overwrite").parquet(f"{path}/stream=none/batch=0")
+    def close(self) -> None:
+        pass
 
-    def before(self, batch: int) -> DataFrame:
-        """The newest entry of every key as ``batch`` finds it."""
-        log = self.spark.read.schema(self.SCHEMA).parquet(self.path)
-        return st.latest(log.filter((F.col("stream") != self.stream) | (F.col("batch") < batch)))
 
-    def append(self, batch: int, entries: DataFrame, stream: str | None = None) -> None:
-        entries.select(*self.COLUMNS).write.mode("overwrite").parquet(f"{self.path}/stream={stream or self.stream}/batch={batch}")
+class _Checks(StatefulProcessor):
+    """The second of the last allowed check of a repository."""
 
+    def __init__(self, seconds: int) -> None:
+        self.seconds = seconds
 
-def claim_batch(log: StateLog, sink: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function: targets whose key is not claimed go to ``sink`` once, over any distance in time."""
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "second bigint")
 
-    def run(batch: DataFrame, batch_id: int) -> None:
-        fresh = materialize(st.claim(batch, log.before(batch_id).filter(F.col("value") == "claimed")))
-        sink(fresh, batch_id)
-        log.append(batch_id, fresh.select(
-            F.lit("claims").alias("namespace"), "key", F.lit("claimed").alias("value"), F.col("received_ts").alias("ts"), F.col("event_id").alias("seq")
-        ))
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        checks: dict[int, int] = {}
+        for frame in rows:
+            for second, event_id in zip(frame["second"].tolist(), frame["event_id"].tolist()):
+                checks[second] = min(event_id, checks.get(second, event_id))
+        last = self.last.get()[0] if self.last.exists() else None
+        allowed = []
+        for second in sorted(checks):
+            if last is None or second - last >= self.seconds:
+                last = second
+                allowed.append((key[0], second, checks[second]))
+        if allowed:
+            self.last.update((last,))
+            yield pd.DataFrame(allowed, columns=["repo", "second", "event_id"])
 
-    return run
+    def close(self) -> None:
+        pass
 
 
-def release(log: StateLog, name: str, failed: DataFrame) -> None:
-    """Free the keys (key, failed_ts) of failed reviews, so that a later delivery runs again; one ``name`` replaces what it freed before."""
-    log.append(0, failed.select(
-        F.lit("claims").alias("namespace"), "key", F.lit("released").alias("value"), F.col("failed_ts").alias("ts"), F.lit(2**62).alias("seq")
-    ), f"release-{name}")
+def with_state_store(spark: SparkSession) -> None:
+    """Keyed state of any kind needs Spark's store on RocksDB."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def rate_limit_batch(log: StateLog, sink: Callable[[DataFrame, int], None], minutes: int = 30) -> Callable[[DataFrame, int], None]:
-    """foreachBatch function: completed checks (repo, ts, event_id), at most one per repository and ``minutes``.
+def claims(targets: DataFrame, releases: DataFrame | None = None) -> DataFrame:
+    """The deliveries that claim their key: the first one, and the first one after each release (key) of a failed review.
 
-    The last allowed check of every repository is the state; it joins the batch as one more check in front.
+    State is one number per key, in the state store and checkpoint of the stream, so a micro-batch costs what arrived, however long the history is. What is
+    held of a key in a micro-batch is one delivery.
     """
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        known = log.before(batch_id)
-        last = known.select(F.col("key").alias("repo"), F.col("ts"), F.lit(-1).cast("bigint").alias("event_id"))
-        bounds = known.select(F.col("key").alias("repo"), F.col("ts").alias("_last"))
-        due = batch.join(bounds, "repo", "left").filter(
-            F.col("_last").isNull() | (F.unix_seconds("ts") - F.unix_seconds("_last") >= minutes * 60)
-        ).drop("_last")
-        allowed = materialize(st.rate_limited(last.unionByName(due.select("repo", "ts", "event_id")), minutes).filter("event_id >= 0"))
-        sink(allowed, batch_id)
-        log.append(batch_id, allowed.select(
-            F.lit("checks").alias("namespace"), F.col("repo").alias("key"), F.lit("done").alias("value"),
-            F.timestamp_seconds("second").alias("ts"), F.col("event_id").alias("seq"),
-        ))
-
-    return run
+    with_state_store(targets.sparkSession)
+    stamp = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    rows = targets.select(
+        "key", F.lit(False).alias("release"), F.unix_micros("received_ts").alias("at"), "event_id", F.col("seq").cast("bigint").alias("seq"), F.to_json(F.struct(*targets.columns), stamp).alias("target")
+    )
+    if releases is not None:
+        zero = F.lit(0).cast("bigint")
+        rows = rows.unionByName(releases.select("key", F.lit(True).alias("release"), zero.alias("at"), zero.alias("event_id"), zero.alias("seq"), F.lit("").alias("target")))
+    claimed = rows.groupBy("key").transformWithStateInPandas(_Claims(), "target string", "Append", "None")
+    return claimed.select(F.from_json("target", targets.schema, stamp).alias("t")).select("t.*")
+
+
+def rate_limit(checks: DataFrame, minutes: int = 30) -> DataFrame:
+    """Completed checks (repo, ts, event_id) that are allowed, at most one per repository and ``minutes``: (repo, second, event_id).
+
+    Time counts as the checks tell it, in the order they arrive; one that arrives late is held against the last allowed one.
+    """
+    with_state_store(checks.sparkSession)
+    rows = checks.select("repo", F.unix_seconds("ts").alias("second"), "event_id")
+    return rows.groupBy("repo").transformWithStateInPandas(_Checks(minutes * 60), "repo string, second bigint, event_id bigint", "Append", "None")
 
 
-def publish_batch(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """foreachBatch sink: the newest body per key; a batch that runs again replaces its own output."""
+def publish_batch(table: KeyedTable, namespace: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+    """foreachBatch sink: the newest body per key goes into a keyed table, of which a micro-batch rewrites the touched partitions only."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        newest = batch.groupBy(*keys).agg(F.max_by("body", F.struct("received_ts", "event_id")).alias("body"), F.max("received_ts").alias("received_ts"))
-        newest.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        table.put(batch.select(F.lit(namespace).alias("namespace"), F.concat_ws("\u001f", *keys).alias("key"), F.col("received_ts").alias("ts"), F.col("event_id").alias("seq"), *keys, "body"))
 
     return run
 
 
-def published(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    """Current bodies: the newest over all batches."""
-    return spark.read.parquet(path).groupBy(*keys).agg(F.max_by("body", F.struct("batch", "received_ts")).alias("body"))
+def published(table: KeyedTable, namespace: str, keys: list[str]) -> DataFrame:
+    """Current bodies."""
+    return table.read().filter(F.col("namespace") == namespace).select(*keys, "body")
 
 
 def run_available(stream: DataFrame, checkpoint: str, batch: Callable[[DataFrame, int], None]) -> None:

@@ -11,7 +11,6 @@ from changelens.operators import triage as tr
 from changelens.operators.grouping import first_per_group
 from changelens.options import Options
 from changelens.plans import review
-from changelens.queries import jobs
 from changelens.sources import requests as rq
 from changelens.streaming import ingest
 
@@ -68,38 +67,78 @@ def test_rate_limit_by_direct_definition(spark):
     assert {(r["repo"], r["second"]) for r in st.rate_limited(checks).collect()} == expected
 
 
-def _batch(spark, rows):
-    return spark.createDataFrame(rows, "key string, event_id bigint, received_s bigint, seq int").select(
-        "key", "event_id", F.timestamp_seconds("received_s").alias("received_ts"), "seq"
-    )
+CLAIM = "key string, event_id bigint, received_ts timestamp, seq int, pr_number int"
+
+
+def _arrive(spark, folder, rows, schema, *columns):
+    spark.createDataFrame(rows, schema).select(*columns).coalesce(1).write.mode("append").parquet(str(folder))
 
 
-def test_claims_survive_replay_and_release(spark, tmp_path):
-    log, out = ingest.StateLog(spark, str(tmp_path / "state")), {}
-    run = ingest.claim_batch(log, lambda fresh, n: out.__setitem__(n, sorted(r["key"] for r in fresh.collect())))
-    run(_batch(spark, [("a", 1, 10, 1), ("b", 2, 20, 1), ("a", 3, 30, 1)]), 0)
-    run(_batch(spark, [("a", 4, 40, 1), ("c", 5, 50, 1)]), 1)
-    run(_batch(spark, [("a", 4, 40, 1), ("c", 5, 50, 1)]), 1)  # the same batch once more
-    assert out == {0: ["a", "b"], 1: ["c"]}
-    ingest.release(log, "one", spark.createDataFrame([("a", 60)], "key string, s bigint").select("key", F.timestamp_seconds("s").alias("failed_ts")))
-    run(_batch(spark, [("b", 7, 65, 1)]), 2)  # the release is not lost behind the stream's own batches
-    run(_batch(spark, [("a", 6, 70, 1), ("b", 7, 80, 1)]), 3)
-    assert out[2] == [] and out[3] == ["a"]
-    for number in (16, 40):  # numbers may jump
-        run(_batch(spark, [("a", 8, 90, 1), (f"k{number}", 9, 90, 1)]), number)
-        assert out[number] == [f"k{number}"]
-    again = ingest.claim_batch(ingest.StateLog(spark, str(tmp_path / "state"), "second"), lambda fresh, n: out.__setitem__(n, sorted(r["key"] for r in fresh.collect())))
-    again(_batch(spark, [("a", 10, 100, 1), ("new", 11, 100, 1)]), 0)  # a new checkpoint counts from 0 and keeps the claims
-    assert out[0] == ["new"]
+def test_claims_survive_restart_redelivery_and_release(spark, tmp_path):
+    given = "key string, event_id bigint, s bigint, seq int, pr_number int"
+    put = lambda rows: _arrive(spark, tmp_path / "in", [(*r, 1, None) for r in rows], given, "key", "event_id", F.timestamp_millis(F.col("s") * 1000 + 1).alias("received_ts"), "seq", "pr_number")
+    free = lambda keys: _arrive(spark, tmp_path / "free", [(k,) for k in keys], "key string", "key")
+    out = {}
+
+    def run():  # a new query on the old checkpoint, as after a restart
+        out.clear()
+        stream = ingest.claims(spark.readStream.schema(CLAIM).parquet(str(tmp_path / "in")), spark.readStream.schema("key string").parquet(str(tmp_path / "free")))
+        ingest.run_available(stream, str(tmp_path / "checkpoint"), lambda fresh, n: out.update({r["key"]: r for r in fresh.collect()}))
+        return {k: r["event_id"] for k, r in out.items()}
+
+    free([])
+    put([("a", 3, 30), ("b", 2, 20), ("a", 1, 10)])
+    assert run() == {"a": 1, "b": 2}
+    assert out["a"]["received_ts"].microsecond == 1000 and out["a"]["pr_number"] is None and out["a"]["seq"] == 1
+    put([("a", 4, 5), ("c", 5, 50)])
+    assert run() == {"c": 5}
+    free(["a", "never"])
+    put([("b", 7, 65)])
+    assert run() == {}
+    put([("a", 6, 70), ("b", 8, 80)])
+    assert run() == {"a": 6}
+    free(["a"])
+    put([("a", 9, 90), ("a", 10, 91)])  # a release and redeliveries in one batch
+    assert run() == {"a": 9}
 
 
 def test_rate_limit_across_batches(spark, tmp_path):
-    log, out = ingest.StateLog(spark, str(tmp_path / "checks")), {}
-    run = ingest.rate_limit_batch(log, lambda rows, n: out.__setitem__(n, sorted(r["event_id"] for r in rows.collect())))
-    batch = lambda rows: spark.createDataFrame(rows, "repo string, s bigint, event_id bigint").select("repo", F.timestamp_seconds("s").alias("ts"), "event_id")
-    run(batch([("r", 0, 1), ("r", 100, 2)]), 0)
-    run(batch([("r", 1000, 3), ("r", 1800, 4), ("q", 5, 5)]), 1)
-    assert out == {0: [1], 1: [4, 5]}
+    put = lambda rows: _arrive(spark, tmp_path / "in", rows, "repo string, s bigint, event_id bigint", "repo", F.timestamp_seconds("s").alias("ts"), "event_id")
+
+    def run():
+        found = []
+        stream = ingest.rate_limit(spark.readStream.schema("repo string, ts timestamp, event_id bigint").parquet(str(tmp_path / "in")))
+        ingest.run_available(stream, str(tmp_path / "checkpoint"), lambda rows, n: found.extend((r["repo"], r["event_id"]) for r in rows.collect()))
+        return sorted(found)
+
+    put([("r", 100, 2), ("r", 0, 1), ("r", 0, 7)])
+    assert run() == [("r", 1)]
+    put([("r", 1000, 3), ("r", 1800, 4), ("q", 5, 5), ("r", 3600, 6)])
+    assert run() == [("q", 5), ("r", 4), ("r", 6)]
+
+
+def test_answers_are_asked_once_and_failures_again(spark, tmp_path):
+    asked = spark.createDataFrame([(str(i), f"p{i % 5}") for i in range(20)] + [("0", "p0")], "request_id string, prompt string")
+    log = tmp_path / "log"
+    log.mkdir()
+
+    def model(fails):
+        def ask(prompt):
+            with open(log / prompt, "a") as file:
+                file.write(".")
+            if prompt in fails:
+                raise ValueError("payload")
+            return prompt.upper()
+
+        return ask
+
+    count = lambda: {f.name: f.stat().st_size for f in log.iterdir()}
+    first = {r.request_id: (r.content, r.error_type, r.run) for r in rq.answer_requests(asked, model({"p1"}), str(tmp_path / "answers"), "a", 3).collect()}
+    assert len(first) == 20 and first["2"] == ("P2", None, "a") and first["1"] == (None, "ValueError", "a")
+    assert count() == {"p0": 4, "p1": 12, "p2": 4, "p3": 4, "p4": 4}
+    again = {r.request_id: (r.content, r.error_type, r.run) for r in rq.answer_requests(asked, model(set()), str(tmp_path / "answers"), "b", 3, 2).collect()}
+    assert again["2"] == ("P2", None, "a") and again["1"] == ("P1", None, "b") and count()["p1"] == 16 and count()["p0"] == 4
+    assert rq.answer_requests(asked, model(set()), str(tmp_path / "answers"), "b").count() == 20 and count()["p1"] == 20  # a run that is repeated replaces its own
 
 
 def test_answers_and_report_sink(spark, tmp_path):
@@ -160,7 +199,3 @@ def test_all_chunks_of_a_patch_are_asked(spark):
         ]
         assert sum(f == name for f, _ in got) == len(want) and len({r.cache_key for (f, _), r in got.items() if f == name}) == 1
     assert len(got) > 10
-    whole = lambda requests: {(r.filename, r.chunk) for r in jobs.whole_requests(requests).collect()}
-    assert whole(asked) == {(f, 0) for f in patches}
-    assert whole(asked.filter("NOT (filename = 'c.py' AND chunk = 2)")) == {("a.py", 0), ("b.go", 0)}
-    assert whole(asked.withColumn("prompt", F.expr("if(filename = 'b.go' AND chunk = 1, replace(prompt, 'Change'), prompt)"))) == {("a.py", 0), ("c.py", 0)}
