@@ -68,7 +68,7 @@ def _pattern_follows(text: str, at: int) -> bool:
     if not before:
         return True
     word = re.search(r"[\w$]+$", before)
-    return word[0] in _BEFORE_PATTERN if word else before[-1] not in ")]}\"'`<.$"
+    return word[0] in _BEFORE_PATTERN if word else before.endswith("=>") or before[-1] not in ")]}\"'`<>.$"
 
 
 def _python(text: str) -> Spans:

@@ -95,6 +95,19 @@ def line_diff(spark, d):
     return diff.line_diff(*_trees(spark, d))[1]
 
 
+@query("C6_moved_lines", """WITH l AS (SELECT doc_id, x, i, n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, unnest(range(len(string_split(text, chr(10))))) AS i, len(string_split(text, chr(10))) AS n FROM documents)),
+b AS (SELECT doc_id, n, i, i || ': ' || x AS x FROM l WHERE n >= 3)
+SELECT CAST(doc_id AS VARCHAR) AS "case", '-' AS op, 1 AS line, x AS text, CAST(n AS INTEGER) AS moved_line FROM b WHERE i = 0
+UNION ALL SELECT CAST(doc_id AS VARCHAR), '+', CAST(n AS INTEGER), x, 1 FROM b WHERE i = 0
+UNION ALL SELECT CAST(doc_id AS VARCHAR), '-', 2, x, NULL FROM b WHERE i = 1 UNION ALL SELECT CAST(doc_id AS VARCHAR), '+', 1, 'new ' || x, NULL FROM b WHERE i = 1""")
+def moved_lines(spark, d):
+    """Numbered lines: the first one goes to the end, the second one is changed, all others stay."""
+    docs = fx.table(spark, d, "documents").selectExpr("cast(doc_id AS string) AS case", "'f' AS path", "transform(split(text, '\\n'), (x, i) -> concat(i, ': ', x)) AS l").filter("size(l) >= 3")
+    base = docs.selectExpr("case", "path", "array_join(l, '\\n') AS content")
+    head = docs.selectExpr("case", "path", "array_join(concat(array(concat('new ', l[1])), slice(l, 3, size(l) - 2), array(l[0])), '\\n') AS content")
+    return diff.aligned_diff(base, head).drop("path")
+
+
 @query("C6_changed_trees", f"""WITH {_DIFF}, s AS (SELECT doc_id, count(*) FILTER (op = '+') AS additions, count(*) FILTER (op = '-') AS deletions FROM c GROUP BY doc_id)
 SELECT CAST(d.doc_id AS VARCHAR) AS "case", source AS path, CASE d.doc_id % 10 WHEN 1 THEN 'added' WHEN 2 THEN 'removed' ELSE 'modified' END AS status, additions, deletions
 FROM s JOIN documents d USING (doc_id)""")
