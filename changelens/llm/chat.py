@@ -2,7 +2,8 @@
 
 A message of the assistant whose text is a JSON object with ``tool_calls`` (a list of ``{"id", "name", "arguments"}``, arguments an object or its
 JSON text) makes calls; a message of the role ``tool`` whose text is a JSON object with ``tool_call_id`` brings a result. Calls and results meet in a
-hash join on (conversation, identifier), so a conversation of any length is spread over tasks and never gathered. Each message carries its place:
+hash join on (conversation, identifier), so a conversation of any length is spread over tasks and never gathered. Messages are parsed twice: once for calls and
+results, which are kept for the joins, and once for the plain ones, which pass by. Each message carries its place:
 conversations read in the order of (``order_turn``, ``order_rank``, ``turn``), in which a result never stands before its call.
 
 Calls of one message that use each other's results (an argument string ``$id``) are put in topological order inside the message.
@@ -20,6 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from changelens.llm.common import materialize
+
 PARSED = "kind string, content string, result_of string, calls array<struct<id:string,name:string,arguments:string,valid:boolean,problem:string>>, cyclic boolean"
 TYPES = {"string": str, "object": dict, "array": list, "boolean": bool, "null": type(None)}
 REFERENCE = re.compile(r"\$([\w-]+)")
@@ -150,7 +153,8 @@ def format_chat(messages: DataFrame, schemas: Mapping[str, Mapping] | None = Non
     with nothing; a null text is the content ``null``, a null role the role ``null``; text that is not the JSON described is plain text. Repeated
     rows are messages each; an empty table gives an empty result; other columns are not read.
     """
-    parsed = parse(messages, schemas, conv_col, turn_col, role_col, text_col)
+    every = parse(messages, schemas, conv_col, turn_col, role_col, text_col)
+    parsed = materialize(every.filter("kind <> 'text'"))
     call = parsed.filter("kind = 'calls' AND conv_id IS NOT NULL").select("conv_id", "turn", F.posexplode("calls").alias("at", "call")).filter("call.id IS NOT NULL")
     first_call = call.groupBy("conv_id", F.col("call.id").alias("result_of")).agg(F.min(F.struct("turn", "at", "call.name")).alias("c"))
     first_result = parsed.filter("kind = 'result' AND conv_id IS NOT NULL").groupBy("conv_id", "result_of").agg(F.min("turn").alias("first_turn"))
@@ -158,7 +162,7 @@ def format_chat(messages: DataFrame, schemas: Mapping[str, Mapping] | None = Non
         "conv_id", "result_of", F.col("c.turn").alias("call_turn"), F.col("c.at").alias("call_at"), F.col("c.name").alias("call_name"), "first_turn"
     )
     answers = linked.filter("call_turn IS NOT NULL AND first_turn IS NOT NULL").groupBy("conv_id", F.col("call_turn").alias("turn")).agg(F.count("*").alias("answered"))
-    plain = parsed.filter("kind = 'text'").select("*", F.lit("plain").alias("status"), F.col("turn").alias("order_turn"), F.lit(0).alias("order_rank"), F.lit(None).cast("string").alias("call_name"))
+    plain = every.filter("kind = 'text'").select("*", F.lit("plain").alias("status"), F.col("turn").alias("order_turn"), F.lit(0).alias("order_rank"), F.lit(None).cast("string").alias("call_name"))
     calls = parsed.filter("kind = 'calls'").join(answers, ["conv_id", "turn"], "left").select(
         *parsed.columns, F.when(F.col("cyclic"), "cyclic").when(F.coalesce("answered", F.lit(0)) >= F.size("calls"), "answered").otherwise("open").alias("status"),
         F.col("turn").alias("order_turn"), F.lit(0).alias("order_rank"), F.lit(None).cast("string").alias("call_name"),
