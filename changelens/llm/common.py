@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from changelens.operators.grouping import materialize, shared_folder
 
-__all__ = ["NO_ID", "bucket_of", "filled", "fold_words", "let", "materialize", "read", "shared_folder", "shingle_hashes", "texts", "tokens"]
+__all__ = ["NO_ID", "bucket_of", "filled", "fold_words", "let", "materialize", "read", "shared_folder", "shingle_hashes", "texts", "tokens", "unused"]
 
 
 #: Stands for a null id where rows pass through pandas, which has no null in a column of exact integers.
@@ -57,3 +57,11 @@ def shingle_hashes(words: Column, size: int = 5) -> Column:
         F.sequence(F.lit(1), F.size(h) - size + 1), lambda i: F.xxhash64(*[F.element_at(h, i + k) for k in range(size)])
     )
     return let(word_hash, lambda h: F.when(F.size(h) >= size, runs(h)).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>")))
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """The name, with underscores in front until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -18,7 +18,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changelens.llm.common import let, materialize, shingle_hashes, texts, tokens
+from changelens.llm.common import let, materialize, shingle_hashes, texts, tokens, unused
 from changelens.operators.grouping import broadcast_if_small
 
 SHINGLE = 5
@@ -148,5 +148,6 @@ def find_leaks(
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs`` whose document leaks no item, with all their columns; rows with a null id stay unless a null-id row leaks."""
-    leaked = find_leaks(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias("_leaked")).distinct()
-    return docs.join(leaked, F.col(id_col).eqNullSafe(F.col("_leaked")), "left_anti")
+    name = unused(docs, "_leaked")
+    leaked = find_leaks(docs, items, id_col=id_col, **options).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(leaked, F.col(id_col).eqNullSafe(F.col(name)), "left_anti")

@@ -21,8 +21,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from changelens.llm.common import NO_ID, materialize, shingle_hashes, texts, tokens
-from changelens.llm.components import components
+from changelens.llm.common import NO_ID, materialize, shingle_hashes, texts, tokens, unused
+from changelens.llm.components import HOT_PART, components
 from changelens.operators.grouping import broadcast_if_small
 
 BLOCK = 512
@@ -126,13 +126,23 @@ def classes(
     counted = large.groupBy("node").agg(F.sum("links").alias("links")).join(met, "node", "left").select("node", "links", F.coalesce("met", "node").alias("root"))
     found = nodes.drop("labels", "row").join(small.unionByName(counted), "node", "left")
     found = materialize(found.select("node", "copies", "doc_id", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links")))
-    named = found.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    told = materialize(found.join(named, "root").select("node", "class_id", (F.col("copies") - 1 + F.col("links")).alias("n_links")))
+    named = found.groupBy("root").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("n"))
+    told = materialize(_with_name(found, materialize(named)).select("node", "class_id", (F.col("copies") - 1 + F.col("links")).alias("n_links")))
     return signed.select("doc_id", "node").join(told, "node", "left").select(
         "doc_id", F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
 
 
+def _with_name(found: DataFrame, named: DataFrame) -> DataFrame:
+    """``found`` with the ``class_id`` of its root. At most :data:`HOT_PART` roots can have more than that part of the rows: those are broadcast, so the rows of a large class
+    stay where they are.
+    """
+    limit = max(1_000, found.count() // HOT_PART)
+    hot = F.broadcast(named.filter(F.col("n") > limit).drop("n"))
+    cold = found.join(hot.select("root"), "root", "left_anti").join(named.filter(F.col("n") <= limit).drop("n"), "root")
+    return found.join(hot, "root").unionByName(cold)
+
+
 def _checked(own: DataFrame, members: DataFrame, least: float) -> DataFrame:
     """``node``, ``links`` (rows it is similar to), ``root`` and ``cut`` (whether it is a row of one of several block pairs) from exact comparisons.
 
@@ -173,5 +183,6 @@ def _checked(own: DataFrame, members: DataFrame, least: float) -> DataFrame:
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` without those in the class of a smaller id, all columns kept; rows of a null id stay."""
-    gone = classes(docs, id_col, text_col, **options).filter("doc_id > class_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    name = unused(docs, "_gone")
+    gone = classes(docs, id_col, text_col, **options).filter("doc_id > class_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
