@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changelens.llm import decontamination, languages, packing, quality, similar
-from changelens.llm.common import read, shared_folder
+from changelens.llm.common import read, shared_folder, unused
 
 ACCEPT_QUALITY = 0.3
 #: The share of a text's n-grams that the winning language knows, whatever other languages there are.
@@ -32,8 +32,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     filters = languages.fit(docs)
     if not filters.languages:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    judged = docs.withColumn("_language", languages.predict_of(filters, F.col("text")))
-    return judged.filter((F.col("_language.lang_pred") != "und") & (F.col("_language.score") >= ACCEPT_LANGUAGE)).drop("_language")
+    name = unused(docs, "_language")
+    judged = docs.withColumn(name, languages.predict_of(filters, F.col("text")))
+    said = F.col(name)
+    return judged.filter((said["lang_pred"] != "und") & (said["score"] >= ACCEPT_LANGUAGE)).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
