@@ -11,16 +11,19 @@ from __future__ import annotations
 
 import math
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from changelens.llm.common import let, shingle_hashes, texts, tokens
+from changelens.llm.common import let, materialize, shingle_hashes, texts, tokens
 
 BINS, BITS = 256, 4
 #: So many places of the order are looked at one by one; if all are empty, the first filled bin of the order is the least of the filled ones.
 FIRST_TRIES = 8
+#: Rows of a range of ids, and the most ranges there are.
+RANGE_ROWS, MOST_RANGES = 500, 20_000
 
 
 def _orders(bins: int) -> tuple[Column, Column, Column]:
@@ -74,35 +77,44 @@ def likeness(a: Column, b: Column, bins: int = BINS) -> Column:
     return F.greatest(F.lit(0.0), ((bins - count) / F.lit(float(bins)) - chance) / (1 - chance))
 
 
-def with_next(docs: DataFrame, columns: list[str], parts: int | None = None) -> DataFrame:
+def _numbers(values: list, kind: str) -> Column:
+    """A list of numbers as one constant, however long it is."""
+    return F.when(F.lit(bool(values)), F.split(F.lit(",".join(map(repr, values)) or "0"), ",").cast(f"array<{kind}>")).otherwise(F.array().cast(f"array<{kind}>"))
+
+
+def _smaller(cuts: list[int], key: Column) -> Column:
+    """How many of the ascending ``cuts`` are below ``key``, by halving."""
+    known, steps = _numbers(cuts, "bigint"), [1 << k for k in reversed(range(len(cuts).bit_length()))]
+    if not cuts:
+        return F.lit(0).cast("long")
+    forward = lambda at, step: F.when(F.get(known, at + step - 1) < key, at + step).otherwise(at)
+    return F.aggregate(_numbers(steps, "int"), F.lit(0), forward).cast("long")
+
+
+def with_next(docs: DataFrame, columns: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
     """Every row with ``next``, a struct of ``columns`` of the row that follows it by descending ``doc_id``; after the last comes the first.
 
-    Rows of one id follow each other by a hash of their texts; a null id comes last. Ids are cut at their quantiles into ranges of about equal numbers of
-    rows, which are sorted apart; the first row of a range is also sent to the range before it. So each row moves once and no task sees all.
+    Rows of one id follow each other by a hash of their texts; a null id comes last. Ids are cut at their quantiles into ranges of about ``range_rows`` rows (so that a task
+    gets many and tasks are alike; more rows each beyond :data:`MOST_RANGES`), which are sorted apart; the first row of a range is also sent to the range before it. What is known of the ranges, a narrow row
+    each, is broadcast. So each row moves once and no task sees all.
     """
-    spark = docs.sparkSession
-    parts = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)).cast("long"))
-    found = docs.select(F.percentile_approx(key, [i / parts for i in range(1, parts)], F.lit(10 * parts)).alias("c")).first()["c"] or []
-    cuts = sorted(set(found))  # at most parts numbers, where the ranges end; an id that ends two of them has ranges of its own, cut by its texts' keys
-    often = [c for c in cuts if found.count(c) > 1]
-    hot = key.isin(often) if often else F.lit(False)
-    place = F.aggregate(F.lit(cuts).cast("array<bigint>"), F.lit(0), lambda n, c: n + (key > c).cast("int"))
-    split = F.when(hot, 64 + 32 + F.shiftright("text_key", 58)).otherwise(F.lit(0).cast("long"))
-    ranged = docs.withColumn("range", place * 128 + split)
-    tops = ranged.groupBy("range").agg(F.max(F.struct(key.alias("k"), "text_key")).alias("top")).collect()  # a row per range
-    there = sorted(row["range"] for row in tops)
-    if not there:
-        return ranged.drop("range").withColumn("next", F.struct(*columns))
-    before = {r: there[i + 1] if i + 1 < len(there) else there[0] for i, r in enumerate(there)}  # the first of all goes behind the last
-    top = {row["range"]: row["top"] for row in tops}
-    is_top = F.coalesce(*[F.when(F.col("range") == r, (key == F.lit(top[r]["k"])) & (F.col("text_key") == F.lit(top[r]["text_key"]))) for r in there])
-    upper = F.coalesce(*[F.when(F.col("range") == r, F.lit(before[r])) for r in there])
+    parts = max(2, min(MOST_RANGES, math.ceil(docs.count() / range_rows)))
+    found = docs.select(F.percentile_approx(key, _numbers([i / parts for i in range(1, parts)], "double"), F.lit(10 * parts)).alias("c")).first()["c"] or []
+    cuts = sorted(set(found))  # where the ranges end; an id that ends two of them has ranges of its own, cut by its texts' keys
+    often = [c for c, n in Counter(found).items() if n > 1]
+    split = F.when(F.array_contains(_numbers(often, "bigint"), key), 64 + 32 + F.shiftright("text_key", 58)).otherwise(F.lit(0).cast("long"))
+    ranged = docs.withColumn("range", _smaller(cuts, key) * 128 + split)
+    tops = ranged.groupBy("range").agg(F.max(F.struct(key.alias("k"), "text_key")).alias("top"))
+    upper = F.lead("range").over(Window.orderBy("range"))  # the first of all goes behind the last
+    told = materialize(tops.select("range", "top", F.coalesce(upper, F.min("range").over(Window.partitionBy())).alias("upper")))
+    known = ranged.join(F.broadcast(told), "range")
+    is_top = (key == F.col("top.k")) & (F.col("text_key") == F.col("top.text_key"))
     own = F.struct(F.col("range").alias("to"), F.lit(0).alias("lent"))
-    lent = F.struct(upper.alias("to"), F.lit(1).alias("lent"))
-    sent = ranged.withColumn("s", F.explode(F.when(is_top, F.array(own, lent)).otherwise(F.array(own)))).withColumns({"to": F.col("s.to"), "lent": F.col("s.lent")})
+    lent = F.struct(F.col("upper").alias("to"), F.lit(1).alias("lent"))
+    sent = known.withColumn("s", F.explode(F.when(is_top, F.array(own, lent)).otherwise(F.array(own)))).withColumns({"to": F.col("s.to"), "lent": F.col("s.lent")})
     window = Window.partitionBy("to").orderBy("lent", F.desc_nulls_last("doc_id"), F.desc("text_key"))
-    return sent.withColumn("next", F.lead(F.struct(*columns)).over(window)).filter("lent = 0").drop("range", "s", "to", "lent")
+    return sent.withColumn("next", F.lead(F.struct(*columns)).over(window)).filter("lent = 0").drop("range", "top", "upper", "s", "to", "lent")
 
 
 def edited(text: Column, n_chars: Column, following: Column) -> Column:
