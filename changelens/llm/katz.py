@@ -63,16 +63,20 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _write_keys(keys: np.ndarray) -> bytes:
-    """Sorted 56-bit keys of one bucket in 5 bytes each, after the numbers of keys by their third highest byte."""
+    """Sorted 48-bit keys of one bucket: their number, their highest bytes as runs of ones that a zero ends (a bit per key and byte), and 5 bytes each."""
     low = keys.astype("<u8").view(np.uint8).reshape(-1, 8)
-    return np.bincount(low[:, 5], minlength=256).astype("<u4").tobytes() + low[:, :5].tobytes()
+    runs = np.ones(len(keys) + 256, bool)
+    runs[np.cumsum(np.bincount(low[:, 5], minlength=256)) + np.arange(256)] = False
+    return np.uint32(len(keys)).tobytes() + np.packbits(runs).tobytes() + low[:, :5].tobytes()
 
 
 def _read_keys(data: bytes) -> np.ndarray:
-    heads = np.frombuffer(data, "<u4", 256)
-    out = np.zeros((int(heads.sum()), 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8, offset=1024).reshape(-1, 5)
-    out[:, 5] = np.repeat(np.arange(256), heads)
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    edge = 4 + (n + 256 + 7) // 8
+    ends = np.flatnonzero(np.unpackbits(np.frombuffer(data, np.uint8, edge - 4, 4), count=n + 256) == 0)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8, offset=edge).reshape(-1, 5)
+    out[:, 5] = np.repeat(np.arange(256), np.diff(ends, prepend=-1) - 1)
     return out.view("<u8").ravel()
 
 

@@ -273,7 +273,7 @@ def test_next_rows_of_hot_and_null_ids(spark):
     rng = random.Random(3)
     pairs = [(rng.choice([7, 7, None, i]), f"text {i}") for i in range(300)]
     rows = fingerprints.with_next(
-        docs_of(spark, pairs).selectExpr("doc_id", "text", "xxhash64(text) AS text_key"), ["doc_id", "text_key"], parts=8
+        docs_of(spark, pairs).selectExpr("doc_id", "text", "xxhash64(text) AS text_key"), ["doc_id", "text_key"], range_rows=38
     ).collect()
     order = sorted(((r.doc_id is not None, r.doc_id or 0, r.text_key) for r in rows), reverse=True)
     following = dict(zip(order, [*order[1:], order[0]]))
@@ -516,3 +516,25 @@ def test_empty_tables(spark):
     assert fingerprints.fingerprint_documents(none).count() == 0
     assert decontamination.find_leaks(none, items).count() == 0 and decontamination.find_leaks(docs_of(spark, [(1, "x y")]), items.filter("false")).count() == 0
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+@pytest.mark.parametrize("ids", [[5], [5, 5], [None], [3, 9], list(range(0, 2_000, 3))])
+def test_next_rows_over_many_ranges(spark, ids):
+    from pyspark.sql import functions as F
+
+    frame = spark.createDataFrame([(i, f"t{n}") for n, i in enumerate(ids)], "doc_id long, text string").withColumn("text_key", F.xxhash64("text"))
+    rows = fingerprints.with_next(frame, ["doc_id", "text_key"], range_rows=7).collect()
+    place = lambda r: (r.doc_id is not None, r.doc_id or 0, r.text_key)
+    order = sorted(map(place, rows), reverse=True)
+    following = dict(zip(order, [*order[1:], order[0]]))
+    assert len(rows) == len(ids) and all(following[place(r)] == place(r.next) for r in rows)
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 20, 255, 256, 5_000])
+def test_packed_keys_come_back_and_small_rows_stay_small(n):
+    keys = np.unique(np.random.default_rng(n).integers(0, 2**48, n, dtype=np.uint64))
+    data = katz._write_keys(keys)
+    assert (katz._read_keys(data) == keys).all()
+    assert len(data) <= 40 + 5.2 * len(keys)
+    same = np.arange(n, dtype=np.uint64)  # all in one run
+    assert (katz._read_keys(katz._write_keys(same)) == same).all()
