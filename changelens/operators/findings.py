@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from changelens import rules
 from changelens.functions import text as tx
-from changelens.operators.grouping import REVIEW, first_per_group, unnest
+from changelens.operators.grouping import REVIEW, first_per_group, ranked, unnest
 
 FILE = (*REVIEW, "filename")
 FINDING_FIELDS = ("severity", "category", "line", "title", "detail", "suggestion", "origin")
@@ -39,7 +39,7 @@ _ITEM = "severity string, category string, line string, title string, detail str
 _TEXT_FIELDS = ("severity", "category", "title", "detail")
 
 
-def _raw_items(content: str, max_items: int) -> Column:
+def _raw_items(content: str, max_items: int | None) -> Column:
     """array<struct> of the first raw items of a response: parsed once per response and once per item."""
 
     def item(text: Column) -> Column:
@@ -50,11 +50,11 @@ def _raw_items(content: str, max_items: int) -> Column:
         )
 
     items = tx.let(tx.json_object_text(content), lambda body: F.from_json(body, "findings array<string>")["findings"])
-    return F.transform(F.slice(items, 1, max_items), item)
+    return F.transform(items if max_items is None else F.slice(items, 1, max_items), item)
 
 
-def parse_responses(responses: DataFrame, max_items: int = 8) -> DataFrame:
-    """Findings of model responses: the first ``max_items`` raw items of every response, each validated on its own.
+def parse_responses(responses: DataFrame, max_items: int | None = 8) -> DataFrame:
+    """Findings of model responses: the first ``max_items`` raw items of every response, or all, each validated on its own.
 
     ``seq`` is the position in the response; ``origin`` is always ``model``.
     """
@@ -83,14 +83,22 @@ def anchor(findings: DataFrame, added: DataFrame) -> DataFrame:
     return findings.join(valid, [*FILE, "line"], "left").withColumn("line", F.when(F.col("_valid"), F.col("line"))).drop("_valid")
 
 
-def dedupe(findings: DataFrame, cap: int = 12) -> DataFrame:
-    """One finding per (line, title) of a file, the first in order (rule findings come first); then the first ``cap``."""
+def anchor_in(findings: DataFrame, files: DataFrame) -> DataFrame:
+    """Like :func:`anchor`, from a row per file with the array of its ``added`` lines: findings are few, added lines are not spread into rows for them."""
+    lines = files.groupBy(*FILE).agg(F.array_distinct(F.flatten(F.collect_list("added"))).alias("_added"))  # repeated rows of a file are one
+    valid = F.array_contains("_added", F.col("line"))
+    return findings.join(lines, list(FILE), "left").withColumn("line", F.when(valid, F.col("line"))).drop("_added")
+
+
+def dedupe(findings: DataFrame, cap: int | None = 12) -> DataFrame:
+    """One finding per (line, title) of a file, the first in order (rule findings come first); of these all or the first ``cap``."""
     order = F.struct((F.col("origin") != "rule").alias("model"), F.col("seq"), F.col("title"), F.col("severity"))
     key = F.lower(tx.strip("title"))
     fields = F.struct("seq", *FINDING_FIELDS)
     first = findings.withColumn("_title", key).groupBy(*FILE, "line", "_title").agg(F.min_by(fields, order).alias("f"))
     rows = first.select(*FILE, "f.*")
-    return first_per_group(rows, FILE, [F.col("origin") != "rule", F.col("seq"), F.col("title")], cap, "rank")
+    order = [F.col("origin") != "rule", F.col("seq"), F.col("title")]
+    return ranked(rows, FILE, order) if cap is None else first_per_group(rows, FILE, order, cap, "rank")
 
 
 def verifiable(findings: DataFrame) -> DataFrame:

@@ -26,8 +26,8 @@ class Options:
     max_parse_files: int | None = None
     evidence_chars: int = 7_000
     max_headlines: int = 8
-    max_findings_per_chunk: int = 8
-    max_findings_per_file: int = 12
+    max_findings_per_chunk: int | None = 8
+    max_findings_per_file: int | None = 12
     max_secrets_per_file: int | None = None
     max_inline: int = 50
     verify_max_findings: int = 10

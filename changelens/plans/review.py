@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from changelens.functions import diffs
-from changelens.operators import diff
 from changelens.operators import findings as fd
 from changelens.operators import publish as pub
 from changelens.operators import triage as tr
@@ -18,6 +17,8 @@ from changelens.sources import requests as rq
 
 FILE = (*REVIEW, "filename")
 FINDING = (*FILE, "seq", *fd.FINDING_FIELDS)
+#: Where findings of a chunk are not counted off, places of the next chunk begin this far on.
+_PER_CHUNK = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -73,10 +74,10 @@ def collect_reviews(
         responses = responses.select(*FILE, "chunk", "content", "error_type").unionByName(rq.cached_responses(cached))
     usable = responses.filter(F.col("error_type").isNull())
     parsed = fd.parse_responses(usable, options.max_findings_per_chunk)
-    ordered = parsed.withColumn("seq", F.col("chunk") * options.max_findings_per_chunk + F.col("seq"))
+    ordered = parsed.withColumn("seq", F.col("chunk") * (options.max_findings_per_chunk or _PER_CHUNK) + F.col("seq"))
     found = rule_findings.select(*FINDING).unionByName(ordered.select(*FINDING))
     kept = selected.select(*FILE, diffs.trim_patch("patch", options.max_file_chars)["text"].alias("patch"))
-    anchored = fd.anchor(found, diff.changed_lines(kept))
+    anchored = fd.anchor_in(found, kept.select(*FILE, diffs.added_lines(diffs.patch_rows("patch")).alias("added")))
     # every later step reads the findings, so answers are parsed once
     unique = materialize(fd.dedupe(anchored, options.max_findings_per_file).drop("seq").withColumnRenamed("rank", "seq"))
     files = fd.review_complete(responses, rule_findings)

@@ -8,7 +8,7 @@ from changelens import fixtures as fx
 from changelens.fixtures import HEX_SQL, SEVERITY_RANK, with_views
 from changelens.functions import text as tx
 from changelens.operators import state as st
-from changelens.operators.grouping import shared_folder
+from changelens.operators.grouping import materialize, shared_folder
 from changelens.operators.store import KeyedTable
 from changelens.options import Options
 from changelens.plans import learning, review
@@ -29,6 +29,14 @@ def scratch(spark):
     return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
+def kept(spark, folder, rows):
+    """The rows, checkpointed, so that the folder they were read from can go."""
+    found = materialize(rows)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return found
+
+
 def deliveries(spark, d):
     """Signed deliveries; every thirteenth signature is wrong."""
     made = fx.events(spark, d).withColumn("mac", tx.hmac_sha256("body", SECRET))
@@ -45,7 +53,7 @@ def event_stream(spark, d):
     ingest.run_available(
         stream, f"{folder}/checkpoint", lambda batch, n: batch.select("event_id", "repo", "sha", "pr_number", "seq").write.mode("overwrite").parquet(f"{folder}/out/batch={n}")
     )
-    return spark.read.parquet(f"{folder}/out").drop("batch")
+    return kept(spark, folder, spark.read.parquet(f"{folder}/out").drop("batch"))
 
 
 SIGNED = """keyed AS (SELECT lower(repo) || '@' || lower(sha) || '#' || coalesce(pr_number, 0) AS key FROM f_targets WHERE event_id % 13 <> 0)"""
@@ -60,7 +68,7 @@ def claim_stream(spark, d):
         deliveries(spark, d).write.mode("append").parquet(f"{folder}/in")
         stream = ingest.claims(ingest.event_targets(ingest.read_deliveries(spark, f"{folder}/in"), SECRET, BOTH))
         ingest.run_available(stream, f"{folder}/checkpoint", sink)
-    return spark.read.parquet(f"{folder}/out").drop("batch")
+    return kept(spark, folder, spark.read.parquet(f"{folder}/out").drop("batch"))
 
 
 @query("H2_claim_within_watermark", with_views(f"WITH {SIGNED} SELECT DISTINCT key FROM keyed", "f_targets"))
@@ -69,7 +77,7 @@ def claim_within_watermark(spark, d):
     deliveries(spark, d).write.parquet(f"{folder}/in")
     stream = ingest.claim_within(ingest.event_targets(ingest.read_deliveries(spark, f"{folder}/in"), SECRET, BOTH), "40 days")
     ingest.run_available(stream, f"{folder}/checkpoint", lambda batch, n: batch.select("key").write.mode("overwrite").parquet(f"{folder}/out/batch={n}"))
-    return spark.read.parquet(f"{folder}/out").drop("batch")
+    return kept(spark, folder, spark.read.parquet(f"{folder}/out").drop("batch"))
 
 
 def _claim_log(spark, d):
@@ -101,7 +109,7 @@ def release_stream(spark, d):
         ingest.run_available(stream, f"{folder}/checkpoint", lambda fresh, n: fresh.select("key", "wave", "event_id").write.mode("overwrite").parquet(f"{folder}/out/batch={n}"))
         failed = spark.read.parquet(f"{folder}/out").filter((F.col("wave") == wave) & (F.col("event_id") % 2 == 0))
         failed.select("key").write.mode("append").parquet(f"{folder}/released")
-    return spark.read.parquet(f"{folder}/out").drop("batch")
+    return kept(spark, folder, spark.read.parquet(f"{folder}/out").drop("batch"))
 
 
 @query("H4_rate_limit", """WITH RECURSIVE s AS (SELECT 'o/r' || user_id AS repo, CAST(floor(epoch(ts)) AS BIGINT) AS second, min(event_id) AS event_id FROM events GROUP BY 1, 2),
@@ -129,7 +137,7 @@ def rate_limit_stream(spark, d):
         dated.filter(F.col("part") == number).drop("part").write.mode("append").parquet(f"{folder}/in")
         stream = ingest.rate_limit(spark.readStream.schema("repo string, ts timestamp, event_id bigint").parquet(f"{folder}/in"), 360)
         ingest.run_available(stream, f"{folder}/checkpoint", lambda allowed, n: allowed.write.mode("overwrite").parquet(f"{folder}/out/batch={n}"))
-    return spark.read.parquet(f"{folder}/out").drop("batch")
+    return kept(spark, folder, spark.read.parquet(f"{folder}/out").drop("batch"))
 
 
 @query("H5_publish_stream", """SELECT repo, arg_max('state of ' || event_id, (ts, event_id)) AS body FROM (SELECT 'o/r' || user_id AS repo, ts, event_id FROM events) GROUP BY repo""")
@@ -141,7 +149,7 @@ def publish_stream(spark, d):
     stream = spark.readStream.schema("repo string, body string, received_ts timestamp, event_id bigint").option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")
     table = KeyedTable(spark, f"{folder}/published", "repo string, body string")
     ingest.run_available(stream, f"{folder}/checkpoint", ingest.publish_batch(table, "reports", ["repo"]))
-    return ingest.published(table, "reports", ["repo"])
+    return kept(spark, folder, ingest.published(table, "reports", ["repo"]))
 
 
 @query("J1_triage", with_views(f"""WITH {TRIAGE}, {SELECTION} SELECT repo, sha, filename, reason FROM triaged WHERE reason IS NOT NULL
@@ -156,7 +164,8 @@ def eval_report(spark, d):
     """The report as it is read back from the JSON sink."""
     folder = scratch(spark)
     rq.write_eval_report(learning.evaluate(*eval_tables(spark, d)).scores, f"{folder}/report")
-    return spark.read.schema("case bigint, run string, category string, expected bigint, matched bigint, false_positives bigint").json(f"{folder}/report")
+    told = spark.read.schema("case bigint, run string, category string, expected bigint, matched bigint, false_positives bigint").json(f"{folder}/report")
+    return kept(spark, folder, told)
 
 
 def _contexts(spark, d):
@@ -184,6 +193,18 @@ def collect_reviews(spark, d):
     return collected(spark, d).findings.select("repo", "sha", "filename", "seq", "severity", "line", "title")
 
 
+_ALL = COLLECTED.replace(PARSED, PARSED.replace("AND i < 8 ", ""))
+
+
+@query("J4_collect_whole", with_views(f"WITH {_ALL} SELECT repo, sha, filename, seq, severity, line, title FROM collected", "v_changed_files", "f_patch_rows", "v_response_items"))
+def collect_whole(spark, d):
+    """No budget: every item of every answer counts, and a file keeps all its findings."""
+    options = Options(max_file_chars=10**9, max_findings_per_chunk=None, max_findings_per_file=None)
+    none = spark.createDataFrame([], "repo string, sha string, filename string, seq int, severity string, category string, line int, title string, detail string, suggestion string, origin string")
+    found = review.collect_reviews(fx.responses(spark, d), none, fx.changed_files(spark, d), options).findings
+    return found.select("repo", "sha", "filename", "seq", "severity", "line", "title")
+
+
 @query("J4_collect_cached", with_views(f"WITH {COLLECTED} SELECT repo, sha, filename, seq, severity, line, title FROM collected", "v_changed_files", "f_patch_rows", "v_response_items"))
 def collect_cached(spark, d):
     """A cache filled from the answers to half of the files must give what all answers give."""

@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 from changelens import fixtures as fx
 from changelens.fixtures import with_views
 from changelens.operators import symbols
-from changelens.operators.grouping import materialize, unnest
+from changelens.operators.grouping import unnest
 from changelens.operators.store import KeyedTable
 from changelens.plans import learning
-from changelens.queries.jobs import scratch
+from changelens.queries.jobs import kept, scratch
 from changelens.queries.registry import query
 from changelens.queries.sources import _file_pages, _state
 from changelens.sources import pages, snapshot
@@ -29,16 +29,18 @@ def _archive(spark, d):
 WHERE repo IN ('en', 'de') AND (CAST(substring(sha, 2) AS INTEGER) + page) % 5 <> 0""", "v_changed_files"))
 def page_files(spark, d):
     """Two repositories of an archive of JSON lines; page sizes differ, so every page counts."""
-    scan = pages.read_pages(spark, _archive(spark, d), pages.COMMIT_PAGE, ["en", "de"])
-    return pages.read_commit_pages(scan.pages, page_size=1)[1]
+    folder = _archive(spark, d)
+    scan = pages.read_pages(spark, folder, pages.COMMIT_PAGE, ["en", "de"])
+    return kept(spark, folder, pages.read_commit_pages(scan.pages, page_size=1)[1])
 
 
 @query("A1_broken_pages", with_views("""WITH p AS (SELECT repo, sha, CAST(doc_id % 200 // 25 + 1 AS INTEGER) AS page FROM v_changed_files)
 SELECT repo, count(DISTINCT (sha, page)) AS broken, true AS cut FROM p WHERE (CAST(substring(sha, 2) AS INTEGER) + page) % 5 = 0 GROUP BY repo""", "v_changed_files"))
 def broken_pages(spark, d):
-    scan = pages.read_pages(spark, _archive(spark, d), pages.COMMIT_PAGE)
+    folder = _archive(spark, d)
+    scan = pages.read_pages(spark, folder, pages.COMMIT_PAGE)
     cut = F.startswith("text", F.lit("{")) & F.contains("file", F.lit("repo="))
-    return scan.broken.groupBy("repo").agg(F.count(F.lit(1)).alias("broken"), F.bool_and(cut).alias("cut"))
+    return kept(spark, folder, scan.broken.groupBy("repo").agg(F.count(F.lit(1)).alias("broken"), F.bool_and(cut).alias("cut")))
 
 
 def _twice(spark, d):
@@ -74,7 +76,7 @@ def state_table(spark, d):
         table.put(rows.filter(F.col("seq") % 2 == part))
     table.trim(50)
     table.remove(table.read().filter("seq % 11 = 0"))
-    return table.read().select("namespace", "key", "value", "seq")
+    return kept(spark, table.path, table.read().select("namespace", "key", "value", "seq"))
 
 
 def _memory(spark, d):
@@ -96,7 +98,8 @@ kept AS (SELECT * FROM newest WHERE n <= 200 AND doc_id % 7 <> 1)"""
 @query("I2_memory_table", f"WITH {MEMORY} SELECT namespace, key, text FROM kept")
 def memory_table(spark, d):
     """Documents are retained, replaced by id, kept against an older version, trimmed to the newest of a bank and forgotten."""
-    return _memory(spark, d).read().select("namespace", "key", "text")
+    table = _memory(spark, d)
+    return kept(spark, table.path, table.read().select("namespace", "key", "text"))
 
 
 @query("I2_recall_stored", f"""WITH {MEMORY}, r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n) AS pos FROM kept),
@@ -107,7 +110,8 @@ s AS (SELECT *, min(pos) FILTER (used > 4500) OVER (PARTITION BY lang) AS stop F
 SELECT lang AS repo, 'c1' AS sha, string_agg(line, chr(10) ORDER BY pos) AS memory, CAST(count(*) AS INTEGER) AS n_items FROM s WHERE (stop IS NULL OR pos < stop) AND lang <> 'de' GROUP BY lang""")
 def recall_stored(spark, d):
     reviews = fx.table(spark, d, "documents").filter("lang <> 'de'").selectExpr("lang AS repo", "'c1' AS sha").distinct()
-    return learning.recall_stored(_memory(spark, d), reviews)
+    table = _memory(spark, d)
+    return kept(spark, table.path, learning.recall_stored(table, reviews))
 
 
 @query("I1_answer_requests", """SELECT sha256(doc_id::VARCHAR) AS request_id, 'read ' || length(text) || ' characters' AS content, CASE WHEN doc_id % 7 = 0 THEN '2' ELSE '1' END AS run FROM documents WHERE doc_id % 11 <> 0
@@ -127,4 +131,4 @@ def answer_requests(spark, d):
         return ask
 
     rq.answer_requests(docs.unionByName(docs.limit(10)), model((7, 11)), folder, "1")
-    return materialize(rq.answer_requests(docs, model((11,)), folder, "2")).select("request_id", "content", "run")
+    return kept(spark, folder, rq.answer_requests(docs, model((11,)), folder, "2").select("request_id", "content", "run"))
