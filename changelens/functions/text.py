@@ -110,14 +110,14 @@ def chunk_text(text: ColumnLike, max_chars: int = 12_000) -> Column:
 @built_once
 def sanitize(text: ColumnLike) -> Column:
     """Neutralise mentions, images and risky tags."""
-    text = F.regexp_replace(as_column(text), "@(?=[A-Za-z0-9_-])", "@\u200b")
-    text = F.regexp_replace(text, r"!\[", r"!\\[")
+    text = F.regexp_replace(as_column(text), rules.MENTION, "@\u200b")
+    text = F.regexp_replace(text, rules.IMAGE, r"!\\[")
     return F.regexp_replace(text, rf"(?i)<(?=/?(?:{rules.RISKY_TAGS})\b|!--)", "&lt;")
 
 
 @built_once
 def clean_memory_text(text: ColumnLike, limit: int = 400) -> Column:
-    text = F.regexp_replace(as_column(text), "[\\x00-\\x08\\x0b-\\x1f\\x7f]", " ")
+    text = F.regexp_replace(as_column(text), rules.CONTROL_CHARACTERS, " ")
     text = F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
     return F.substring(F.translate(text, "<>", "‹›"), 1, limit)
 
