@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from changelens.functions import paths
 from changelens.functions.text import built_once, let
-from changelens.operators.grouping import REVIEW, unnest
+from changelens.operators.grouping import REVIEW, shuffled, unnest
 
 
 def _keys(kind: str, values: Column) -> Column:
@@ -82,7 +82,7 @@ def link_files(files: DataFrame, targets: DataFrame) -> DataFrame:
     """(repo, sha, path, target): file ``path`` with its ``imports`` array and ``language`` points at ``target``."""
     points = unnest(files, [*REVIEW, "path"], all_import_keys("path", "imports", "language")).withColumnRenamed("item", "key")
     ends = unnest(targets, [*REVIEW, "target"], target_keys("target")).withColumnRenamed("item", "key")
-    return points.join(ends, [*REVIEW, "key"]).select(*REVIEW, "path", "target").distinct()
+    return points.join(shuffled(ends), [*REVIEW, "key"]).select(*REVIEW, "path", "target").distinct()
 
 
 def same_package(left: str, right: str) -> Column:
