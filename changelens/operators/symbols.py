@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from changelens import rules
 from changelens.functions import code, diffs, lexer, paths
 from changelens.functions.text import as_column, built_once, let
-from changelens.operators.grouping import REVIEW, broadcast_if_small, first_per_group, materialize, unnest
+from changelens.operators.grouping import REVIEW, broadcast_if_small, first_per_group, materialize, shuffled, unnest
 from changelens.sources import snapshot
 
 FILE = (*REVIEW, "filename")
@@ -42,7 +42,7 @@ def facts_by_content(source_files: DataFrame) -> DataFrame:
     # a name with the suffix of the language stands for all places of a text
     named = found.texts.withColumn("path", F.concat(F.lit("file"), paths.suffix_of("language")))
     facts = with_source_facts(named).select("content_id", "language", "definitions", "imports")
-    return found.places.join(facts, "content_id").drop("content_id")
+    return found.places.join(shuffled(facts), "content_id").drop("content_id")
 
 
 def is_skippable(definition: Column) -> Column:
@@ -112,7 +112,7 @@ def file_symbols(changed_files: DataFrame, source_files: DataFrame) -> DataFrame
     told = with_blanked(named.withColumn("family", paths.family(paths.language_of("filename"))))
     head = told.select(*FILE, code.definitions("blanked", "family").alias("definitions"))
     facts = (
-        usable.join(head, list(FILE), "left")
+        usable.join(shuffled(head), list(FILE), "left")
         .withColumn("definitions", F.coalesce("definitions", F.array().cast(f"array<{code.DEFINITION}>")))
         .withColumn("language", paths.language_of("filename"))
         .withColumn("family", paths.family("language"))
@@ -141,7 +141,7 @@ def removed_symbols(per_file: DataFrame, per_file_cap: int | None = None) -> Dat
     """Names of three letters or more that no file of the change defines any more: all, or the first of a file by name."""
     added = per_file.select(*REVIEW, F.explode("added_names").alias("name")).distinct()
     gone = per_file.select(*FILE, F.explode("removed").alias("name")).filter(F.length("name") >= 3).distinct()
-    gone = gone.join(added, [*REVIEW, "name"], "left_anti")
+    gone = gone.join(shuffled(added), [*REVIEW, "name"], "left_anti")
     kept = gone if per_file_cap is None else first_per_group(gone, FILE, [F.col("name")], per_file_cap)
     return kept.select(
         *FILE, "name", F.lit("function").alias("kind"), F.lit(0).alias("start_line"), F.lit(0).alias("end_line"),
@@ -212,7 +212,7 @@ def scan(
         looked = sources.select(*REVIEW, "path")
         looked = looked if max_scan is None else first_per_group(looked, REVIEW, [F.col("path")], max_scan)
         extent = looked.groupBy(*REVIEW).agg(F.max("path").alias("last_path"))
-        found = found.join(extent, list(REVIEW)).filter(F.col("path") <= F.col("last_path"))
+        found = found.join(shuffled(extent), list(REVIEW)).filter(F.col("path") <= F.col("last_path"))
     else:
         found = found.withColumn("last_path", F.lit(None).cast("string"))
     # a row per file with a mention: broadcast while their names are few, so that no text is shuffled

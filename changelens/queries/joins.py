@@ -9,7 +9,7 @@ from changelens.fixtures import HEX_SQL, with_views
 from changelens.functions import paths
 from changelens.operators import diff, evaluate, impact, links, memory, publish, state, symbols
 from changelens.operators import findings as fd
-from changelens.operators.grouping import materialize, unnest
+from changelens.operators.grouping import materialize, shuffled, unnest
 from changelens.plans import impact as plan
 from changelens.queries.registry import query
 from changelens.queries.sources import request_contexts
@@ -79,9 +79,9 @@ def filter_references(spark, d):
 SELECT DISTINCT d.repo, d.path, d.name, t.line, t.line <= d.signature_end_line AS in_header FROM f_definitions d JOIN t ON t.repo = d.repo AND t.path = d.path AND t.line BETWEEN d.start_line AND d.end_line""", "f_definitions"))
 def touch(spark, d):
     touched = diff.touched_lines(fx.symbol_changes(spark, d)).withColumnRenamed("filename", "path")
-    files = fx.source_files(spark, d).join(touched.select("repo", "sha", "path").distinct(), ["repo", "sha", "path"], "left_semi")
+    files = fx.source_files(spark, d).join(shuffled(touched.select("repo", "sha", "path").distinct()), ["repo", "sha", "path"], "left_semi")
     defs = unnest(symbols.with_source_facts(files), ["repo", "sha", "path"], "definitions")
-    pairs = defs.join(touched, ["repo", "sha", "path"]).filter(F.col("line").between(F.col("start_line"), F.col("end_line")))
+    pairs = defs.join(shuffled(touched), ["repo", "sha", "path"]).filter(F.col("line").between(F.col("start_line"), F.col("end_line")))
     return pairs.select("repo", "path", "name", "line", (F.col("line") <= F.col("signature_end_line")).alias("in_header"))
 
 

@@ -2,7 +2,8 @@
 
 import __spark_entry__ as entry
 from changelens import fixtures as fx
-from changelens.operators import links, symbols
+from changelens.operators import impact, links, symbols
+from changelens.operators.grouping import broadcast_if_small
 
 
 def _plan(df):
@@ -14,3 +15,19 @@ def test_import_links_are_shuffled(spark):
     facts = symbols.with_source_facts(files).select("repo", "sha", "path", "language", "imports")
     targets = files.selectExpr("repo", "sha", "path AS target")
     assert "Broadcast" not in _plan(links.link_files(facts, targets))
+
+
+def test_more_rows_than_the_bound_are_shuffled(spark):
+    left = spark.range(100)
+    assert "Broadcast" not in _plan(left.join(broadcast_if_small(spark.range(10), 9), "id"))
+    assert "Broadcast" in _plan(left.join(broadcast_if_small(spark.range(10), 10), "id"))
+
+
+def test_impact_joins_are_shuffled(spark):
+    from changelens.plans import impact as plan
+
+    changed, files = fx.symbol_changes(spark, entry.SMALL), fx.source_files(spark, entry.SMALL)
+    found = plan.impact(changed, files)
+    used = impact.in_changed_file(impact.group_callers(impact.uses(found.symbols, symbols.hits(found.scanned))), changed)
+    for table in (impact.link_tier(used, found.scanned, symbols.definers(found.scanned)), found.symbol_impact, found.stats):
+        assert "Broadcast" not in _plan(table)
