@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from changelens import rules
 from changelens.functions import leaks
 from changelens.functions import text as tx
-from changelens.operators.grouping import REVIEW, first_per_group, prefix_within
+from changelens.operators.grouping import REVIEW, first_per_group, prefix_within, unnest
 from changelens.operators.publish import INLINE_TAG, MARKER, own_marked
 
 
@@ -84,13 +84,12 @@ def learn_feedback(comments: DataFrame, reactions: DataFrame, logins: DataFrame,
     """Memory items to retain from ratings: (repo, document_id, text, key, value)."""
     own = rated_comments(comments, me).withColumn("comment_id", F.col("id"))
     fresh = changed_feedback(ratings(reactions, logins), state)
-    return (
-        own.select("repo", "kind", "comment_id", "body").join(fresh, ["repo", "kind", "comment_id"])
-        .withColumn("text", feedback_text("rating", "body")).filter(F.col("text").isNotNull())
-        .select(
-            "repo", F.concat_ws(":", F.lit("feedback"), "kind", F.col("comment_id").cast("string")).alias("document_id"), "text",
-            "key", F.col("signature").alias("value"),
-        )
+    joined = own.select("repo", "kind", "comment_id", "body").join(fresh, ["repo", "kind", "comment_id"])
+    # a filter on the text itself would build it twice
+    told = unnest(joined, ["repo", "kind", "comment_id", "key", "signature"], F.array_compact(F.array(feedback_text("rating", "body"))))
+    return told.select(
+        "repo", F.concat_ws(":", F.lit("feedback"), "kind", F.col("comment_id").cast("string")).alias("document_id"), F.col("item").alias("text"),
+        "key", F.col("signature").alias("value"),
     )
 
 
