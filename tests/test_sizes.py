@@ -43,3 +43,15 @@ def test_report_lines_are_read_once(spark):
     assert read._jdf.queryExecution().analyzed().toString().count("translate(") <= 6
     told = QUERIES["C36_feedback_text"](spark, entry.SMALL)
     assert told._jdf.queryExecution().optimizedPlan().toString().count("A maintainer rated") == 1
+
+
+def test_request_texts_are_built_once(spark):
+    """The patch's and the message's credentials are each redacted in one place of the plan."""
+    from changelens.queries import QUERIES, load
+
+    load()
+    longest = spark.conf.get("spark.sql.maxPlanStringLength")
+    spark.conf.set("spark.sql.maxPlanStringLength", "50000000")
+    plan = QUERIES["C32_render_prompt"](spark, entry.SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.set("spark.sql.maxPlanStringLength", longest)
+    assert plan.count("AKIA") == 2
