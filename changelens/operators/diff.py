@@ -7,7 +7,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
@@ -48,31 +48,29 @@ def chunks(df: DataFrame, column: str, max_chars: int, *keys: str) -> DataFrame:
 def line_diff(base: DataFrame, head: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(files, lines) between two trees keyed by (case, path).
 
-    Lines pair up by (text, n-th occurrence), so a file of one line repeated still spreads its work by occurrence.
+    Lines pair up by (text, n-th occurrence): of a text that one side has more often, those beyond the other side's number changed. Only whole texts are shuffled,
+    once, by file; everything below needs the rows of one file and stays in its partition.
     """
     keys = ["case", "path"]
-    pair = base.select(*keys, F.col("content").alias("old")).join(
-        head.select(*keys, F.col("content").alias("new")), keys, "full_outer"
-    ).filter(~F.col("old").eqNullSafe(F.col("new")))
-    lines = pair.withColumn("old_lines", text.split_lines(F.coalesce("old", F.lit("")))).withColumn(
-        "new_lines", text.split_lines(F.coalesce("new", F.lit("")))
-    )
+    none = F.lit(None).cast("string")
+    sides = base.select(*keys, F.col("content").alias("old"), none.alias("new")).unionByName(head.select(*keys, none.alias("old"), F.col("content").alias("new")))
+    pair = sides.repartition(*keys).groupBy(*keys).agg(F.max("old").alias("old"), F.max("new").alias("new")).filter(~F.col("old").eqNullSafe(F.col("new")))
     status = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("modified")
 
-    def numbered(column: str) -> DataFrame:
-        rows = lines.select(*keys, F.posexplode(column).alias("at", "text"))
-        occurrence = F.row_number().over(Window.partitionBy(*keys, "text").orderBy("at"))
-        return rows.select(*keys, "text", occurrence.alias("occurrence"), (F.col("at") + 1).alias("line"))
-
-    on = [*keys, "text", "occurrence"]
-    old, new = numbered("old_lines"), numbered("new_lines")
-    changed = new.join(old, on, "left_anti").select(*keys, F.lit("+").alias("op"), "line", "text").unionByName(
-        old.join(new, on, "left_anti").select(*keys, F.lit("-").alias("op"), "line", "text")
-    )
-    counts = changed.groupBy(*keys).agg(
-        F.count_if(F.col("op") == "+").alias("additions"), F.count_if(F.col("op") == "-").alias("deletions")
+    def told(side: str, op: str) -> Column:
+        lines = text.split_lines(F.coalesce(side, F.lit("")))
+        return F.transform(lines, lambda line, at: F.struct(F.lit(op).alias("op"), (at + 1).alias("line"), line.alias("text")))
+
+    rows = pair.select(*keys, status.alias("status"), F.inline_outer(F.concat(told("old", "-"), told("new", "+"))))
+    same = Window.partitionBy(*keys, "text").orderBy("op", "line")  # the added ones come first
+    every = same.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    is_new = F.col("op") == "+"
+    counted = rows.withColumns({"_at": F.row_number().over(same), "_new": F.count_if(is_new).over(every), "_old": F.count_if(~is_new).over(every)})
+    flagged = counted.withColumn("_changed", F.when(is_new, F.col("_at") > F.col("_old")).otherwise(F.col("_at") - F.col("_new") > F.col("_new")))
+    changed = flagged.filter(F.col("op").isNotNull() & F.col("_changed")).select(*keys, "op", "line", "text")
+    files = flagged.groupBy(*keys, "status").agg(
+        F.count_if(is_new & F.col("_changed")).alias("additions"), F.count_if(~is_new & F.col("_changed")).alias("deletions")
     )
-    files = pair.select(*keys, status.alias("status")).join(counts, keys, "left").na.fill(0, ["additions", "deletions"])
     return files, changed
 
 
