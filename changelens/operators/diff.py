@@ -23,7 +23,7 @@ def explode_patch(files: DataFrame) -> DataFrame:
 
 
 def changed_lines(files: DataFrame) -> DataFrame:
-    return unnest(files, FILE, F.array_distinct(diffs.added_lines(diffs.patch_rows("patch")))).withColumnRenamed("item", "new_line")
+    return unnest(files, FILE, F.array_distinct(diffs.added_numbers("patch"))).withColumnRenamed("item", "new_line")
 
 
 def deletion_gaps(files: DataFrame) -> DataFrame:
