@@ -1,14 +1,16 @@
 """Structured Streaming over webhook deliveries.
 
-Checks and target extraction are stateless. Claims, releases and rate limits keep a value per key in Spark's state store, or, where a watermark
-bounds how late a delivery comes, in its deduplication.
+Checks and target extraction are stateless. Claims are Spark's deduplication, without a bound or within a watermark; claims with releases and rate limits
+keep a value per key in its state store.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -19,6 +21,8 @@ from changelens.options import DEFAULTS, Options
 from changelens.sources import events as ev
 
 DELIVERY = "event_id bigint, event string, body binary, signature string, received_ts timestamp"
+# A micro-batch's deliveries are compared in so many parts, and so many rows at a time at least.
+_BUCKETS, _ROWS = 1024, 10_000
 
 
 def read_deliveries(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
@@ -37,6 +41,25 @@ def claim_within(targets: DataFrame, delay: str = "1 hour") -> DataFrame:
     return targets.withWatermark("received_ts", delay).dropDuplicatesWithinWatermark(["key"])
 
 
+def _earliest(deliveries: pa.Table) -> pa.Table:
+    ordered = deliveries.sort_by([(c, "ascending") for c in ("received_ts", "event_id", "seq")])
+    numbered = pa.table({"key": ordered["key"], "row": np.arange(ordered.num_rows)})
+    return ordered.take(numbered.group_by("key", use_threads=False).aggregate([("row", "min")])["row_min"])
+
+
+def _first_deliveries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The earliest delivery of every key of a bucket. Held are one of each key so far and as many, or ``_ROWS``, that wait for comparison."""
+    held, rows, most = [], 0, _ROWS
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= most:
+            held = _earliest(pa.Table.from_batches(held)).to_batches()
+            rows = sum(b.num_rows for b in held)
+            most = max(_ROWS, 2 * rows)
+    yield from _earliest(pa.Table.from_batches(held)).to_batches()
+
+
 class _Claims(StatefulProcessor):
     """A key is free or claimed. Releases that have arrived are applied first, then the first delivery claims a free key."""
 
@@ -97,17 +120,20 @@ def with_state_store(spark: SparkSession) -> None:
 def claims(targets: DataFrame, releases: DataFrame | None = None) -> DataFrame:
     """The deliveries that claim their key: the first one, and the first one after each release (key) of a failed review.
 
-    State is one number per key, in the state store and checkpoint of the stream, so a micro-batch costs what arrived, however long the history is. What is
-    held of a key in a micro-batch is one delivery.
+    State is the key, with releases and a number, in the state store and checkpoint of the stream, so a micro-batch costs what arrived, however long the history
+    is. What is held of a key in a micro-batch is one delivery. Without releases no claimed key becomes free, so claims are a deduplication; a processor in
+    Python, which asks the store key by key, serves releases only.
     """
     with_state_store(targets.sparkSession)
+    if releases is None:
+        bucket = F.pmod(F.xxhash64("key"), F.lit(_BUCKETS))
+        return targets.groupBy(bucket).applyInArrow(_first_deliveries, targets.schema).dropDuplicates(["key"])
     stamp = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
     rows = targets.select(
         "key", F.lit(False).alias("release"), F.unix_micros("received_ts").alias("at"), "event_id", F.col("seq").cast("bigint").alias("seq"), F.to_json(F.struct(*targets.columns), stamp).alias("target")
     )
-    if releases is not None:
-        zero = F.lit(0).cast("bigint")
-        rows = rows.unionByName(releases.select("key", F.lit(True).alias("release"), zero.alias("at"), zero.alias("event_id"), zero.alias("seq"), F.lit("").alias("target")))
+    zero = F.lit(0).cast("bigint")
+    rows = rows.unionByName(releases.select("key", F.lit(True).alias("release"), zero.alias("at"), zero.alias("event_id"), zero.alias("seq"), F.lit("").alias("target")))
     claimed = rows.groupBy("key").transformWithStateInPandas(_Claims(), "target string", "Append", "None")
     return claimed.select(F.from_json("target", targets.schema, stamp).alias("t")).select("t.*")
 
